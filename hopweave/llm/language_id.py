@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.llm.batches import map_documents, texts_of
+from hopweave.llm.labelled import remainder
 from hopweave.llm.shipping import Shipped
 
 UND = "und"
@@ -164,11 +165,6 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return map_documents(docs, make, "lang_pred string, score double", id_col, text_col)
 
 
-def remainder(id_col: str, of: int):
-    """crc32 of an id as text, modulo; null ids count as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % of
-
-
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs.where(remainder("doc_id", 4) != 2))
