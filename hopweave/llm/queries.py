@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hopweave.llm import byte_bpe, decontaminate, language_id, quality_model, quality_rules
+from hopweave.llm import byte_bpe, decontaminate, language_id, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_model.op9_quality_classifier,
