@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hopweave.llm import byte_bpe, decontaminate, language_id, quality_model, quality_rules, toxicity
+from hopweave.llm import byte_bpe, decontaminate, language_id, quality_model, quality_rules, secrets, toxicity
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
