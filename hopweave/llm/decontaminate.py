@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.llm.batches import keep_documents, pieces, texts_of
+from hopweave.llm.shared import cut
 from hopweave.llm.shipping import Shipped
 
 WINDOW = 10
@@ -130,12 +131,6 @@ def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     yield rows
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """checkpoint() writes where the cluster says; to a folder of ours only where none is set, as in tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/hopweave-checkpoints")
-
-
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id_col, n_words, hits (start and end of hit words by turns), spans (the same as characters), items (sorted)."""
     spark = docs.sparkSession
@@ -143,8 +138,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     found = list(blocks(items, item_col, item_text_col))
     for k, block in enumerate(found):
         if k:
-            shared_folder(spark)
-            rows = rows.checkpoint()
+            rows = cut(rows)
         rows = _pass(rows, Shipped(spark, block), first=k == 0, last=k == len(found) - 1)
     return rows
 

@@ -32,7 +32,9 @@ from hopweave.llm.shipping import Shipped
 
 UND = "und"
 LONGEST = 4
-DOCS_PER_LANGUAGE = 3000
+DOCS_PER_LANGUAGE = 1500
+#: Languages of a model at most, those with most documents first; their table is broadcast.
+MAX_LANGUAGES = 1000
 MIN_COUNT = 3
 ENTRIES = 300_000
 #: Unseen words whose scores a task keeps.
@@ -147,7 +149,8 @@ class Predictor:
 def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, min_count: int = MIN_COUNT, entries: int = ENTRIES) -> LanguageModel:
     """A model of the rows with a language and a text."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = rows.groupBy(lang_col).agg((F.lit(docs_per_language) / F.count("*")).alias("__share"))
+    share = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES)
+    share = F.broadcast(share.select(lang_col, (F.lit(docs_per_language) / F.col("count")).alias("__share")))
     u = (F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
     some = rows.join(share, lang_col).where(u < F.col("__share"))
     counts = count_entries(some, lang_col, text_col).where(F.col("n") >= min_count)

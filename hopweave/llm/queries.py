@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopweave.llm import byte_bpe, decontaminate, language_id, quality_model, quality_rules, secrets, toxicity
+from hopweave.llm import byte_bpe, decontaminate, language_id, near_dup, quality_model, quality_rules, secrets, toxicity
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_model.op9_quality_classifier,
+    "op10_near_dup": near_dup.op10_near_dup,
 }
 
 ORACLE_SQL = {
