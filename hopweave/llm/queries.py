@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hopweave.llm import byte_bpe, decontaminate, language_id, near_dup, quality_model, quality_rules, secrets, toxicity
+from hopweave.llm import byte_bpe, decontaminate, language_id, near_dup, quality_model, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_sharding": sharding.op5_sharding,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_sharding": sharding.OP5_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
 }
