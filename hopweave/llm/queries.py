@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hopweave.llm import byte_bpe, decontaminate, language_id, near_dup, quality_model, quality_rules, secrets, sharding, toxicity
+from hopweave.llm import byte_bpe, decontaminate, language_id, lm_score, near_dup, quality_model, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_language_id": language_id.op2_language_id,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_decontamination": decontaminate.op4_decontamination,

@@ -8,7 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-_built: dict[str, object] = {}
+_built: dict[tuple[str, str], object] = {}
+
+
+def as_it_is(model):
+    return model
 
 
 class Shipped:
@@ -22,9 +26,10 @@ class Shipped:
         raw = pickle.dumps(model)
         self.key, self.raw = hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
 
-    def get(self, build: Callable = lambda model: model):
-        if self.key not in _built:
+    def get(self, build: Callable = as_it_is):
+        key = (self.key, build.__qualname__)
+        if key not in _built:
             while len(_built) > 1:
                 _built.pop(next(iter(_built)))
-            _built[self.key] = build(pickle.loads(self.raw.value))
-        return _built[self.key]
+            _built[key] = build(pickle.loads(self.raw.value))
+        return _built[key]
