@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
+from hopweave.plans import summary_queries, trajectory_queries  # noqa: F401
 from hopweave.plans.register import ORACLE_SQL, QUERIES
-from hopweave.plans import trajectory_queries  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
