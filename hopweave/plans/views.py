@@ -96,13 +96,13 @@ def with_cases(sql: str) -> str:
 
 
 def event_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timestamped trajectories: victim, loc, at (timestamp), event_id, k (a number from the event's JSON), value."""
+    """Timestamped trajectories: victim, loc, happened (timestamp), event_id, k (a number from the event's JSON), value."""
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("victim"), F.col("event_type").alias("loc"), F.col("ts").cast("timestamp").alias("at"), "event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), "value"
+        F.col("user_id").alias("victim"), F.col("event_type").alias("loc"), F.col("ts").cast("timestamp").alias("happened"), "event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), "value"
     )
 
 
-EVENT_HOPS_SQL = "SELECT user_id AS victim, event_type AS loc, ts AS at, event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events"
+EVENT_HOPS_SQL = "SELECT user_id AS victim, event_type AS loc, ts AS happened, event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events"
 
 
 def with_event_hops(sql: str) -> str:
