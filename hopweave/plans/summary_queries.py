@@ -18,7 +18,7 @@ def _(spark, d):
 
 @query(
     "filter_composite",
-    with_cases("""SELECT case_id, year FROM cases WHERE nat <> '' AND gender = 'MACHINERY' AND year BETWEEN 1995 AND 1996
+    with_cases("""SELECT case_id, CAST(year AS INTEGER) AS year FROM cases WHERE nat <> '' AND gender = 'MACHINERY' AND year BETWEEN 1995 AND 1996
     AND list_has_any(list_transform(perps, lambda x: lower(x)), ['supplier_1', 'supplier_7', 'supplier#1']) AND (contains(lower(loc), 'urgent') OR contains(lower(nat), 'urgent'))"""),
 )
 def _(spark, d):
