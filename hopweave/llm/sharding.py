@@ -24,6 +24,7 @@ store adds are refused.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import uuid
@@ -39,6 +40,18 @@ FAN = 4
 WAVE = 64
 
 
+@contextlib.contextmanager
+def one_file_each(spark: SparkSession):
+    """Keeps a union of single partitions from becoming one partition, which Spark 4.1 does by default."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class ShardStore:
     """Immutable shards of one table in a folder that all executors see."""
 
@@ -135,7 +148,8 @@ class ShardStore:
         schema = self.spark.read.parquet(*files(runs[0])).schema
         # one task a run: its files are read one after the other, and written as one
         parts = [self.spark.read.schema(schema).parquet(*files(run)).coalesce(1) for run in runs]
-        reduce(DataFrame.unionAll, parts).write.parquet(f"{self.path}/shards/{where}")
+        with one_file_each(self.spark):
+            reduce(DataFrame.unionAll, parts).write.parquet(f"{self.path}/shards/{where}")
         arrivals = sorted({a for r in runs for s in r for a in s["arrival"].split("+")})
         new, old = self._added(where, "+".join(arrivals)), {s["file"] for r in runs for s in r}
 
