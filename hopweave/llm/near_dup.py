@@ -11,14 +11,15 @@ share a component with exactly the probability of their weighted Jaccard similar
 and only processes that can still beat the latest component are followed.
 
 Documents with the same words are one node: the least id. Nodes that agree on a band
-are a bucket. A bucket is settled by its leader, the least node: pairs of leader and
-member whose signatures leave a similarity of THRESHOLD possible are verified on the
-multisets. Members that link to the leader leave the bucket, unless the triangle
-inequality of Jaccard distance leaves a link to a node that did not possible. After
-ROUNDS leaders, all pairs of what is left of a bucket are compared by signature in
-blocks of BLOCK nodes, pairs already joined by near-certain ones left out, and
-verified. Links are only skipped between nodes that are connected anyway, so classes
-are the connected components of all links, without all pairs of a group.
+are a bucket. In each of PIVOTS rounds a bucket has a pivot, and the pairs of it with
+all other nodes of the bucket that are not connected to it yet are tested: pairs whose
+signatures leave a similarity of THRESHOLD possible are verified on the multisets, and
+the links join components. The pivot, all pairs of which are then settled, leaves the
+bucket; a bucket whose nodes are all connected is done. What is left is compared by
+signature in blocks of BLOCK nodes: first the most similar pairs that would connect
+all components of a block, then all pairs that still lie in two components. Pairs are
+only skipped between nodes that are connected anyway, so classes are the connected
+components of all links, without all pairs of a group.
 
 Work on hot buckets, leaders and classes is min, max and joins, which combine before
 the shuffle or which adaptive execution splits; nothing of the size of the documents
@@ -49,11 +50,9 @@ THRESHOLD = 0.8
 #: Bands of ROWS components: a pair of similarity 0.8 misses all of them once in 16,000 times.
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
-#: A pair is verified if its signatures agree on this share; five standard deviations below THRESHOLD.
-POSSIBLE = 0.65
-#: Agreement from which a pair is a link but for one chance in millions.
-CERTAIN = 0.95
-ROUNDS, BLOCK = 2, 256
+#: A pair is verified if its signatures agree on this share; 3.5 standard deviations below THRESHOLD.
+POSSIBLE = 0.7
+PIVOTS, BLOCK = 3, 256
 #: 64-bit words of the Bloom filter.
 BLOOM = 1 << 18
 
@@ -231,49 +230,65 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
     return both.select("a", "b", "ba", "bb").mapInArrow(run, f"a {kind}, b {kind}, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
-def _leader_round(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """members (bucket, id): links (a, b) with the leaders, and the members that are not settled."""
-    led = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    rows = members.join(led.select("bucket", "a"), "bucket").where("id != a").withColumnRenamed("id", "b")
-    est = written(_agreement(rows.select("a", "b").distinct(), nodes), "agreement")
-    exact = written(_verified(docs, est.where(F.col("est") >= POSSIBLE), id_col, text_col), "verified")
-    near = est.join(exact, ["a", "b"], "left").select("a", "b", "est", "j")
-    # a pair that was not verified is no more similar than its estimate and its error allow
-    near = near.select("a", "b", (F.coalesce("j", F.lit(0.0)) >= THRESHOLD).alias("linked"), F.coalesce("j", F.col("est") + (THRESHOLD - POSSIBLE)).alias("j"))
-    tagged = rows.join(near, ["a", "b"])
-    open_ = tagged.where(~F.col("linked")).groupBy("bucket").agg(F.max("j").alias("best"), F.count("*").alias("n_open"))
-    rest = tagged.join(open_, "bucket").where(~F.col("linked") | (F.col("j") <= F.col("best") + (1 - THRESHOLD)))
-    return exact.where(F.col("j") >= THRESHOLD).select("a", "b"), written(rest.where((F.col("n_open") > 1) | F.col("linked") | (F.col("best") + (1 - THRESHOLD) >= THRESHOLD)).select("bucket", F.col("b").alias("id")), "members")
-
-
-def _block_pairs(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Possible pairs (a, b) of what is left of the buckets, compared block by block."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+def _pivot_round(nodes: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """members (bucket, id, comp): possible pairs (a, b) with the pivots, and the members without the pivots."""
+    order = F.struct(F.xxhash64("id", F.lit(n)), "id") if n else F.col("id")
+    pivot = members.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), order).alias("p"))
+    rows = members.join(pivot, "bucket").where("id != p.id")
+    pairs = rows.where("comp != p.comp").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+    return _agreement(pairs, nodes).where(F.col("est") >= POSSIBLE).select("a", "b"), rows.select("bucket", "id")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (bucket, id) with comp, of the buckets that have several components."""
+    if labels.isEmpty():
+        named = members.select("bucket", "id", F.col("id").alias("comp"))
+    else:
+        named = members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    several = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
+    return written(named.join(several, "bucket"), "members")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (id, comp) after more links (a, b): components of the components."""
+    if labels is None:
+        return components(links).withColumnRenamed("class", "comp")
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(ends).select(F.col("id").alias("comp"), "class")
+    known = labels.unionAll(merged.join(labels.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), "comp"))
+    return cut(known.join(merged, "comp", "left").select("id", F.coalesce("class", "comp").alias("comp")))
+
+
+def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFrame:
+    """Possible pairs (a, b) between components of what is left of the buckets, block by block; if forest, those that would connect them."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    rows = members.join(sizes, "bucket").select("bucket", "id", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
-    rows = rows.select("bucket", "id", "o", F.least("o", "c").alias("x"), F.greatest("o", "c").alias("y")).distinct()
+    rows = members.join(sizes, "bucket").select("bucket", "id", "comp", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    rows = rows.select("bucket", "id", "comp", F.least("o", "c").alias("x"), F.greatest("o", "c").alias("y"))
     rows = rows.join(nodes.select("id", "sig"), "id")
     kind = nodes.schema["id"].dataType.simpleString()
 
-    def pairs_of(ids, blocks, sig):
-        out, boss = [], list(range(len(ids)))
+    def pairs_of(ids, comps, sig):
+        found, boss = [], {c: c for c in comps}
 
-        def top(i):
-            while boss[i] != i:
-                boss[i] = boss[boss[i]]
-                i = boss[i]
-            return i
+        def top(c):
+            while boss[c] != c:
+                boss[c] = boss[boss[c]]
+                c = boss[c]
+            return c
 
-        found = []
-        cross = len(set(blocks)) > 1
+        number = np.unique(np.array([str(c) for c in comps]), return_inverse=True)[1]
         for i in range(len(ids) - 1):
-            est = (sig[i + 1 :] == sig[i]).mean(1)
-            found += [(-float(est[k]), i, i + 1 + int(k)) for k in np.flatnonzero(est >= POSSIBLE) if not cross or blocks[i] != blocks[i + 1 + k]]
-        for e, i, j in sorted(found):
-            if top(i) != top(j):
+            at = i + 1 + np.flatnonzero(number[i + 1 :] != number[i])
+            est = (sig[at] == sig[i]).mean(1) if len(at) else np.zeros(0)
+            found += [(-float(est[k]), i, int(at[k])) for k in np.flatnonzero(est >= POSSIBLE)]
+        out = []
+        for _, i, j in sorted(found):
+            x, y = top(comps[i]), top(comps[j])
+            if not forest or x != y:
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                if -e >= CERTAIN:
-                    boss[top(i)] = top(j)
+                boss[x] = y
         return out
 
     def run(batches):
@@ -285,21 +300,21 @@ def _block_pairs(nodes: DataFrame, members: DataFrame) -> DataFrame:
             held.sort()
             return pairs_of([r[0] for r in held], [r[1] for r in held], np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(-1, SIZE))
 
+        def packed(out):
+            t = pa.int64() if kind == "bigint" else None
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], t), pa.array([b for _, b in out], t)], names=["a", "b"])
+
         for x in batches:
             out = []
-            for b, p, q, i, o, s in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            for b, p, q, i, c, s in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 if (b, p, q) != key:
                     out += flush()
                     held, key = [], (b, p, q)
-                held.append((i, o, s))
+                held.append((i, c, s))
             yield packed(out)
         yield packed(flush())
 
-    def packed(out):
-        t = pa.int64() if kind == "bigint" else None
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], t), pa.array([b for _, b in out], t)], names=["a", "b"])
-
-    dealt = rows.select("bucket", "x", "y", "id", "o", "sig").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    dealt = rows.select("bucket", "x", "y", "id", "comp", "sig").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -325,18 +340,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = written(same, "nodes")
     nodes = found.join(same.select(F.col("node").alias("id"), F.col("key")), ["id", "key"]).dropDuplicates(["id"])
     nodes = written(nodes.select("id", "buckets", "sig"), "sigs")
-    members = nodes.select(F.explode("buckets").alias("bucket"), "id")
-    links = None
-    for _ in range(ROUNDS):
-        got, members = _leader_round(docs, nodes, members, id_col, text_col)
-        links = got if links is None else links.unionAll(got)
-    rest = written(_block_pairs(nodes, members), "pairs")
-    links = links.unionAll(_verified(docs, rest, id_col, text_col).where(F.col("j") >= THRESHOLD).select("a", "b"))
-    # rows of one id with different words are one class as well
     ids = found.where("key IS NOT NULL").join(same, "key").select("id", "node")
-    links = links.unionAll(ids.where("id != node").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("a", F.col("z").alias("b")))
-    labels = components(links)
-    of_node = ids.join(labels.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("class", "node").alias("class"))
+    # rows of one id with different words are one class as well
+    several = ids.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
+    links = ids.join(several, "id").select("a", F.col("node").alias("b")).where("a != b").distinct()
+    labels = _joined(None, links)
+    members = _open(nodes.select(F.explode("buckets").alias("bucket"), "id"), labels)
+    for n in range(PIVOTS + 2):
+        if n < PIVOTS:
+            pairs, members = _pivot_round(nodes, members, n)
+        else:
+            pairs = _block_pairs(nodes, members, forest=n == PIVOTS)
+        tested = _verified(docs, written(pairs, "pairs"), id_col, text_col)
+        labels = _joined(labels, written(tested.where(F.col("j") >= THRESHOLD).select("a", "b"), "links"))
+        if n < PIVOTS + 1:
+            members = _open(members, labels)
+            if members.isEmpty():
+                break
+    of_node = ids.join(labels.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("comp", "node").alias("class"))
     of_id = of_node.groupBy("id").agg(F.min("class").alias("class"))
     out = found.select("id").join(of_id, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"))
