@@ -135,12 +135,14 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """id_col, n_words, hits (start and end of hit words by turns), spans (the same as characters), items (sorted)."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col], docs[text_col].cast("string").alias("__text"))
-    found = list(blocks(items, item_col, item_text_col))
-    for k, block in enumerate(found):
-        if k:
-            rows = cut(rows)
-        rows = _pass(rows, Shipped(spark, block), first=k == 0, last=k == len(found) - 1)
-    return rows
+    waiting = blocks(items, item_col, item_text_col)
+    block, first = next(waiting), True
+    while True:  # the driver holds a block and the one after it
+        after = next(waiting, None)
+        rows = _pass(rows, Shipped(spark, block), first, last=after is None)
+        if after is None:
+            return rows
+        rows, block, first = cut(rows), after, False
 
 
 def _pass(rows: DataFrame, shipped: Shipped, first: bool, last: bool) -> DataFrame:
