@@ -1,4 +1,4 @@
-"""Streaming extensions: the reference side has no streams; these are the same counts over arriving hops."""
+"""Streaming extensions: the same counts as in batch, over arriving hops."""
 
 from __future__ import annotations
 
