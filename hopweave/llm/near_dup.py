@@ -137,7 +137,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (digest of the words), buckets array<long>, sig (a byte for each component); null key for no words."""
+    """id, key (digest of the words), n (shingles), buckets array<long>, sig (a byte for each component); null key for no words."""
 
     def run(batches):
         import xxhash
@@ -149,6 +149,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 key: list = [None] * len(words)
                 for i in full:
                     key[i] = xxhash.xxh3_128_digest(b" ".join(words[i]))
+                n = [max(0, len(w) - WORDS + 1) or min(1, len(w)) for w in words]
                 s = mixed(signatures([np.unique(shingles(words[i]), return_counts=True) for i in full]))
                 bands = np.zeros((len(full), BANDS), np.uint64)
                 for r in range(ROWS):
@@ -158,16 +159,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 buckets, sig = [None] * len(words), [None] * len(words)
                 for k, i in enumerate(full):
                     buckets[i], sig[i] = bands[k], tail[k].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "key", "buckets", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "key", "n", "buckets", "sig"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key binary, buckets array<bigint>, sig binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key binary, n bigint, buckets array<bigint>, sig binary")
 
 
 def _agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs (a, b) with est, the share of components that agree."""
-    sig = nodes.select("id", "sig")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+    """pairs (a, b) with est, the share of components that agree; pairs whose sizes rule out a link are left out."""
+    sig = nodes.select("id", "n", "sig")
+    both = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
+    both = both.where(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
 
     def run(batches):
         for x in batches:
@@ -231,20 +233,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
 
 
 def _pivot_round(nodes: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """members (bucket, id, comp): possible pairs (a, b) with the pivots, and the members without the pivots."""
+    """members (bucket, band, id, comp): possible pairs (a, b) with the pivots, and the members without the pivots."""
     order = F.struct(F.xxhash64("id", F.lit(n)), "id") if n else F.col("id")
     pivot = members.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), order).alias("p"))
     rows = members.join(pivot, "bucket").where("id != p.id")
     pairs = rows.where("comp != p.comp").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-    return _agreement(pairs, nodes).where(F.col("est") >= POSSIBLE).select("a", "b"), rows.select("bucket", "id")
+    return _agreement(pairs, nodes).where(F.col("est") >= POSSIBLE).select("a", "b"), rows.select("bucket", "band", "id")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members (bucket, id) with comp, of the buckets that have several components."""
+    """members (bucket, band, id) with comp, of the buckets that have several components."""
     if labels.isEmpty():
-        named = members.select("bucket", "id", F.col("id").alias("comp"))
+        named = members.select("bucket", "band", "id", F.col("id").alias("comp"))
     else:
-        named = members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+        named = members.select("bucket", "band", "id").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("comp", "id").alias("comp"))
     several = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
     return written(named.join(several, "bucket"), "members")
 
@@ -261,15 +263,19 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFrame:
-    """Possible pairs (a, b) between components of what is left of the buckets, block by block; if forest, those that would connect them."""
+    """Possible pairs (a, b) between components of what is left of the buckets, block by block; if forest, those that would connect them.
+
+    A pair is made in the first band that its signatures share: where its bucket there is
+    closed or has lost one of both, the pair is connected or has been tested.
+    """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    rows = members.join(sizes, "bucket").select("bucket", "id", "comp", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
-    rows = rows.select("bucket", "id", "comp", F.least("o", "c").alias("x"), F.greatest("o", "c").alias("y"))
-    rows = rows.join(nodes.select("id", "sig"), "id")
+    rows = members.join(sizes, "bucket").select("bucket", "band", "id", "comp", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    rows = rows.select("bucket", "band", "id", "comp", F.least("o", "c").alias("x"), F.greatest("o", "c").alias("y"))
+    rows = rows.join(nodes.select("id", "n", "sig"), "id")
     kind = nodes.schema["id"].dataType.simpleString()
 
-    def pairs_of(ids, comps, sig):
+    def pairs_of(band, ids, comps, n, sig):
         found, boss = [], {c: c for c in comps}
 
         def top(c):
@@ -280,9 +286,14 @@ def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFram
 
         number = np.unique(np.array([str(c) for c in comps]), return_inverse=True)[1]
         for i in range(len(ids) - 1):
-            at = i + 1 + np.flatnonzero(number[i + 1 :] != number[i])
-            est = (sig[at] == sig[i]).mean(1) if len(at) else np.zeros(0)
-            found += [(-float(est[k]), i, int(at[k])) for k in np.flatnonzero(est >= POSSIBLE)]
+            fits = (number[i + 1 :] != number[i]) & (np.minimum(n[i + 1 :], n[i]) >= THRESHOLD * np.maximum(n[i + 1 :], n[i]))
+            at = i + 1 + np.flatnonzero(fits)
+            if not len(at):
+                continue
+            same = sig[at] == sig[i]
+            est = same.mean(1)
+            first = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band
+            found += [(-float(est[k]), i, int(at[k])) for k in np.flatnonzero((est >= POSSIBLE) & first)]
         out = []
         for _, i, j in sorted(found):
             x, y = top(comps[i]), top(comps[j])
@@ -298,7 +309,7 @@ def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFram
             if len(held) < 2:
                 return []
             held.sort()
-            return pairs_of([r[0] for r in held], [r[1] for r in held], np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(-1, SIZE))
+            return pairs_of(key[3], [r[0] for r in held], [r[1] for r in held], np.array([r[2] for r in held]), np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, SIZE))
 
         def packed(out):
             t = pa.int64() if kind == "bigint" else None
@@ -306,15 +317,15 @@ def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFram
 
         for x in batches:
             out = []
-            for b, p, q, i, c, s in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if (b, p, q) != key:
+            for b, p, q, n, i, c, w, s in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if (b, p, q, n) != key:
                     out += flush()
-                    held, key = [], (b, p, q)
-                held.append((i, c, s))
+                    held, key = [], (b, p, q, n)
+                held.append((i, c, w, s))
             yield packed(out)
         yield packed(flush())
 
-    dealt = rows.select("bucket", "x", "y", "id", "comp", "sig").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    dealt = rows.select("bucket", "x", "y", "band", "id", "comp", "n", "sig").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -339,13 +350,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = found.where(F.col("key").isNotNull() & F.col("id").isNotNull()).groupBy("key").agg(F.min("id").alias("node"))
     same = written(same, "nodes")
     nodes = found.join(same.select(F.col("node").alias("id"), F.col("key")), ["id", "key"]).dropDuplicates(["id"])
-    nodes = written(nodes.select("id", "buckets", "sig"), "sigs")
+    nodes = written(nodes.select("id", "n", "buckets", "sig"), "sigs")
     ids = found.where("key IS NOT NULL").join(same, "key").select("id", "node")
     # rows of one id with different words are one class as well
     several = ids.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
     links = ids.join(several, "id").select("a", F.col("node").alias("b")).where("a != b").distinct()
     labels = _joined(None, links)
-    members = _open(nodes.select(F.explode("buckets").alias("bucket"), "id"), labels)
+    members = _open(nodes.select(F.posexplode("buckets").alias("band", "bucket"), "id"), labels)
     for n in range(PIVOTS + 2):
         if n < PIVOTS:
             pairs, members = _pivot_round(nodes, members, n)
