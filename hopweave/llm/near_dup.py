@@ -52,7 +52,7 @@ BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: A pair is verified if its signatures agree on this share; 3.5 standard deviations below THRESHOLD.
 POSSIBLE = 0.7
-PIVOTS, BLOCK = 3, 256
+PIVOTS, BLOCK = 3, 512
 #: 64-bit words of the Bloom filter.
 BLOOM = 1 << 18
 
