@@ -6,13 +6,19 @@ network adds one embedding per place and neighbour, takes tanh, and predicts in
 steps: a class of 32 tokens, then the token within its class, so a prediction costs 64
 outputs instead of the whole vocabulary.
 
-The vocabulary are the most frequent words of the whole corpus, counted in each task
-and summed by word; every other word goes into one of BUCKETS classes by length and
-ending. Training reads every document: each task starts from the same network, takes
+Words are counted in each task and summed by word. The WORDS most frequent ones have an
+output of the network each; every other word belongs to one of BUCKETS classes by length
+and ending, which the network predicts, and is then predicted itself within its class:
+words of the vocabulary, which grows with the corpus (least_count), by their share of
+the class, and all rarer or unseen words letter by letter, by counts of letters after up
+to ORDER letters in the rare words of the corpus. So the probabilities of a class add up
+to at most one over all texts, and the neighbours of a rarer word bear on its class only.
+
+Training reads every document: each task starts from the same network, takes
 steps on every stride-th token of its documents, and the networks are averaged by a
 tree reduction, weighted by the tokens that they have seen, for `rounds` rounds. What
-the corpus contributes so grows with it; what the driver holds are one network and one
-vocabulary, whatever the corpus.
+the corpus contributes so grows with it; what the driver holds are one network, one
+table of letters and the vocabulary, which grows with the root of the corpus.
 
 Defined cases: null texts and texts without tokens have 0 tokens, a score of 0 and a
 null mean; texts of any length are scored whole, in blocks; equal rows give equal
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.llm.batches import map_documents, pieces, texts_of
+from hopweave.llm.shared import written
 from hopweave.llm.shipping import Shipped
 
 CLASSES = IN_CLASS = 32
@@ -46,6 +53,10 @@ BATCH, RATE = 1024, 0.1
 BLOCK = 32_768
 #: Distinct words that a task counts or numbers before it starts afresh.
 CACHE = 300_000
+#: Letters (bytes of UTF-8) before a letter that predict it, rows for each number of them, and the weight of the shorter context.
+ORDER, ROWS, PRIOR = 4, 4096, 5.0
+#: A byte that UTF-8 has not: before the first and after the last letter.
+STOP = 255
 
 tokens_of = re.compile(r"\w+|[^\w\s]").findall
 
@@ -63,13 +74,72 @@ class Numbers(dict):
             self.update(self.fixed)
         if word in self.fixed:
             return self.fixed[word]
-        n = self[word] = WORDS + (min(len(word), 7) * 9 + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % 9) % BUCKETS
+        n = self[word] = WORDS + bucket_of(word)
         return n
 
-    def of(self, text: str) -> np.ndarray:
-        found = tokens_of(text.lower())
+    def of_tokens(self, found: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
+    def of(self, text: str) -> np.ndarray:
+        return self.of_tokens(tokens_of(text.lower()))
+
+
+def bucket_of(word: str) -> int:
+    return (min(len(word), 7) * 9 + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % 9) % BUCKETS
+
+
+def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all words, each word with a STOP at its end; rows (one a context, shortest first) of each letter; where words start."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    n = np.array([len(r) + 1 for r in raw])
+    line = np.frombuffer(bytes([STOP]) * ORDER + b"".join(r + bytes([STOP]) * (ORDER + 1) for r in raw), np.uint8).astype(np.int64)
+    starts = np.cumsum(n) - n
+    at = np.arange(n.sum()) + ORDER * (1 + np.repeat(np.arange(len(raw)), n))
+    rows = np.empty((ORDER + 1, len(at)), np.int64)
+    rows[0] = np.repeat([bucket_of(w) for w in words], n)
+    before = np.zeros(len(at), np.int64)
+    for k in range(1, ORDER + 1):
+        before = before * 256 + line[at - k]
+        rows[k] = BUCKETS + (k - 1) * ROWS + (before * 0x9E3779B1 & 0xFFFFFFFF) % ROWS
+    return line[at], rows, starts
+
+
+class Tail:
+    """Log-probabilities of words within their class: shares of the vocabulary's words, spelling of the others."""
+
+    def __init__(self):
+        self.known: dict[str, float] = {}
+        self.spelled = np.full(BUCKETS, -np.log(2))
+        self.counts = np.zeros((BUCKETS + ORDER * ROWS, 256), np.float32)
+
+    def load(self, known: list[tuple[str, int]], rare: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Tail:
+        """known: words and counts; rare: tokens of other words by class; keys and counts: cells of the table of letters."""
+        own = np.array([bucket_of(w) for w, _ in known], int)
+        n = np.array([c for _, c in known], float)
+        of = np.bincount(own, n, BUCKETS)
+        self.spelled = np.log((rare + 1) / (of + rare + 2))
+        logs = np.log((of + 1) / (of + rare + 2))[own] + np.log(n / of[own])
+        self.known = dict(zip((w for w, _ in known), logs.tolist(), strict=True))
+        self.counts.reshape(-1)[keys] = counts
+        return self
+
+    def spell(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of the letters of words, each of them given the class."""
+        if not words:
+            return np.zeros(0)
+        letter, rows, starts = letters(words)
+        p = np.full(len(letter), 1 / 256)
+        sums = self.counts.sum(1, dtype=float)
+        for r in rows:
+            p = (self.counts[r, letter] + PRIOR * p) / (sums[r] + PRIOR)
+        return np.add.reduceat(np.log(p), starts)
+
+    def within(self, words: list[str]) -> list[float]:
+        """Log-probability of each word, none of them one of the network's own, given its class."""
+        rare = [w for w in words if w not in self.known]
+        found = dict(zip(rare, (self.spell(rare) + self.spelled[[bucket_of(w) for w in rare]]).tolist(), strict=True)) if rare else {}
+        return [found[w] if w in found else self.known[w] for w in words]
+
 
 class Network:
     """Embeddings by place, and the two output layers."""
@@ -80,6 +150,7 @@ class Network:
         self.embed = draw(len(PLACES), SIZE, WIDTH)
         self.to_class, self.class_bias = draw(CLASSES, WIDTH), np.zeros(CLASSES, np.float32)
         self.to_word, self.word_bias = draw(CLASSES, IN_CLASS, WIDTH), np.zeros((CLASSES, IN_CLASS), np.float32)
+        self.tail = Tail()
 
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.to_class, self.class_bias, self.to_word, self.word_bias]
@@ -222,27 +293,82 @@ def _trained(docs: DataFrame, words: list[str], net: Network, stride: int, text_
     return Network().load(total / seen) if seen else net
 
 
+def least_count(tokens: int) -> int:
+    """Words seen so often are in the vocabulary: it grows with the root of the corpus, so that it fits on the driver."""
+    return max(5, round(tokens**0.5 / 640))
+
+
+def _tail(counted: DataFrame, head: list[str], known: list[tuple[str, int]], least: int) -> Tail:
+    """Shares and letters of all words but the network's own; counted: word, n of the whole corpus."""
+    shipped, cells = Shipped(counted.sparkSession, head), (BUCKETS + ORDER * ROWS) * 256
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = set(shipped.get())
+        total = np.zeros(cells + BUCKETS)
+        for b in batches:
+            rows = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w not in own]
+            if rows:
+                letter, contexts, starts = letters([w for w, _ in rows])
+                n = np.array([n for _, n in rows], float)
+                each = np.repeat(n, np.diff(np.append(starts, len(letter))))
+                for c in contexts:
+                    np.add.at(total, c * 256 + letter, each)
+                np.add.at(total, cells + np.array([bucket_of(w) for w, _ in rows]), n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
+
+    rare = counted.where(F.col("n") < least).select("word", "n").mapInArrow(run, "cell long, n long")
+    found = rare.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
+    tokens = np.zeros(BUCKETS)
+    tokens[cell[cell >= cells] - cells] = n[cell >= cells]
+    return Tail().load(known, tokens, cell[cell < cells], n[cell < cells])
+
+
 def learn(docs: DataFrame, text_col: str = "text", stride: int = STRIDE, rounds: int = ROUNDS) -> tuple[list[str], Network]:
-    """Vocabulary and network of the whole corpus."""
-    words = [r.word for r in count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    """The network's own words, and the network of the whole corpus with all others."""
+    counted = written(count_words(docs, text_col), "words")
+    head = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    least = least_count(counted.agg(F.sum("n")).first()[0] or 0)
+    vocabulary = counted.where(F.col("n") >= least).toArrow()
+    own = set(head)
+    known = [(w, n) for w, n in zip(vocabulary.column("word").to_pylist(), vocabulary.column("n").to_pylist(), strict=True) if w not in own]
     net = Network()
     for _ in range(rounds):
-        net = _trained(docs, words, net, stride, text_col)
-    return words, net
+        net = _trained(docs, head, net, stride, text_col)
+    net.tail = _tail(counted, head, sorted(known), least)
+    return head, net
 
 
 class Scorer:
     def __init__(self, model: tuple[list[str], Network]):
         self.numbers, self.net = Numbers(model[0]), model[1]
+        self.within = dict.fromkeys(model[0], 0.0)
+        self.own = len(self.within)
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and sums of log-probabilities of texts."""
-        ids = [self.numbers.of(t) for t in texts]
+    def _network(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.numbers.of_tokens(f) for f in found]
         n = np.array([len(i) for i in ids])
         near, target, _ = windows(ids)
         logs = np.concatenate([self.net.log_probs(near[a : a + BLOCK], target[a : a + BLOCK]) for a in range(0, len(target), BLOCK)] or [np.zeros(0)])
-        owner = np.repeat(np.arange(len(texts)), n)
-        return n, np.bincount(owner, logs, len(texts))
+        owner = np.repeat(np.arange(len(found)), n)
+        return n, np.bincount(owner, logs, len(found))
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and sums of the network's log-probabilities of texts: of words of its own and of the classes of others."""
+        return self._network([tokens_of(t.lower()) for t in texts])
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and sums of log-probabilities of texts, each word predicted itself."""
+        found = [tokens_of(t.lower()) for t in texts]
+        if len(self.within) > self.own + CACHE:
+            self.within = dict.fromkeys(self.numbers.fixed, 0.0)
+        new = list(set().union(*found).difference(self.within))
+        self.within.update(zip(new, self.net.tail.within(new), strict=True))
+        n, logs = self._network(found)
+        return n, logs + np.array([sum(map(self.within.__getitem__, f)) for f in found])
 
 
 def score(docs: DataFrame, model: tuple[list[str], Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +377,7 @@ def score(docs: DataFrame, model: tuple[list[str], Network], id_col: str = "doc_
 
     def make():
         s = shipped.get(Scorer)
-        return lambda texts: list(s.score(texts))
+        return lambda texts: list(s.whole(texts))
 
     out = map_documents(docs, make, "n_tokens long, pll double", id_col, text_col)
     return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

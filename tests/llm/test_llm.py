@@ -302,6 +302,34 @@ def test_gradient():
     assert net.log_probs(near, y).mean() > before + 1
 
 
+def test_rare_words_are_predicted_themselves(spark):
+    """Words of one class, equally unseen by the network, score by their own counts and letters; the class adds up to one."""
+    common = [f"w{i}" for i in range(lm_score.WORDS)]
+    rows = [(i, " ".join(common * 8)) for i in range(3)] + [(3, " ".join(["relation"] * 9 + ["vacation"] * 6 + ["location", "rotation", "sensation"]))]
+    head, net = lm_score.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(head) == sorted(common) and set(net.tail.known) == {"relation", "vacation"}
+    scorer = lm_score.Scorer((head, net))
+    same = ["relation", "vacation", "location", "zqxjkwon"]
+    same[3] = next(w for i in range(99) if lm_score.bucket_of(w := f"zq{i:02}kvon") == lm_score.bucket_of("relation"))
+    assert len({lm_score.bucket_of(w) for w in same}) == 1
+    df = spark.createDataFrame(list(enumerate(same)), "doc_id long, text string")
+    got = {x.doc_id: x.pll for x in lm_score.score(df, (head, net)).collect()}
+    r, v, c, g = (got[i] for i in range(4))
+    assert r > v > c > g + 5
+    cls = float(scorer.score(["relation"])[1][0])
+    rare = sum(lm_score.bucket_of(w) == lm_score.bucket_of("relation") for w in ("location", "rotation", "sensation"))
+    of = 9 + 6
+    assert np.allclose([r - cls, v - cls], np.log([(of + 1) / (of + rare + 2) * 9 / of, (of + 1) / (of + rare + 2) * 6 / of]))
+    table = net.tail.counts
+    letter, contexts, _ = lm_score.letters(["location"])
+    for j in range(len(letter)):  # the letters that can follow add up to one
+        p = np.full(256, 1 / 256)
+        for k in contexts[:, j]:
+            p = (table[k] + lm_score.PRIOR * p) / (table[k].sum() + lm_score.PRIOR)
+        assert np.isclose(p.sum(), 1, atol=1e-5)
+    assert [lm_score.least_count(n) for n in (0, 10**7, 10**9)] == [5, 5, 49]
+
+
 # ---- near-duplicates
 
 
