@@ -15,7 +15,7 @@ to ORDER letters in the rare words of the corpus. So the probabilities of a clas
 to at most one over all texts, and the neighbours of a rarer word bear on its class only.
 
 Training reads every document: each task starts from the same network, takes
-steps on every stride-th token of its documents, and the networks are averaged by a
+steps on every token of its documents (each stride-th if asked), and the networks are averaged by a
 tree reduction, weighted by the tokens that they have seen, for `rounds` rounds. What
 the corpus contributes so grows with it; what the driver holds are one network, one
 table of letters and the vocabulary, which grows with the root of the corpus.
@@ -47,7 +47,7 @@ EDGE = SIZE - 1
 WORDS = SIZE - BUCKETS - 1
 PLACES = (-2, -1, 1, 2)
 WIDTH = 16
-STRIDE, ROUNDS = 8, 1
+STRIDE, ROUNDS = 1, 1
 BATCH, RATE = 1024, 0.1
 #: Tokens that are scored at once.
 BLOCK = 32_768
@@ -214,10 +214,11 @@ class Trainer:
             dh[s] += gw[s] @ net.to_word[c]
         dh *= 1 - h**2
         d_embed = np.zeros_like(net.embed)
-        for p in range(len(PLACES)):
-            by = np.argsort(near[:, p], kind="stable")
-            ids, first = np.unique(near[by, p], return_index=True)
-            d_embed[p][ids] = np.add.reduceat(dh[by], first, axis=0)
+        row = (near + np.arange(len(PLACES)) * SIZE).astype(np.uint16).ravel()  # SIZE * len(PLACES) rows; short integers are sorted by radix
+        by = np.argsort(row, kind="stable")
+        ids = row[by]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        d_embed.reshape(-1, WIDTH)[ids[first]] = np.add.reduceat(dh[by // len(PLACES)], first, axis=0)
         for part, total, g in zip(net.parts(), self.sums, [d_embed, gc.T @ h, gc.sum(0), d_word, d_bias], strict=True):
             total += g**2
             part -= RATE * g / np.sqrt(total)

@@ -330,6 +330,13 @@ def test_rare_words_are_predicted_themselves(spark):
     assert [lm_score.least_count(n) for n in (0, 10**7, 10**9)] == [5, 5, 49]
 
 
+def test_every_token_is_a_target(spark):
+    """Words that stand at no multiple of eight are learned as well."""
+    df = spark.createDataFrame([(i, "a b c d e f g h " * 3000) for i in range(4)], "doc_id long, text string")
+    n, got = lm_score.Scorer(lm_score.learn(df)).score(["a b c d e f g h " * 50])
+    assert got[0] / n[0] > -1
+
+
 # ---- near-duplicates
 
 
