@@ -265,17 +265,18 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFrame:
     """Possible pairs (a, b) between components of what is left of the buckets, block by block; if forest, those that would connect them.
 
-    A pair is made in the first band that its signatures share: where its bucket there is
+    A pair is made in the first band whose bucket it shares, by the whole hashes of bands
+    and not the bytes of signatures, which agree by chance as well: where that bucket is
     closed or has lost one of both, the pair is connected or has been tested.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     rows = members.join(sizes, "bucket").select("bucket", "band", "id", "comp", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
     rows = rows.select("bucket", "band", "id", "comp", F.least("o", "c").alias("x"), F.greatest("o", "c").alias("y"))
-    rows = rows.join(nodes.select("id", "n", "sig"), "id")
+    rows = rows.join(nodes.select("id", "n", "sig", "buckets"), "id")
     kind = nodes.schema["id"].dataType.simpleString()
 
-    def pairs_of(band, ids, comps, n, sig):
+    def pairs_of(band, ids, comps, n, sig, hashes):
         found, boss = [], {c: c for c in comps}
 
         def top(c):
@@ -290,9 +291,8 @@ def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFram
             at = i + 1 + np.flatnonzero(fits)
             if not len(at):
                 continue
-            same = sig[at] == sig[i]
-            est = same.mean(1)
-            first = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band
+            est = (sig[at] == sig[i]).mean(1)
+            first = (hashes[at] == hashes[i]).argmax(1) == band
             found += [(-float(est[k]), i, int(at[k])) for k in np.flatnonzero((est >= POSSIBLE) & first)]
         out = []
         for _, i, j in sorted(found):
@@ -309,7 +309,8 @@ def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFram
             if len(held) < 2:
                 return []
             held.sort()
-            return pairs_of(key[3], [r[0] for r in held], [r[1] for r in held], np.array([r[2] for r in held]), np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, SIZE))
+            sig = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, SIZE)
+            return pairs_of(key[3], [r[0] for r in held], [r[1] for r in held], np.array([r[2] for r in held]), sig, np.array([r[4] for r in held]))
 
         def packed(out):
             t = pa.int64() if kind == "bigint" else None
@@ -317,15 +318,15 @@ def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFram
 
         for x in batches:
             out = []
-            for b, p, q, n, i, c, w, s in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            for b, p, q, n, i, c, w, s, h in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 if (b, p, q, n) != key:
                     out += flush()
                     held, key = [], (b, p, q, n)
-                held.append((i, c, w, s))
+                held.append((i, c, w, s, h))
             yield packed(out)
         yield packed(flush())
 
-    dealt = rows.select("bucket", "x", "y", "band", "id", "comp", "n", "sig").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    dealt = rows.select("bucket", "x", "y", "band", "id", "comp", "n", "sig", "buckets").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 

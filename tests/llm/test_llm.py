@@ -396,6 +396,20 @@ def test_classes_by_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_block_pairs_by_brute_force(spark):
+    """All pairs of nodes in a bucket are made, also where an earlier band agrees in the stored bytes only."""
+    rng, m = np.random.default_rng(5), near_dup.PIVOTS + 9
+    bands = rng.integers(0, 2**62, (m, near_dup.BANDS))
+    bands[:, 7] = 77
+    bands[:5, 3] = 33
+    sig = np.zeros((m, near_dup.SIZE), np.uint8)  # the bytes agree everywhere, buckets in bands 3 and 7 only
+    nodes = spark.createDataFrame([(i, 50, bands[i].tolist(), sig[i].tobytes()) for i in range(m)], "id long, n long, buckets array<long>, sig binary")
+    rows = [(77, 7, i, i) for i in range(m)] + [(33, 3, i, i) for i in range(5)]
+    members = spark.createDataFrame(rows, "bucket long, band int, id long, comp long")
+    got = sorted(tuple(r) for r in near_dup._block_pairs(nodes, members, forest=False).collect())
+    assert got == [(i, j) for i in range(m) for j in range(i + 1, m)]
+
+
 def test_classes_of_odd_tables(spark, awkward):
     got = near_dup.classes(awkward).collect()
     assert len(got) == awkward.count()
