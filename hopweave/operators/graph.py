@@ -119,6 +119,13 @@ def link_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def split_pairs(pairs: DataFrame, fraction: float = 0.3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Train and held-out edges, which together are all edges: an edge is held out by the md5 of both ends."""
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "src", "dst").cast("binary")), 1, 8), 16, 10).cast("long")
+    held = key < int(fraction * 2**32)
+    return pairs.where(~held), pairs.where(held)
+
+
 def negative_pairs(edges: DataFrame, per_node: int, seed: int = 42) -> DataFrame:
     """src, dst: up to per_node actors that are not linked to each subject, by a seeded hash.
 

@@ -90,7 +90,7 @@ def _(spark, d):
 @query("link_rank")
 def _(spark, d):
     pairs = G.one_mode(actor_edges(spark, d).toDF("src", "dst"))
-    train, test = pairs.where("(src * 31 + dst) % 5 = 0"), pairs.where("(src * 31 + dst) % 5 = 1")
+    train, test = G.split_pairs(pairs)
     negatives = G.negative_pairs(pairs, 30)
     scored = lambda p: G.link_scores(train, p).select("src", "dst", F.col("adamic_adar").alias("score"))
     return G.rank_metrics(scored(test), scored(negatives))

@@ -146,3 +146,11 @@ def test_empty(spark, route):
     none = route.where("false")
     for df in (trajectory.origin_destination(none, "sid", "loc", "ord"), summary.flows(none, "sid", "loc", "ord"), graph.hetero_edges(none, "sid", "loc", "perps", "chiefs"), graph.components(graph.hetero_edges(none, "sid", "loc", "perps", "chiefs")), trajectory.appearance_ids(none, "sid", "ord"), forecast.ngrams(none, "sid", "loc", "ord")):
         assert df.count() == 0
+
+
+def test_link_split_is_whole(spark):
+    """Each edge is either trained on or held out, about three tenths of them."""
+    pairs = spark.range(2000).selectExpr("id AS src", "id * 7 + 1 AS dst")
+    train, test = graph.split_pairs(pairs)
+    a, b = set(rows(train, "src", "dst")), set(rows(test, "src", "dst"))
+    assert not a & b and a | b == set(rows(pairs, "src", "dst")) and 500 < len(b) < 700
