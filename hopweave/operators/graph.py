@@ -127,23 +127,29 @@ def split_pairs(pairs: DataFrame, fraction: float = 0.3, seed: int = 42) -> tupl
 
 
 def negative_pairs(edges: DataFrame, per_node: int, seed: int = 42) -> DataFrame:
-    """src, dst: up to per_node actors that are not linked to each subject, by a seeded hash.
+    """src, dst: per_node actors (dst of edges), or all if there are fewer, that are not linked to each subject in either direction.
 
-    Each subject draws candidates from a bounded number of slots of the hashed actor
-    list, so no product of all subjects with all actors is made.
+    Actors stand on a ring by a seeded hash, and each subject looks at those after its
+    own place: as many as it has links, itself and per_node more, so that enough remain
+    and no product of all subjects with all actors is made.
     """
-    actors = edges.select("dst").distinct()
-    n_slots = 64
-    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n_slots))
-    subjects = edges.select("src").distinct().withColumn("slot", slot(F.col("src")))
-    drawn = subjects.join(actors.withColumn("slot", slot(F.col("dst"))), "slot").join(edges, ["src", "dst"], "left_anti")
-    w = W.partitionBy("src").orderBy(F.xxhash64("src", "dst", F.lit(seed)), "dst")
-    return drawn.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_node).select("src", "dst")
+    spark, kind = edges.sparkSession, edges.schema["dst"].dataType.simpleString()
+    actors = edges.select("dst").where("dst IS NOT NULL").distinct()
+    placed = actors.orderBy(F.xxhash64("dst", F.lit(seed)), "dst").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    ring = spark.createDataFrame(placed, f"dst {kind}, place bigint")
+    n = ring.agg(F.count("*").alias("n"))  # one row
+    linked = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    subjects = linked.join(edges.select("src").distinct(), "src", "left_semi").groupBy("src").agg(F.count("*").alias("d")).crossJoin(F.broadcast(n))
+    many = F.least("n", F.col("d") + 1 + per_node)
+    looks = subjects.select("src", "n", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("step"))
+    looks = looks.select("src", "step", F.pmod(F.xxhash64("src", F.lit(seed)).cast("long") % F.col("n") + F.col("step"), F.col("n")).alias("place"))
+    drawn = looks.join(ring, "place").where("src <> dst").join(linked, ["src", "dst"], "left_anti")
+    return drawn.withColumn("k", F.row_number().over(W.partitionBy("src").orderBy("step"))).where(F.col("k") <= per_node).select("src", "dst")
 
 
 def rank_metrics(positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """src, dst, rank of each scored positive among its subject's negatives; ties count against it."""
-    scored = positives.select("src", "dst", "score").join(negatives.select("src", F.col("score").alias("s")), "src", "left")
+    """src, dst, rank of each scored positive among its subject's negatives; ties count against it; without negatives there is no rank."""
+    scored = positives.select("src", "dst", "score").join(negatives.select("src", F.col("score").alias("s")), "src")
     worse = F.count(F.when(F.col("s") >= F.col("score"), 1))
     return scored.groupBy("src", "dst").agg((1 + worse).alias("rank"))
 

@@ -91,8 +91,10 @@ def _(spark, d):
 def _(spark, d):
     pairs = G.one_mode(actor_edges(spark, d).toDF("src", "dst"))
     train, test = G.split_pairs(pairs)
-    negatives = G.negative_pairs(pairs, 30)
+    negatives = G.negative_pairs(pairs.unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 30)
     scored = lambda p: G.link_scores(train, p).select("src", "dst", F.col("adamic_adar").alias("score"))
+    # positives without negatives have no rank and are not scored
+    test = test.join(negatives.select("src").distinct(), "src", "left_semi")
     return G.rank_metrics(scored(test), scored(negatives))
 
 

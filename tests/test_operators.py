@@ -154,3 +154,21 @@ def test_link_split_is_whole(spark):
     train, test = graph.split_pairs(pairs)
     a, b = set(rows(train, "src", "dst")), set(rows(test, "src", "dst"))
     assert not a & b and a | b == set(rows(pairs, "src", "dst")) and 500 < len(b) < 700
+
+
+def test_negatives_by_brute_force(spark):
+    """per_node actors or all there are, none linked in either direction, not the subject; no rank without them."""
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if (i == 7 and j != 8) or (i, j) == (3, 7) or (i * j) % 11 == 3}
+    links |= {(i, 7) for i in range(7)}
+    both = links | {(b, a) for a, b in links}
+    got = rows(graph.negative_pairs(spark.createDataFrame(sorted(both), "src long, dst long"), 5), "src", "dst")
+    assert len(set(got)) == len(got)
+    nodes = {a for a, _ in both}
+    for u in nodes:
+        can = {v for v in nodes if v != u and (u, v) not in both}
+        mine = {v for a, v in got if a == u}
+        assert mine <= can and len(mine) == min(5, len(can))
+    alone = rows(graph.negative_pairs(spark.createDataFrame(sorted(links), "src long, dst long"), 5), "src", "dst")
+    assert alone and all(a != b and (a, b) not in both for a, b in alone)
+    scores = spark.createDataFrame([(1, 2, 0.5), (3, 4, 0.5)], "src long, dst long, score double")
+    assert rows(graph.rank_metrics(scores, scores.where("src = 1")), "src", "dst", "rank") == [(1, 2, 2)]
