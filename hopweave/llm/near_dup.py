@@ -10,39 +10,52 @@ the binary digits of a random number within the level, lies below w. So two mult
 share a component with exactly the probability of their weighted Jaccard similarity,
 and only processes that can still beat the latest component are followed.
 
-Documents with the same words are one node: the least id. Nodes that agree on a band
-are a bucket. In each of PIVOTS rounds a bucket has a pivot, and the pairs of it with
-all other nodes of the bucket that are not connected to it yet are tested: pairs whose
-signatures leave a similarity of THRESHOLD possible are verified on the multisets, and
-the links join components. The pivot, all pairs of which are then settled, leaves the
-bucket; a bucket whose nodes are all connected is done. What is left is compared by
-signature in blocks of BLOCK nodes: first the most similar pairs that would connect
-all components of a block, then all pairs that still lie in two components. Pairs are
-only skipped between nodes that are connected anyway, so classes are the connected
+Documents with the same words are one node, named by the digest of the words. Nodes
+that agree on a band are a bucket. In each of PIVOTS rounds a bucket has a pivot, and
+the pairs of it with all other nodes of the bucket that are not connected to it yet are
+tested: pairs whose signatures leave a similarity of THRESHOLD possible are verified on
+the multisets, and the links join components. The pivot, all pairs of which are then
+settled, leaves the bucket; a bucket whose nodes are all connected is done.
+
+What is left are large buckets that are no single class, mostly texts that share a long
+passage and little else. Comparing all pairs there would grow with the square of the
+group, so candidates come from a prefix filter on the multisets instead: the shingles of
+each text that is left are ordered from the rarest among those texts, and two texts of
+similarity t share one of the first n - ceil(t n) + 1; at the first that they share, what
+follows it in both must suffice for t as well. Texts that share a passage only differ
+just there. The filter loses no pair. In a first pass the most similar pair of each two
+components is verified, in a second all pairs that still lie in two components. Pairs
+are only skipped between nodes that are connected anyway, so classes are the connected
 components of all links, without all pairs of a group.
 
-Work on hot buckets, leaders and classes is min, max and joins, which combine before
-the shuffle or which adaptive execution splits; nothing of the size of the documents
-reaches the driver. What is broadcast is a Bloom filter of fixed size over the nodes
-to verify; beyond its capacity it only lets more rows through.
+Work on hot buckets, shingles and classes is min, max, counts and joins, which combine
+before the shuffle or which adaptive execution splits; members of a frequent shingle are
+dealt to blocks of at most BLOCK rows. Nothing of the size of the documents reaches the
+driver. What is broadcast is a Bloom filter of fixed size over the nodes to verify;
+beyond its capacity it only lets more rows through.
 
 Defined cases: null texts and texts without a word are alone in their class; texts of
 one to four words are one shingle of all their words; a null id has a null class; rows
-of one id are one class; an empty table gives an empty result; other columns are not
-read (drop_copies() carries them).
+of one id are one class, whatever their texts; ids may have any type that can be
+compared; an empty table gives an empty result; other columns are not read
+(drop_copies() carries them, under any name).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hopweave.llm.batches import pieces, texts_of
 from hopweave.llm.decontaminate import words_of
-from hopweave.llm.shared import cut, written
+from hopweave.llm.shared import Scratch, cut
 from hopweave.llm.shipping import Shipped
 
 WORDS = 5
@@ -52,7 +65,9 @@ BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: A pair is verified if its signatures agree on this share; 3.5 standard deviations below THRESHOLD.
 POSSIBLE = 0.7
-PIVOTS, BLOCK = 3, 512
+PIVOTS = 3
+#: Rows of one shingle that a task holds of either side of a comparison.
+BLOCK = 256
 #: 64-bit words of the Bloom filter.
 BLOOM = 1 << 18
 
@@ -140,15 +155,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key (digest of the words), n (shingles), buckets array<long>, sig (a byte for each component); null key for no words."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
             for part in pieces(batch, 1):
                 words = [words_of(t) for t in texts_of(part, 1)]
                 full = [i for i, w in enumerate(words) if w]
                 key: list = [None] * len(words)
                 for i in full:
-                    key[i] = xxhash.xxh3_128_digest(b" ".join(words[i]))
+                    key[i] = digest(words[i])
                 n = [max(0, len(w) - WORDS + 1) or min(1, len(w)) for w in words]
                 s = mixed(signatures([np.unique(shingles(words[i]), return_counts=True) for i in full]))
                 bands = np.zeros((len(full), BANDS), np.uint64)
@@ -165,20 +178,26 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key binary, n bigint, buckets array<bigint>, sig binary")
 
 
+def digest(words: list[bytes]) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def _agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs (a, b) with est, the share of components that agree; pairs whose sizes rule out a link are left out."""
+    """pairs (a, b, ...) with est, the share of components that agree, where that and the sizes leave a link possible."""
     sig = nodes.select("id", "n", "sig")
     both = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
-    both = both.where(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
+    both = both.where(F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")).select(*pairs.columns, "sa", "sb")
 
     def run(batches):
         for x in batches:
             if x.num_rows:
-                sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in (2, 3))
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array((sa == sb).mean(1))], names=["a", "b", "est"])
+                sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sa", "sb"))
+                est = pa.array((sa == sb).mean(1))
+                yield pa.RecordBatch.from_arrays([*x.columns[:-2], est], names=[*x.schema.names[:-2], "est"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}, est double")
+    return both.mapInArrow(run, T.StructType([*both.schema.fields[:-2], T.StructField("est", T.DoubleType())])).where(F.col("est") >= POSSIBLE)
 
 
 def _bloom_bits(column) -> tuple:
@@ -187,8 +206,8 @@ def _bloom_bits(column) -> tuple:
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over column id: each id sets three bits of one word."""
-    word, bits = _bloom_bits("id")
+    """A filter of fixed size over column doc: each id sets three bits of one word."""
+    word, bits = _bloom_bits("doc")
     both = F.expr("shiftleft(1L, x0) | shiftleft(1L, x1) | shiftleft(1L, x2)")
     rows = ids.select(word.alias("w"), *(b.alias(f"x{i}") for i, b in enumerate(bits))).select("w", both.alias("m"))
     out = np.zeros(BLOOM, np.int64)
@@ -197,142 +216,173 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _bags_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and bag (sorted 32-bit hashes, each as often as it occurs) of the documents that may be among ids."""
-    shipped = Shipped(docs.sparkSession, _bloom(ids))
+def _bags_of(docs: DataFrame, wanted: DataFrame, bag: Callable[[list[bytes]], np.ndarray], kind: str, id_col: str, text_col: str) -> DataFrame:
+    """id (the node) and bag of the texts of documents that may be among wanted (doc)."""
+    shipped = Shipped(docs.sparkSession, _bloom(wanted))
     word, bits = _bloom_bits("id")
     both = F.expr("shiftleft(1L, x0) | shiftleft(1L, x1) | shiftleft(1L, x2)")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
-    rows = rows.select("id", "t", word.alias("w"), *(b.alias(f"x{i}") for i, b in enumerate(bits))).select("id", "t", "w", both.alias("m"))
+    rows = rows.select("t", word.alias("w"), *(b.alias(f"x{i}") for i, b in enumerate(bits))).select("t", "w", both.alias("m"))
+    packed = pa.binary() if kind == "binary" else pa.list_(pa.int64())
 
     def run(batches):
         bloom = shipped.get()
         for batch in batches:
-            w, m = (batch.column(c).to_numpy() for c in (2, 3))
+            w, m = (batch.column(c).to_numpy() for c in (1, 2))
             maybe = batch.filter(pa.array((bloom[w] & m) == m))
-            for part in pieces(maybe, 1):
-                bags = [np.sort((shingles(words_of(t)) >> _U(32)).astype(np.uint32)).tobytes() for t in texts_of(part, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bags, pa.binary())], names=["id", "bag"])
+            for part in pieces(maybe, 0):
+                words = [x for x in map(words_of, texts_of(part, 0)) if x]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in words], pa.binary()), pa.array([bag(x) for x in words], packed)], names=["id", "bag"])
+
+    return rows.mapInArrow(run, f"id binary, bag {kind}")
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bag binary")
 
+def sorted_shingles(words: list[bytes]) -> bytes:
+    """32-bit hashes of shingles in order, each as often as it occurs."""
+    return np.sort((shingles(words) >> _U(32)).astype(np.uint32)).tobytes()
 
-def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+
+def numbered_shingles(words: list[bytes]) -> np.ndarray:
+    """Hashes of shingles and of the how manieth of its kind each is: a set for the multiset."""
+    s = np.sort(shingles(words))
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    nth = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+    return mixed(s + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) with j, the similarity of their multisets."""
-    bags = _bags_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bags = _bags_of(docs, ids.join(nodes.select("id", "doc"), "id"), sorted_shingles, "binary", id_col, text_col)
     both = pairs.select("a", "b").join(bags.toDF("b", "bb"), "b").join(bags.toDF("a", "ba"), "a")
 
     def run(batches):
         for x in batches:
-            bag = [[np.frombuffer(v, np.uint32) for v in x.column(c).to_pylist()] for c in (2, 3)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array([similarity(a, b) for a, b in zip(*bag, strict=True)], pa.float64())], names=["a", "b", "j"])
+            j = [similarity(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)) for a, b in zip(x.column(2), x.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(j, pa.float64())], names=["a", "b", "j"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    # rows of one id may have several texts: the best pair of them counts
-    return both.select("a", "b", "ba", "bb").mapInArrow(run, f"a {kind}, b {kind}, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
+    # several rows may have the text of a node
+    return both.select("a", "b", "ba", "bb").mapInArrow(run, "a binary, b binary, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
 def _pivot_round(nodes: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """members (bucket, band, id, comp): possible pairs (a, b) with the pivots, and the members without the pivots."""
-    order = F.struct(F.xxhash64("id", F.lit(n)), "id") if n else F.col("id")
-    pivot = members.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), order).alias("p"))
+    """members (bucket, id, comp): possible pairs (a, b) with the pivots, and the members without the pivots."""
+    pivot = members.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), F.struct(F.xxhash64("id", F.lit(n)), "id")).alias("p"))
     rows = members.join(pivot, "bucket").where("id != p.id")
     pairs = rows.where("comp != p.comp").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-    return _agreement(pairs, nodes).where(F.col("est") >= POSSIBLE).select("a", "b"), rows.select("bucket", "band", "id")
+    return _agreement(pairs, nodes).select("a", "b"), rows.select("bucket", "id")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members (bucket, band, id) with comp, of the buckets that have several components."""
-    if labels.isEmpty():
-        named = members.select("bucket", "band", "id", F.col("id").alias("comp"))
-    else:
-        named = members.select("bucket", "band", "id").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("comp", "id").alias("comp"))
+def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (id, ...) with comp, the component of the node."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(labels, "id", "left").select(*rows.columns, F.coalesce("comp", "id").alias("comp"))
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members (bucket, id) with comp, of the buckets that have several components."""
+    named = _named(members.select("bucket", "id"), labels)
     several = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
-    return written(named.join(several, "bucket"), "members")
+    return named.join(several, "bucket")
 
 
-def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame | None, links: DataFrame, keep: Scratch) -> DataFrame | None:
     """labels (id, comp) after more links (a, b): components of the components."""
+    if links.isEmpty():
+        return labels
     if labels is None:
-        return components(links).withColumnRenamed("class", "comp")
+        return components(links, keep).withColumnRenamed("class", "comp")
     of = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = components(ends).select(F.col("id").alias("comp"), "class")
+    merged = components(ends, keep).select(F.col("id").alias("comp"), "class")
     known = labels.unionAll(merged.join(labels.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), "comp"))
     return cut(known.join(merged, "comp", "left").select("id", F.coalesce("class", "comp").alias("comp")))
 
 
-def _block_pairs(nodes: DataFrame, members: DataFrame, forest: bool) -> DataFrame:
-    """Possible pairs (a, b) between components of what is left of the buckets, block by block; if forest, those that would connect them.
+def first_that_may_differ(n) -> Column:
+    """How many of n shingles, the rarest first, must hold one of any text of similarity THRESHOLD."""
+    return F.col(n) - F.ceil(F.col(n) * THRESHOLD - 1e-9) + 1
 
-    A pair is made in the first band whose bucket it shares, by the whole hashes of bands
-    and not the bytes of signatures, which agree by chance as well: where that bucket is
-    closed or has lost one of both, the pair is connected or has been tested.
+
+def _prefixes(docs: DataFrame, nodes: DataFrame, rest: DataFrame, keep: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """id, n, item, at: the shingles in the prefix of each node of rest (id) that other nodes of rest have too, and their places."""
+    few = rest.join(nodes.select("id", "doc"), "id")
+    bags = _bags_of(docs, few.select("doc"), numbered_shingles, "array<bigint>", id_col, text_col)
+    bags = keep.written(bags.join(rest, "id", "left_semi").dropDuplicates(["id"]), "bags")
+    items = bags.select("id", F.size("bag").cast("long").alias("n"), F.explode("bag").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    shared = items.join(often, "item")
+    of_node = W.partitionBy("id")
+    place = F.row_number().over(of_node.orderBy("f", "item")) - 1 + F.col("n") - F.count("*").over(of_node)  # after those of its own
+    return shared.select("id", "n", "item", place.alias("at")).where(F.col("at") < first_that_may_differ("n"))
+
+
+def _prefix_pairs(prefixes: DataFrame, labels: DataFrame | None, one: bool) -> DataFrame:
+    """Pairs (a, b, ca, cb) of nodes in different components that a shingle of their prefixes leaves possible; if one, of each two components one in each block.
+
+    Most members of a frequent shingle are in one component as a rule. They are not
+    compared with one another: blocks of them meet blocks of the others, and blocks of
+    the others meet.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    rows = members.join(sizes, "bucket").select("bucket", "band", "id", "comp", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
-    rows = rows.select("bucket", "band", "id", "comp", F.least("o", "c").alias("x"), F.greatest("o", "c").alias("y"))
-    rows = rows.join(nodes.select("id", "n", "sig", "buckets"), "id")
-    kind = nodes.schema["id"].dataType.simpleString()
-
-    def pairs_of(band, ids, comps, n, sig, hashes):
-        found, boss = [], {c: c for c in comps}
-
-        def top(c):
-            while boss[c] != c:
-                boss[c] = boss[boss[c]]
-                c = boss[c]
-            return c
-
-        number = np.unique(np.array([str(c) for c in comps]), return_inverse=True)[1]
-        for i in range(len(ids) - 1):
-            fits = (number[i + 1 :] != number[i]) & (np.minimum(n[i + 1 :], n[i]) >= THRESHOLD * np.maximum(n[i + 1 :], n[i]))
-            at = i + 1 + np.flatnonzero(fits)
-            if not len(at):
-                continue
-            est = (sig[at] == sig[i]).mean(1)
-            first = (hashes[at] == hashes[i]).argmax(1) == band
-            found += [(-float(est[k]), i, int(at[k])) for k in np.flatnonzero((est >= POSSIBLE) & first)]
-        out = []
-        for _, i, j in sorted(found):
-            x, y = top(comps[i]), top(comps[j])
-            if not forest or x != y:
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                boss[x] = y
-        return out
+    rows = _named(prefixes, labels)
+    sizes = rows.groupBy("item", "comp").agg(F.count("*").alias("f"))
+    main = sizes.groupBy("item").agg(F.max_by("comp", F.struct("f", "comp")).alias("main"), F.max("f").alias("fm"), F.sum("f").alias("f")).where("f > fm")
+    rows = rows.join(main, "item").withColumn("own", F.col("comp") == F.col("main"))
+    blocks = lambda f: F.ceil(f / BLOCK).cast("int")
+    km, ko = blocks(F.col("fm")), blocks(F.col("f") - F.col("fm"))
+    rows = rows.select("item", "id", "comp", "n", "at", "own", km.alias("km"), ko.alias("ko"))
+    rows = rows.withColumn("o", F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("km")).otherwise(F.col("ko"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("ko") - 1)
+    to_main = F.transform(F.sequence(F.lit(0), F.col("km") - 1), lambda c: F.struct(F.col("o").alias("x"), (-1 - c).alias("y")))
+    to_others = F.transform(others, lambda c: F.struct(F.least("o", c).alias("x"), F.greatest("o", c).alias("y")))
+    from_main = F.transform(others, lambda c: F.struct(c.alias("x"), (-1 - F.col("o")).alias("y")))
+    rows = rows.select("item", "id", "comp", "n", "at", "own", F.inline(F.when(F.col("own"), from_main).otherwise(F.concat(to_others, to_main))))
+
+    def pairs_of(ids, comps, n, at, own):
+        number = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+        comp = np.array([number[c] for c in comps])
+        left, seen = n - at, set()
+        for i in np.flatnonzero(~own):  # each of the others against the block's main members and the others after it
+            free = own.copy()
+            free[i + 1 :] = True
+            need = np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + n[i]) - 1e-9)
+            fits = free & (comp != comp[i]) & (np.minimum(n, n[i]) >= THRESHOLD * np.maximum(n, n[i]) - 1e-9) & (np.minimum(left, left[i]) >= need)
+            for j in np.flatnonzero(fits).tolist():
+                a, b = (i, j) if ids[i] < ids[j] else (j, i)
+                if one:
+                    two = (min(comp[a], comp[b]), max(comp[a], comp[b]))
+                    if two in seen:
+                        continue
+                    seen.add(two)
+                yield ids[a], ids[b], comps[a], comps[b]
 
     def run(batches):
         held, key = [], None
 
         def flush():
             if len(held) < 2:
-                return []
-            held.sort()
-            sig = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, SIZE)
-            return pairs_of(key[3], [r[0] for r in held], [r[1] for r in held], np.array([r[2] for r in held]), sig, np.array([r[4] for r in held]))
+                return
+            ids, comps, n, at, own = zip(*sorted(held), strict=True)
+            found = pairs_of(ids, comps, np.array(n), np.array(at), np.array(own))
+            while some := list(islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*some, strict=True)], names=["a", "b", "ca", "cb"])
 
-        def packed(out):
-            t = pa.int64() if kind == "bigint" else None
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], t), pa.array([b for _, b in out], t)], names=["a", "b"])
-
-        for x in batches:
-            out = []
-            for b, p, q, n, i, c, w, s, h in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if (b, p, q, n) != key:
-                    out += flush()
-                    held, key = [], (b, p, q, n)
-                held.append((i, c, w, s, h))
-            yield packed(out)
-        yield packed(flush())
+        for batch in batches:
+            for i, c, n, at, own, *where in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if where != key:
+                    yield from flush()
+                    held, key = [], where
+                held.append((i, c, n, at, own))
+        yield from flush()
 
-    dealt = rows.select("bucket", "x", "y", "band", "id", "comp", "n", "sig", "buckets").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    dealt = rows.select("id", "comp", "n", "at", "own", "item", "x", "y").repartition("item", "x", "y").sortWithinPartitions("item", "x", "y")
+    return dealt.mapInArrow(run, "a binary, b binary, ca binary, cb binary").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Scratch) -> DataFrame:
     """id and class (the least id of its component) of the nodes in links (a, b), by least labels and pointer jumps."""
-    both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
+    both = keep.written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")))
     while True:
         near = both.join(labels.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("c"))
@@ -347,40 +397,59 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and class_id, the least id of the document's near-duplicates and itself, one row per row of docs."""
-    found = written(sketches(docs, id_col, text_col), "sketches")
-    same = found.where(F.col("key").isNotNull() & F.col("id").isNotNull()).groupBy("key").agg(F.min("id").alias("node"))
-    same = written(same, "nodes")
-    nodes = found.join(same.select(F.col("node").alias("id"), F.col("key")), ["id", "key"]).dropDuplicates(["id"])
-    nodes = written(nodes.select("id", "n", "buckets", "sig"), "sigs")
-    ids = found.where("key IS NOT NULL").join(same, "key").select("id", "node")
+    keep = Scratch(docs.sparkSession)
+    found = keep.written(sketches(docs, id_col, text_col), "sketches")
+    ids = found.where(F.col("key").isNotNull() & F.col("id").isNotNull()).select("id", "key")
+    same = keep.written(ids.groupBy("key").agg(F.min("id").alias("id")), "nodes")
+    nodes = found.join(same, ["id", "key"]).dropDuplicates(["key"])
+    nodes = keep.written(nodes.select(F.col("key").alias("id"), F.col("id").alias("doc"), "n", "buckets", "sig"), "sigs")
     # rows of one id with different words are one class as well
-    several = ids.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
-    links = ids.join(several, "id").select("a", F.col("node").alias("b")).where("a != b").distinct()
-    labels = _joined(None, links)
-    members = _open(nodes.select(F.posexplode("buckets").alias("band", "bucket"), "id"), labels)
-    for n in range(PIVOTS + 2):
-        if n < PIVOTS:
-            pairs, members = _pivot_round(nodes, members, n)
-        else:
-            pairs = _block_pairs(nodes, members, forest=n == PIVOTS)
-        tested = _verified(docs, written(pairs, "pairs"), id_col, text_col)
-        labels = _joined(labels, written(tested.where(F.col("j") >= THRESHOLD).select("a", "b"), "links"))
-        if n < PIVOTS + 1:
-            members = _open(members, labels)
-            if members.isEmpty():
-                break
-    of_node = ids.join(labels.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("comp", "node").alias("class"))
-    of_id = of_node.groupBy("id").agg(F.min("class").alias("class"))
-    out = found.select("id").join(of_id, "id", "left")
+    several = ids.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("id", "a")
+    labels = _joined(None, ids.join(several, "id").select("a", F.col("key").alias("b")).where("a != b").distinct(), keep)
+
+    def tested(pairs):
+        return keep.written(_verified(docs, pairs, nodes, id_col, text_col).where(F.col("j") >= THRESHOLD).select("a", "b"), "links")
+
+    members = keep.written(_open(nodes.select(F.explode("buckets").alias("bucket"), "id"), labels), "members")
+    for n in range(PIVOTS):
+        if members.isEmpty():
+            break
+        pairs, rest = _pivot_round(nodes, members, n)
+        labels = _joined(labels, tested(keep.written(pairs, "pairs")), keep)
+        members = keep.written(_open(rest, labels), "members")
+    if not members.isEmpty():
+        prefixes = keep.written(_prefixes(docs, nodes, members.select("id").distinct(), keep, id_col, text_col), "prefixes")
+        for one in (True, False):
+            pairs = _agreement(_prefix_pairs(prefixes, labels, one), nodes)
+            if one:  # the most similar pair of each two components
+                best = F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")
+                pairs = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(best).select("p.*")
+            labels = _joined(labels, tested(keep.written(pairs.select("a", "b"), "pairs")), keep)
+    # a class is named by its least document
+    of_id = ids.groupBy("id").agg(F.min("key").alias("key"))
+    if labels is None:
+        named = of_id.join(same.withColumnRenamed("id", "class"), "key").select("id", "class")
+    else:
+        of_node = _named(same.select(F.col("key").alias("id"), F.col("id").alias("doc")), labels)
+        least = of_node.join(of_node.groupBy("comp").agg(F.min("doc").alias("class")), "comp").select(F.col("id").alias("key"), "class")
+        named = of_id.join(least, "key").select("id", "class")
+    named = keep.written(named, "classes", last=True)
+    out = keep.written(found.select("id"), "ids", last=True).join(named, "id", "left")
+    keep.drop()
     return out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: that of the least id. Rows with a null id stay."""
+    """docs with one row of each class: that of the least id. Rows with a null id stay.
+
+    Of several rows of an id the first by all other columns stays.
+    """
     gone = classes(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
     known = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
-    first = W.partitionBy(id_col).orderBy(*(c for c, t in docs.dtypes if c != id_col and not t.startswith(("map", "variant"))))
-    known = known.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    plain = lambda t: "map<" not in t and "variant" not in t
+    order = [F.col(f"`{c}`") if plain(t) else F.to_json(F.struct(f"`{c}`")) for c, t in docs.dtypes]
+    n = next(f"n{k}" for k in range(len(docs.columns) + 1) if f"n{k}" not in {c.lower() for c in docs.columns})
+    known = known.withColumn(n, F.row_number().over(W.partitionBy(id_col).orderBy(*order))).where(F.col(n) == 1).drop(n)
     return known.unionAll(docs.where(F.col(id_col).isNull()))
 
 

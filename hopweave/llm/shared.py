@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of a local session that names none.
+_own: list[str] = []
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of ours only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/hopweave-checkpoints"
+    """The folder in spark.checkpoint.dir. Where none is set, one of ours in local mode; on a cluster there is no safe choice."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _own[0] if _own else tempfile.mkdtemp(prefix="hopweave-")
+        _own[:] = [found]
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -22,6 +31,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one call of an operator; drop() removes those that its result does not read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def written(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
+        """df written and read again; last: for good, since the result reads it."""
+        self.n += 1
+        path = f"{self.path}{'-result' if last else ''}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed, so that a loop's plan and lineage stay short."""
     folder(df.sparkSession)

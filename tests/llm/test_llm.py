@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hopweave.llm import byte_bpe, decontaminate, language_id, lm_score, near_dup, quality_model, quality_rules, secrets, sharding, toxicity
 from hopweave.llm import queries as llm
 from hopweave.llm.labelled import labelled, remainder
+from hopweave.llm.shared import Scratch
 from tests.test_oracles import TABLES, shown
 
 SF = "/root/testdata/sf0.001"
@@ -396,18 +397,63 @@ def test_classes_by_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
-def test_block_pairs_by_brute_force(spark):
-    """All pairs of nodes in a bucket are made, also where an earlier band agrees in the stored bytes only."""
-    rng, m = np.random.default_rng(5), near_dup.PIVOTS + 9
-    bands = rng.integers(0, 2**62, (m, near_dup.BANDS))
-    bands[:, 7] = 77
-    bands[:5, 3] = 33
-    sig = np.zeros((m, near_dup.SIZE), np.uint8)  # the bytes agree everywhere, buckets in bands 3 and 7 only
-    nodes = spark.createDataFrame([(i, 50, bands[i].tolist(), sig[i].tobytes()) for i in range(m)], "id long, n long, buckets array<long>, sig binary")
-    rows = [(77, 7, i, i) for i in range(m)] + [(33, 3, i, i) for i in range(5)]
-    members = spark.createDataFrame(rows, "bucket long, band int, id long, comp long")
-    got = sorted(tuple(r) for r in near_dup._block_pairs(nodes, members, forest=False).collect())
-    assert got == [(i, j) for i in range(m) for j in range(i + 1, m)]
+def test_prefix_pairs_by_brute_force(spark, monkeypatch):
+    """Texts that share a long passage: every link between components is a candidate, in any number of blocks."""
+    rng = random.Random(5)
+    passage, texts = [f"p{i}" for i in range(100)], []
+    for i in range(60):
+        n = rng.choice((6, 9, 12, 15, 18, 20))
+        texts.append([f"w{i}x{k}" for k in range(n)] + passage + (["p1", "p2"] * (i % 3)))
+    bags = [Counter(near_dup.numbered_shingles([w.encode() for w in t]).tolist()) for t in texts]
+    key = [near_dup.digest([w.encode() for w in t]) for t in texts]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    nodes = spark.createDataFrame([(k, i) for i, k in enumerate(key)], "id binary, doc long")
+    labels = spark.createDataFrame([(k, key[0]) for k in key[:20]], "id binary, comp binary")
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    keep = Scratch(spark)
+    prefixes = keep.written(near_dup._prefixes(df, nodes, nodes.select("id"), keep, "doc_id", "text"), "prefixes")
+    found = near_dup._prefix_pairs(prefixes, labels, one=False).collect()
+    got = {(bytes(r.a), bytes(r.b)) for r in found}
+    want = set()
+    for i in range(60):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if i >= 20 and both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= 0.8:
+                want.add((min(key[i], key[j]), max(key[i], key[j])))
+    assert want and want <= got and len(got) == len(found) < 1.2 * len(want) + 20
+    assert 0 < near_dup._prefix_pairs(prefixes, labels, one=True).count() <= len(found)
+
+
+@pytest.mark.parametrize("pivots", [0, 1])
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(9,2)"])
+def test_classes_with_other_ids(spark, monkeypatch, pivots, kind):
+    """Without pivots all links come from prefixes; ids may be of any type."""
+    monkeypatch.setattr(near_dup, "PIVOTS", pivots)
+    rng = random.Random(2)
+    base, rows = [f"w{i}" for i in range(80)], []
+    for i in range(40):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rng.randrange(80)] = f"v{rng.random()}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    want = brute_classes([(r.doc_id, r.text) for r in df.collect()])
+    assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == want
+
+
+def test_texts_of_one_id_are_one_class(spark):
+    """Near copies of either text of an id are found, whichever row comes first."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "something else")]
+    for rows in (rows, rows[::-1]):
+        got = {(r.doc_id, r.class_id) for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_one_row_of_a_class_whatever_the_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", {"k": 1}, 7), (1, "a b c d e f", {"k": 2}, 5), (2, "a b c d e f", None, 1)], "doc_id int, text string, m map<string,int>, n0 int")
+    kept = near_dup.drop_copies(df.withColumn("__n", F.struct("m")))
+    assert kept.columns == ["doc_id", "text", "m", "n0", "__n"] and [(r.doc_id, r.n0) for r in kept.collect()] == [(1, 7)]
 
 
 def test_classes_of_odd_tables(spark, awkward):
