@@ -7,7 +7,10 @@ merge, in the order of the merged token's rank: the pair that is merged next is
 then the adjacent pair whose joined bytes have the lowest rank, leftmost first.
 
 Each match of the pattern is encoded on its own, so equal matches have equal ids:
-a task encodes each distinct match once and keeps the ids, up to CACHE matches.
+a task encodes each distinct match once and keeps what it needs of it, up to CACHE
+matches; beyond that it keeps the first quarter, among which frequent matches are, and
+encodes the others again when they come. Matches that are new go to the library many
+at a time, with a character between them that is no byte's and so is a token alone.
 
 Decoding reverses the byte table on whole ids: bytes of a character that was split
 over several tokens come together again before UTF-8 decoding.
@@ -21,7 +24,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from collections.abc import Callable
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +34,12 @@ from pyspark.sql import functions as F
 from hopweave.llm.batches import map_documents
 from hopweave.llm.shipping import Shipped
 
-#: Matches whose ids a task keeps.
-CACHE = 200_000
+#: Matches that a task keeps.
+CACHE = 400_000
+#: Between matches that the library gets at once; the byte table has no such character.
+BETWEEN = "\n"
+#: Matches that the library gets at once, and rows that are decoded at once.
+MANY, DECODED = 1024, 64
 
 
 def byte_table() -> list[str]:
@@ -41,15 +49,35 @@ def byte_table() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
+class Kept(dict):
+    """What is kept of each match: made(ids) of its ids."""
+
+    def __init__(self, bpe: ByteBpe, made: Callable[[list[int]], object]):
+        self.bpe, self.made = bpe, made
+
+    def of(self, texts: list[str]) -> list[list[str]]:
+        """The matches of each text; all of them are kept now."""
+        parts = [self.bpe.find(t) for t in texts]
+        all_of = set(chain.from_iterable(parts))
+        new = all_of.difference(self)
+        if new and len(self) + len(new) > CACHE:
+            first = dict(islice(self.items(), CACHE // 4))
+            self.clear()
+            self.update(first)
+            new = all_of.difference(self)
+        for some in iter(lambda it=iter(new): list(islice(it, MANY)), []):
+            self.update(zip(some, map(self.made, self.bpe.ids_of(some)), strict=True))
+        return parts
+
+
 class ByteBpe:
     """An encoder for one rank file and one splitting pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.char = byte_table()
-        self.byte_of = {c: b for b, c in enumerate(self.char)}
         shown = {t: self._shown(t) for t in ranks}
         merges = [
             (shown[t[:i]], shown[t[i:]])
@@ -57,29 +85,41 @@ class ByteBpe:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
-        self.model = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
-        self.text_of = {r: str(r) for r in ranks.values()}
+        self.between = max(ranks.values()) + 1
+        vocab = {shown[t]: r for t, r in ranks.items()} | {BETWEEN: self.between}
+        self.model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
+        self.model.pre_tokenizer = pre_tokenizers.Split(BETWEEN, "isolated")
+        byte_of = {ord(c): b for b, c in enumerate(self.char)}
+        self.bytes_of = {r: shown[t].translate(byte_of).encode("latin-1") for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.finditer = regex.compile(pattern).finditer
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.tuples = Kept(self, tuple)
+        self.listed = Kept(self, lambda ids: (",".join(map(str, ids)), self.decode_bytes(ids)))
 
     def _shown(self, raw: bytes) -> str:
         return raw.decode("latin-1").translate(self.char)
 
+    def ids_of(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each match, encoded on its own."""
+        line = BETWEEN.join([self._shown(p.encode()) for p in parts])
+        ids = self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids
+        ends = [i for i, x in enumerate(ids) if x == self.between]
+        return [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts."""
+        return [list(chain.from_iterable(map(self.tuples.__getitem__, p))) for p in self.tuples.of(texts)]
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a text."""
-        parts = self.find(text)
-        new = list({p for p in parts if p not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(set(parts))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                got = self.model.encode_batch_fast([self._shown(p.encode()) for p in some], add_special_tokens=False)
-                self.known.update((p, tuple(e.ids)) for p, e in zip(some, got, strict=True))
-        return list(chain.from_iterable(map(self.known.__getitem__, parts)))
+        return self.encode_all([text])[0]
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, digest of the ids and digest of the bytes that they decode to, of texts."""
+        out = []
+        for parts in self.listed.of(texts):
+            listed, raw = zip(*map(self.listed.__getitem__, parts), strict=True) if parts else ((), ())
+            ids = ",".join(listed)
+            out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()))
+        return out
 
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """Start and end of each id in characters; ids that share a split character overlap on it."""
@@ -116,7 +156,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         bpe = shipped.get(build)
 
         def work(texts):
-            ids = [bpe.encode(t) for t in texts]
+            ids = bpe.encode_all(texts)
             spans = [bpe.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
             return [ids, [[s for s, _ in x] for x in spans], [[e for _, e in x] for x in spans]]
 
@@ -134,7 +174,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         bpe = shipped.get(build)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+            for row in range(0, b.num_rows, DECODED):
+                part = b.slice(row, DECODED)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(i.as_py() or []) for i in part.column(1)], pa.string())], names=[id_col, "text"])
 
     rows = encoded.select(id_col, F.col(ids_col).alias("__ids"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text string")
@@ -146,18 +188,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def make():
         bpe = shipped.get(build)
-        sha = lambda raw: hashlib.sha256(raw).hexdigest()
-
-        def work(texts):
-            out = ([], [], [])
-            for t in texts:
-                ids = bpe.encode(t)
-                out[0].append(len(ids))
-                out[1].append(sha(",".join(map(bpe.text_of.__getitem__, ids)).encode()))
-                out[2].append(sha(bpe.decode_bytes(ids)))
-            return list(out)
-
-        return work
+        return lambda texts: list(zip(*bpe.digests(texts), strict=True))
 
     return map_documents(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
 
