@@ -8,13 +8,16 @@ and n-grams of any length add up on one scale.
 
 Learning reads text and language of the rows it is given, at most docs_per_language
 documents of each language (chosen by a hash, in expectation). Counting is a map-side
-count per task and one sum by key; what comes to the driver are the entries that
-occur at least min_count times, at most `entries` of them, the most frequent first.
-
-Defined cases: null texts and texts without a letter give `und` and score 0; without
-any training row every text gives `und`; ties go to the language that is first in
-alphabetical order; repeated rows give equal rows; an empty table gives an empty
-result; other columns are not read.
+count per task and one sum by key. What comes to the driver are `entries` entries, an
+equal share for each language, its most frequent first; those that occur less than
+min_count times are left out unless they are among the SURE first of their language. So
+every language of the training rows is in the model, however rare it is.
+
+Defined cases: null texts and texts without a letter give `und` and score 0, and digits,
+fractions or other numerals are no letters; without any training row every text gives
+`und`; ties go to the language that is first in alphabetical order; a text of any length
+is scored whole; repeated rows give equal rows; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,25 +27,34 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopweave.llm.batches import map_documents, texts_of
+from hopweave.llm.batches import map_documents, pieces, texts_of
+from hopweave.llm.keeping import Rows
 from hopweave.llm.labelled import remainder
+from hopweave.llm.shared import written
 from hopweave.llm.shipping import Shipped
 
 UND = "und"
 LONGEST = 4
-DOCS_PER_LANGUAGE = 1500
-#: Languages of a model at most, those with most documents first; their table is broadcast.
-MAX_LANGUAGES = 1000
-MIN_COUNT = 3
-ENTRIES = 300_000
-#: Unseen words whose scores a task keeps.
-CACHE = 200_000
+DOCS_PER_LANGUAGE = 3000
+MIN_COUNT, SURE = 3, 200
+ENTRIES = 400_000
+#: Words whose scores a task keeps.
+CACHE = 300_000
 #: Words beyond which more words do not make a score more certain.
 CERTAIN_WORDS = 30
 
-_words = re.compile(r"[^\W\d_]+").findall
+_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower case. The pattern's class has numerals that are no digits too (fractions, circled numbers)."""
+    found = _runs(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -57,16 +69,19 @@ def count_entries(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
         found: Counter = Counter()
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
-                for word, n in Counter(_words(text.lower())).items():
+            for part in pieces(b, 1):
+                words = Counter()
+                for lang, text in zip(part.column(0).to_pylist(), texts_of(part, 1), strict=True):
+                    words.update((lang, w) for w in words_of(text))
+                for (lang, word), n in words.items():
                     found[lang, 0, word] += n
                     marked = f"^{word}$"
                     for k in range(1, LONGEST + 1):
                         for g in grams(marked, k):
                             found[lang, k, g] += n
-            if len(found) > 1_000_000:
-                yield packed(found, pa)
-                found = Counter()
+                if len(found) > 500_000:
+                    yield packed(found, pa)
+                    found = Counter()
         if found:
             yield packed(found, pa)
 
@@ -120,26 +135,21 @@ class Predictor:
     """Scores texts; keeps scores of words between texts."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.known = model, {}
+        self.model, self.rows = model, Rows(CACHE)
         self.table = np.zeros((1024, max(1, len(model.langs))))
 
-    def rows(self, words: list[str]) -> list[int]:
-        new = {w for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known, new = {}, set(words)
-            while len(self.known) + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            for w in sorted(new):
-                self.table[len(self.known)] = self.model.word(w)
-                self.known[w] = len(self.known)
-        return list(map(self.known.__getitem__, words))
-
     def predict(self, text: str) -> tuple[str, float]:
-        words = _words(text.lower())
+        words = words_of(text)
         if not words or not self.model.langs:
             return UND, 0.0
-        rows = self.rows(words)  # may replace the table
+        self.rows.trim()
+        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        if new := self.rows.new:
+            self.rows.new = []
+            while len(self.rows) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            for r, w in enumerate(new, len(self.rows) - len(new)):
+                self.table[r] = self.model.word(w)
         mean = self.table[rows].mean(0) * min(len(words), CERTAIN_WORDS)
         p = np.exp(mean - mean.max())
         best = int(np.argmax(p))
@@ -148,13 +158,16 @@ class Predictor:
 
 def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, min_count: int = MIN_COUNT, entries: int = ENTRIES) -> LanguageModel:
     """A model of the rows with a language and a text."""
-    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES)
-    share = F.broadcast(share.select(lang_col, (F.lit(docs_per_language) / F.col("count")).alias("__share")))
-    u = (F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    some = rows.join(share, lang_col).where(u < F.col("__share"))
-    counts = count_entries(some, lang_col, text_col).where(F.col("n") >= min_count)
-    return LanguageModel([tuple(r) for r in counts.orderBy(F.desc("n"), "kind", "lang", "entry").limit(entries).collect()])
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("t").isNotNull())
+    share = rows.groupBy("lang").count().select("lang", (F.lit(docs_per_language) / F.col("count")).alias("share"))
+    u = (F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
+    counts = written(count_entries(rows.join(share, "lang").where(u < F.col("share")), "lang", "t"), "entries")
+    langs = counts.select("lang").distinct().count()
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "kind", "entry"))
+    first = counts.withColumn("place", place).where(F.col("place") <= max(SURE, entries // max(1, langs)))
+    kept = first.where((F.col("n") >= min_count) | (F.col("place") <= SURE)).select("lang", "kind", "entry", "n")
+    return LanguageModel(sorted(tuple(r) for r in kept.collect()))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

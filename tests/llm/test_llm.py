@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import duckdb
@@ -155,6 +158,69 @@ def test_backoff():
     assert m.word("xoux").argmax() == 0 and m.word("aaia").argmax() == 1 and not m.word("zzz").any()
 
 
+def brute_language(rows, texts):
+    """(language, score) of texts by plain arithmetic, from all (language, text) rows."""
+    letters = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split()
+    counts = {lang: [Counter() for _ in range(5)] for lang, _ in rows}
+    for lang, text in rows:
+        for w in letters(text):
+            counts[lang][0][w] += 1
+            for k in range(1, 5):
+                counts[lang][k].update(f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k))
+    langs = sorted(counts)
+    for lang in langs:  # in the least form: every entry is among the first of its language, or occurs three times
+        order = sorted(((-n, k, e) for k in range(5) for e, n in counts[lang][k].items()))
+        for n, k, e in order[language_id.SURE :]:
+            if -n < language_id.MIN_COUNT:
+                del counts[lang][k][e]
+    every = [set().union(*(counts[x][k] for x in langs)) for k in range(5)]
+
+    def posterior(k, e):
+        logs = [math.log((counts[x][k][e] + 0.5) / (sum(counts[x][k].values()) + 0.5 * len(every[k]))) for x in langs]
+        return [v - math.log(sum(map(math.exp, logs))) for v in logs]
+
+    def of_word(w):
+        if w in every[0]:
+            return posterior(0, w)
+        marked, hits = f"^{w}$", []
+        for i in range(len(marked)):
+            k = next((k for k in range(4, 0, -1) if i + k <= len(marked) and marked[i : i + k] in every[k]), 0)
+            hits += [posterior(k, marked[i : i + k])] if k else []
+        return [sum(x) / len(hits) for x in zip(*hits, strict=True)] if hits else [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        found = [of_word(w) for w in letters(t or "")]
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(x) / len(found) * min(len(found), language_id.CERTAIN_WORDS) for x in zip(*found, strict=True)]
+        best = max(range(len(langs)), key=lambda i: (round(mean[i], 9), -i))
+        out.append((langs[best], math.exp(mean[best]) / sum(map(math.exp, mean))))
+    return out
+
+
+def test_language_query_by_brute_force(spark, tmp_path):
+    """The whole query, on short documents, rare languages, numerals, ties, nulls and a text of many words."""
+    docs = [(r.doc_id, (r.text or "")[:300], r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(90).collect()]
+    docs += [(1001, "zopu zopa zipo", "zz"), (1002, "zopu zopa", "zz"), (1003, "½ ² ① Ⅷ 12", "de"), (1004, "x² ½ zopu½zopa", None), (1005, None, "fr"), (1006, "zopu", None), (1007, "", "en"), (1008, "qqq \u4e00", None)]
+    docs += [(1009, " ".join(docs[n % 90][1] for n in range(900)), None), (1010, "zopu", None), (None, "zopu zapo", "zz")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda d: zlib.crc32(("" if d is None else str(d)).encode())
+    want = brute_language([(x, t) for d, t, x in docs if x and t is not None and crc(d) % 4 != 2 and any(unicodedata.category(c)[0] == "L" for c in t)], [t for _, t, _ in docs])
+    got = {r.doc_id: r for r in language_id.op2_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs) and {"zz"} <= {w for w, _ in want}
+    for (d, _, _), (lang, score) in zip(docs, want, strict=True):
+        assert got[d].lang_pred == lang and abs(got[d].score - score) < 1e-9 and got[d].held_out == (crc(d) % 4 == 2)
+    assert got[1003].lang_pred == "und" and got[1005].lang_pred == "und" and got[1006].score == got[1010].score
+
+
+def test_language_ties_and_empty_tables(spark, docs):
+    tie = language_id.LanguageModel([(x, 0, "same", 4) for x in ("yy", "xx")])
+    assert language_id.Predictor(tie).predict("same same") == ("xx", 0.5)
+    assert language_id.predict(docs.where("false"), tie).count() == 0
+
+
 # ---- labels
 
 
