@@ -15,8 +15,8 @@ to ORDER letters in the rare words of the corpus. So the probabilities of a clas
 to at most one over all texts, and the neighbours of a rarer word bear on its class only.
 
 Training reads every document: each task starts from the same network, takes
-steps on every token of its documents (each stride-th if asked), and the networks are averaged by a
-tree reduction, weighted by the tokens that they have seen, for `rounds` rounds. What
+steps on every token of its documents, and the networks are averaged by a tree
+reduction, weighted by the tokens that they have seen, for `rounds` rounds. What
 the corpus contributes so grows with it; what the driver holds are one network, one
 table of letters and the vocabulary, which grows with the root of the corpus.
 
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.llm.batches import map_documents, pieces, texts_of
+from hopweave.llm.keeping import Rows
 from hopweave.llm.shared import written
 from hopweave.llm.shipping import Shipped
 
@@ -47,8 +48,12 @@ EDGE = SIZE - 1
 WORDS = SIZE - BUCKETS - 1
 PLACES = (-2, -1, 1, 2)
 WIDTH = 16
-STRIDE, ROUNDS = 1, 1
-BATCH, RATE = 1024, 0.1
+ROUNDS = 1
+BATCH, RATE = 2048, 0.1
+#: Weights and hidden values count in steps of 1 / GRID when texts are scored.
+GRID = 2.0**16
+#: Outputs are cut at this distance from 0, so that their exponentials are finite.
+FAR = 60
 #: Tokens that are scored at once.
 BLOCK = 32_768
 #: Distinct words that a task counts or numbers before it starts afresh.
@@ -61,27 +66,33 @@ STOP = 255
 tokens_of = re.compile(r"\w+|[^\w\s]").findall
 
 
-class Numbers(dict):
-    """Token numbers; a word outside the vocabulary gets that of its bucket."""
-
-    def __init__(self, words: list[str]):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.fixed = dict(self)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-            self.update(self.fixed)
-        if word in self.fixed:
-            return self.fixed[word]
-        n = self[word] = WORDS + bucket_of(word)
-        return n
-
-    def of_tokens(self, found: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+class Numbers:
+    """The network's number of each token; a word outside its vocabulary gets that of its bucket."""
+
+    def __init__(self, words: list[str], tail: Tail | None = None):
+        self.fixed, self.tail = {w: i for i, w in enumerate(words)}, tail
+        self.rows, self.at = Rows(CACHE), np.zeros(1024, np.int64)
+        self.logs = np.zeros(1024)
+
+    def rows_of(self, found: list[list[str]]) -> list[np.ndarray]:
+        """Rows of the tokens of texts, to be looked up in at and logs before the next call."""
+        self.rows.trim()
+        out = [np.fromiter(map(self.rows.__getitem__, f), np.int64, len(f)) for f in found]
+        if new := self.rows.new:
+            self.rows.new = []
+            n = len(self.rows)
+            if n > len(self.at):
+                self.at, self.logs = (np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)]) for x in (self.at, self.logs))
+            self.at[n - len(new) : n] = [self.fixed[w] if w in self.fixed else WORDS + bucket_of(w) for w in new]
+            if self.tail:
+                rare = [(k, w) for k, w in enumerate(new, n - len(new)) if w not in self.fixed]
+                self.logs[n - len(new) : n] = 0
+                self.logs[[k for k, _ in rare]] = self.tail.within([w for _, w in rare])
+        return out
 
     def of(self, text: str) -> np.ndarray:
-        return self.of_tokens(tokens_of(text.lower()))
+        (rows,) = self.rows_of([tokens_of(text.lower())])
+        return self.at[rows]
 
 
 def bucket_of(word: str) -> int:
@@ -166,27 +177,49 @@ class Network:
         return self
 
     def forward(self, near: np.ndarray, target: np.ndarray):
-        """Hidden layer, log-probabilities of classes and within the target's class, and tokens by class; rows sorted by class."""
-        h = np.tanh(sum(self.embed[p][near[:, p]] for p in range(len(PLACES))))
-        lc = h @ self.to_class.T + self.class_bias
-        lc -= lc.max(1, keepdims=True)
-        lc -= np.log(np.exp(lc).sum(1, keepdims=True))
+        """Hidden layer, probabilities of classes and within the target's class, and tokens by class; rows sorted by class."""
+        h = self.hidden(near)
         cuts = np.searchsorted(target // IN_CLASS, np.arange(CLASSES + 1))
-        lw = np.empty((len(target), IN_CLASS), np.float32)
+        pc, pw = h @ self.to_class.T, np.empty((len(target), IN_CLASS), np.float32)
+        pc += self.class_bias
         for c in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[c], cuts[c + 1])
-            lw[s] = h[s] @ self.to_word[c].T + self.word_bias[c]
-        lw -= lw.max(1, keepdims=True)
-        lw -= np.log(np.exp(lw).sum(1, keepdims=True))
-        return h, lc, lw, cuts
+            np.matmul(h[s], self.to_word[c].T, out=pw[s])
+        pw += self.word_bias[target // IN_CLASS]
+        for p in (pc, pw):
+            np.exp(np.clip(p, -FAR, FAR, out=p), out=p)
+            p /= p.sum(1, keepdims=True)
+        return h, pc, pw, cuts
+
+    def hidden(self, near: np.ndarray) -> np.ndarray:
+        return np.tanh(sum(self.embed[p][near[:, p]] for p in range(len(PLACES))))
 
     def log_probs(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probability of each target given its neighbours."""
+        """Log-probability of each target given its neighbours.
+
+        Hidden values and weights are rounded to multiples of 1 / GRID, so that products
+        and sums of the double precision matrix products are exact: a token's result does
+        not depend on the tokens that are scored with it.
+        """
         order = np.argsort(target // IN_CLASS, kind="stable")
         t = target[order]
-        _, lc, lw, _ = self.forward(near[order], t)
-        rows, out = np.arange(len(t)), np.empty(len(t))
-        out[order] = lc[rows, t // IN_CLASS].astype(float) + lw[rows, t % IN_CLASS]
+        h = np.rint(self.hidden(near[order]).astype(float) * GRID) / GRID
+        to_class, to_word = (np.rint(w.astype(float) * GRID) / GRID for w in (self.to_class, self.to_word))
+        cuts = np.searchsorted(t // IN_CLASS, np.arange(CLASSES + 1))
+        lw = np.empty((len(t), IN_CLASS), np.float32)
+        for c in np.flatnonzero(np.diff(cuts)):
+            s = slice(cuts[c], cuts[c + 1])
+            lw[s] = h[s] @ to_word[c].T
+        lw += self.word_bias[t // IN_CLASS]
+        lc = (h @ to_class.T).astype(np.float32)
+        lc += self.class_bias
+        rows, logs = np.arange(len(t)), np.zeros(len(t))
+        for x, at in ((lc, t // IN_CLASS), (lw, t % IN_CLASS)):
+            np.clip(x, -FAR, FAR, out=x)
+            logs += x[rows, at]
+            logs -= np.log(np.exp(x, out=x).sum(1))
+        out = np.empty(len(t))
+        out[order] = logs
         return out
 
 
@@ -201,18 +234,21 @@ class Trainer:
         net = self.net
         order = np.argsort(target // IN_CLASS, kind="stable")
         near, target = near[order], target[order]
-        h, lc, lw, cuts = net.forward(near, target)
+        h, gc, gw, cuts = net.forward(near, target)
         rows, n = np.arange(len(target)), np.float32(len(target))
-        gc, gw = np.exp(lc), np.exp(lw)
         gc[rows, target // IN_CLASS] -= 1
         gw[rows, target % IN_CLASS] -= 1
-        gc, gw = gc / n, gw / n
-        dh, d_word, d_bias = gc @ net.to_class, np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
-        for c in np.flatnonzero(np.diff(cuts)):
+        gc /= n
+        gw /= n
+        dh, d_word, d_bias = np.empty_like(h), np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
+        present = np.flatnonzero(np.diff(cuts))
+        for c in present:
             s = slice(cuts[c], cuts[c + 1])
-            d_word[c], d_bias[c] = gw[s].T @ h[s], gw[s].sum(0)
-            dh[s] += gw[s] @ net.to_word[c]
-        dh *= 1 - h**2
+            np.matmul(gw[s].T, h[s], out=d_word[c])
+            np.matmul(gw[s], net.to_word[c], out=dh[s])
+        d_bias[present] = np.add.reduceat(gw, cuts[present], axis=0)
+        dh += gc @ net.to_class
+        dh *= 1 - h * h
         d_embed = np.zeros_like(net.embed)
         row = (near + np.arange(len(PLACES)) * SIZE).astype(np.uint16).ravel()  # SIZE * len(PLACES) rows; short integers are sorted by radix
         by = np.argsort(row, kind="stable")
@@ -220,8 +256,9 @@ class Trainer:
         first = np.flatnonzero(np.diff(ids, prepend=-1))
         d_embed.reshape(-1, WIDTH)[ids[first]] = np.add.reduceat(dh[by // len(PLACES)], first, axis=0)
         for part, total, g in zip(net.parts(), self.sums, [d_embed, gc.T @ h, gc.sum(0), d_word, d_bias], strict=True):
-            total += g**2
-            part -= RATE * g / np.sqrt(total)
+            total += g * g
+            g *= RATE
+            part -= g / np.sqrt(total)
         self.seen += len(target)
 
 
@@ -260,7 +297,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _trained(docs: DataFrame, words: list[str], net: Network, stride: int, text_col: str) -> Network:
+def _trained(docs: DataFrame, words: list[str], net: Network, text_col: str) -> Network:
     """One round: a network of each task, and their average weighted by tokens."""
     shipped = Shipped(docs.sparkSession, (words, net))
 
@@ -272,10 +309,10 @@ def _trained(docs: DataFrame, words: list[str], net: Network, stride: int, text_
         held, size = [], 0
         for b in batches:
             for part in pieces(b, 0):
-                near, target, _ = windows([numbers.of(t) for t in texts_of(part, 0)])
-                offset = np.arange(len(target)) % stride == 0
-                held.append((near[offset], target[offset]))
-                size += int(offset.sum())
+                rows = numbers.rows_of([tokens_of(t.lower()) for t in texts_of(part, 0)])
+                near, target, _ = windows([numbers.at[r] for r in rows])
+                held.append((near, target))
+                size += len(target)
                 if size >= BATCH:
                     near, target = (np.concatenate(x) for x in zip(*held, strict=True))
                     full = len(target) // BATCH * BATCH
@@ -328,7 +365,7 @@ def _tail(counted: DataFrame, head: list[str], known: list[tuple[str, int]], lea
     return Tail().load(known, tokens, cell[cell < cells], n[cell < cells])
 
 
-def learn(docs: DataFrame, text_col: str = "text", stride: int = STRIDE, rounds: int = ROUNDS) -> tuple[list[str], Network]:
+def learn(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[list[str], Network]:
     """The network's own words, and the network of the whole corpus with all others."""
     counted = written(count_words(docs, text_col), "words")
     head = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
@@ -338,38 +375,35 @@ def learn(docs: DataFrame, text_col: str = "text", stride: int = STRIDE, rounds:
     known = [(w, n) for w, n in zip(vocabulary.column("word").to_pylist(), vocabulary.column("n").to_pylist(), strict=True) if w not in own]
     net = Network()
     for _ in range(rounds):
-        net = _trained(docs, head, net, stride, text_col)
+        net = _trained(docs, head, net, text_col)
     net.tail = _tail(counted, head, sorted(known), least)
     return head, net
 
 
 class Scorer:
     def __init__(self, model: tuple[list[str], Network]):
-        self.numbers, self.net = Numbers(model[0]), model[1]
-        self.within = dict.fromkeys(model[0], 0.0)
-        self.own = len(self.within)
+        self.net = model[1]
+        self.numbers = Numbers(model[0], self.net.tail)
 
-    def _network(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [self.numbers.of_tokens(f) for f in found]
-        n = np.array([len(i) for i in ids])
+    def _network(self, ids: list[np.ndarray]) -> np.ndarray:
         near, target, _ = windows(ids)
-        logs = np.concatenate([self.net.log_probs(near[a : a + BLOCK], target[a : a + BLOCK]) for a in range(0, len(target), BLOCK)] or [np.zeros(0)])
-        owner = np.repeat(np.arange(len(found)), n)
-        return n, np.bincount(owner, logs, len(found))
+        return np.concatenate([self.net.log_probs(near[a : a + BLOCK], target[a : a + BLOCK]) for a in range(0, len(target), BLOCK)] or [np.zeros(0)])
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and sums of the network's log-probabilities of texts: of words of its own and of the classes of others."""
-        return self._network([tokens_of(t.lower()) for t in texts])
+        return self._sums(texts, whole=False)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and sums of log-probabilities of texts, each word predicted itself."""
-        found = [tokens_of(t.lower()) for t in texts]
-        if len(self.within) > self.own + CACHE:
-            self.within = dict.fromkeys(self.numbers.fixed, 0.0)
-        new = list(set().union(*found).difference(self.within))
-        self.within.update(zip(new, self.net.tail.within(new), strict=True))
-        n, logs = self._network(found)
-        return n, logs + np.array([sum(map(self.within.__getitem__, f)) for f in found])
+        return self._sums(texts, whole=True)
+
+    def _sums(self, texts: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.numbers.rows_of([tokens_of(t.lower()) for t in texts])
+        n = np.array([len(r) for r in rows])
+        logs = self._network([self.numbers.at[r] for r in rows])
+        if whole:
+            logs += np.concatenate([self.numbers.logs[r] for r in rows])
+        return n, np.bincount(np.repeat(np.arange(len(texts)), n), logs, len(texts))
 
 
 def score(docs: DataFrame, model: tuple[list[str], Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
