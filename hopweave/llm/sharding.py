@@ -1,25 +1,32 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
 A store is a folder with `shards/` (Parquet files that are never changed) and
-`manifest/` (one text file of JSON lines for each version, which lists the live shards
-with bytes, tier and arrival). An arrival is appended as small shards, one for each task that wrote,
-and committed as a new version. Compaction groups live shards by tier, the power of
-FAN in which their size falls; FAN or more shards of a tier are merged in runs of at
-most the target size, each run read and written by one task without a shuffle, and the
-merges of a round are committed as one version.
-
-A commit writes its file under a name of its own and renames it to the next version; a
-version that another writer has taken makes the rename fail, and the commit is tried
-again on top of it. Readers take the highest version, whose shards all exist, so they
-see whole versions only; a job that dies before its commit leaves files that no
-version lists. vacuum() removes shards that are not live any more.
-
-Only DataFrame operations touch rows. The driver handles file names and sizes; a merge
-job takes WAVE runs at most, so its plan stays bounded.
-
-Defined cases: nulls and extra columns are stored as they are; an empty arrival adds a
-version without shards; repeated rows stay repeated; columns with the names that the
-store adds are refused.
+`manifest/` (one text file of JSON lines for each version: the schema, then the live
+shards with bytes, tier and arrival). An arrival is appended as small shards, one for
+each task that wrote, and committed as a new version. Compaction groups live shards by
+tier, the power of FAN in which their size falls; FAN or more shards of a tier are merged
+in runs of at most the target size, each run read and written by one task without a
+shuffle, and the merges of a wave are committed as one version.
+
+A commit writes its file under a name of its own and gives it the name of the next
+version by an operation that fails if that name exists (a hard link on a local file
+system, a rename without overwriting elsewhere; a store needs a file system on which that
+is atomic, such as HDFS). If another writer was first, the commit is tried again on top
+of its version. Readers take the highest version, whose shards all exist, so they see
+whole versions only; a job that dies before its commit leaves files that no version
+lists. Nothing is deleted but by vacuum(), which keeps the shards of the newest versions
+and everything that is not older than a time in which any running append has ended.
+
+The schema of a version is the union of the schemas of all arrivals, by name; rows
+without a column have null there, also after merges.
+
+Only DataFrame operations touch rows. The driver handles file names and sizes, about 150
+bytes a shard; a merge job takes WAVE runs at most, so its plan stays bounded.
+
+Defined cases: nulls are stored as they are; an extra column, under any name, becomes a
+column of the store; an arrival whose column has another type than the store's is
+refused before anything is committed; an empty arrival adds a version without shards;
+repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -27,17 +34,32 @@ from __future__ import annotations
 import contextlib
 import json
 import math
+import time
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hopweave.llm.shared import folder
 
 TARGET_BYTES = 128 * 1024 * 1024
 FAN = 4
 WAVE = 64
+#: Versions that vacuum() leaves readable, and seconds after which files that no version lists are from a dead job.
+KEEP, DEAD_AFTER = 10, 7 * 24 * 3600
+
+
+def united(old: T.StructType | None, new: T.StructType) -> T.StructType:
+    """The columns of old, then those that only new has; all may be null."""
+    known = {f.name.lower(): f for f in (old.fields if old else [])}
+    for f in new.fields:
+        own = known.setdefault(f.name.lower(), T.StructField(f.name, f.dataType, True))
+        if own.dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {f.dataType.simpleString()}, in the store {own.dataType.simpleString()}")
+    return T.StructType(list(known.values()))
 
 
 @contextlib.contextmanager
@@ -57,8 +79,8 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fan: int = FAN):
         self.spark, self.path, self.target, self.fan = spark, path.rstrip("/"), target_bytes, fan
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._write = lambda out, text: out.write(bytearray(text.encode()))
         for sub in ("shards", "manifest"):
@@ -66,34 +88,71 @@ class ShardStore:
 
     # ---- versions
 
+    def versions(self) -> list[int]:
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/manifest"))]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
     def version(self) -> int:
         """The highest committed version; 0 before the first."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/manifest"))]
-        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        return max(self.versions(), default=0)
 
-    def manifest(self, version: int | None = None) -> list[dict]:
-        """Live shards of a version: file, bytes, tier, arrival."""
-        v = self.version() if version is None else version
-        if not v:
+    def _lines(self, version: int) -> list[dict]:
+        if not version:
             return []
-        lines = self.spark.read.text(f"{self.path}/manifest/v{v:012d}.json").collect()
-        return sorted((json.loads(r.value) for r in lines if r.value), key=lambda s: s["file"])
+        stream = self._fs.open(self._path(f"{self.path}/manifest/v{version:012d}.json"))
+        try:
+            return [json.loads(x) for x in self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()]
+        finally:
+            stream.close()
+
+    def schema(self, version: int | None = None) -> T.StructType | None:
+        """The columns of a version."""
+        found = [x["schema"] for x in self._lines(self.version() if version is None else version) if "schema" in x]
+        return T.StructType.fromJson(found[0]) if found else None
 
-    def _commit(self, change) -> int:
-        """change: from the live shards to the new ones, or None if there is nothing to do any more."""
+    def manifest(self, version: int | None = None) -> list[dict]:
+        """Live shards of a version: file, bytes, tier, arrival."""
+        lines = self._lines(self.version() if version is None else version)
+        return sorted((x for x in lines if "file" in x), key=lambda x: x["file"])
+
+    def _named(self, own, target) -> bool:
+        """Whether the file own now has the name target, which no other file had."""
+        if self._fs.getUri().getScheme() == "file":
+            file = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            try:
+                self._jvm.java.nio.file.Files.createLink(file(target), file(own))
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" in str(e.java_exception):
+                    return False
+                raise
+            return True
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), self._fs.getConf()).rename(own, target, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def _commit(self, change, schema: T.StructType | None = None) -> int:
+        """change: from the live shards to the new ones, or None if there is nothing to do any more; schema: of new rows."""
         while True:
             v = self.version()
             new = change(self.manifest(v))
             if new is None:
                 return v
+            columns = united(self.schema(v), schema or T.StructType([]))
             own = self._path(f"{self.path}/manifest/.{uuid.uuid4().hex}")
             out = self._fs.create(own, False)
-            self._write(out, "".join(json.dumps(s, sort_keys=True) + "\n" for s in sorted(new, key=lambda s: s["file"])))
+            lines = [{"schema": columns.jsonValue()}, *sorted(new, key=lambda x: x["file"])]
+            self._write(out, "".join(json.dumps(x, sort_keys=True) + "\n" for x in lines))
             out.close()
-            target = self._path(f"{self.path}/manifest/v{v + 1:012d}.json")
-            if not self._fs.exists(target) and self._fs.rename(own, target):
+            done = self._named(own, self._path(f"{self.path}/manifest/v{v + 1:012d}.json"))
+            if self._fs.exists(own):
+                self._fs.delete(own, False)
+            if done:
                 return v + 1
-            self._fs.delete(own, False)
 
     # ---- shards
 
@@ -113,11 +172,13 @@ class ShardStore:
     def append(self, rows: DataFrame, arrival: str) -> int:
         """Writes an arrival as small shards and commits them; an arrival that is in a version already is not added again."""
         where = uuid.uuid4().hex
-        if any(s["arrival"] == arrival or arrival in s["arrival"].split("+") for s in self.manifest()):
+        if any(arrival in s["arrival"].split("+") for s in self.manifest()):
             return self.version()
+        united(self.schema(), rows.schema)  # refuses before it writes
         rows.write.parquet(f"{self.path}/shards/{where}")
         new = self._added(where, arrival)
-        return self._commit(lambda live: live + new)
+        taken = lambda live: any(arrival in x["arrival"].split("+") for x in live)
+        return self._commit(lambda live: None if taken(live) else live + new, rows.schema)
 
     def runs(self, live: list[dict]) -> list[list[dict]]:
         """Runs to merge: of each tier but 0 with fan shards or more, shards of similar size up to the target."""
@@ -145,7 +206,7 @@ class ShardStore:
     def _merge(self, runs: list[list[dict]]) -> None:
         where = uuid.uuid4().hex
         files = lambda run: [f"{self.path}/shards/{s['file']}" for s in run]
-        schema = self.spark.read.parquet(*files(runs[0])).schema
+        schema = self.schema()
         # one task a run: its files are read one after the other, and written as one
         parts = [self.spark.read.schema(schema).parquet(*files(run)).coalesce(1) for run in runs]
         with one_file_each(self.spark):
@@ -158,28 +219,31 @@ class ShardStore:
             return [s for s in live if s["file"] not in old] + new if old <= {s["file"] for s in live} else None
 
         self._commit(change)
-        self.vacuum()
 
-    def vacuum(self) -> None:
-        """Deletes shards that the newest version does not list, but for folders that a running job may still write."""
-        live = {s["file"].split("/")[0] for s in self.manifest()}
-        names = {s["file"] for s in self.manifest()}
+    def vacuum(self, keep: int = KEEP, dead_after: float = DEAD_AFTER) -> None:
+        """Forgets all but the newest versions, and deletes shards that only forgotten ones list, and old files that none lists."""
+        every = self.versions()
+        kept = {x["file"] for v in every[-keep:] for x in self.manifest(v)}
+        gone = {x["file"] for v in every[:-keep] for x in self.manifest(v)} - kept
+        for v in every[:-keep]:
+            self._fs.delete(self._path(f"{self.path}/manifest/v{v:012d}.json"), False)
+        for file in sorted(gone):
+            self._fs.delete(self._path(f"{self.path}/shards/{file}"), False)
+        old = (time.time() - dead_after) * 1000
+        used = {f.split("/")[0] for f in kept}
         for d in self._fs.listStatus(self._path(f"{self.path}/shards")):
             where = d.getPath().getName()
-            done = self._fs.exists(self._path(f"{self.path}/shards/{where}/_SUCCESS"))
-            if where not in live and done:
+            left = [x for x in self._fs.listStatus(d.getPath()) if x.getPath().getName().endswith(".parquet")]
+            emptied = where in {f.split("/")[0] for f in gone} and not left
+            if where not in used and (emptied or d.getModificationTime() < old):
                 self._fs.delete(d.getPath(), True)
-            elif done:
-                for f in self._fs.listStatus(d.getPath()):
-                    if f.getPath().getName().endswith(".parquet") and f"{where}/{f.getPath().getName()}" not in names:
-                        self._fs.delete(f.getPath(), False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
         live = self.manifest(version)
         if not live:
             raise ValueError("no shard has been committed")
-        return self.spark.read.parquet(*(f"{self.path}/shards/{s['file']}" for s in live))
+        return self.spark.read.schema(self.schema(version)).parquet(*(f"{self.path}/shards/{s['file']}" for s in live))
 
 
 #: Documents arrive in four batches by the first hexadecimal digit of their id's md5; later ones are smaller.
@@ -201,6 +265,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ARRIVALS:
         store.append(docs.where(arrival_of("doc_id") == name), name)
         store.compact()
+        store.vacuum(keep=1)
     rows = store.read()
     return rows.select(
         "doc_id",

@@ -572,6 +572,67 @@ def test_commits_do_not_overwrite(spark, tmp_path):
 # ---- pipeline
 
 
+def test_vacuum_spares_what_is_not_committed(spark, tmp_path):
+    """A folder that an append has written, but not yet committed, outlives compaction and vacuum of others."""
+    a, b = (sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=50_000, fan=2) for _ in range(2))
+    real, df = a._commit, spark.range(100).selectExpr("id doc_id")
+
+    def slow(change, schema=None):
+        for n in range(4):
+            b.append(df.where(f"doc_id % 4 = {n}"), f"b{n}")
+        b.compact()
+        b.vacuum(keep=1)
+        return real(change, schema)
+
+    a._commit = slow
+    a.append(spark.range(100, 110).selectExpr("id doc_id"), "a")
+    assert sorted(r.doc_id for r in a.read().collect()) == list(range(110))
+    a.vacuum(keep=1, dead_after=-60)
+    assert b.read().count() == 110 and b.versions() == [b.version()]
+
+
+def test_old_versions_stay_until_they_expire(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=50_000, fan=2)
+    for n in range(5):
+        store.append(spark.range(n * 10, n * 10 + 10).selectExpr("id doc_id"), f"a{n}")
+        store.compact()
+    counts = [store.read(v).count() for v in store.versions()]
+    assert counts[0] == 10 and counts == sorted(counts) and counts[-1] == 50 and len(store.manifest()) < 5
+    store.vacuum(keep=2)
+    assert [store.read(v).count() for v in store.versions()] == counts[-2:]
+
+
+def test_columns_of_all_arrivals(spark, tmp_path):
+    """A column that only some arrivals have is in every read, before and after merges; another type is refused."""
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=50_000, fan=2)
+    store.append(spark.range(3).selectExpr("id doc_id", "'t' text"), "a")
+    store.append(spark.range(3, 6).selectExpr("id doc_id", "'t' text", "id * 2 extra", "map('k', id) file"), "b")
+    want = [(i, "t", None if i < 3 else i * 2, None if i < 3 else {"k": i}) for i in range(6)]
+    shown = lambda: sorted((r.doc_id, r.text, r.extra, r.file) for r in store.read().collect())
+    assert shown() == want
+    version = store.compact()
+    assert version == 3 and len(store.manifest()) < 6 and shown() == want
+    with pytest.raises(ValueError, match="extra"):
+        store.append(spark.range(2).selectExpr("id doc_id", "'x' extra"), "c")
+    assert store.version() == version
+
+
+def test_names_are_given_once(spark, tmp_path):
+    """Of two writers one gets a version's name, on a local file system and by the general way."""
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+    for scheme in ("file", "other"):
+        for name in ("x", "y"):
+            (tmp_path / name).write_text(name)
+        own, target = (lambda n: store._path(f"{tmp_path}/{n}")), store._path(f"{tmp_path}/{scheme}-target")
+        fs = store._fs
+        if scheme == "other":
+            store._fs = type("Other", (), {"getUri": lambda self: type("U", (), {"getScheme": lambda self: "other"})(), "getConf": lambda self: fs.getConf()})()
+            own, target = (lambda n: fs.makeQualified(store._path(f"{tmp_path}/{n}"))), fs.makeQualified(target)
+        assert store._named(own("x"), target) and not store._named(own("y"), target)
+        store._fs = fs
+        assert (tmp_path / f"{scheme}-target").read_text() == "x"
+
+
 def test_pipeline_by_stages(spark, vocabulary):
     import corpus_pipeline as cp
 
