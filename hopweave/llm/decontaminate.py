@@ -1,18 +1,22 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Texts are normalised to lower-case words joined by one space. A window is ten
-consecutive words of an item; an item of fewer words, but not none, is one window.
-The windows of all items form one automaton, and each document is scanned once; a
-match is turned into word numbers and from there into character offsets of the
-original text.
+consecutive words of an item; an item of fewer words, but not none, is one window. Any
+window of ten holds five consecutive words that begin at a multiple of five in the item,
+so one automaton over these fives, and the short items, finds every place where a window
+can be: it has about one node for a character of the benchmark, where the windows
+themselves would take ten. Each document is scanned once; where a five is found, the up
+to six windows of the document around it are looked up among the digests of all windows.
+Hit words are turned into character offsets of the original text.
 
 Words are runs of ASCII digits, ASCII letters (A-Z lowered) and characters beyond
 U+007F, so work on UTF-8 bytes cuts words at the same places.
 
-The benchmark is shipped to the executors only up to BLOCK_BYTES of text at a time.
-A larger benchmark is cut into blocks by item, and the documents carry what earlier
-blocks have hit through a checkpoint between two blocks, so memory stays bounded
-and no window is left out.
+The benchmark is shipped to the executors only up to BLOCK_BYTES of text at a time, which
+take about 50 bytes of memory each. A larger benchmark is cut into blocks by item (a
+longer item into parts that overlap by nine words), and the documents carry what earlier
+blocks have hit through a checkpoint between two blocks, so memory stays bounded and no
+window is left out.
 
 Defined cases: null and empty texts have no words, no hits and no items; items
 without words have no windows; an item id that repeats is one item with the windows
@@ -33,9 +37,9 @@ from hopweave.llm.batches import keep_documents, pieces, texts_of
 from hopweave.llm.shared import cut
 from hopweave.llm.shipping import Shipped
 
-WINDOW = 10
-#: Text bytes of items in one automaton; a broadcast never holds more, or one item.
-BLOCK_BYTES = 8_000_000
+WINDOW, ANCHOR = 10, 5
+#: Text bytes of items in one automaton; a broadcast never holds more.
+BLOCK_BYTES = 4_000_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -50,9 +54,11 @@ def words_of(text: str) -> list[bytes]:
     return folded(text).split()
 
 
-def windows_of(text: str) -> set[bytes]:
-    words = words_of(text)
-    return {b" ".join(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))} if words else set()
+def digest(words: list[bytes]) -> tuple[int, int]:
+    """Two 64-bit numbers for a window."""
+    import xxhash
+
+    return divmod(xxhash.xxh3_128_intdigest(b" ".join(words)), 1 << 64)
 
 
 class Scanner:
@@ -61,23 +67,41 @@ class Scanner:
     def __init__(self, items: list[tuple[str | None, str]]):
         import ahocorasick
 
-        self.owners: list[set[str]] = []
-        self.length: list[int] = []
-        number: dict[bytes, int] = {}
-        for item, text in items:
-            for w in windows_of(text):
-                k = number.setdefault(w, len(number))
-                if k == len(self.owners):
-                    self.owners.append(set())
-                    self.length.append(w.count(b" ") + 1)
-                if item is not None:
-                    self.owners[k].add(item)
+        short: dict[tuple[bytes, ...], set[str | None]] = {}
+        anchors: set[bytes] = set()
+        first, second, owner = [], [], []
+        self.names = [item for item, _ in items]
+        for n, (item, text) in enumerate(items):
+            words = words_of(text)
+            if 0 < len(words) < WINDOW:
+                short.setdefault(tuple(words), set()).add(item)
+                continue
+            anchors.update(b" ".join(words[i : i + ANCHOR]) for i in range(0, len(words) - ANCHOR + 1, ANCHOR))
+            for i in range(len(words) - WINDOW + 1):
+                a, b = digest(words[i : i + WINDOW])
+                first.append(a)
+                second.append(b)
+                owner.append(n)
+        self.short = [(len(w), {i for i in who if i is not None}) for w, who in short.items()]
+        first, second, owner = np.array(first, np.uint64), np.array(second, np.uint64), np.array(owner, np.int32)
+        order = np.argsort(first, kind="stable")
+        self.first, self.second, self.owner = first[order], second[order], owner[order]
         self.automaton = ahocorasick.Automaton()
-        for w, k in number.items():
-            self.automaton.add_word(" " + w.decode("latin-1") + " ", k)
-        if number:
+        shown = lambda w: " " + w.decode("latin-1") + " "
+        for w in anchors:
+            self.automaton.add_word(shown(w), (-1,))
+        for k, w in enumerate(short):  # a short item may be an anchor as well
+            w = shown(b" ".join(w))
+            self.automaton.add_word(w, (*self.automaton.get(w, ()), k))
+        self.empty = not anchors and not short
+        if not self.empty:
             self.automaton.make_automaton()
-        self.empty = not number
+
+    def owners(self, window: list[bytes]) -> np.ndarray:
+        """Numbers of the items that have a window."""
+        a, b = digest(window)
+        lo, hi = (np.searchsorted(self.first, np.uint64(a), side) for side in ("left", "right"))
+        return self.owner[lo:hi][self.second[lo:hi] == np.uint64(b)] if lo < hi else self.owner[:0]
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Words of the text, merged ranges of hit words, and ids of items with a window in it."""
@@ -88,11 +112,20 @@ class Scanner:
         if not found:
             return len(words), [], set()
         ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word stands
-        ranges, items = [], set()
-        for end, k in found:
+        ranges, items, maybe = [], set(), set()
+        for end, kinds in found:
             last = int(np.searchsorted(ends, end))
-            ranges.append((last + 1 - self.length[k], last + 1))
-            items |= self.owners[k]
+            for k in kinds:
+                if k < 0:
+                    at = last + 1 - ANCHOR
+                    maybe.update(range(max(0, at + ANCHOR - WINDOW), min(at, len(words) - WINDOW) + 1))
+                else:
+                    ranges.append((last + 1 - self.short[k][0], last + 1))
+                    items |= self.short[k][1]
+        for at in maybe:
+            if len(who := self.owners(words[at : at + WINDOW])):
+                ranges.append((at, at + WINDOW))
+                items.update(x for x in map(self.names.__getitem__, who) if x is not None)
         return len(words), merged(ranges), items
 
 
@@ -115,19 +148,35 @@ def original_offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(at[words[a][0]]), int(at[words[b - 1][1]])) for a, b in ranges]
 
 
+def parts_of(text: str) -> list[str]:
+    """A text, or parts of at most BLOCK_BYTES that overlap by nine words, so that every window is in one."""
+    if len(text) * 4 <= BLOCK_BYTES or len(text.encode("utf-8", "surrogatepass")) <= BLOCK_BYTES:
+        return [text]
+    out, part, size = [], [], 0
+    for w in words_of(text):
+        if size + len(w) >= BLOCK_BYTES and len(part) > WINDOW:
+            out.append(part)
+            part = part[1 - WINDOW :]
+            size = sum(len(x) + 1 for x in part)
+        part.append(w)
+        size += len(w) + 1
+    return [b" ".join(p).decode("utf-8", "surrogatepass") for p in [*out, part]]
+
+
 def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Blocks of at most BLOCK_BYTES of items, or one item, in the order of their ids.
+    """Blocks of at most BLOCK_BYTES of items, in the order in which they come.
 
     Items stream to the driver a partition at a time.
     """
     rows, size = [], 0
     for item, text in items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        n = len(text or "")
-        if rows and size + n > BLOCK_BYTES:
-            yield rows
-            rows, size = [], 0
-        rows.append((item, text or ""))
-        size += n
+        for part in parts_of(text or ""):
+            n = len(part.encode("utf-8", "surrogatepass"))
+            if rows and size + n > BLOCK_BYTES:
+                yield rows
+                rows, size = [], 0
+            rows.append((item, part))
+            size += n
     yield rows
 
 
@@ -182,7 +231,8 @@ def n_hit() -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, without a hit word."""
-    for block in blocks(items):
+    for n, block in enumerate(blocks(items)):
+        docs = cut(docs) if n else docs
         shipped = Shipped(docs.sparkSession, block)
 
         def make(shipped=shipped):

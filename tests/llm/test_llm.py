@@ -138,6 +138,37 @@ def test_leaks(spark, monkeypatch):
     assert none.where("size(hits) > 0").count() == 0 and none.count() == 7
 
 
+def test_windows_by_brute_force():
+    """Few words, so that fives occur in many places: the same hits as a look at every window, in one block and in parts."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(str(i), some(rng.choice((0, 1, 4, 5, 9, 10, 11, 14, 25, 60)))) for i in range(40)]
+    parts = [(i, t) for i, text in items for t in decontaminate.parts_of(text)]
+    scanner = decontaminate.Scanner(parts)
+    for n in (0, 1, 5, 9, 10, 11, 40, 300):
+        for _ in range(5):
+            words = some(n).split() if n < 300 else some(200).split() + items[-1][1].split() + ["zz"] * 9
+            hit, names = set(), set()
+            for name, text in items:
+                w = text.split()
+                k = min(decontaminate.WINDOW, len(w))
+                for i in range(len(w) - k + 1 if w else 0):
+                    for j in range(len(words) - k + 1):
+                        if words[j : j + k] == w[i : i + k]:
+                            hit.update(range(j, j + k))
+                            names.add(name)
+            m, ranges, found = scanner.scan(" ".join(words))
+            assert (m, {x for a, b in ranges for x in range(a, b)}, found) == (len(words), hit, names)
+
+
+def test_long_items_in_parts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    words = [f"w{i}" for i in range(200)]
+    parts = [decontaminate.words_of(p) for p in decontaminate.parts_of(" ".join(words))]
+    windows = [tuple(p[i : i + 10]) for p in parts for i in range(len(p) - 9)]
+    assert len(parts) > 5 and sorted(windows) == sorted(tuple(w.encode() for w in words[i : i + 10]) for i in range(191))
+
+
 # ---- language
 
 
@@ -471,15 +502,16 @@ def test_prefix_pairs_by_brute_force(spark, monkeypatch):
         n = rng.choice((6, 9, 12, 15, 18, 20))
         texts.append([f"w{i}x{k}" for k in range(n)] + passage + (["p1", "p2"] * (i % 3)))
     bags = [Counter(near_dup.numbered_shingles([w.encode() for w in t]).tolist()) for t in texts]
-    key = [near_dup.digest([w.encode() for w in t]) for t in texts]
+    digests = [near_dup.digest([w.encode() for w in t]) for t in texts]
+    key = [(i * 37) % 101 for i in range(60)]
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    nodes = spark.createDataFrame([(k, i) for i, k in enumerate(key)], "id binary, doc long")
-    labels = spark.createDataFrame([(k, key[0]) for k in key[:20]], "id binary, comp binary")
+    nodes = spark.createDataFrame([(k, d, i) for i, (k, d) in enumerate(zip(key, digests, strict=True))], "id long, key binary, doc long")
+    labels = spark.createDataFrame([(k, key[0]) for k in key[:20]], "id long, comp long")
     monkeypatch.setattr(near_dup, "BLOCK", 7)
     keep = Scratch(spark)
     prefixes = keep.written(near_dup._prefixes(df, nodes, nodes.select("id"), keep, "doc_id", "text"), "prefixes")
     found = near_dup._prefix_pairs(prefixes, labels, one=False).collect()
-    got = {(bytes(r.a), bytes(r.b)) for r in found}
+    got = {(r.a, r.b) for r in found}
     want = set()
     for i in range(60):
         for j in range(i):
