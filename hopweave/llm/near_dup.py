@@ -10,8 +10,7 @@ the binary digits of a random number within the level, lies below w. So two mult
 share a component with exactly the probability of their weighted Jaccard similarity,
 and only processes that can still beat the latest component are followed.
 
-Documents with the same words are one node, named by the digest of the words. Nodes
-that agree on a band are a bucket. In each of PIVOTS rounds a bucket has a pivot, and
+Documents with the same words are one node, by the digest of the words. Nodes that agree on a band are a bucket. In each of PIVOTS rounds a bucket has a pivot, and
 the pairs of it with all other nodes of the bucket that are not connected to it yet are
 tested: pairs whose signatures leave a similarity of THRESHOLD possible are verified on
 the multisets, and the links join components. The pivot, all pairs of which are then
@@ -217,7 +216,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _bags_of(docs: DataFrame, wanted: DataFrame, bag: Callable[[list[bytes]], np.ndarray], kind: str, id_col: str, text_col: str) -> DataFrame:
-    """id (the node) and bag of the texts of documents that may be among wanted (doc)."""
+    """id (the node) and bag of the nodes in wanted (id, key, doc), as often as rows have their text."""
     shipped = Shipped(docs.sparkSession, _bloom(wanted))
     word, bits = _bloom_bits("id")
     both = F.expr("shiftleft(1L, x0) | shiftleft(1L, x1) | shiftleft(1L, x2)")
@@ -232,9 +231,9 @@ def _bags_of(docs: DataFrame, wanted: DataFrame, bag: Callable[[list[bytes]], np
             maybe = batch.filter(pa.array((bloom[w] & m) == m))
             for part in pieces(maybe, 0):
                 words = [x for x in map(words_of, texts_of(part, 0)) if x]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in words], pa.binary()), pa.array([bag(x) for x in words], packed)], names=["id", "bag"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in words], pa.binary()), pa.array([bag(x) for x in words], packed)], names=["key", "bag"])
 
-    return rows.mapInArrow(run, f"id binary, bag {kind}")
+    return rows.mapInArrow(run, f"key binary, bag {kind}").join(wanted.select("id", "key"), "key").select("id", "bag")
 
 
 def sorted_shingles(words: list[bytes]) -> bytes:
@@ -253,7 +252,7 @@ def numbered_shingles(words: list[bytes]) -> np.ndarray:
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) with j, the similarity of their multisets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bags = _bags_of(docs, ids.join(nodes.select("id", "doc"), "id"), sorted_shingles, "binary", id_col, text_col)
+    bags = _bags_of(docs, ids.join(nodes.select("id", "key", "doc"), "id"), sorted_shingles, "binary", id_col, text_col)
     both = pairs.select("a", "b").join(bags.toDF("b", "bb"), "b").join(bags.toDF("a", "ba"), "a")
 
     def run(batches):
@@ -262,7 +261,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(j, pa.float64())], names=["a", "b", "j"])
 
     # several rows may have the text of a node
-    return both.select("a", "b", "ba", "bb").mapInArrow(run, "a binary, b binary, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
+    return both.select("a", "b", "ba", "bb").mapInArrow(run, "a bigint, b bigint, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
 def _pivot_round(nodes: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -307,9 +306,8 @@ def first_that_may_differ(n) -> Column:
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, rest: DataFrame, keep: Scratch, id_col: str, text_col: str) -> DataFrame:
     """id, n, item, at: the shingles in the prefix of each node of rest (id) that other nodes of rest have too, and their places."""
-    few = rest.join(nodes.select("id", "doc"), "id")
-    bags = _bags_of(docs, few.select("doc"), numbered_shingles, "array<bigint>", id_col, text_col)
-    bags = keep.written(bags.join(rest, "id", "left_semi").dropDuplicates(["id"]), "bags")
+    bags = _bags_of(docs, rest.join(nodes.select("id", "key", "doc"), "id"), numbered_shingles, "array<bigint>", id_col, text_col)
+    bags = keep.written(bags.dropDuplicates(["id"]), "bags")
     items = bags.select("id", F.size("bag").cast("long").alias("n"), F.explode("bag").alias("item"))
     often = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
     shared = items.join(often, "item")
@@ -366,7 +364,7 @@ def _prefix_pairs(prefixes: DataFrame, labels: DataFrame | None, one: bool) -> D
             ids, comps, n, at, own = zip(*sorted(held), strict=True)
             found = pairs_of(ids, comps, np.array(n), np.array(at), np.array(own))
             while some := list(islice(found, 10_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*some, strict=True)], names=["a", "b", "ca", "cb"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=["a", "b", "ca", "cb"])
 
         for batch in batches:
             for i, c, n, at, own, *where in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -377,7 +375,7 @@ def _prefix_pairs(prefixes: DataFrame, labels: DataFrame | None, one: bool) -> D
         yield from flush()
 
     dealt = rows.select("id", "comp", "n", "at", "own", "item", "x", "y").repartition("item", "x", "y").sortWithinPartitions("item", "x", "y")
-    return dealt.mapInArrow(run, "a binary, b binary, ca binary, cb binary").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint").distinct()
 
 
 def components(links: DataFrame, keep: Scratch) -> DataFrame:
@@ -400,12 +398,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keep = Scratch(docs.sparkSession)
     found = keep.written(sketches(docs, id_col, text_col), "sketches")
     ids = found.where(F.col("key").isNotNull() & F.col("id").isNotNull()).select("id", "key")
-    same = keep.written(ids.groupBy("key").agg(F.min("id").alias("id")), "nodes")
-    nodes = found.join(same, ["id", "key"]).dropDuplicates(["key"])
-    nodes = keep.written(nodes.select(F.col("key").alias("id"), F.col("id").alias("doc"), "n", "buckets", "sig"), "sigs")
+    same = ids.groupBy("key").agg(F.min("id").alias("doc")).withColumn("node", F.monotonically_increasing_id())
+    same = keep.written(same, "nodes")  # written once, so a node has one number
+    own = same.withColumnRenamed("doc", "id")
+    nodes = found.join(own, ["id", "key"]).dropDuplicates(["node"])
+    nodes = keep.written(nodes.select(F.col("node").alias("id"), "key", F.col("id").alias("doc"), "n", "buckets", "sig"), "sigs")
     # rows of one id with different words are one class as well
-    several = ids.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("id", "a")
-    labels = _joined(None, ids.join(several, "id").select("a", F.col("key").alias("b")).where("a != b").distinct(), keep)
+    some = F.xxhash64("key")
+    several = ids.groupBy("id").agg(F.min(some).alias("x"), F.max(some).alias("y")).where("x != y").select("id")
+    several = ids.join(several, "id").join(same, "key").select("id", "node")
+    least = several.groupBy("id").agg(F.min("node").alias("a"))
+    labels = _joined(None, several.join(least, "id").select("a", F.col("node").alias("b")).where("a != b").distinct(), keep)
 
     def tested(pairs):
         return keep.written(_verified(docs, pairs, nodes, id_col, text_col).where(F.col("j") >= THRESHOLD).select("a", "b"), "links")
@@ -426,13 +429,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 pairs = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(best).select("p.*")
             labels = _joined(labels, tested(keep.written(pairs.select("a", "b"), "pairs")), keep)
     # a class is named by its least document
-    of_id = ids.groupBy("id").agg(F.min("key").alias("key"))
-    if labels is None:
-        named = of_id.join(same.withColumnRenamed("id", "class"), "key").select("id", "class")
-    else:
-        of_node = _named(same.select(F.col("key").alias("id"), F.col("id").alias("doc")), labels)
-        least = of_node.join(of_node.groupBy("comp").agg(F.min("doc").alias("class")), "comp").select(F.col("id").alias("key"), "class")
-        named = of_id.join(least, "key").select("id", "class")
+    of_node = _named(same.select(F.col("node").alias("id"), "key", "doc"), labels)
+    least = of_node.groupBy("comp").agg(F.min("doc").alias("class"))
+    named = ids.join(of_node.join(least, "comp").select("key", "class"), "key").select("id", "class").dropDuplicates(["id"])
     named = keep.written(named, "classes", last=True)
     out = keep.written(found.select("id"), "ids", last=True).join(named, "id", "left")
     keep.drop()
