@@ -12,10 +12,11 @@ def remainder(id_col: str, of: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, text and label of at most max_rows labelled rows for which keep holds.
+    """id_col, label and text of at most max_rows labelled rows for which keep holds.
 
     Which rows is decided by a hash of the id, so it depends on no order or partition.
-    Only ids and labels are sorted, and the side that is broadcast has max_rows rows.
+    Only ids and labels are sorted, and the side that is broadcast has max_rows rows. Of
+    several documents of one id the least text counts, so the bound holds for them too.
     """
     some = (
         labels.select(F.col(id_col), F.col(label).cast("int").alias("label"))
@@ -24,4 +25,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_r
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(some), id_col)
+    return texts.join(F.broadcast(some), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))

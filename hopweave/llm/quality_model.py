@@ -171,13 +171,13 @@ def _matrix(texts: list[str]) -> np.ndarray:
     return np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
 
 
-def learn(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", max_rows: int = MAX_ROWS) -> AdditiveModel:
+def learn(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """A model of at most max_rows labelled rows for which keep holds."""
-    rows = labelled(docs, labels, label, keep, max_rows)
+    rows = labelled(docs, labels, label, keep, max_rows, id_col, text_col)
     # the label rides with the id, so one pass gives both
-    keyed = rows.select(F.struct("doc_id", "label").alias("k"), "text")
+    keyed = rows.select(F.struct(F.col(id_col).alias("id"), "label").alias("k"), "text")
     got = map_documents(keyed, lambda: lambda texts: [[features(t) for t in texts]], "x array<double>", "k").collect()
-    got.sort(key=lambda r: (r.k.doc_id, r.k.label, r.x))
+    got.sort(key=lambda r: (r.k.id, r.k.label, r.x))
     x = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
     return AdditiveModel(x, np.array([r.k.label for r in got], dtype=float))
 

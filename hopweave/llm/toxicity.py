@@ -2,12 +2,13 @@
 
 Examples are a bounded sample of labelled documents (see labelled()). Their terms are
 words and word beginnings of PREFIXES letters (which stand for inflected and compound
-forms) whose presence, or repeated presence, goes with the label: chi-squared of at
-least min_chi2, the strongest max_terms; of two terms of which one begins the other
-the stronger stays, so a word is at most one term. Terms are weighted
-(1 + ln tf) * idf; all other words together are one background term that every text
-has once. Vectors have length one. So the words of a long text that say nothing about
-toxicity do not drown those that do, and how often these occur still counts.
+forms) whose presence, or repeated presence, goes with the label: all of them with a
+chi-squared of at least min_chi2; of two terms of which one begins the other the
+stronger stays, so a word is at most one term. Terms are weighted (1 + ln tf) * idf; all
+other words together are one background term that every text has once. Vectors have
+length one. So the words of a long text that say nothing about toxicity do not drown
+those that do, and how often these occur still counts. (With every word a term of its
+own, neighbours are texts on the same subject: README has the figures.)
 
 The index is inverted and block-max: per term the examples that hold it in order,
 and for each block of BLOCK examples the largest weight. A query visits blocks by
@@ -32,19 +33,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.batches import map_documents
+from hopweave.llm.batches import map_documents, pieces, texts_of
 from hopweave.llm.labelled import labelled, remainder
+from hopweave.llm.shared import written
 from hopweave.llm.shipping import Shipped
 
 MAX_ROWS = 12_000
-MAX_TERMS = 512
 MIN_CHI2, MIN_DOCS = 30.0, 5
 #: Letters of word beginnings that may be terms.
 PREFIXES = range(3, 9)
 #: Marks a form that occurs twice or more in a text.
 AGAIN = "2 "
-#: Forms that the driver ranks at most, those in most positive texts first.
-MOST_FORMS = 100_000
 NEIGHBOURS, BLOCK = 25, 64
 THRESHOLD = 0.7
 #: Queries whose neighbours a task keeps, by their terms.
@@ -86,7 +85,7 @@ def forms(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in PREFIXES if n < len(word))]
 
 
-def choose_terms(rows: DataFrame, max_terms: int = MAX_TERMS, min_chi2: float = MIN_CHI2, min_docs: int = MIN_DOCS) -> list[str]:
+def choose_terms(rows: DataFrame, min_chi2: float = MIN_CHI2, min_docs: int = MIN_DOCS) -> list[str]:
     """Terms of labelled rows (text, label) that go with the label, the strongest first."""
 
     def run(batches):
@@ -98,14 +97,15 @@ def choose_terms(rows: DataFrame, max_terms: int = MAX_TERMS, min_chi2: float =
 
         n: Counter = Counter()
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own: Counter = Counter()
-                for w, k in Counter(_words((text or "").lower())).items():
-                    for f in forms(w):
-                        own[f] += k
-                n.update((f, label) for f in own)
-                n.update((AGAIN + f, label) for f, k in own.items() if k > 1)
-                n["", label] += 1
+            for p in pieces(b, 0):
+                for text, label in zip(texts_of(p, 0), p.column(1).to_pylist(), strict=True):
+                    own: Counter = Counter()
+                    for w, k in Counter(_words(text.lower())).items():
+                        for f in forms(w):
+                            own[f] += k
+                    n.update((f, label) for f in own)
+                    n.update((AGAIN + f, label) for f, k in own.items() if k > 1)
+                    n["", label] += 1
                 if len(n) > 1_000_000:
                     yield packed(n)
                     n.clear()
@@ -114,32 +114,28 @@ def choose_terms(rows: DataFrame, max_terms: int = MAX_TERMS, min_chi2: float =
 
     part = rows.select("text", "label").mapInArrow(run, "form string, label int, n long")
     by_form = part.groupBy("form").agg(F.sum(F.col("n") * F.col("label")).cast("double").alias("a"), F.sum("n").cast("double").alias("t"))
-    enough = by_form.where((F.col("t") >= min_docs) & ((F.col("a") >= min_docs) | (F.col("form") == "")))
-    # a form in few positive texts cannot reach the strongest; the row of the empty form has the totals
-    found = enough.orderBy(F.desc("a"), "t", "form").limit(MOST_FORMS).collect()
-    total = next(((r.a, r.t) for r in found if r.form == ""), None)
+    found = written(by_form.where((F.col("t") >= min_docs) & (F.col("a") >= min_docs) | (F.col("form") == "")), "forms")
+    total = found.where("form = ''").first()
     if total is None:
         return []
-    return strongest([(r.form, r.a, r.t) for r in found if r.form], *total, max_terms, min_chi2)
-
-
-def strongest(forms: list[tuple[str, float, float]], pos: float, every: float, max_terms: int, min_chi2: float) -> list[str]:
-    """Of forms with (in how many positive, in how many) texts, those that go with the label."""
-    ranked = []
-    for form, a, t in forms:
-        b, c, d = t - a, pos - a, every - t - pos + a
-        under = t * (every - t) * pos * (every - pos)
-        chi2 = every * (a * d - b * c) ** 2 / under if under > 0 else 0.0
-        if chi2 >= min_chi2 and a * d > b * c:
-            ranked.append((-chi2 if form.endswith("$") else -0.9 * chi2, form.removeprefix(AGAIN)))
-    taken: list[str] = []
-    begins = lambda a, b: not a.endswith("$") and b.rstrip("$").startswith(a)
-    for _, form in sorted(ranked, key=lambda x: (x[0], -len(x[1]), x[1])):
-        if len(taken) == max_terms:
-            break
-        if not any(begins(t, form) or begins(form, t) for t in taken):
-            taken.append(form)
-    return taken
+    a, t, pos, every = F.col("a"), F.col("t"), F.lit(total.a), F.lit(total.t)
+    more = a * every - t * pos  # more often with the label than without
+    under = t * (every - t) * pos * (every - pos)
+    chi2 = F.when(under > 0, every * more * more / under)
+    return strongest([(r.form, r.chi2) for r in found.where("form != ''").where(more > 0).select("form", chi2.alias("chi2")).where(F.col("chi2") >= min_chi2).collect()])
+
+
+def strongest(forms: list[tuple[str, float]]) -> list[str]:
+    """Forms by falling chi-squared, whole words a little before beginnings, without those that begin a stronger one or that one begins."""
+    ranked = sorted((-c if f.endswith("$") else -0.9 * c, -len(f), f.removeprefix(AGAIN)) for f, c in forms)
+    taken: dict[str, None] = {}
+    longer: set[str] = set()  # beginnings of what is taken
+    for _, _, form in ranked:
+        begun = [form.rstrip("$")[:n] for n in range(1, len(form.rstrip("$")) + 1)]
+        if form not in taken and form not in longer and not any(b in taken for b in begun):
+            taken[form] = None
+            longer.update(begun)
+    return list(taken)
 
 
 class Index:
@@ -153,7 +149,7 @@ class Index:
         share = lambda ys: (sum(ys) + 0.5) / (len(ys) + 1.0)
         self.bare_score = share(bare) if bare else share(every)
         some = sorted((e for e in examples if e[2]), key=lambda e: (max(e[2], key=lambda x: (x[1], -x[0]))[0], e[2], e[0], e[1]))
-        self.ids = np.array([e[0] for e in some], dtype=np.int64)
+        self.ids = [e[0] for e in some]
         self.labels = np.array([e[1] for e in some], dtype=float)
         df = np.bincount([t for e in some for t, _ in e[2]], minlength=len(terms)) if some else np.zeros(len(terms))
         self.idf = np.log((1 + len(examples)) / (1 + df)) + 1
@@ -219,7 +215,7 @@ class Index:
             return float(self.bare_score), [], []
         best, cos = self.nearest(self.vector(counts))
         v = self.vote(best, cos)
-        return float(self.values[np.searchsorted(self.cuts, v, side="right")]), self.ids[best].tolist(), cos.tolist()
+        return float(self.values[np.searchsorted(self.cuts, v, side="right")]), [self.ids[n] for n in best], cos.tolist()
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,9 +232,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([g[0] for g in groups[1:]]), np.array([(g[1] + base) / (g[2] + 1.0) for g in groups])
 
 
-def learn(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", max_rows: int = MAX_ROWS) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """An index of at most max_rows labelled rows for which keep holds."""
-    rows = labelled(docs, labels, label, keep, max_rows)
+    rows = labelled(docs, labels, label, keep, max_rows, id_col, text_col)
     terms = choose_terms(rows)
     shipped = Shipped(docs.sparkSession, terms)
 
@@ -251,9 +247,9 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
 
         return work
 
-    keyed = rows.select(F.struct("doc_id", "label").alias("k"), "text")
+    keyed = rows.select(F.struct(F.col(id_col).alias("id"), "label").alias("k"), "text")
     got = map_documents(keyed, make, "t array<int>, c array<int>", "k").collect()
-    return Index(terms, sorted((r.k.doc_id, r.k.label, tuple(zip(r.t, r.c, strict=True))) for r in got))
+    return Index(terms, sorted((r.k.id, r.k.label, tuple(zip(r.t, r.c, strict=True))) for r in got))
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +269,8 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
         return lambda texts: list(zip(*map(one, texts), strict=True))
 
-    return map_documents(docs, make, "score double, neighbours array<long>, cosines array<double>", id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_documents(docs, make, f"score double, neighbours array<{kind}>, cosines array<double>", id_col, text_col)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,6 +258,10 @@ def test_language_ties_and_empty_tables(spark, docs):
 def test_sample_is_bounded(docs, labels):
     rows = labelled(docs, labels.unionAll(labels), "quality", remainder("doc_id", 5) != 0, 20)
     assert rows.count() <= 20 and rows.where(remainder("doc_id", 5) == 0).count() == 0
+    one = docs.limit(1).crossJoin(docs.sparkSession.range(50)).withColumn("text", F.concat_ws(" ", "id", "text"))
+    label = one.select("doc_id", F.lit(1).alias("quality"))
+    got = labelled(one, label, "quality", F.lit(True), 5).collect()
+    assert len(got) == 1 and got[0].text.startswith("0 ")
 
 
 def auc(y, s):
@@ -276,6 +280,29 @@ def test_quality(spark, awkward, docs, labels):
     assert quality_model.score(awkward, quality_model.AdditiveModel(np.zeros((0, 0)), np.zeros(0))).first().score == 0.5
 
 
+def test_quality_query_by_brute_force(spark, tmp_path, labels):
+    """Scores of the whole query are the intercept and one entry of each table, looked up one at a time."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10_000 + i, t) for i, t in enumerate(AWKWARD)] + [(None, "no id"), (20_000, rows[0][1]), (20_001, " ".join(t or "" for _, t in rows))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = [(r.doc_id, r) for r in quality_model.op9_quality_classifier(spark, str(tmp_path)).collect()]
+    m = quality_model.learn(docs, labels, remainder("doc_id", 5) != 0)
+    assert m.tables and m.pairs and sorted(str(d) for d, _ in got) == sorted(str(d) for d, _ in rows)
+    texts = dict(rows)
+    for d, r in got:
+        x = quality_model.features(texts[d] or "")
+        where = lambda f, edges: sum(e <= x[f] for e in edges[f])
+        margin = m.intercept + sum(t[where(f, m.edges)] for f, t in enumerate(m.tables))
+        margin += sum(t[where(a, m.coarse), where(b, m.coarse)] for (a, b), t in zip(m.pairs, m.grids, strict=True))
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 0)
+    by = dict(got)
+    assert by[20_000].score == by[rows[0][0]].score and by[10_008].score == by[10_009].score  # ties and repeats
+    assert quality_model.score(docs.where("false"), m).count() == 0 and quality_model.keep_good(docs.where("false"), m).count() == 0
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
@@ -289,17 +316,55 @@ def test_index_equals_a_scan():
     terms = [f"t{i}$" for i in range(12)]
     examples = [(n, rnd.randint(0, 1), tuple(sorted((t, rnd.randint(1, 4)) for t in rnd.sample(range(12), rnd.randint(0, 4))))) for n in range(600)]
     index = toxicity.Index(terms, examples)
-    dense = np.zeros((len(index.ids), 13))
-    for n, (t, w) in enumerate(index.vectors):
-        dense[n, t] = w
+    held = [dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in index.vectors]
     for _ in range(100):
         v = index.vector(sorted((t, rnd.randint(1, 3)) for t in rnd.sample(range(12), 3)))
-        q = np.zeros(13)
-        q[v[0]] = v[1]
-        cos = np.round(dense @ q, 12)
+        cos = np.zeros(len(held))
+        for t, w in zip(*(x.tolist() for x in v), strict=True):
+            cos += [w * h.get(t, 0.0) for h in held]
+        cos = np.round(cos, 12)
         want = np.lexsort((np.arange(len(cos)), -cos))[: toxicity.NEIGHBOURS]
         best, got = index.nearest(v)
-        assert np.allclose(got, cos[want]) and (best == want).mean() > 0.9  # ties may differ in the last digit
+        assert best.tolist() == want.tolist() and got.tolist() == cos[want].tolist()
+
+
+def test_toxicity_query_by_brute_force(spark, tmp_path):
+    """Scores and evidence of the whole query against a scan over all examples, with repeated texts and odd rows."""
+    rnd, bad = random.Random(4), ["rotten", "rottenly", "vile", "filthy"]
+    word = lambda: f"w{rnd.randrange(60)}x"
+    rows = [(i, " ".join([word() for _ in range(20)] + [rnd.choice(bad) for _ in range(3 if i % 4 == 0 else rnd.random() < 0.05)])) for i in range(500)]
+    rows += [(501, None), (502, ""), (503, rows[0][1]), (504, "Vile! " * 2000 + "word " * 5000), (None, "vile vile")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(500)], "doc_id long, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, str(tmp_path)).collect()}
+    crc = lambda d: zlib.crc32(("" if d is None else str(d)).encode())
+    index = toxicity.learn(docs, labels, remainder("doc_id", 3) != 1)
+    texts = dict(rows)
+    known = sorted((d, texts[d]) for d in range(500) if crc(d) % 3 != 1 and index.terms.counts(texts[d]))
+    assert sorted(index.ids) == [d for d, _ in known]
+    n_terms, everyone = len(index.terms.number), [d for d in range(500) if crc(d) % 3 != 1]
+    df = Counter(t for d in everyone for t, _ in index.terms.counts(texts[d]))
+
+    def weights(text):
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(everyone)) / (1 + df[t])) + 1) for t, n in index.terms.counts(text)} | {n_terms: 1.0}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    held = {d: weights(t) for d, t in known}
+    for d, text in rows:
+        r = got[d]
+        assert r.held_out == (crc(d) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        if not index.terms.counts(text or ""):
+            assert r.score == index.bare_score and r.neighbours == []
+            continue
+        w = weights(text)
+        cos = {e: sum(x * v.get(t, 0.0) for t, x in w.items()) for e, v in held.items()}
+        least = sorted(cos.values())[-toxicity.NEIGHBOURS]
+        assert len(set(r.neighbours)) == toxicity.NEIGHBOURS and min(cos[e] for e in r.neighbours) > least - 1e-9
+    assert got[503].score == got[0].score and got[504].predicted == 1 and got[502].predicted == 0
+    assert toxicity.score(docs.where("false"), index).count() == 0
 
 
 def test_toxicity(spark, awkward, labels):
