@@ -2,13 +2,15 @@
 
 The patterns (`assign`, `access`, `hex`) give the base spans. The field tags every
 token as begin, inside or outside of a secret from its own shape, the words and shapes
-around it and features of the file, and is decoded by Viterbi; runs that touch no base
-span are added as kind `crf`. Base spans are never changed.
+around it and features of the file, and is decoded by Viterbi; what its runs have beyond
+base spans is added as kind `crf`. Base spans are never changed.
 
-Learning takes windows of at most max_docs documents: around base spans, around secrets
-of other forms that are written into the same texts for training (key blocks, bearer
-tokens, provider keys, pass phrases), and around ordinary tokens, which teach what is
-no secret. The likelihood is maximised by full forward-backward passes in numpy.
+Learning takes at most max_docs documents of any length, chosen by a hash, and of them
+at most max_windows windows, chosen alike: around every base span, around secrets of
+other forms that are written into the same texts for training (key blocks, bearer tokens,
+provider keys, pass phrases), and around ordinary tokens, which teach what is no secret.
+Windows are made on the executors, and only they come to the driver. The likelihood is
+maximised by full forward-backward passes in numpy.
 
 A token's features are looked up once per task and distinct token. Decoding looks only
 at texts with a token that could lie in a secret: any run of tags other than outside
@@ -42,8 +44,10 @@ _assign_words = ("password", "passwd", "secret", "token", "api")
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the runs of 24 or more
 
-MAX_DOCS = 1000
+MAX_DOCS, MAX_WINDOWS = 1000, 8000
 WINDOW = 12
+#: Characters of a run beyond base spans that are a span of their own.
+LEAST = 6
 BUCKETS = 1 << 15
 EPOCHS = 30
 #: Windows that a word or a beginning must stand in to be known.
@@ -81,7 +85,7 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 def shape(token: str) -> tuple[str, int]:
     """Runs of upper, other letter, digit and sign classes (at most six), and how often the class changes."""
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64]]
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token]
     runs = [k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k]
     return "".join(runs[:6]) + ("~" if len(runs) > 6 else ""), len(runs) - 1
 
@@ -95,14 +99,14 @@ PLACES = (0, -1, -2, 1)
 
 
 def signature(token: str, words: set[str]) -> tuple:
-    """All that the features of a token depend on: its word or beginning if known, shape, turns, length, digits, letters."""
+    """All that the features of a token depend on: its word or beginning if known (else whether it is of letters), shape, turns, length, digits, letters."""
     n = len(token)
     if token.isalpha() and token.islower():
         return (token if token in words else "?", "a", 0, min(n, 56) // 4 if n > 8 else -n, "?", False, True)
     sh, turns = shape(token)
     word = token.lower()
     head = token[:4] if n > 8 and token[:4] in words else "?"
-    return (word if word in words else "?", sh, min(turns, 12) // 2, min(n, 56) // 4 if n > 8 else -n, head, any(c.isdigit() for c in token), any(c.isalpha() for c in token))
+    return (word if word in words else "?" if token.isalpha() else "#", sh, min(turns, 12) // 2, min(n, 56) // 4 if n > 8 else -n, head, any(c.isdigit() for c in token), any(c.isalpha() for c in token))
 
 
 def features_of(sig: tuple) -> list[list[int]]:
@@ -257,7 +261,7 @@ def planted(rnd: random.Random) -> tuple[str, str]:
     some = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     any_ = low + up + dig
-    k = rnd.randrange(6)
+    k = rnd.randrange(9)
     if k == 0:
         s = some(any_ + "-_", rnd.randint(24, 60))
         return f"Authorization: Bearer {s}", s
@@ -273,12 +277,17 @@ def planted(rnd: random.Random) -> tuple[str, str]:
     if k == 4:
         s = some(up + dig, rnd.randint(16, 32))
         return f"{rnd.choice(['ASIA', 'AIza', 'SG.'])}{s}", ""
-    s = ".".join(("eyJ" + some(any_, 18), "eyJ" + some(any_, 30), some(any_ + "-_", 30)))
-    return f"jwt {s}", s
+    if k == 5:
+        s = ".".join(("eyJ" + some(any_, 18), "eyJ" + some(any_, 30), some(any_ + "-_", 30)))
+        return f"jwt {s}", s
+    # no known form: a word of any letters, a sign, and a long draw from any alphabet
+    s = some(rnd.choice((up + dig, low + dig, any_, any_, any_ + "+/", any_ + "-_")), rnd.randint(18, 70))
+    name = some(rnd.choice((low, up, low + up)), rnd.randint(2, 10))
+    return f"{name}{rnd.choice((' ', ': ', '.', '-', '_', '=', ':', '/'))}{s}", s
 
 
 def training_windows(text: str, seed: int) -> list[tuple[list[str], list[int], list[int]]]:
-    """(tokens, tags, file features) around base spans, around planted lines and at one ordinary place."""
+    """(tokens, tags, file features) around all base spans, around a planted line and at two ordinary places."""
     rnd = random.Random(seed)
     spans = value_spans(text)
     line, secret = planted(rnd)
@@ -302,7 +311,7 @@ def training_windows(text: str, seed: int) -> list[tuple[list[str], list[int], l
             if inside and not again:
                 hot.append(len(tokens) - 1)
         file = file_features(t, len(tokens))
-        for h in [*hot[:4], *(rnd.randrange(len(tokens)) for _ in range(2 if tokens else 0))]:
+        for h in [*hot, *(rnd.randrange(len(tokens)) for _ in range(2 if tokens else 0))]:
             a, b = max(0, h - WINDOW), h + WINDOW
             labels = [x for x, _ in tags[a:b]]
             if labels and labels[0] == I:
@@ -311,9 +320,11 @@ def training_windows(text: str, seed: int) -> list[tuple[list[str], list[int], l
     return out
 
 
-def fit(texts: list[str]) -> Field:
-    """A field of windows of texts."""
-    found = [w for k, t in enumerate(texts) for w in training_windows(t, k)]
+Window = tuple[list[str], list[int], list[int]]
+
+
+def fit(found: list[Window]) -> Field:
+    """A field of windows."""
     often: Counter = Counter(x for tokens, _, _ in found for t in set(tokens) for x in {t.lower() if len(t) <= 16 else "", t[:4] if len(t) > 8 else ""} if x)
     field = Field({x for x, n in often.items() if n >= MIN_WINDOWS})
     if not found:
@@ -334,25 +345,56 @@ def fit(texts: list[str]) -> Field:
     return field
 
 
-def learn(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """A field of at most max_docs documents that are not longer than 20,000 characters, chosen by a hash.
+def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """A field of windows of documents chosen by a hash.
 
-    Half of them have a word of an assignment, so that the patterns label secrets.
+    Half of the documents have a word of an assignment, so that the patterns label secrets.
+    Only hashes are ranked; what is broadcast are at most max_docs of them.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t").between(1, 20_000))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("t")).where("length(t) > 0")
     hinted = F.lower("t").rlike("(password|passwd|secret|token|api_?key).{0,4}[:=]")
-    first = lambda some: some.orderBy(F.xxhash64("i"), "i", "t").limit(max_docs // 2)
-    texts = [r.t for r in first(rows.where(hinted)).unionAll(first(rows)).collect()]
-    return fit(sorted(texts))
+    first = lambda some: some.select("h").distinct().orderBy("h").limit(max_docs // 2)
+    chosen = first(rows.where(hinted)).unionAll(first(rows)).distinct()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for part in pieces(b, 1):
+                for h, t in zip(part.column(0).to_pylist(), texts_of(part, 1), strict=True):
+                    made = training_windows(t, h)
+                    columns = [[h] * len(made), range(len(made)), *zip(*made, strict=True)]
+                    kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "n", "tokens", "tags", "file"])
+
+    made = rows.join(F.broadcast(chosen), "h").select("h", "t").mapInArrow(run, "h long, n int, tokens array<string>, tags array<int>, file array<int>")
+    # repeated rows make the same windows
+    some = made.orderBy(F.xxhash64("h", "n"), "h", "n").limit(max_windows).collect()
+    return fit([x for _, x in sorted({(r.h, r.n): (r.tokens, r.tags, r.file) for r in some}.items())])
 
 
 # ---- use
 
 
+def beyond(text: str, start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What of a run lies outside base spans: from letter or digit to letter or digit, LEAST characters or more; a run that touches none as it is."""
+    cuts = sorted((max(x, start), min(y, end)) for _, x, y in base if x < end and start < y)
+    if not cuts:
+        return [(start, end)]
+    out, at = [], start
+    for x, y in [*cuts, (end, end)]:
+        some = [i for i in range(at, x) if text[i].isalnum()]
+        if some and some[-1] + 1 - some[0] >= LEAST:
+            out.append((some[0], some[-1] + 1))
+        at = max(at, y)
+    return out
+
+
 def found_in(tagger: Tagger, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and spans of the field that touch none of them."""
+    """Base spans, and what the field's runs have beyond them."""
     base = base_spans(text)
-    more = [("crf", s, e) for s, e in tagger.spans(text) if not any(s < y and x < e for _, x, y in base)]
+    more = [("crf", x, y) for s, e in tagger.spans(text) for x, y in beyond(text, s, e, base)]
     return base, more
 
 
