@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Text bytes that one call of an operator's function gets at most, unless a single text is longer.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

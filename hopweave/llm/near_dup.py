@@ -215,8 +215,8 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _bags_of(docs: DataFrame, wanted: DataFrame, bag: Callable[[list[bytes]], np.ndarray], kind: str, id_col: str, text_col: str) -> DataFrame:
-    """id (the node) and bag of the nodes in wanted (id, key, doc), as often as rows have their text."""
+def _bags_of(docs: DataFrame, wanted: DataFrame, bag: Callable[[list[bytes]], np.ndarray], kind: str, keep: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """id and bag of the nodes in wanted (id, key, doc); written, so that texts are read once and one Python process works at a time."""
     shipped = Shipped(docs.sparkSession, _bloom(wanted))
     word, bits = _bloom_bits("id")
     both = F.expr("shiftleft(1L, x0) | shiftleft(1L, x1) | shiftleft(1L, x2)")
@@ -233,7 +233,8 @@ def _bags_of(docs: DataFrame, wanted: DataFrame, bag: Callable[[list[bytes]], np
                 words = [x for x in map(words_of, texts_of(part, 0)) if x]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in words], pa.binary()), pa.array([bag(x) for x in words], packed)], names=["key", "bag"])
 
-    return rows.mapInArrow(run, f"key binary, bag {kind}").join(wanted.select("id", "key"), "key").select("id", "bag")
+    found = rows.mapInArrow(run, f"key binary, bag {kind}").join(wanted.select("id", "key"), "key").select("id", "bag")
+    return keep.written(found.dropDuplicates(["id"]), "bags")  # several rows may have the text of a node
 
 
 def sorted_shingles(words: list[bytes]) -> bytes:
@@ -249,10 +250,10 @@ def numbered_shingles(words: list[bytes]) -> np.ndarray:
     return mixed(s + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, keep: Scratch, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) with j, the similarity of their multisets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bags = _bags_of(docs, ids.join(nodes.select("id", "key", "doc"), "id"), sorted_shingles, "binary", id_col, text_col)
+    bags = _bags_of(docs, ids.join(nodes.select("id", "key", "doc"), "id"), sorted_shingles, "binary", keep, id_col, text_col)
     both = pairs.select("a", "b").join(bags.toDF("b", "bb"), "b").join(bags.toDF("a", "ba"), "a")
 
     def run(batches):
@@ -260,8 +261,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str,
             j = [similarity(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)) for a, b in zip(x.column(2), x.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(j, pa.float64())], names=["a", "b", "j"])
 
-    # several rows may have the text of a node
-    return both.select("a", "b", "ba", "bb").mapInArrow(run, "a bigint, b bigint, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
+    return both.select("a", "b", "ba", "bb").mapInArrow(run, "a bigint, b bigint, j double")
 
 
 def _pivot_round(nodes: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -306,8 +306,7 @@ def first_that_may_differ(n) -> Column:
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, rest: DataFrame, keep: Scratch, id_col: str, text_col: str) -> DataFrame:
     """id, n, item, at: the shingles in the prefix of each node of rest (id) that other nodes of rest have too, and their places."""
-    bags = _bags_of(docs, rest.join(nodes.select("id", "key", "doc"), "id"), numbered_shingles, "array<bigint>", id_col, text_col)
-    bags = keep.written(bags.dropDuplicates(["id"]), "bags")
+    bags = _bags_of(docs, rest.join(nodes.select("id", "key", "doc"), "id"), numbered_shingles, "array<bigint>", keep, id_col, text_col)
     items = bags.select("id", F.size("bag").cast("long").alias("n"), F.explode("bag").alias("item"))
     often = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
     shared = items.join(often, "item")
@@ -411,7 +410,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     labels = _joined(None, several.join(least, "id").select("a", F.col("node").alias("b")).where("a != b").distinct(), keep)
 
     def tested(pairs):
-        return keep.written(_verified(docs, pairs, nodes, id_col, text_col).where(F.col("j") >= THRESHOLD).select("a", "b"), "links")
+        return keep.written(_verified(docs, pairs, nodes, keep, id_col, text_col).where(F.col("j") >= THRESHOLD).select("a", "b"), "links")
 
     members = keep.written(_open(nodes.select(F.explode("buckets").alias("bucket"), "id"), labels), "members")
     for n in range(PIVOTS):
