@@ -6,6 +6,7 @@ counts as an empty text unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -192,8 +193,8 @@ def compact_time(c: Column) -> Column:
 
 
 def retrieval_tokens(c: Column) -> Column:
-    """Runs of two or more lower-case letters or digits."""
-    return find_all(F.lower(text(c)), "[a-z0-9]{2,}")
+    """Runs of two or more letters or digits of any script, lower case."""
+    return find_all(F.lower(text(c)), "[\\p{L}\\p{N}]{2,}")
 
 
 def topic_tokens(c: Column) -> Column:
@@ -422,13 +423,37 @@ def coordinate(c: Column, kind: str) -> Column:
 # ---- names of places
 
 
-_ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _folding(last: int = 0xFFFF) -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition leaves of a character without its marks: one character, and several Latin ones."""
+    one, more = {}, {}
+    for n in (*range(0xC0, 0xD800), *range(0xF900, last + 1)):
+        parts = unicodedata.normalize("NFKD", chr(n))
+        rest = "".join(x for x in parts if unicodedata.category(x) != "Mn")
+        if rest != chr(n) and len(rest) == 1:
+            one[chr(n)] = rest
+        elif rest != chr(n) and rest.isascii() and rest.isalpha():
+            more[chr(n)] = rest
+    return one, more
+
+
+_FOLDED, _SPELLED = _folding()
+
+
+def fold_accents(c: Column | str) -> Column:
+    """Without accents, in any script whose accented letters decompose; ligatures of Latin letters are spelled out.
+
+    A table of characters and one pattern, so it stays in the JVM.
+    """
+    s = text(F.col(c) if isinstance(c, str) else c)
+    s = F.regexp_replace(F.translate(s, "".join(_FOLDED), "".join(_FOLDED.values())), "\\p{Mn}+", "")
+    table = F.create_map(*(F.lit(x) for pair in _SPELLED.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(table[x], x)), "")
+    return F.when(s.rlike(f"[{''.join(_SPELLED)}]"), spelled).otherwise(s)
 
 
 def place_key(c: Column) -> Column:
-    """Lower case without accents (Latin-1) and punctuation, spaces collapsed."""
-    s = F.translate(F.lower(strip(text(c))), _ACCENTS + "’–—", _PLAIN + "'--")
+    """Lower case without accents and punctuation, spaces collapsed."""
+    s = fold_accents(F.translate(F.lower(strip(text(c))), "’–—", "'--"))
     return strip(F.regexp_replace(F.regexp_replace(s, "[^\\p{L}\\p{N}_\\s-]", " "), "\\s+", " "))
 
 

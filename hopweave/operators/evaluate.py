@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hopweave.operators.numbering import by_text, numbered, running_sums, spread
+
 EPS = 1e-12
 
 
@@ -15,20 +16,51 @@ def group_key(group: Column, seed: int) -> Column:
 
 
 def group_holdout(df: DataFrame, group: str, fraction: float = 0.3, seed: int = 42) -> DataFrame:
-    """group, split: whole groups go to test in hashed order until it has round(fraction * rows) rows.
-
-    The running sum is over one row per group.
-    """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    """group, split: whole groups go to test in hashed order until it has round(fraction * rows) rows."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("key", group_key(F.col(group), seed))
     target = sizes.agg(F.bround(fraction * F.sum("n")).alias("target"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(group_key(F.col(group), seed), group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sizes.withColumn("before", before).crossJoin(F.broadcast(target)).select(group, F.when(F.col("before") < F.col("target"), "test").otherwise("pool").alias("split"))
+    upto = running_sums(sizes, by_text(F.col("key")), ["key", group], {"upto": F.col("n")})
+    return upto.crossJoin(F.broadcast(target)).select(group, F.when(F.col("upto") - F.col("n") < F.col("target"), "test").otherwise("pool").alias("split"))
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
     """group, fold: groups dealt round in hashed order."""
-    groups = df.select(group).distinct()
-    return groups.select(group, ((F.row_number().over(W.orderBy(group_key(F.col(group), seed), group)) - 1) % k).alias("fold"))
+    groups = df.select(group).distinct().withColumn("key", group_key(F.col(group), seed))
+    return numbered(groups, by_text(F.col("key")), ["key", group], "i").select(group, ((F.col("i") - 1) % k).cast("int").alias("fold"))
+
+
+#: Columns that name a subject, and columns of free text, in the order in which they are looked for.
+GROUP_COLUMNS = ("Serialized ID", "Unique ID", "Victim ID", "sid", "subject_id", "id")
+TEXT_COLUMNS = ("text", "Text", "narrative", "Narrative", "content")
+
+
+def group_column(df: DataFrame, asked: str | None = None, index: str | None = None) -> Column:
+    """The group of each row: the column asked for, else an id, else a digest of the text, else the row's index, else one group."""
+    if asked in df.columns:
+        return F.coalesce(F.col(f"`{asked}`").cast("string"), F.lit("NA"))
+    if name := next((c for c in GROUP_COLUMNS if c in df.columns), None):
+        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("NA"))
+    if name := next((c for c in TEXT_COLUMNS if c in df.columns), None):
+        return F.concat(F.lit("tx:"), F.substring(F.md5(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("NA")).cast("binary")), 1, 16))
+    return F.concat(F.lit("row:"), F.col(f"`{index}`").cast("string")) if index else F.lit("all")
+
+
+def build_splits(df: DataFrame, group: str, k: int = 5, fraction: float = 0.3, seed: int = 42) -> DataFrame:
+    """group, split, fold: the hold-out, and for the groups of the pool the fold in which they validate."""
+    split = group_holdout(df, group, fraction, seed)
+    folds = group_kfold(split.where("split = 'pool'"), group, k, seed)
+    return split.join(folds, group, "left")
+
+
+def persist_splits(splits: DataFrame, catalog, name: str, group: str, k: int = 5, seed: int = 42) -> str:
+    """Saves splits in a catalog as a dataset of kind eval_splits; its id. join() with it by group gives back the rows of a split."""
+    return catalog.save(splits, name, "eval_splits", extra={"group_col": group, "k": k, "seed": seed})
+
+
+def apply_split(df: DataFrame, splits: DataFrame, group: str, split: str, fold: int | None = None) -> DataFrame:
+    """Rows of a split; with a fold of the pool, those that validate in it."""
+    own = splits.where(F.col("split") == split)
+    return df.join((own if fold is None else own.where(F.col("fold") == fold)).select(group), group, "left_semi")
 
 
 def split_summary(rows: DataFrame, group: str, split: str) -> DataFrame:
@@ -49,17 +81,19 @@ def confusion(df: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
 
 def curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """score, tp, fp, pos, neg: cumulative counts by falling score; one row per distinct score, so ties count as one step."""
+    return _curve(df, truth, score).select(score, "tp", "fp", "pos", "neg")
+
+
+def _curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     by_score = df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("m"))
     total = by_score.agg(F.sum("p").alias("pos"), F.sum("m").alias("neg"))  # one row
-    w = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    return by_score.select(score, F.sum("p").over(w).alias("tp"), F.sum("m").over(w).alias("fp")).crossJoin(F.broadcast(total))
+    return running_sums(by_score, -spread(F.col(score)), [F.desc(score)], {"tp": F.col("p"), "fp": F.col("m")}).crossJoin(F.broadcast(total))
 
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One row: area under the ROC curve by mean ranks, so ties count half."""
     by_score = df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count("*").alias("n"))
-    below = F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    ranks = by_score.withColumn("r", below + (F.col("n") + 1) / 2)
+    ranks = running_sums(by_score, spread(F.col(score)), [score], {"upto": F.col("n")}).withColumn("r", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     s = ranks.agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     return s.select(F.when((F.col("p") > 0) & (neg > 0), (F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("auc"))
@@ -67,10 +101,11 @@ def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One row: area under the precision-recall curve by trapezoids over distinct scores, from recall 0 and precision 1."""
-    c = curve(df, truth, score).select(score, (F.col("tp") / F.col("pos")).alias("r"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("p"))
-    w = W.orderBy(F.desc(score))
-    pr, pp = F.coalesce(F.lag("r").over(w), F.lit(0.0)), F.coalesce(F.lag("p").over(w), F.lit(1.0))
-    return c.select(((F.col("r") - pr) * (F.col("p") + pp) / 2).alias("a")).agg(F.sum("a").alias("ap"))
+    c = _curve(df, truth, score)
+    recall, precision = F.col("tp") / F.col("pos"), F.col("tp") / (F.col("tp") + F.col("fp"))
+    tp, all_of = F.col("tp") - F.col("p"), F.col("tp") + F.col("fp") - F.col("p") - F.col("m")  # at the step before
+    before = F.when(all_of > 0, tp / all_of).otherwise(1.0)
+    return c.select(((recall - tp / F.col("pos")) * (precision + before) / 2).alias("a")).agg(F.sum("a").alias("ap"))
 
 
 def brier(df: DataFrame, truth: str, score: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopweave.operators.trajectory import collapse
+from hopweave.operators.numbering import numbered, spread
+from hopweave.operators.trajectory import collapse, last_place
 
 ALPHA = 0.05
 #: Weights of the trigram, bigram and unigram estimates.
@@ -39,10 +40,10 @@ def contexts(df: DataFrame, subject: str, place: str, order: str) -> DataFrame:
     return pairs.groupBy(subject).agg(F.max_by("__p", order).alias("c2"), F.max_by(place, order).alias("c1"))
 
 
-def next_distribution(grams: DataFrame, ctx: DataFrame, subject: str, alpha: float = ALPHA, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """subject, w, prob: places that may come next, with probabilities that add up to 1.
+def by_context(grams: DataFrame, contexts: DataFrame, alpha: float = ALPHA, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """c2, c1, w, prob of distinct contexts; for c1 null, of a context of which nothing is known.
 
-    Candidates are the words seen after the context, or all words after an unseen one.
+    Candidates are the words seen after the context, or all words where nothing is known.
     Each estimate is add-alpha smoothed; the weights of those with a context are scaled
     to 1.
     """
@@ -52,16 +53,38 @@ def next_distribution(grams: DataFrame, ctx: DataFrame, subject: str, alpha: flo
     tri = grams.where("n = 3").select("c2", "c1", "w", F.col("count").alias("n3"))
     total = uni.agg(F.sum("n1").alias("t1"), F.count("*").alias("v"))  # one row
     d2, d3 = bi.groupBy("c1").agg(F.sum("n2").alias("d2")), tri.groupBy("c2", "c1").agg(F.sum("n3").alias("d3"))
-    ctx = ctx.join(d2, "c1", "left").join(d3, ["c2", "c1"], "left").crossJoin(F.broadcast(total))
-    seen = ctx.where("d2 IS NOT NULL").join(bi.select("c1", "w"), "c1")
-    unseen = ctx.where("d2 IS NULL").crossJoin(F.broadcast(uni.select("w")))  # the vocabulary of places, for subjects without context
-    cand = seen.unionByName(unseen).join(uni, "w").join(bi, ["c1", "w"], "left").join(tri, ["c2", "c1", "w"], "left")
+    ctx = contexts.select("c2", "c1").distinct().join(d2, "c1", "left").join(d3, ["c2", "c1"], "left")
+    seen = ctx.where("d2 IS NOT NULL").join(bi.select("c1", "w"), "c1").select("c2", "c1", "d2", "d3", "w")
+    null, none = F.lit(None).cast("string"), F.lit(None).cast("long")
+    unseen = ctx.where("d2 IS NULL").limit(1).select(null.alias("c2"), null.alias("c1"), none.alias("d2"), none.alias("d3"))  # one context stands for all of them
+    cand = seen.unionAll(unseen.crossJoin(uni.select("w"))).join(uni, "w").join(bi, ["c1", "w"], "left").join(tri, ["c2", "c1", "w"], "left").crossJoin(F.broadcast(total))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     est = lambda n, d: (zero(n) + alpha) / (zero(d) + alpha * F.col("v"))
     has3, has2 = (zero("d3") > 0).cast("double"), (zero("d2") > 0).cast("double")
     mixed = (w3 * has3 * est("n3", "d3") + w2 * has2 * est("n2", "d2") + w1 * est("n1", "t1")) / (w3 * has3 + w2 * has2 + w1)
-    rows = cand.select(subject, "w", mixed.alias("p"))
-    return rows.select(subject, "w", (F.col("p") / F.sum("p").over(W.partitionBy(subject))).alias("prob"))
+    rows = cand.select("c2", "c1", "w", mixed.alias("p"))
+    return rows.select("c2", "c1", "w", (F.col("p") / F.sum("p").over(W.partitionBy("c2", "c1"))).alias("prob"))
+
+
+def for_subjects(dist: DataFrame, grams: DataFrame, ctx: DataFrame) -> DataFrame:
+    """ctx with the columns of a table by context; subjects whose context is unknown get the rows of the null context."""
+    known = grams.where("n = 2").select(F.col("c1").alias("known")).distinct()
+    rows = ctx.join(known, ctx["c1"] == known["known"], "left")
+    mine = rows.withColumns({"c2": F.when(F.col("known").isNotNull(), F.col("c2")), "c1": F.col("known")}).drop("known")
+    there = dist.withColumnsRenamed({"c2": "__c2", "c1": "__c1"})
+    return mine.join(there, mine["c2"].eqNullSafe(there["__c2"]) & mine["c1"].eqNullSafe(there["__c1"])).drop("__c1", "__c2")
+
+
+def next_distribution(grams: DataFrame, ctx: DataFrame, subject: str, alpha: float = ALPHA, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """subject, w, prob: places that may come next, with probabilities that add up to 1."""
+    return for_subjects(by_context(grams, ctx, alpha, weights), grams, ctx).select(subject, "w", "prob")
+
+
+def next_ranked(grams: DataFrame, ctx: DataFrame, subject: str, k: int) -> DataFrame:
+    """subject, w, prob, rank: the k best places of each subject; they are ranked once for each context."""
+    w = W.partitionBy("c2", "c1").orderBy(F.desc(F.round("prob", 12)), "w")
+    best = by_context(grams, ctx).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return for_subjects(best, grams, ctx).select(subject, "w", "prob", "rank")
 
 
 def ranked(dist: DataFrame, subject: str, k: int, item: str = "w", score: str = "prob") -> DataFrame:
@@ -70,11 +93,19 @@ def ranked(dist: DataFrame, subject: str, k: int, item: str = "w", score: str =
     return dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def predict_next_dist(grams: DataFrame, prev2: str | None = None, prev1: str | None = None, k: int = 50) -> DataFrame:
+    """w, prob: the k best places after up to two places; blank ones count as not given."""
+    last = [x for x in (prev2, prev1) if isinstance(x, str) and x.strip()]
+    c2, c1 = ([None, None] + last)[-2:]
+    ctx = grams.sparkSession.createDataFrame([("one", c2, c1)], "subject string, c2 string, c1 string")
+    return next_ranked(grams, ctx, "subject", k).select("w", "prob")
+
+
 def next_path(grams: DataFrame, ctx: DataFrame, subject: str, steps: int = 3) -> DataFrame:
     """subject, step, w, prob: greedy roll-out of all subjects at once; steps is at most 5."""
     out = None
     for i in range(1, min(steps, 5) + 1):
-        best = ranked(next_distribution(grams, ctx, subject), subject, 1).select(subject, F.lit(i).alias("step"), "w", "prob")
+        best = next_ranked(grams, ctx, subject, 1).select(subject, F.lit(i).alias("step"), "w", "prob")
         out = best if out is None else out.unionAll(best)
         ctx = ctx.join(best, subject).select(subject, F.col("c1").alias("c2"), F.col("w").alias("c1"))
     return out
@@ -82,25 +113,50 @@ def next_path(grams: DataFrame, ctx: DataFrame, subject: str, steps: int = 3) ->
 
 def top_next(grams: DataFrame, ctx: DataFrame, subject: str, k: int = 10) -> DataFrame:
     """w, n: most frequent first predictions over all subjects."""
-    best = ranked(next_distribution(grams, ctx, subject), subject, 1)
-    return best.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(k)
+    return next_ranked(grams, ctx, subject, 1).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(k)
+
+
+def _link_sums(df: DataFrame, subject: str, place: str, order: str, actor: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """subject, actor, s of subjects with a known actor on the way; actor, s over all rows; subjects without."""
+    at = df.where(F.col(actor).isNotNull()).groupBy(place, actor).agg(F.count("*").alias("n"))
+    visits = collapse(df, subject, place, order).groupBy(subject, place).agg(F.count("*").alias("times"))
+    own = visits.join(at, place).groupBy(subject, actor).agg(F.sum(F.col("n") * F.col("times")).alias("s"))
+    some = visits.join(at.select(place).distinct(), place, "left_semi").select(subject).distinct()
+    return own, at.groupBy(actor).agg(F.sum("n").alias("s")), df.select(subject).distinct().join(some, subject, "left_anti")
 
 
 def link_scores(df: DataFrame, subject: str, place: str, order: str, actor: str) -> DataFrame:
     """subject, actor, score: share of an actor in the rows of the places on a subject's way.
 
     A place counts as often as the subject comes to it. Subjects without any known actor
-    on the way get the overall shares.
+    on the way get the overall shares. This has a row for each actor of each subject;
+    link_ranked() has the best only.
     """
-    at = df.where(F.col(actor).isNotNull()).groupBy(place, actor).agg(F.count("*").alias("n"))
-    visits = collapse(df, subject, place, order).groupBy(subject, place).agg(F.count("*").alias("times"))
-    own = visits.join(at, place).groupBy(subject, actor).agg(F.sum(F.col("n") * F.col("times")).alias("s"))
-    every = at.groupBy(actor).agg(F.sum("n").alias("s"))
-    rest = df.select(subject).distinct().join(own.select(subject).distinct(), subject, "left_anti").crossJoin(F.broadcast(every)).select(subject, actor, "s")
-    rows = own.unionByName(rest)
+    own, every, rest = _link_sums(df, subject, place, order, actor)
+    rows = own.unionByName(rest.crossJoin(every).select(subject, actor, "s"))
     return rows.select(subject, actor, (F.col("s") / F.sum("s").over(W.partitionBy(subject))).alias("score"))
 
 
+def link_ranked(df: DataFrame, subject: str, place: str, order: str, actor: str, k: int) -> DataFrame:
+    """subject, actor, score, rank: the k best of link_scores(); subjects without a known actor share one list of k."""
+    own, every, rest = _link_sums(df, subject, place, order, actor)
+    scored = own.select(subject, actor, (F.col("s") / F.sum("s").over(W.partitionBy(subject))).alias("score"))
+    best = every.orderBy(F.desc("s"), actor).limit(k).crossJoin(F.broadcast(every.agg(F.sum("s").alias("t"))))  # k rows and one row
+    common = rest.crossJoin(F.broadcast(best.select(actor, (F.col("s") / F.col("t")).alias("score"))))
+    return ranked(scored.unionByName(common), subject, k, actor, "score")
+
+
+def with_last_place(predictions: DataFrame, df: DataFrame, subject: str, place: str, order: str) -> DataFrame:
+    """predictions with last_place, the last place of each subject; null for subjects without one."""
+    return predictions.join(last_place(df, subject, place, order), subject, "left")
+
+
+def actors_by_last_place(predictions: DataFrame, df: DataFrame, subject: str, place: str, order: str, actor: str) -> DataFrame:
+    """last_place, actor, n: how many predictions name an actor for subjects last seen at a place."""
+    rows = with_last_place(predictions, df, subject, place, order).where(F.col("last_place").isNotNull() & F.col(actor).isNotNull())
+    return rows.groupBy("last_place", actor).agg(F.count("*").alias("n"))
+
+
 def eta(path: DataFrame, a: str, b: str, medians: DataFrame, default: float = DEFAULT_DAYS) -> DataFrame:
     """path with `days`: the median of the pair, else of the place reached, else of all, else a default."""
     pair = medians.where("grain = 'pair'").select(F.col("a").alias(a), F.col("b").alias(b), F.col("med").alias("__p"))
@@ -129,8 +185,7 @@ def eta_mae(train: DataFrame, test: DataFrame, days: str) -> DataFrame:
 def lag_windows(df: DataFrame, subject: str, place: str, order: str, n: int = 3) -> DataFrame:
     """Training rows of a sequence model: n places and the one after them, as arrays of indices by frequency."""
     counts = df.groupBy(place).agg(F.count("*").alias("__n"))
-    index = counts.select(place, F.row_number().over(W.orderBy(F.desc("__n"), place)).alias("__i"))  # one row per place
+    index = numbered(counts, -spread(F.col("__n")), [F.desc("__n"), place], "__i").select(place, "__i")
     w = W.partitionBy(subject).orderBy(order)
-    rows = df.join(F.broadcast(index), place)
     lags = [F.lag("__i", k).over(w) for k in range(n, 0, -1)]
-    return rows.select(subject, order, F.array(*lags).alias("window"), F.col("__i").alias("target")).where(F.forall("window", lambda x: x.isNotNull()))
+    return df.join(index, place).select(subject, order, F.array(*lags).alias("window"), F.col("__i").alias("target")).where(F.forall("window", lambda x: x.isNotNull()))

@@ -30,9 +30,9 @@ def attach(df: DataFrame, place: str, gazetteer: DataFrame) -> DataFrame:
 
 
 def with_uploaded(df: DataFrame, place: str, uploaded: DataFrame) -> DataFrame:
-    """lat and lon, from df where it has them, else from an uploaded table of location, lat, lon."""
-    up = uploaded.select(F.col("location").alias(place), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    return df.join(up, place, "left").withColumns({"lat": F.coalesce("lat", "__lat"), "lon": F.coalesce("lon", "__lon")}).drop("__lat", "__lon")
+    """lat and lon, from df where it has them, else from an uploaded table of location, lat, lon; the least of several rows of a location."""
+    one = uploaded.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("location").alias(place)).agg(F.min(F.struct("lat", "lon")).alias("__up"))
+    return df.join(one, place, "left").withColumns({"lat": F.coalesce("lat", "__up.lat"), "lon": F.coalesce("lon", "__up.lon")}).drop("__up")
 
 
 def match_report(df: DataFrame, found: str = "lat") -> DataFrame:
@@ -52,27 +52,52 @@ def resolve_exact_alias(places: DataFrame, place: str, gazetteer: DataFrame) ->
     return best.select(place, "lat", "lon", F.when(F.col("stage") == 0, "exact").otherwise("alias").alias("how"))
 
 
-def resolve_fuzzy(places: DataFrame, place: str, gazetteer: DataFrame, cutoff: float = 88.0) -> DataFrame:
-    """place, lat, lon, how, score: exact, alias, then the most similar name of the same first letter.
+def _grams(key: Column) -> Column:
+    """Pairs of adjacent letters of the words of a key, numbered where they repeat."""
+    words = F.array_join(F.array_sort(F.split(key, " ")), " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(words) - 1, F.lit(1))), lambda i: F.substr(words, i, F.lit(2)))
+    return F.array_distinct(pairs)
+
+
+def similar_candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs of rows of left (k, ...) and right (name_norm, ...) that may reach a ratio: they share a word, or one of the rarest letter pairs of either.
 
-    Candidates come from an equi-join on the first letter; names whose letter the
-    gazetteer does not have are compared with all names that share two letters in a
-    row, which at cutoffs of 75 and more are all that can be similar enough.
+    A ratio of c percent changes so few letters that of the distinct letter pairs of a
+    text at most 4 (1 - c / 100) / c * 100 in a hundred, and one, can be lost; so of any
+    such number and one more, one is shared. Rarest pairs make few candidates. What is
+    nearly a part of the other shares the rarest pairs of the shorter text.
     """
+    share = 4 * (1 - cutoff / 100) / (cutoff / 100)
+    l, r = left.withColumn("__g", _grams(F.col("k"))), right.withColumn("__g", _grams(F.col("name_norm")))
+    often = r.select(F.explode("__g").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, key: str) -> DataFrame:
+        each = rows.select(key, F.size("__g").alias("s"), F.explode("__g").alias("g")).distinct().join(often, "g", "left")
+        order = W.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "g")
+        return each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.ceil(F.col("s") * share) + 2).select(key, "g")
+
+    every = lambda rows, key: rows.select(key, F.explode("__g").alias("g")).distinct()
+    words = lambda rows, key: rows.select(key, F.explode(F.split(key, " ")).alias("g")).distinct()
+    pairs = rarest(l, "k").join(every(r, "name_norm"), "g").unionByName(every(l, "k").join(rarest(r, "name_norm"), "g")).unionByName(words(l, "k").join(words(r, "name_norm"), "g"))
+    return left.join(pairs.select("k", "name_norm").distinct(), "k").join(right, "name_norm")
+
+
+def best_match(scored: DataFrame, place: str, how: str) -> DataFrame:
+    """place, lat, lon, how, score of the best candidate; ties by population, then name."""
+    w = W.partitionBy(place).orderBy(F.desc("score"), F.desc_nulls_last("population"), "name", "lat", "lon")
+    return scored.withColumn("n", F.row_number().over(w)).where("n = 1").select(place, "lat", "lon", F.lit(how).alias("how"), "score")
+
+
+def resolve_fuzzy(places: DataFrame, place: str, gazetteer: DataFrame, cutoff: float = 88.0) -> DataFrame:
+    """place, lat, lon, how, score: exact, alias, then the most similar name (weighted ratio) of the same first letter, or of all names if the letter has none."""
     g = prepared(gazetteer)
     names = places.select(place).where(F.col(place).isNotNull()).distinct()
     first = resolve_exact_alias(places, place, gazetteer).withColumn("score", F.lit(100.0))
-    rest = names.join(first, place, "left_anti").withColumn("k", T.place_key(F.col(place))).withColumn("bucket", F.substring("k", 1, 1)).where("k <> ''")
-    cand = g.select("bucket", "name_norm", "name", "lat", "lon", "population")
-    same = rest.join(cand, "bucket")
-    letters = cand.select("bucket").distinct()
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2))))).alias("gram")
-    other = rest.join(letters, "bucket", "left_anti").drop("bucket").select("*", grams("k")).join(cand.drop("bucket").select("*", grams("name_norm")), "gram").drop("gram").distinct()
-    pairs = same.drop("bucket").unionByName(other)
-    scored = pairs.withColumn("score", fuzzy.ratio("k", "name_norm")).where(F.col("score") >= cutoff)
-    w = W.partitionBy(place).orderBy(F.desc("score"), F.desc_nulls_last("population"), "name")
-    best = scored.withColumn("n", F.row_number().over(w)).where("n = 1").select(place, "lat", "lon", F.lit("fuzzy").alias("how"), "score")
-    return first.unionByName(best)
+    rest = names.join(first, place, "left_anti").withColumn("k", T.place_key(F.col(place))).withColumn("b", F.substring("k", 1, 1)).where("k <> ''")
+    rest = rest.join(g.select(F.col("bucket").alias("b"), F.lit(True).alias("__some")).distinct(), "b", "left")
+    cand = similar_candidates(rest, g.select("name_norm", "bucket", "name", "lat", "lon", "population"), cutoff).where("b = bucket OR __some IS NULL")
+    scored = cand.withColumn("score", fuzzy.weighted_ratio("k", "name_norm")).where(F.col("score") >= cutoff)
+    return first.unionByName(best_match(scored, place, "fuzzy"))
 
 
 def resolve_in_country(places: DataFrame, place: str, gazetteer: DataFrame, cutoff: float = 84.0) -> DataFrame:
@@ -81,9 +106,90 @@ def resolve_in_country(places: DataFrame, place: str, gazetteer: DataFrame, cuto
     rows = places.select(place).distinct().withColumn("country_key", T.country_hint(F.col(place))).where("country_key IS NOT NULL").withColumn("k", T.place_key(head))
     g = prepared(gazetteer).withColumn("country_key", T.place_key(F.col("country")))
     bonus = F.least(F.lit(0.05), F.coalesce("population", F.lit(0)) / 5e7) * 100
-    scored = rows.join(g.select("country_key", "name_norm", "name", "lat", "lon", "population"), "country_key").withColumn("score", fuzzy.ratio("k", "name_norm") + bonus)
-    w = W.partitionBy(place).orderBy(F.desc("score"), F.desc_nulls_last("population"), "name")
-    return scored.where(F.col("score") >= cutoff).withColumn("n", F.row_number().over(w)).where("n = 1").select(place, "lat", "lon", "score")
+    cand = similar_candidates(rows.withColumnRenamed("country_key", "__c"), g.select("country_key", "name_norm", "name", "lat", "lon", "population"), cutoff - 5).where("__c = country_key")
+    scored = cand.withColumn("score", fuzzy.ratio("k", "name_norm") + bonus).where(F.col("score") >= cutoff)
+    return best_match(scored, place, "country").drop("how")
+
+
+def country_code(key: Column, names: dict[str, str] | None = None) -> Column:
+    """A two-letter word of a place's key, else the code of a country that the key, or one of its words, names."""
+    words = F.split(key, " ")
+    code = F.upper(F.try_element_at(F.filter(words, lambda w: (F.length(w) == 2) & w.rlike("^\\p{L}{2}$")), F.lit(1)))
+    if not names:
+        return code
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    word = F.try_element_at(F.filter(F.transform(words, lambda w: table[w]), lambda x: x.isNotNull()), F.lit(1))
+    return F.coalesce(code, table[key], word)
+
+
+def resolve_locations(places: DataFrame, place: str, gazetteer: DataFrame, tables: list[DataFrame] = (), countries: dict[str, str] | None = None, in_country: float = 84.0, anywhere: float = 90.0) -> DataFrame:
+    """place, lat, lon, how: the first stage that finds a place.
+
+    lookup: tables of location, lat, lon, the first that has the name; exact: the
+    normalised name; country: the most similar `name country` of the country that the
+    text hints at (words as sets, in_country or more); fuzzy: the most similar name of all
+    (anywhere or more); centroid: the country's most populous place. Each stage works on
+    the distinct places that the stages before left over.
+    """
+    g = prepared(gazetteer).withColumn("code", F.upper(F.col("country")))
+    g = g.withColumn("with_country", F.when(F.coalesce("country", F.lit("")) != "", F.concat_ws(" ", "name_norm", F.lower("country"))).otherwise(F.col("name_norm")))
+    left = places.select(place).where(F.col(place).isNotNull()).distinct().withColumn("k", T.place_key(F.col(place))).where("k <> ''")
+    left = left.withColumn("cc", country_code(F.col("k"), countries))
+    found = []
+
+    def take(rows: DataFrame, how: str) -> None:
+        nonlocal left
+        rows = rows.select(place, "lat", "lon", F.lit(how).alias("how"))
+        found.append(rows)
+        left = left.join(rows.select(place), place, "left_anti")
+
+    if tables:
+        named = [t.select(F.col("location").alias("name"), "lat", "lon") for t in tables]
+        take(resolve_tables(left, place, named), "lookup")
+    names = g.select("name_norm", "with_country", "code", "name", "lat", "lon", "population")
+    exact = left.join(names, left["k"] == names["name_norm"]).withColumn("score", F.lit(100.0))
+    take(best_match(exact, place, "exact"), "exact")
+    here = similar_candidates(left.where("cc IS NOT NULL"), names.withColumn("name_norm", F.col("with_country")), in_country).where("cc = code")
+    take(best_match(here.withColumn("score", fuzzy.token_set_ratio("k", "name_norm")).where(F.col("score") >= in_country), place, "country"), "country")
+    all_of = similar_candidates(left, names, anywhere).withColumn("score", fuzzy.token_set_ratio("k", "name_norm"))
+    take(best_match(all_of.where(F.col("score") >= anywhere), place, "fuzzy"), "fuzzy")
+    take(left.join(largest_city(g.withColumn("country", F.col("code"))).withColumnRenamed("country", "cc"), "cc"), "centroid")
+    return reduce(DataFrame.unionAll, found)
+
+
+def gazetteer_from_tokens(lines: DataFrame, gazetteer: DataFrame, column: str = "value") -> DataFrame:
+    """name, lat, lon, country, population, source_tokens, matched_from, score: places of lines such as ['Khartoum' 'Sudan'].
+
+    Tokens that are names of countries restrict the others to these countries; the
+    most similar name (the library's ratio and a bonus of min(0.05, population / 5e7))
+    of any token, of the same first letter if there is one, stands for the line. Of lines
+    with the same place and country the first in order of tokens stays.
+    """
+    inside = F.regexp_extract(F.col(column), "\\[(.*?)\\]", 1)
+    quoted = F.regexp_extract_all(inside, F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))
+    words = F.when(F.size(quoted) > 0, quoted).otherwise(F.split(inside, "\\s+"))
+    tokens = F.filter(F.transform(words, lambda w: F.trim(F.regexp_replace(w, "\\s+", " "))), lambda w: w != "")
+    rows = lines.select(tokens.alias("tokens")).where("size(tokens) > 0").distinct().withColumn("line", F.array_join("tokens", " | "))
+    g = prepared(gazetteer.where("lat IS NOT NULL AND lon IS NOT NULL")).select("name", "name_norm", "bucket", "lat", "lon", "country", "population")
+    each = rows.select("line", F.posexplode("tokens").alias("pos", "token"))
+    known = g.select(F.col("country").alias("token"), F.lit(True).alias("is_country")).where("token <> ''").distinct()
+    each = each.join(known, "token", "left")
+    limits = each.where("is_country").select("line", F.col("token").alias("only")).distinct()
+    asked = each.where("is_country IS NULL").join(limits, "line", "left").withColumn("k", T.place_key(F.col("token"))).where("k <> ''")
+    letters = g.select("country", "bucket").distinct()
+    first = F.substring("k", 1, 1)
+    near = asked.where("only IS NOT NULL").join(g, (F.col("only") == F.col("country")) & (F.col("bucket") == first))
+    free = asked.where("only IS NULL").join(g, F.col("bucket") == first)
+    alone = asked.where("only IS NOT NULL").join(letters, (F.col("only") == F.col("country")) & (F.col("bucket") == first), "left_anti").join(g, F.col("only") == F.col("country"))
+    cols = ["line", "pos", "token", "k", *g.columns]
+    cand = near.select(*cols).unionAll(free.select(*cols)).unionAll(alone.select(*cols))
+    bonus = F.least(F.lit(0.05), F.coalesce("population", F.lit(0)) / 5e7)
+    scored = cand.withColumn("score", fuzzy.matcher_ratio("k", "name_norm") / 100 + bonus)
+    w = W.partitionBy("line").orderBy(F.desc("score"), "pos", "name", "lat", "lon")
+    best = scored.withColumn("n", F.row_number().over(w)).where("n = 1")
+    once = W.partitionBy("name", "country").orderBy("line")
+    best = best.withColumn("n", F.row_number().over(once)).where("n = 1")
+    return best.select("name", "lat", "lon", "country", "population", F.col("line").alias("source_tokens"), F.col("token").alias("matched_from"), F.round("score", 3).alias("score"))
 
 
 def resolve_tables(places: DataFrame, place: str, tables: list[DataFrame]) -> DataFrame:
@@ -130,11 +236,28 @@ def timed_segments(df: DataFrame, subject: str, place: str, order: str, days: Co
     return seg.select(subject, F.col(order).alias("step"), "a", "b", when(F.col("till") - F.col("__d")).alias("t0"), when(F.col("till")).alias("t1"))
 
 
-def list_segments(df: DataFrame, subject: str, places: str, days: str, default: float = 1.0) -> DataFrame:
-    """subject, step, a, b, days: hops of lists of places; days align by position, a missing one has the default."""
-    hop = lambda i: F.struct((i + 1).alias("step"), F.get(places, i).alias("a"), F.get(places, i + 1).alias("b"), F.coalesce(F.get(F.col(days), i).cast("double"), F.lit(default)).alias("days"))
-    rows = df.where(F.size(places) >= 2)
-    return rows.select(subject, F.explode(F.transform(F.sequence(F.lit(0), F.size(places) - 2), hop)).alias("s")).select(subject, "s.*")
+def has_lists(df: DataFrame, places: str, rows: int = 200) -> bool:
+    """Whether any of the first rows of an upload holds two places or more, so that its rows are whole ways and not hops."""
+    return bool(df.limit(rows).where(F.size(places) >= 2).limit(1).count())
+
+
+def list_segments(df: DataFrame, subject: str, places: str, days: str, gazetteer: DataFrame, start: Column, default: float = 1.0) -> DataFrame:
+    """subject, step, a, b, lat_a, lon_a, lat_b, lon_b, t0, t1: hops of lists of places, one list a row.
+
+    Days are those of the hops if there is one for each hop, or one for each place (the
+    last is left out); any other number of days counts as none, and every hop takes the
+    default. The clock runs on over hops of which both ends are in the gazetteer; others
+    are left out.
+    """
+    n = F.size(places)
+    fits = (F.size(days) == n - 1) | (F.size(days) == n)
+    hop = lambda i: F.struct((i + 1).alias("step"), F.get(places, i).alias("a"), F.get(places, i + 1).alias("b"), F.when(fits, F.get(F.col(days), i).cast("double")).otherwise(F.lit(default)).alias("d"))
+    rows = df.where(n >= 2).withColumns({"__r": F.monotonically_increasing_id(), "__start": start}).select(subject, "__r", "__start", F.explode(F.transform(F.sequence(F.lit(0), n - 2), hop)).alias("__s")).select(subject, "__r", "__start", "__s.*")
+    at = lambda rows, end: attach(rows, end, gazetteer).withColumnsRenamed({"lat": f"lat_{end}", "lon": f"lon_{end}"})
+    found = at(at(rows, "a"), "b").where("lat_a IS NOT NULL AND lat_b IS NOT NULL")
+    till = F.sum("d").over(W.partitionBy(subject, "__r").orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    when = lambda x: F.timestamp_micros((F.unix_micros("__start") + x * F.lit(86_400_000_000)).cast("long"))
+    return found.withColumn("till", till).select(subject, "step", "a", "b", "lat_a", "lon_a", "lat_b", "lon_b", when(F.col("till") - F.col("d")).alias("t0"), when(F.col("till")).alias("t1"))
 
 
 def geojson(segments: DataFrame, subject: str, coordinates: Column) -> DataFrame:

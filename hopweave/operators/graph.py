@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hopweave.operators.numbering import numbered, running_sums, spread
+from hopweave.operators.trajectory import transitions
+from hopweave.sources.shared import shared_folder
+
 #: Prefix of node ids by type.
 TYPES = {"Victim": "V", "Location": "L", "Trafficker": "P", "Chief": "C"}
 
@@ -19,14 +21,17 @@ def node_id(kind: str, c: Column) -> Column:
 def hetero_edges(df: DataFrame, subject: str, place: str, perps: str, chiefs: str) -> DataFrame:
     """src, dst, weight, etype: subject to place, perp and chief once per row; perp and chief to place 0.5 per row.
 
-    An edge that several types give keeps the least type.
+    Rows without a subject or a place, and blank names of actors, give nothing.
     """
+    df = df.where((F.coalesce(F.col(subject).cast("string"), F.lit("")) != "") & (F.coalesce(F.col(place), F.lit("")) != ""))
     v, loc = node_id("Victim", F.col(subject)), node_id("Location", F.col(place))
-    p, c = (node_id(k, F.col("x")) for k in ("Trafficker", "Chief"))
-    part = lambda rows, a, b, w, t: rows.select(a.alias("src"), b.alias("dst"), F.lit(w).alias("w"), F.lit(t).alias("etype"))
-    by_p, by_c = (df.select(subject, place, F.explode(x).alias("x")) for x in (perps, chiefs))
-    edges = [part(df, v, loc, 1.0, "visited"), part(by_p, v, p, 1.0, "victim_of"), part(by_c, v, c, 1.0, "held_by"), part(by_p, p, loc, 0.5, "active_in"), part(by_c, c, loc, 0.5, "active_in")]
-    rows = reduce(DataFrame.unionAll, edges).where("src IS NOT NULL AND dst IS NOT NULL")
+    edge = lambda a, b, w, t: F.struct(a.alias("src"), b.alias("dst"), F.lit(w).alias("w"), F.lit(t).alias("etype"))
+
+    def of_actors(kind: str, actors: str, etype: str) -> Column:
+        named = F.filter(F.transform(F.coalesce(F.col(actors), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+        return F.flatten(F.transform(named, lambda x: F.array(edge(v, node_id(kind, x), 1.0, etype), edge(node_id(kind, x), loc, 0.5, "active_in"))))
+
+    rows = df.select(F.inline(F.concat(F.array(edge(v, loc, 1.0, "visited")), of_actors("Trafficker", perps, "victim_of"), of_actors("Chief", chiefs, "held_by"))))
     return rows.groupBy("src", "dst").agg(F.sum("w").alias("weight"), F.min("etype").alias("etype"))
 
 
@@ -46,9 +51,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 def cdf(df: DataFrame, value: str) -> DataFrame:
     """value, share: how much of the rows have at most this value. Sums run over distinct values only."""
     n = df.groupBy(value).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    at_most = F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    return n.select(value, at_most.alias("c")).crossJoin(F.broadcast(total)).select(value, (F.col("c") / F.col("total")).alias("share"))
+    total = n.agg(F.sum("n").alias("total"))  # one row
+    rows = running_sums(n, spread(F.col(value)), [value], {"c": F.col("n")})
+    return rows.crossJoin(F.broadcast(total)).select(value, (F.col("c") / F.col("total")).alias("share"))
 
 
 def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
@@ -60,7 +65,7 @@ def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     """
     spark = edges.sparkSession
     if checkpoint and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/hopweave-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     cut = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df.persist())
     both = cut(edges.selectExpr("src AS a", "dst AS b").unionAll(edges.selectExpr("dst AS a", "src AS b")).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
@@ -73,10 +78,11 @@ def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
             return labels
 
 
-def descriptives(edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, median and 90th percentile of the degree."""
+def descriptives(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One row: nodes, edges, median and 90th percentile of the degree; with labels of components() their number and the size of the largest."""
     d = degrees(edges).agg(F.count("*").alias("nodes"), F.median("degree").cast("double").alias("median_degree"), F.percentile("degree", F.lit(0.9)).alias("p90_degree"))
-    return edges.agg(F.count("*").alias("edges")).crossJoin(d)  # one row each
+    out = edges.agg(F.count("*").alias("edges")).crossJoin(d)  # one row each
+    return out if labels is None else out.crossJoin(component_sizes(labels))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -100,14 +106,17 @@ def one_mode(edges: DataFrame) -> DataFrame:
 def link_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """src, dst, common, jaccard, adamic_adar, resource_alloc, pref_attach of pairs in an undirected graph.
 
-    Common neighbours come from an equi-join of both ends' neighbour lists.
+    Each node makes the pairs of those of its neighbours that are asked for. Only edges
+    are shuffled by the node; its pairs are summed before they are, and adaptive
+    execution splits a node with very many neighbours.
     """
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     deg = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
-    left = pairs.join(both.select("src", F.col("dst").alias("z")), "src")
-    common = left.join(both.select(F.col("src").alias("dst"), F.col("dst").alias("z")), ["dst", "z"]).join(deg.select(F.col("id").alias("z"), F.col("d").alias("dz")), "z")
-    found = common.groupBy("src", "dst").agg(F.count("*").alias("common"), F.sum(1 / F.log("dz")).alias("adamic_adar"), F.sum(1 / F.col("dz")).alias("resource_alloc"))
-    out = pairs.join(found, ["src", "dst"], "left").join(deg.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src", "left").join(deg.select(F.col("id").alias("dst"), F.col("d").alias("dt")), "dst", "left")
+    asked = pairs.select("src", "dst", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
+    near = lambda end: both.join(asked.select(F.col(end).alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("z"), F.col("dst").alias(end))
+    joint = near("x").join(deg.select(F.col("id").alias("z"), F.col("d").alias("dz")), "z").join(near("y"), "z").where("x < y")
+    found = joint.groupBy("x", "y").agg(F.count("*").alias("common"), F.sum(1 / F.log("dz")).alias("adamic_adar"), F.sum(1 / F.col("dz")).alias("resource_alloc"))
+    out = asked.join(found, ["x", "y"], "left").join(deg.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src", "left").join(deg.select(F.col("id").alias("dst"), F.col("d").alias("dt")), "dst", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     union = zero("ds") + zero("dt") - zero("common")
     return out.select(
@@ -133,10 +142,8 @@ def negative_pairs(edges: DataFrame, per_node: int, seed: int = 42) -> DataFrame
     own place: as many as it has links, itself and per_node more, so that enough remain
     and no product of all subjects with all actors is made.
     """
-    spark, kind = edges.sparkSession, edges.schema["dst"].dataType.simpleString()
-    actors = edges.select("dst").where("dst IS NOT NULL").distinct()
-    placed = actors.orderBy(F.xxhash64("dst", F.lit(seed)), "dst").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    ring = spark.createDataFrame(placed, f"dst {kind}, place bigint")
+    actors = edges.select("dst").where("dst IS NOT NULL").distinct().withColumn("h", F.xxhash64("dst", F.lit(seed)))
+    ring = numbered(actors, F.shiftright("h", 52), ["h", "dst"], "i").select("dst", (F.col("i") - 1).alias("place"))
     n = ring.agg(F.count("*").alias("n"))  # one row
     linked = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     subjects = linked.join(edges.select("src").distinct(), "src", "left_semi").groupBy("src").agg(F.count("*").alias("d")).crossJoin(F.broadcast(n))
@@ -161,9 +168,34 @@ def hierarchy_edges(df: DataFrame, chain: Column) -> DataFrame:
     return pairs.select("e.src", "e.dst").where("src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def node_budget(profile: DataFrame, place: str, visits: str, n: int) -> DataFrame:
-    """The n places with most visits."""
-    return profile.orderBy(F.desc(visits), place).limit(n)
+def location_network(df: DataFrame, subject: str, place: str, order: str, actors: str, max_nodes: int = 300, min_actors: int = 20, victims: bool = True) -> DataFrame:
+    """src, dst, weight, etype: moves between places, actors at places and subjects at places, within a budget of nodes.
+
+    First come the most visited places, up to the budget; then the actors with most rows
+    at these places, as many as the budget leaves beside all subjects, but min_actors at
+    least; then the subjects with most places, as many as it leaves then. Budgets are
+    counts of a few rows, read on the driver.
+    """
+    rows = df.where(F.coalesce(F.col(place), F.lit("")) != "")
+    keep = rows.groupBy(place).agg(F.count("*").alias("n")).orderBy(F.desc("n"), place).limit(max_nodes).select(place)
+    at = rows.select(place, F.explode(actors).alias("actor")).where(F.trim("actor") != "").groupBy("actor", place).agg(F.count("*").alias("n")).join(keep, place, "left_semi")
+    who = rows.select(subject, place).distinct()
+    n_places, n_subjects = keep.count(), who.select(subject).distinct().count() if victims else 0
+    scores = at.groupBy("actor").agg(F.sum("n").alias("s"))
+    left = max(0, max_nodes - n_places - n_subjects)
+    some = scores.orderBy(F.desc("s"), "actor").limit(max(min_actors, left)).select("actor")
+    name = lambda kind, c: node_id(kind, F.col(c))
+    both = transitions(df, subject, place, order).join(keep.withColumnRenamed(place, "a"), "a", "left_semi").join(keep.withColumnRenamed(place, "b"), "b", "left_semi")
+    out = both.select(name("Location", "a").alias("src"), name("Location", "b").alias("dst"), "weight", F.lit("move").alias("etype"))
+    out = out.unionAll(at.join(some, "actor", "left_semi").select(name("Trafficker", "actor"), name("Location", place), "n", F.lit("active_in")))
+    if victims:
+        first = who.groupBy(subject).agg(F.count("*").alias("n")).orderBy(F.desc("n"), subject)
+        n_actors = some.count()
+        if n_places + n_actors + n_subjects > max_nodes:
+            first = first.limit(max(0, max_nodes - n_places - n_actors))
+        seen = who.join(first.select(subject), subject, "left_semi").join(keep, place, "left_semi")
+        out = out.unionAll(seen.select(name("Victim", subject), name("Location", place), F.lit(1).cast("long"), F.lit("visited")))
+    return out
 
 
 def smoothed_features(edges: DataFrame, features: DataFrame, rounds: int = 2) -> DataFrame:

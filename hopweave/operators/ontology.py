@@ -30,32 +30,40 @@ def mapping(base: str, override: dict[str, str] | None = None) -> dict[str, str]
 def triples(df: DataFrame, base: str, subject: str, uid: str, place: str, order: str, perps: str, chiefs: str, gender: str, nationality: str, gazetteer: DataFrame | None = None, override: dict[str, str] | None = None) -> DataFrame:
     """s, p, o, o_kind (uri or literal), o_type: distinct triples of all rows.
 
-    One projection of the input for each kind of triple; attributes of a subject are
-    the most frequent value, the smallest of equals.
+    One pass over the rows makes all triples of visits, places and actors, and one
+    aggregate those of subjects; attributes of a subject are the most frequent value, the
+    smallest of equals.
     """
     u, b = mapping(base, override), base.rstrip("#/") + "#"
     uri = lambda kind, c: F.concat(F.lit(f"{b}{kind}/"), slug(c))
 
-    def part(rows: DataFrame, s: Column, p: str, o: Column, kind: str = "uri", of: str = "") -> DataFrame:
-        return rows.select(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(of).alias("o_type"))
-
-    v, loc = uri("victim", F.col(subject)), uri("location", F.col(place))
-    visit = uri("visit", F.concat_ws("-", F.col(subject), F.col(order).cast("string"), F.col(place)))
-    x = F.col("x")
-    by = {"Trafficker": df.select(subject, F.explode(perps).alias("x")), "Chief": df.select(subject, F.explode(chiefs).alias("x"))}
-    one = df.groupBy(subject).agg(*(F.mode(c, True).alias(c) for c in (uid, gender, nationality)))
-    spark = df.sparkSession
-    out = [spark.range(1).select(F.explode(F.array(*(F.lit(u[c]) for c in CLASSES))).alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(RDFS_CLASS).alias("o"), F.lit("uri").alias("o_kind"), F.lit("").alias("o_type"))]
-    out += [part(one, v, RDF_TYPE, F.lit(u["Victim"])), part(one, v, u["hasSerializedId"], F.col(subject), "literal")]
-    out += [part(one, v, u[p], F.col(c), "literal") for p, c in (("hasUniqueId", uid), ("hasGender", gender), ("hasNationality", nationality))]
-    out += [part(df, visit, RDF_TYPE, F.lit(u["Visit"])), part(df, v, u["hasVisit"], visit), part(df, visit, u["atLocation"], loc), part(df, visit, u["visitOrder"], F.col(order), "literal", XSD_INT)]
-    out += [part(df, loc, RDF_TYPE, F.lit(u["Location"])), part(df, loc, u["label"], F.col(place), "literal")]
-    for kind, rows in by.items():
-        who = uri(kind.lower(), x)
-        out += [part(rows, who, RDF_TYPE, F.lit(u[kind])), part(rows, who, u["label"], x, "literal"), part(rows, v, u[f"has{kind}"], who)]
+    def triple(s: Column, p: str, o: Column, kind: str = "uri", of: str = "") -> Column:
+        return F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(of).alias("o_type"))
+
+    def of_actors(kind: str, actors: str) -> Column:
+        who = lambda x: uri(kind.lower(), x)
+        each = lambda x: F.array(triple(who(x), RDF_TYPE, F.lit(u[kind])), triple(who(x), u["label"], x, "literal"), triple(F.col("__v"), u[f"has{kind}"], who(x)))
+        return F.flatten(F.transform(F.coalesce(F.col(actors), F.array().cast("array<string>")), each))
+
+    v, loc, visit = F.col("__v"), F.col("__loc"), F.col("__visit")
+    at = df.select(
+        place, order, perps, chiefs, uri("victim", F.col(subject)).alias("__v"), uri("location", F.col(place)).alias("__loc"),
+        uri("visit", F.concat_ws("-", F.col(subject), F.col(order).cast("string"), F.col(place))).alias("__visit"),
+    )
+    of_rows = F.array(
+        triple(visit, RDF_TYPE, F.lit(u["Visit"])), triple(v, u["hasVisit"], visit), triple(visit, u["atLocation"], loc),
+        triple(visit, u["visitOrder"], F.col(order), "literal", XSD_INT), triple(loc, RDF_TYPE, F.lit(u["Location"])), triple(loc, u["label"], F.col(place), "literal"),
+    )
+    one = df.groupBy(subject).agg(*(F.mode(c, True).alias(c) for c in (uid, gender, nationality))).withColumn("__v", uri("victim", F.col(subject)))
+    of_subject = F.array(
+        triple(v, RDF_TYPE, F.lit(u["Victim"])), triple(v, u["hasSerializedId"], F.col(subject), "literal"),
+        *(triple(v, u[p], F.col(c), "literal") for p, c in (("hasUniqueId", uid), ("hasGender", gender), ("hasNationality", nationality))),
+    )
+    classes = df.sparkSession.range(1).select(F.inline(F.array(*(triple(F.lit(u[c]), RDF_TYPE, F.lit(RDFS_CLASS)) for c in CLASSES))))
+    out = [classes, one.select(F.inline(of_subject)), at.select(F.inline(F.concat(of_rows, of_actors("Trafficker", perps), of_actors("Chief", chiefs))))]
     if gazetteer is not None:
-        found = df.select(place).distinct().join(gazetteer.select(F.col("name").alias(place), "lat", "lon"), place)
-        out += [part(found, loc, u[c], F.col(c), "literal", XSD_DOUBLE) for c in ("lat", "lon")]
+        found = df.select(place).distinct().join(gazetteer.select(F.col("name").alias(place), "lat", "lon"), place).withColumn("__loc", uri("location", F.col(place)))
+        out.append(found.select(F.inline(F.array(*(triple(loc, u[c], F.col(c), "literal", XSD_DOUBLE) for c in ("lat", "lon"))))))
     return reduce(DataFrame.unionAll, out).where("s IS NOT NULL AND o IS NOT NULL AND o <> ''").distinct()
 
 

@@ -18,12 +18,22 @@ def idf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_docs)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_scores(docs: DataFrame, doc: str, queries: DataFrame, q: str, doc_tokens: Column, query_tokens: Column) -> DataFrame:
+def with_bigrams(tokens: Column) -> Column:
+    """Tokens, and pairs of adjacent ones."""
+    pairs = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.concat_ws(" ", F.get(tokens, i), t))
+    return F.concat(tokens, pairs)
+
+
+def tfidf_scores(docs: DataFrame, doc: str, queries: DataFrame, q: str, doc_tokens: Column, query_tokens: Column, max_features: int | None = None) -> DataFrame:
     """q, doc, score: cosine of TF-IDF vectors, for pairs with a term in common.
 
     Only terms of the queries are joined, and a document's norm is summed before that.
+    max_features keeps the terms that occur most often in all documents, ties by term.
     """
     terms = term_table(docs, doc, doc_tokens)
+    if max_features is not None:
+        most = terms.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(max_features)
+        terms = terms.join(most.select("term"), "term", "left_semi").select(doc, "term", "tf")
     weights = idf(terms, docs.agg(F.count("*").alias("n")))
     d = terms.join(weights, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = d.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -48,7 +58,10 @@ def top_k(scores: DataFrame, q: str, doc: str, k: int) -> DataFrame:
 
 
 def ranking_metrics(ranked: DataFrame, relevance: DataFrame, q: str, doc: str, k: int = 10) -> DataFrame:
-    """q, ndcg, ap, rr, precision, recall, hit at k; relevance: q, doc, grade. Queries without a relevant document are left out."""
+    """q, ndcg, ap, rr, precision, recall, hit at k; relevance: q, doc, grade. Queries without a relevant document are left out.
+
+    ap is divided by the number of relevant documents, also where k is less.
+    """
     rel = relevance.where("grade > 0")
     ideal = rel.withColumn("r", F.row_number().over(W.partitionBy(q).orderBy(F.desc("grade"), doc)))
     ideal = ideal.groupBy(q).agg(F.sum(F.when(F.col("r") <= k, (F.pow(2.0, F.col("grade")) - 1) / F.log2(F.col("r") + 1))).alias("idcg"), F.count("*").alias("n_rel"))
@@ -61,6 +74,6 @@ def ranking_metrics(ranked: DataFrame, relevance: DataFrame, q: str, doc: str, k
     out = ideal.join(got, q, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(
-        q, zero(F.col("dcg") / F.col("idcg")).alias("ndcg"), zero(F.col("sp") / F.least("n_rel", F.lit(k))).alias("ap"), zero(1 / F.col("first")).alias("rr"),
+        q, zero(F.col("dcg") / F.col("idcg")).alias("ndcg"), zero(F.col("sp") / F.col("n_rel")).alias("ap"), zero(1 / F.col("first")).alias("rr"),
         zero(F.col("n_hit") / F.lit(k)).alias("precision"), zero(F.col("n_hit") / F.col("n_rel")).alias("recall"), F.when(F.col("n_hit") > 0, 1).otherwise(0).alias("hit"),
     )

@@ -11,6 +11,7 @@ from hopweave.operators.filters import require
 from hopweave.operators.trajectory import append_final, appearance_ids
 from hopweave.sources.readers import REQUIRED, normalize_headers
 
+# ---- fixed values: columns of the processed table
 PROCESSED = (
     "Serialized ID", "Unique ID", "Location", "Route_Order", "Perpetrators (NLP)", "Chiefs (NLP)", "Locations (NLP)", "Gender of Victim",
     "Nationality of Victim", "Time Spent (days)", "Time Spent (raw)", "Date of Interview", "Left Home Country Year",
@@ -85,7 +86,7 @@ def standardize_strict(raw: DataFrame, index: str) -> DataFrame:
     )
     df = df.withColumn("Locations (NLP)", append_final(F.col("__route"), F.nullif(T.standardize_location(col("Final Location")), F.lit("")))).drop("__route")
     ids = appearance_ids(df, "Unique ID", index, out="Serialized ID")
-    rows = df.join(ids, "Unique ID").select("*", F.posexplode_outer("Locations (NLP)").alias("__pos", "Location"))
+    rows = df.join(ids, "Unique ID", "left").select("*", F.posexplode_outer("Locations (NLP)").alias("__pos", "Location"))  # rows without an id stay
     rows = rows.withColumn("Route_Order", F.coalesce("__pos", F.lit(0)) + 1).drop("__pos")
     return rows.withColumns({c: T.smart_blank(col(c)) for c, t in rows.dtypes if t == "string" and c not in ("Serialized ID",)})
 

@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-#: Buckets that appearance_ids() deals keys into.
-RANK_BUCKETS = 1024
+from hopweave.operators.numbering import numbered, spread
 
 
 def origin_destination(df: DataFrame, subject: str, place: str, order: str) -> DataFrame:
@@ -32,22 +30,10 @@ def renumber_if_gaps(df: DataFrame, subject: str, order: str, index: str, out: s
 
 
 def appearance_ids(df: DataFrame, key: str, index: str, prefix: str = "HTV", out: str = "serial") -> DataFrame:
-    """key, out: prefix and a number by first appearance.
-
-    Numbers are ranks over the distinct keys. Keys are dealt into buckets by where their
-    first index (a number) lies between the least and the greatest, counted per bucket,
-    and numbered from the bucket's offset: no single task sorts them all, and a bucket
-    depends on values alone, so a task that runs again gives the same numbers.
-    """
+    """key, out: prefix and a number by first appearance, a rank over the distinct keys."""
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(index).alias("__first"))
-    at = F.col("__first").cast("double")
-    ends = first.agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))  # one row
-    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1.0)) / RANK_BUCKETS
-    dealt = first.crossJoin(F.broadcast(ends)).select(key, "__first", F.floor((at - F.col("__lo")) / width).alias("__p"))
-    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))  # RANK_BUCKETS + 1 rows at most
-    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
-    n = F.row_number().over(W.partitionBy("__p").orderBy("__first", key)) + F.col("__before")
-    return dealt.join(F.broadcast(before), "__p").select(key, F.concat(F.lit(prefix), n.cast("string")).alias(out))
+    rows = numbered(first, spread(F.col("__first")), ["__first", key], "__i")
+    return rows.select(key, F.concat(F.lit(prefix), F.col("__i").cast("string")).alias(out))
 
 
 def collapse(df: DataFrame, subject: str, place: str, order: str) -> DataFrame:

@@ -47,7 +47,7 @@ def _(spark, d):
 
 @query("next_top3", with_grams("SELECT victim, w, CAST(r AS INTEGER) AS rank FROM (SELECT victim, w, row_number() OVER (PARTITION BY victim ORDER BY round(prob, 12) DESC, w) AS r FROM z) WHERE r <= 3"))
 def _(spark, d):
-    return M.ranked(M.next_distribution(*model(spark, d), "victim"), "victim", 3).select("victim", "w", "rank")
+    return M.next_ranked(*model(spark, d), "victim", 3).select("victim", "w", "rank")
 
 
 @query("next_top1", with_grams("SELECT w, count(*) AS n FROM (SELECT w, row_number() OVER (PARTITION BY victim ORDER BY round(prob, 12) DESC, w) AS r FROM z) WHERE r = 1 GROUP BY 1 ORDER BY n DESC, w LIMIT 10"))
@@ -68,16 +68,39 @@ s AS (SELECT victim, actor, sum(n * times) AS s FROM v JOIN a ON v.loc = a.loc G
 
 @query("link_scores", with_hops("").rstrip() + _LINKS + "SELECT victim, actor, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY victim ORDER BY round(score, 12) DESC, actor) AS rank FROM sc) WHERE rank <= 5")
 def _(spark, d):
-    rows = M.ranked(M.link_scores(hops(spark, d), "victim", "loc", "ord", "actor"), "victim", 5, "actor", "score")
+    rows = M.link_ranked(hops(spark, d), "victim", "loc", "ord", "actor", 5)
     return rows.withColumn("score", F.round("score", 6)).select("victim", "actor", "score", "rank")
 
 
 @query("link_top1", with_hops("").rstrip() + _LINKS + "SELECT actor, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY victim ORDER BY round(score, 12) DESC, actor) AS rank FROM sc) WHERE rank = 1 GROUP BY 1 ORDER BY n DESC, actor LIMIT 10")
 def _(spark, d):
-    best = M.ranked(M.link_scores(hops(spark, d), "victim", "loc", "ord", "actor"), "victim", 1, "actor", "score")
+    best = M.link_ranked(hops(spark, d), "victim", "loc", "ord", "actor", 1)
     return best.groupBy("actor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "actor").limit(10)
 
 
+_FIRST_LINK = "(SELECT victim, actor FROM (SELECT *, row_number() OVER (PARTITION BY victim ORDER BY round(score, 12) DESC, actor) AS rank FROM sc) WHERE rank = 1)"
+
+
+@query("predictions_last_place", with_hops("").rstrip() + _LINKS + f"SELECT victim, actor, last_place FROM {_FIRST_LINK} LEFT JOIN (SELECT victim, arg_max(loc, ord) AS last_place FROM hops GROUP BY 1) USING (victim)")
+def _(spark, d):
+    rows = hops(spark, d)
+    return M.with_last_place(M.link_ranked(rows, "victim", "loc", "ord", "actor", 1), rows, "victim", "loc", "ord").select("victim", "actor", "last_place")
+
+
+@query("actors_by_last_place", with_hops("").rstrip() + _LINKS + f"SELECT last_place, actor, count(*) AS n FROM {_FIRST_LINK} JOIN (SELECT victim, arg_max(loc, ord) AS last_place FROM hops GROUP BY 1) USING (victim) GROUP BY 1, 2")
+def _(spark, d):
+    rows = hops(spark, d)
+    return M.actors_by_last_place(M.link_ranked(rows, "victim", "loc", "ord", "actor", 1), rows, "victim", "loc", "ord", "actor")
+
+
+_ONE = with_grams("SELECT w, round(prob, 6) AS prob FROM z").replace("x AS (SELECT victim, arg_max(w, event_id) AS c1, max(struct_pack(e := event_id, c := c1)).c AS c2 FROM l GROUP BY 1)", "x AS (SELECT 'one' AS victim, 'click' AS c1, 'view' AS c2)")
+
+
+@query("predict_next_dist", _ONE)
+def _(spark, d):
+    return M.predict_next_dist(model(spark, d)[0], "view", "click").withColumn("prob", F.round("prob", 6))
+
+
 _MED = ", g AS (SELECT lag(loc) OVER (PARTITION BY victim ORDER BY ord) AS a, loc AS b, gap_days AS d, victim, ord FROM hops), g2 AS (SELECT * FROM g WHERE d IS NOT NULL)"
 
 
@@ -125,8 +148,8 @@ def _(spark, d):
     return rows.select("victim", "event_id", F.array_join(F.transform("window", lambda x: x.cast("string")), ",").alias("win"), "target")
 
 
-_TFIDF = """WITH dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents) GROUP BY 1, 2),
-qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM benchmark) GROUP BY 1, 2),
+_TFIDF = """WITH dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS term FROM documents) GROUP BY 1, 2),
+qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS term FROM benchmark) GROUP BY 1, 2),
 w AS (SELECT term, ln((1e0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM dt GROUP BY 1),
 dn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM dt JOIN w USING (term) GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(tf * idf * tf * idf)) AS q_norm FROM qt JOIN w USING (term) GROUP BY 1)
 """
@@ -139,6 +162,26 @@ def _(spark, d):
     return R.top_k(scores, "item_id", "doc_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
 
 
+_FEATURES = 50_000
+_PAIRED = lambda t: f"list_concat({t}, list_transform(list_zip({t}[:-2], {t}[2:]), lambda x: x[1] || ' ' || x[2]))"
+_TK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')"
+
+
+@query(
+    "tfidf_bigrams",
+    f"""WITH a AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_PAIRED('k')}) AS term FROM (SELECT doc_id, {_TK} AS k FROM documents)) GROUP BY 1, 2),
+qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_PAIRED('k')}) AS term FROM (SELECT item_id, {_TK} AS k FROM benchmark)) GROUP BY 1, 2),
+most AS (SELECT term FROM a GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT {_FEATURES}), dt AS (SELECT a.* FROM a JOIN most USING (term)),"""
+    + _TFIDF[_TFIDF.index("\nw AS") :].replace("\nw AS", "w AS", 1)
+    + """, s AS (SELECT item_id, doc_id, dot / (norm * q_norm) AS score FROM (SELECT item_id, doc_id, sum(qt.tf * idf * dt.tf * idf) AS dot FROM qt JOIN w USING (term) JOIN dt USING (term) GROUP BY 1, 2) JOIN dn USING (doc_id) JOIN qn USING (item_id))
+SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def _(spark, d):
+    tokens = R.with_bigrams(T.retrieval_tokens(F.col("text")))
+    scores = R.tfidf_scores(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens, _FEATURES)
+    return R.top_k(scores, "item_id", "doc_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
+
+
 _OVERLAP = _TFIDF + ", s AS (SELECT item_id, doc_id, sum(idf) AS score FROM qt JOIN w USING (term) JOIN dt USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"
 
 
@@ -149,7 +192,7 @@ def _(spark, d):
     return R.top_k(scores, "item_id", "doc_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
 
 
-_REL = """, rel AS (SELECT item_id, doc_id, CAST(1 + (item_id + doc_id) % 3 AS INTEGER) AS grade FROM r WHERE rank % 2 = 0 AND rank <= 20),
+_REL = """, rel AS (SELECT item_id, doc_id, CAST(1 + (item_id + doc_id) % 3 AS INTEGER) AS grade FROM r WHERE rank % 2 = 0 AND rank <= 40),
 ideal AS (SELECT item_id, sum(CASE WHEN o <= 10 THEN (2 ** grade - 1) / log2(o + 1) END) AS idcg, count(*) AS n_rel FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY grade DESC, doc_id) AS o FROM rel) GROUP BY 1),
 hit AS (SELECT r.item_id, rank, grade, row_number() OVER (PARTITION BY r.item_id ORDER BY rank) AS nth FROM r JOIN rel ON r.item_id = rel.item_id AND r.doc_id = rel.doc_id WHERE rank <= 10),
 got AS (SELECT item_id, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg, sum(nth / rank) AS sp, min(rank) AS first, count(*) AS n_hit FROM hit GROUP BY 1)
@@ -159,7 +202,7 @@ got AS (SELECT item_id, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg, sum(nth /
 def ranking(spark, d):
     tokens = T.retrieval_tokens(F.col("text"))
     scores = R.overlap_scores(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens)
-    ranked = R.top_k(scores, "item_id", "doc_id", 20)
+    ranked = R.top_k(scores, "item_id", "doc_id", 40)  # twice as many relevant documents as are looked at
     rel = ranked.where("rank % 2 = 0").select("item_id", "doc_id", (1 + (F.col("item_id") + F.col("doc_id")) % 3).cast("int").alias("grade"))
     return R.ranking_metrics(ranked, rel, "item_id", "doc_id")
 
@@ -169,7 +212,7 @@ def _(spark, d):
     return ranking(spark, d).select("item_id", F.round("ndcg", 6).alias("ndcg"))
 
 
-@query("map_mrr", _OVERLAP + _REL + "SELECT item_id, round(coalesce(sp / least(n_rel, 10), 0), 6) AS ap, round(coalesce(1e0 / first, 0), 6) AS rr, round(coalesce(n_hit / 10, 0), 6) AS precision, round(coalesce(n_hit / n_rel, 0), 6) AS recall, CASE WHEN n_hit > 0 THEN 1 ELSE 0 END AS hit FROM ideal LEFT JOIN got USING (item_id)")
+@query("map_mrr", _OVERLAP + _REL + "SELECT item_id, round(coalesce(sp / n_rel, 0), 6) AS ap, round(coalesce(1e0 / first, 0), 6) AS rr, round(coalesce(n_hit / 10, 0), 6) AS precision, round(coalesce(n_hit / n_rel, 0), 6) AS recall, CASE WHEN n_hit > 0 THEN 1 ELSE 0 END AS hit FROM ideal LEFT JOIN got USING (item_id)")
 def _(spark, d):
     return ranking(spark, d).select("item_id", *(F.round(c, 6).alias(c) for c in ("ap", "rr", "precision", "recall")), "hit")
 
@@ -184,12 +227,23 @@ def _(spark, d):
     return E.group_kfold(table(spark, d, "orders"), "o_custkey")
 
 
-@query("split_summary", "WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), o AS (SELECT o_custkey, n, coalesce(sum(n) OVER (ORDER BY md5('42:' || o_custkey), o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT round_even(0.3 * sum(n), 0) FROM g) AS test FROM g) SELECT CAST(sum(n) FILTER (test) AS BIGINT) AS test_rows, CAST(sum(n) FILTER (NOT test) AS BIGINT) AS pool_rows, count(*) FILTER (test) AS test_groups, count(*) FILTER (NOT test) AS pool_groups, CAST(0 AS BIGINT) AS leaks FROM o")
+@query("split_summary", "WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), o AS (SELECT o_custkey, n, coalesce(sum(n) OVER (ORDER BY md5('42:' || o_custkey), o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT round_even(0.3 * sum(n), 0) FROM g) AS test FROM g) SELECT CAST(sum(n) FILTER (test) AS BIGINT) AS test_rows, CAST(sum(n) FILTER (NOT test) AS BIGINT) AS pool_rows, count(*) FILTER (test) AS test_groups, count(*) FILTER (NOT test) AS pool_groups, (SELECT count(*) FROM (SELECT o_custkey FROM o GROUP BY 1 HAVING count(DISTINCT test) > 1)) AS leaks FROM o")
 def _(spark, d):
     rows = table(spark, d, "orders")
     return E.split_summary(rows.join(E.group_holdout(rows, "o_custkey"), "o_custkey"), "o_custkey", "split")
 
 
+@query("build_splits", "WITH g AS (SELECT o_custkey, count(*) AS n, md5('42:' || o_custkey) AS k FROM orders GROUP BY 1), o AS (SELECT o_custkey, k, coalesce(sum(n) OVER (ORDER BY k, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT round_even(0.3 * sum(n), 0) FROM g) AS test FROM g) SELECT o_custkey, 'test' AS split, NULL::INTEGER AS fold FROM o WHERE test UNION ALL SELECT o_custkey, 'pool', CAST((row_number() OVER (ORDER BY k, o_custkey) - 1) % 5 AS INTEGER) FROM o WHERE NOT test")
+def _(spark, d):
+    return E.build_splits(table(spark, d, "orders"), "o_custkey")
+
+
+@query("group_column", "SELECT conv_id, turn, 'tx:' || substr(md5(coalesce(text, 'NA')), 1, 16) AS grp FROM conversations")
+def _(spark, d):
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", E.group_column(rows).alias("grp"))
+
+
 _SCORED = "WITH s AS (SELECT l.doc_id, quality AS y, (n_chars - lo) * 1e0 / (hi - lo) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id, (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents))"
 
 

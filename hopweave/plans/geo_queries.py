@@ -33,7 +33,8 @@ def _(spark, d):
 def _(spark, d):
     places = Z.attach(hops(spark, d).select("loc").distinct(), "loc", some(spark, d))
     up = table(spark, d, "nation").select(F.col("n_name").alias("location"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
-    return Z.with_uploaded(places, "loc", up).select("loc", "lat", "lon")
+    again = up.unionAll(up).unionAll(up.select("location", F.lit(5.0), F.lit(6.0))).unionAll(up.select("location", F.lit(None).cast("double"), F.lit(0.0)))
+    return Z.with_uploaded(places, "loc", again).select("loc", "lat", "lon")
 
 
 @query("resolve_exact_alias", f"WITH p AS (SELECT n_name AS loc FROM nation UNION ALL SELECT 'n-' || n_nationkey FROM nation) SELECT loc, lat, lon, CASE WHEN lower(loc) = lower(name) THEN 'exact' ELSE 'alias' END AS how FROM p JOIN {_GAZ} g ON lower(loc) = lower(name) OR lower(loc) = lower(alt_list[1])")
@@ -92,12 +93,43 @@ def _(spark, d):
     return rows.select("victim", "step", "a", "b", shown("t0"), shown("t1"))
 
 
+#: Coordinates of brands; every fifth has none. Days of a case: one for each hop, one for each place, too few, or none.
+_BRANDS = "SELECT DISTINCT p_brand AS name, CAST(substr(p_brand, 7) AS DOUBLE) AS lat, CAST(substr(p_brand, 7) AS DOUBLE) * 2 AS lon FROM part WHERE CAST(substr(p_brand, 7) AS INTEGER) % 5 <> 0"
+_AT = lambda x: f"strftime(TIMESTAMP '2020-01-01' + to_microseconds(CAST(({x}) * 86400000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S')"
+
+
 @query(
     "timed_segments_list",
-    with_cases("SELECT case_id, CAST(i AS INTEGER) AS step, chiefs[i] AS a, chiefs[i + 1] AS b, coalesce(CASE i WHEN 1 THEN 3e0 WHEN 2 THEN 5e0 END, 1e0) AS days FROM (SELECT case_id, chiefs, unnest(range(1, len(chiefs))) AS i FROM cases)"),
+    with_cases("").rstrip()
+    + f""", gaz AS ({_BRANDS}), h AS (SELECT case_id, len(chiefs) AS n, CASE case_id % 4 WHEN 0 THEN len(chiefs) - 1 WHEN 1 THEN len(chiefs) WHEN 2 THEN 1 END AS given, chiefs, unnest(range(1, len(chiefs))) AS i FROM cases),
+s AS (SELECT case_id, CAST(i AS INTEGER) AS step, chiefs[i] AS a, chiefs[i + 1] AS b, CASE WHEN given IN (n - 1, n) THEN i * 1.5e0 ELSE 1e0 END AS d FROM h),
+f AS (SELECT case_id, step, a, b, x.lat AS lat_a, x.lon AS lon_a, y.lat AS lat_b, y.lon AS lon_b, d, sum(d) OVER (PARTITION BY case_id ORDER BY step) AS till FROM s JOIN gaz x ON x.name = a JOIN gaz y ON y.name = b)
+SELECT case_id, step, a, b, lat_a, lon_a, lat_b, lon_b, {_AT('till - d')} AS t0, {_AT('till')} AS t1 FROM f""",
 )
 def _(spark, d):
-    return Z.list_segments(cases(spark, d).withColumn("days", F.array(F.lit(3), F.lit(5))), "case_id", "chiefs", "days")
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("name"), F.expr("cast(substring(p_brand, 7) as double)").alias("lat")).distinct().where("lat % 5 <> 0")
+    brands = brands.select("name", "lat", (F.col("lat") * 2).alias("lon"), F.lit(0).alias("population"))
+    given = F.expr("CASE case_id % 4 WHEN 0 THEN size(chiefs) - 1 WHEN 1 THEN size(chiefs) WHEN 2 THEN 1 END")
+    days = F.when(given > 0, F.transform(F.sequence(F.lit(1), F.greatest(given, F.lit(1))), lambda i: i * 1.5))
+    rows = Z.list_segments(cases(spark, d).withColumn("days", days), "case_id", "chiefs", "days", brands, F.lit("2020-01-01").cast("timestamp"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("case_id", "step", "a", "b", "lat_a", "lon_a", "lat_b", "lon_b", shown("t0"), shown("t1"))
+
+
+@query("resolve_locations")
+def _(spark, d):
+    n = table(spark, d, "nation")
+    asked = ["n_name", "concat(n_name, ' r', n_regionkey)", "concat('Nation ', n_nationkey)", "concat('somewhere r', n_regionkey)", "concat('X', n_name)", "''"]
+    places = n.select(F.explode(F.array(*(F.expr(x) for x in asked))).alias("loc"))
+    lookup = n.where("n_nationkey < 5").select(F.col("n_name").alias("location"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    return Z.resolve_locations(places, "loc", gazetteer(spark, d), [lookup])
+
+
+@query("gazetteer_from_tokens")
+def _(spark, d):
+    n = table(spark, d, "nation")
+    lines = n.selectExpr("concat('[', chr(39), n_name, 'X', chr(39), ' ', chr(39), 'R', n_regionkey, chr(39), ']') AS value").unionAll(n.selectExpr("concat('[', n_name, ' nowhere]') AS value"))
+    return Z.gazetteer_from_tokens(lines, gazetteer(spark, d))
 
 
 @query("heat_points", f"SELECT lat, lon FROM {_GAZ}")

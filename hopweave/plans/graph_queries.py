@@ -10,12 +10,25 @@ from hopweave.operators import ontology as O
 from hopweave.plans.register import query
 from hopweave.plans.views import ACTOR_EDGES_SQL, actor_edges, cases, gazetteer, table, with_cases
 
-_EDGES = """, e AS (SELECT src, dst, sum(w) AS weight, min(etype) AS etype FROM (
-  SELECT 'V:' || victim AS src, 'L:' || loc AS dst, 1e0 AS w, 'visited' AS etype FROM cases
-  UNION ALL SELECT 'V:' || victim, 'P:' || x, 1e0, 'victim_of' FROM (SELECT victim, loc, unnest(perps) AS x FROM cases)
-  UNION ALL SELECT 'V:' || victim, 'C:' || x, 1e0, 'held_by' FROM (SELECT victim, loc, unnest(chiefs) AS x FROM cases)
-  UNION ALL SELECT 'P:' || x, 'L:' || loc, 0.5e0, 'active_in' FROM (SELECT victim, loc, unnest(perps) AS x FROM cases)
-  UNION ALL SELECT 'C:' || x, 'L:' || loc, 0.5e0, 'active_in' FROM (SELECT victim, loc, unnest(chiefs) AS x FROM cases)) GROUP BY 1, 2),
+#: Cases of which some lack a place, and whose perps have blank and padded names.
+_FLAWED = """, flawed AS (SELECT victim, chiefs, CASE WHEN case_id % 7 = 0 THEN NULL WHEN case_id % 11 = 0 THEN '' ELSE loc END AS loc,
+  list_append(perps, CASE case_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN ' Extra ' END) AS perps FROM cases),
+kept AS (SELECT victim, loc, list_filter(list_transform(perps, lambda x: trim(x)), lambda x: x <> '') AS perps, chiefs FROM flawed WHERE loc <> '')
+"""
+
+
+def flawed(spark, d):
+    last = F.expr("CASE case_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN ' Extra ' END")
+    place = F.expr("CASE WHEN case_id % 7 = 0 THEN NULL WHEN case_id % 11 = 0 THEN '' ELSE loc END")
+    return cases(spark, d).select("victim", "chiefs", place.alias("loc"), F.concat("perps", F.array(last)).alias("perps"))
+
+
+_EDGES = _FLAWED + """, e AS (SELECT src, dst, sum(w) AS weight, min(etype) AS etype FROM (
+  SELECT 'V:' || victim AS src, 'L:' || loc AS dst, 1e0 AS w, 'visited' AS etype FROM kept
+  UNION ALL SELECT 'V:' || victim, 'P:' || x, 1e0, 'victim_of' FROM (SELECT victim, loc, unnest(perps) AS x FROM kept)
+  UNION ALL SELECT 'V:' || victim, 'C:' || x, 1e0, 'held_by' FROM (SELECT victim, loc, unnest(chiefs) AS x FROM kept)
+  UNION ALL SELECT 'P:' || x, 'L:' || loc, 0.5e0, 'active_in' FROM (SELECT victim, loc, unnest(perps) AS x FROM kept)
+  UNION ALL SELECT 'C:' || x, 'L:' || loc, 0.5e0, 'active_in' FROM (SELECT victim, loc, unnest(chiefs) AS x FROM kept)) GROUP BY 1, 2),
 n AS (SELECT src AS id FROM e UNION ALL SELECT dst FROM e)
 """
 
@@ -25,7 +38,7 @@ def with_edges(sql: str) -> str:
 
 
 def edges_of(spark, d):
-    return G.hetero_edges(cases(spark, d), "victim", "loc", "perps", "chiefs")
+    return G.hetero_edges(flawed(spark, d), "victim", "loc", "perps", "chiefs")
 
 
 @query("hetero_edges", with_edges("SELECT src, dst, weight, etype FROM e"))
@@ -59,7 +72,7 @@ def _(spark, d):
 
 
 _PAIRS = f"""WITH b AS ({ACTOR_EDGES_SQL}), p AS (SELECT DISTINCT x.actor AS src, y.actor AS dst FROM b x JOIN b y ON x.victim = y.victim AND x.actor < y.actor),
-g AS (SELECT src, dst FROM p WHERE (src * 31 + dst) % 5 = 0), u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), deg AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1),
+g AS (SELECT src, dst FROM p ), u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), deg AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1),
 c AS (SELECT p.src, p.dst, count(*) AS common, sum(1 / ln(deg.d)) AS aa, sum(1e0 / deg.d) AS ra FROM p JOIN u a ON p.src = a.src JOIN u z ON p.dst = z.src AND a.dst = z.dst JOIN deg ON deg.id = a.dst GROUP BY 1, 2),
 o AS (SELECT p.src, p.dst, coalesce(common, 0) AS common, coalesce(aa, 0) AS aa, coalesce(ra, 0) AS ra, coalesce(s.d, 0) AS ds, coalesce(t.d, 0) AS dt
   FROM p LEFT JOIN c ON p.src = c.src AND p.dst = c.dst LEFT JOIN deg s ON s.id = p.src LEFT JOIN deg t ON t.id = p.dst)
@@ -68,7 +81,7 @@ o AS (SELECT p.src, p.dst, coalesce(common, 0) AS common, coalesce(aa, 0) AS aa,
 
 def scored_pairs(spark, d):
     pairs = G.one_mode(actor_edges(spark, d).toDF("src", "dst"))
-    return G.link_scores(pairs.where("(src * 31 + dst) % 5 = 0"), pairs)
+    return G.link_scores(pairs, pairs)
 
 
 for _name, _sql, _column in (
@@ -98,6 +111,27 @@ def _(spark, d):
     return G.rank_metrics(scored(test), scored(negatives))
 
 
+_MAX_NODES, _MIN_ACTORS = 40, 10
+
+
+@query(
+    "location_network",
+    with_cases("").rstrip()
+    + f""", visits AS (SELECT loc, count(*) AS n FROM cases GROUP BY 1), keep AS (SELECT loc FROM visits ORDER BY n DESC, loc LIMIT {_MAX_NODES}),
+c AS (SELECT * FROM (SELECT victim, loc, case_id, lag(loc) OVER (PARTITION BY victim ORDER BY case_id) AS before FROM cases) WHERE before IS NULL OR before <> loc),
+m AS (SELECT victim, loc AS a, lead(loc) OVER (PARTITION BY victim ORDER BY case_id) AS b FROM c),
+p AS (SELECT x AS actor, loc, count(*) AS n FROM (SELECT loc, unnest(perps) AS x FROM cases) GROUP BY 1, 2),
+who AS (SELECT DISTINCT victim, loc FROM cases), k AS (SELECT (SELECT count(*) FROM keep) AS places, (SELECT count(DISTINCT victim) FROM who) AS subjects),
+chosen AS (SELECT actor FROM p GROUP BY 1 ORDER BY sum(n) DESC, actor LIMIT (SELECT greatest({_MIN_ACTORS}, {_MAX_NODES} - places - subjects) FROM k)),
+people AS (SELECT victim FROM who GROUP BY 1 ORDER BY count(*) DESC, victim LIMIT (SELECT CASE WHEN places + subjects + (SELECT count(*) FROM chosen) > {_MAX_NODES} THEN greatest(0, {_MAX_NODES} - places - (SELECT count(*) FROM chosen)) ELSE subjects END FROM k))
+SELECT 'L:' || a AS src, 'L:' || b AS dst, count(DISTINCT victim) AS weight, 'move' AS etype FROM m WHERE b IS NOT NULL AND a IN (SELECT loc FROM keep) AND b IN (SELECT loc FROM keep) GROUP BY 1, 2
+UNION ALL SELECT 'P:' || actor, 'L:' || loc, n, 'active_in' FROM p WHERE actor IN (SELECT actor FROM chosen) AND loc IN (SELECT loc FROM keep)
+UNION ALL SELECT 'V:' || victim, 'L:' || loc, 1, 'visited' FROM who WHERE victim IN (SELECT victim FROM people) AND loc IN (SELECT loc FROM keep)""",
+)
+def _(spark, d):
+    return G.location_network(cases(spark, d), "victim", "loc", "case_id", "perps", _MAX_NODES, _MIN_ACTORS)
+
+
 @query("components")
 def _(spark, d):
     return G.components(edges_of(spark, d))
@@ -130,8 +164,8 @@ def _(spark, d):
 
 @query("actor_victims", with_cases("SELECT DISTINCT victim FROM cases WHERE list_contains(chiefs, (SELECT max(p_brand) FROM part))"))
 def _(spark, d):
-    name = table(spark, d, "part").agg(F.max("p_brand")).first()[0]
-    return cases(spark, d).where(F.array_contains("chiefs", name)).select("victim").distinct()
+    name = table(spark, d, "part").agg(F.max("p_brand").alias("name"))  # one row
+    return cases(spark, d).crossJoin(F.broadcast(name)).where(F.array_contains("chiefs", F.col("name"))).select("victim").distinct()
 
 
 @query("location_explorer", with_cases("SELECT DISTINCT kind, value FROM (SELECT 'victim' AS kind, victim AS value FROM cases WHERE loc = '1-URGENT' UNION ALL SELECT 'perp', unnest(perps) FROM cases WHERE loc = '1-URGENT' UNION ALL SELECT 'chief', unnest(chiefs) FROM cases WHERE loc = '1-URGENT')"))

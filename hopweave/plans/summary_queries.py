@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from hopweave.functions import text as T
@@ -18,11 +20,11 @@ def _(spark, d):
 
 @query(
     "filter_composite",
-    with_cases("""SELECT case_id, CAST(year AS INTEGER) AS year FROM cases WHERE nat <> '' AND gender = 'MACHINERY' AND year BETWEEN 1995 AND 1996
-    AND list_has_any(list_transform(perps, lambda x: lower(x)), ['supplier_1', 'supplier_7', 'supplier#1']) AND (contains(lower(loc), 'urgent') OR contains(lower(nat), 'urgent'))"""),
+    with_cases("""SELECT case_id, CAST(year AS INTEGER) AS year FROM cases WHERE nat <> '' AND gender = 'MACHINERY' AND year BETWEEN 1995 AND 1997
+    AND list_has_any(list_transform(chiefs, lambda x: lower(x)), ['brand#1', 'brand#7', 'brand#12']) AND (contains(lower(loc), 'urgent') OR contains(lower(nat), 'urgent'))"""),
 )
 def _(spark, d):
-    rows = P.composite(cases(spark, d), equal={"gender": "MACHINERY"}, any_token={"perps": ["SUPPLIER_1", "supplier_7", "Supplier#1"]}, numbers={"year": (1995, 1996)}, substring=(["loc", "nat"], "URGENT"))
+    rows = P.composite(cases(spark, d), equal={"gender": "MACHINERY"}, any_token={"chiefs": ["BRAND#1", "brand#7", "Brand#12"]}, numbers={"year": (1995, 1997)}, substring=(["loc", "nat"], "URGENT"))
     return rows.select("case_id", "year")
 
 
@@ -33,8 +35,8 @@ def _(spark, d):
 
 @query("list_contains_exact", with_cases("SELECT case_id FROM cases WHERE list_contains(perps, (SELECT min(s_name) FROM supplier))"))
 def _(spark, d):
-    name = table(spark, d, "supplier").agg(F.min("s_name")).first()[0]
-    return cases(spark, d).where(P.contains_exact(F.col("perps"), name)).select("case_id")
+    name = table(spark, d, "supplier").agg(F.min("s_name").alias("name"))  # one row
+    return cases(spark, d).crossJoin(F.broadcast(name)).where(P.contains_exact(F.col("perps"), F.col("name"))).select("case_id")
 
 
 @query("filter_range_coerce", "SELECT event_id, user_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 20 AND 40")
@@ -48,9 +50,30 @@ def _(spark, d):
     return table(spark, d, "part").where(P.substring_in([F.col("p_name"), F.col("p_type")], "a.*e", literal=False)).select("p_partkey")
 
 
-@query("filter_year_missing_fails", with_cases("SELECT case_id FROM cases WHERE year BETWEEN 1993 AND 1994"))
+@query("filter_year_missing_fails", with_cases("SELECT case_id FROM cases WHERE case_id % 5 <> 0 AND year BETWEEN 1996 AND 1997"))
+def _(spark, d):
+    rows = cases(spark, d).withColumn("year", F.when(F.col("case_id") % 5 != 0, F.col("year")))  # every fifth year is missing
+    return rows.where(P.year_between(F.col("year"), 1996, 1997)).select("case_id")
+
+
+@query("legacy_filter", with_cases("SELECT case_id FROM cases WHERE nat = 'NATION_3' AND gender = 'MACHINERY' AND year BETWEEN 1996 AND 1999 AND contains(lower(loc), 'high')"))
+def _(spark, d):
+    names = {"nationality": "nat", "place": "loc"}
+    return P.legacy_filter(cases(spark, d), "NATION_3", "MACHINERY", (1996, 1999), "High", columns=names).select("case_id")
+
+
+_TABLES = """SELECT 'gender' AS tab, gender AS name, count(*) AS n FROM cases GROUP BY 2
+UNION ALL (SELECT 'nationality', nat, count(*) AS n FROM cases GROUP BY 2 ORDER BY n DESC, nat LIMIT 15)
+UNION ALL SELECT 'per_place', loc, count(DISTINCT victim) FROM cases GROUP BY 2
+UNION ALL SELECT 'per_perp', x, count(DISTINCT victim) FROM (SELECT victim, unnest(perps) AS x FROM cases) GROUP BY 2
+UNION ALL SELECT 'per_chief', x, count(DISTINCT victim) FROM (SELECT victim, unnest(chiefs) AS x FROM cases) GROUP BY 2"""
+
+
+@query("summary_tables", with_cases(_TABLES))
 def _(spark, d):
-    return cases(spark, d).where(P.year_between(F.col("year"), 1993, 1994)).select("case_id")
+    tables = S.summary_tables(cases(spark, d), "victim", "case_id", "loc", "gender", "nat", "perps", "chiefs")
+    parts = [t.select(F.lit(n).alias("tab"), F.col(t.columns[0]).alias("name"), F.col(t.columns[1]).alias("n")) for n, t in tables.items() if n != "core"]
+    return reduce(lambda a, b: a.unionAll(b), parts)
 
 
 @query("plausible_days", "SELECT o_orderkey, CASE WHEN o_totalprice < 2000 THEN o_totalprice END AS plausible FROM orders")

@@ -74,7 +74,9 @@ one("location_tokens", lambda: joined(T.location_tokens(F.col("people"))), _BAR(
 one("person_tokens", lambda: joined(T.person_tokens(F.col("people"))), _BAR(_UNIQ(f"list_filter(regexp_extract_all(coalesce(people, ''), '[A-Za-z]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+') AND lower(w) NOT IN {_PERSONS})")))
 one("compact_time", lambda: T.compact_time(F.col("duration")), "array_to_string(list_filter(regexp_extract_all(lower(coalesce(duration, '')), '[a-z]+|[0-9]+'), lambda t: t <> 'and'), '_')")
 one("extract_year", lambda: T.extract_year(F.col("dated")), "TRY_CAST(nullif(regexp_extract(coalesce(dated, ''), '\\b((19|20)[0-9]{2})\\b', 1), '') AS INTEGER)")
-one("retrieval_tokens", lambda: joined(T.retrieval_tokens(F.col("people"))), _BAR("regexp_extract_all(lower(coalesce(people, '')), '[a-z0-9]{2,}')"))
+#: People with names in other alphabets and with accents.
+ABROAD = "concat(coalesce(people, ''), CASE k % 6 WHEN 0 THEN ' Şanlıurfa Dőr' WHEN 1 THEN ', Čačak City é x' WHEN 2 THEN ' – Асмэра; 東京 2x' WHEN 3 THEN ', São Tomé' ELSE '' END)"
+one("retrieval_tokens", lambda: joined(T.retrieval_tokens(F.expr(ABROAD))), _BAR(f"regexp_extract_all(lower({ABROAD}), '[\\p{{L}}\\p{{N}}]{{2,}}')"))
 
 _D = "lower(coalesce(duration, ''))"
 _N = f"list_transform(regexp_extract_all({_D}, '\\b([0-9]+(?:\\.[0-9]+)?)\\b', 1), lambda x: CAST(x AS DOUBLE))"
@@ -136,6 +138,12 @@ one(
 )
 
 
+one("positive_days", lambda: T.positive_days(F.when(F.col("k") % 4 == 0, "nan").when(F.col("k") % 4 == 1, (F.col("k") - 40).cast("string")).when(F.col("k") % 4 == 2, "inf")), "CASE WHEN k % 4 = 1 AND k > 40 THEN CAST(k - 40 AS DOUBLE) END")
+_PAIR = lambda: F.when(F.col("k") % 3 == 0, F.concat_ws(", ", (F.col("k") / 2).cast("string"), F.lit("-7.5"))).when(F.col("k") % 3 == 1, "north, 3")
+one("split_pair", lambda: F.concat_ws("|", *(F.coalesce(F.round(x, 3).cast("string"), F.lit("-")) for x in T.split_pair(_PAIR()))), "CASE k % 3 WHEN 0 THEN CAST(k / 2e0 AS VARCHAR) || '|-7.5' WHEN 1 THEN '-|3.0' ELSE '-|-' END")
+one("year_of", lambda: T.year_of(F.when(F.col("k") % 2 == 0, F.concat_ws("-", (F.col("k") % 30 + 1990).cast("string"), F.lit("05-06"))), F.col("dated")), "CASE WHEN k % 2 = 0 THEN CAST(k % 30 + 1990 AS INTEGER) ELSE TRY_CAST(nullif(regexp_extract(coalesce(dated, ''), '\\b((19|20)[0-9]{2})\\b', 1), '') AS INTEGER) END")
+
+
 @query("explode_outer", with_raw("SELECT k, CASE WHEN len(l) = 0 THEN NULL ELSE unnest(l) END AS item FROM (SELECT k, CASE WHEN len(x) = 0 THEN [NULL] ELSE x END AS l FROM (SELECT k, list_filter(list_transform(string_split_regex(" + _CLEAN("people") + f", '{_SEP}'), lambda p: trim(p)), lambda p: p <> '' AND lower(p) NOT IN {_IN(T.LIST_BLANKS)}) AS x FROM raw))"))
 def _(spark, d):
     return raw(spark, d).select("k", F.explode_outer(T.split_list(F.col("people"))).alias("item"))
@@ -158,9 +166,24 @@ def _(spark, d):
     return raw(spark, d).select("k", joined(T.name_mentions(F.col("people"))).alias("out"))
 
 
-@query("place_keys")
+def _key(x: str) -> str:
+    folded = f"strip_accents(translate(lower({_STRIP(x)}), '’–—', chr(39) || '--'))"
+    return f"trim(regexp_replace(regexp_replace({folded}, '[^\\p{{L}}\\p{{N}}_\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_TAIL = f"trim(string_split({ABROAD}, ',')[-1])"
+
+
+@query(
+    "place_keys",
+    with_raw(
+        f"SELECT k, array_to_string(list_filter(string_split({_key(ABROAD)}, ' '), lambda w: w <> '' AND w NOT IN {_IN(T.PLACE_STOPS)}), ' ') AS key, "
+        f"CASE WHEN contains({ABROAD}, ',') AND length({_TAIL}) BETWEEN 2 AND 64 THEN {_key(_TAIL)} END AS country, strip_accents({ABROAD}) AS folded FROM raw"
+    ),
+)
 def _(spark, d):
-    return raw(spark, d).select("k", T.place_key_without_stops(F.col("people")).alias("key"), T.country_hint(F.col("people")).alias("country"), fuzzy.fold_accents(F.coalesce("people", F.lit(""))).alias("folded"))
+    who = F.expr(ABROAD)
+    return raw(spark, d).select("k", T.place_key_without_stops(who).alias("key"), T.country_hint(who).alias("country"), T.fold_accents(who).alias("folded"))
 
 
 @query("fuzzy_dedupe")
@@ -171,4 +194,4 @@ def _(spark, d):
 @query("similarity")
 def _(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
-    return rows.select("p_partkey", *(f("a", "b").alias(n) for n, f in (("ratio", fuzzy.ratio), ("token_set", fuzzy.token_set_ratio), ("matcher", fuzzy.matcher_ratio))))
+    return rows.select("p_partkey", *(f("a", "b").alias(n) for n, f in (("ratio", fuzzy.ratio), ("token_set", fuzzy.token_set_ratio), ("matcher", fuzzy.matcher_ratio), ("weighted", fuzzy.weighted_ratio))))

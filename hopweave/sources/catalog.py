@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hopweave.functions import text as T
 from hopweave.operators.merge import union_by_name
+from hopweave.sources.readers import read_any, read_queries
 
 ENTRY = "id string, name string, kind string, path string, format string, owner string, source string, created_at string, extra map<string,string>"
 ARTIFACTS = ("json", "txt", "ttl")
@@ -66,10 +67,24 @@ class Catalog:
         out = self._fs.create(tmp, True)
         out.write(bytearray((json.dumps(entry, sort_keys=True) + "\n").encode()))
         out.close()
-        self._fs.delete(own, False)
-        self._fs.rename(tmp, own)
+        self._replace(tmp, own)
         return entry["id"]
 
+    def _replace(self, new, old) -> None:
+        """Gives a file the name of another in one step, so that a reader finds the old or the new content."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        if self._fs.getUri().getScheme() == "file":
+            option = jvm.java.nio.file.StandardCopyOption
+            options = gateway.new_array(jvm.java.nio.file.CopyOption, 2)
+            options[0], options[1] = option.ATOMIC_MOVE, option.REPLACE_EXISTING
+            path = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.move(path(new), path(old), options)
+            return
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(new, old, options)
+
     def _new(self, name: str, kind: str, fmt: str, owner: str | None, source: str | None, extra: dict | None) -> dict:
         id_ = f"{kind}_{uuid.uuid4().hex[:16]}"
         return {"id": id_, "name": name, "kind": kind, "format": fmt, "path": f"{self.root}/data/{id_}.{fmt}", "owner": owner, "source": source, "created_at": datetime.now(UTC).isoformat(), "extra": {k: str(v) for k, v in (extra or {}).items()}}
@@ -111,6 +126,29 @@ class Catalog:
         reader = self.spark.read.option("header", True) if e["format"] == "csv" else self.spark.read
         return reader.format(SUFFIX[e["format"]]).load(e["path"])
 
+    def load_any(self, id_or_path: str) -> DataFrame:
+        """The dataset of an entry, whatever its format, or the table of a path by its ending."""
+        found = self.entries().where(F.col("id") == id_or_path).limit(1).collect()
+        if not found:
+            return read_any(self.spark, id_or_path)
+        return self.load(id_or_path) if found[0].format in ("parquet", "csv") else read_any(self.spark, found[0].path)
+
+    def cached(self, mark: str, owner: str | None = None, kind: str = "processed") -> tuple[DataFrame, dict[str, str]] | None:
+        """The newest dataset with a fingerprint, the owner's before anyone's, and its map of ids; None if there is none."""
+        found = self.find(kind, fingerprint=mark, owner=owner).limit(1).collect() if owner else []
+        found = found or self.find(kind, fingerprint=mark).limit(1).collect()
+        if not found:
+            return None
+        ids = self.find("processed_id_map", source=found[0].id).limit(1).collect()
+        return self.load(found[0].id), self.load_json(ids[0].id) if ids else {}
+
+    def queries(self, path: str | None = None) -> DataFrame | None:
+        """The newest query set of the catalog, else that of a file; None if there is neither."""
+        found = self.entries("queries").limit(1).collect()
+        if found:
+            return read_queries(self.spark, found[0].path)
+        return read_queries(self.spark, path) if path else None
+
     def load_text(self, id_: str) -> str:
         return self.spark.read.text(self.entry(id_)["path"], wholetext=True).first()[0]
 

@@ -156,8 +156,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """qid, text, relevance of a JSON-lines query set with alternative keys."""
-    df = spark.read.json(path)
-    any_of = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in df.columns), F.lit(None).cast("string"))
-    rel = next((c for c in ("relevance", "relevant", "qrels") if c in df.columns), None)
-    return df.select(any_of("qid", "id", "query_id").alias("qid"), any_of("text", "query", "q").alias("text"), (F.col(rel) if rel else F.lit(None)).alias("relevance")).where("text IS NOT NULL")
+    """qid, text, relevance (doc_id, grade) of a JSON-lines query set with alternative keys; queries without an id or a text are left out.
+
+    A judgement without a grade has grade 0; one whose grade is no whole number is left out.
+    """
+    item = "array<struct<doc_id: string, id: string, uid: string, grade: string>>"
+    names = ("qid", "id", "query_id", "text", "query")
+    df = spark.read.schema(", ".join([*(f"{n} string" for n in names), f"relevance {item}", f"labels {item}"])).json(path)
+    first = lambda *cols: F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cols), F.lit(""))
+    given = F.when(F.size("relevance") > 0, F.col("relevance")).otherwise(F.coalesce("labels", F.array().cast(item)))
+    judged = F.transform(given, lambda x: F.struct(first(x["doc_id"], x["id"], x["uid"]).alias("doc_id"), F.coalesce(x["grade"], F.lit("0")).try_cast("int").alias("grade")))
+    rows = df.select(first("qid", "id", "query_id").alias("qid"), first("text", "query").alias("text"), F.filter(judged, lambda x: x["grade"].isNotNull()).alias("relevance"))
+    return rows.where("qid <> '' AND text <> ''")

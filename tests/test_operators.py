@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from hopweave.operators import evaluate, filters, forecast, geo, graph, merge, ontology, standardize, summary, trajectory
+from hopweave.functions import fuzzy
+from hopweave.operators import evaluate, filters, forecast, geo, graph, merge, ontology, retrieval, standardize, summary, trajectory
+from hopweave.operators.numbering import running_sums, spread
+from hopweave.sources.catalog import Catalog
 
 
 @pytest.fixture(scope="module")
@@ -172,3 +176,141 @@ def test_negatives_by_brute_force(spark):
     assert alone and all(a != b and (a, b) not in both for a, b in alone)
     scores = spark.createDataFrame([(1, 2, 0.5), (3, 4, 0.5)], "src long, dst long, score double")
     assert rows(graph.rank_metrics(scores, scores.where("src = 1")), "src", "dst", "rank") == [(1, 2, 2)]
+
+
+def names_with_errors(n: int):
+    """Names, and what is left of them after some letters are changed, words swapped or added."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdeilmnorstu") for _ in range(rnd.randint(3, 9)))
+    names = [" ".join(word() for _ in range(rnd.choice((1, 1, 2, 3)))) for _ in range(n)]
+    asked = []
+    for name in names:
+        letters = list(name)
+        for _ in range(rnd.choice((0, 1, 1, 2, 4))):
+            letters[rnd.randrange(len(letters))] = rnd.choice("abcdeilmnorstu")
+        words = "".join(letters).split() + ([word()] if rnd.random() < 0.3 else [])
+        rnd.shuffle(words)
+        asked.append(" ".join(words))
+    return names, asked
+
+
+def test_similar_names_by_brute_force(spark):
+    """No pair that reaches the cutoff is missing among the candidates, for either kind of similarity."""
+    names, asked = names_with_errors(120)
+    left = spark.createDataFrame([(q,) for q in dict.fromkeys(asked)], "k string")
+    right = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name_norm string")
+    for cutoff, f in ((88.0, fuzzy.indel_ratio), (84.0, fuzzy.token_set), (90.0, fuzzy.token_set)):
+        got = {(r.k, r.name_norm) for r in geo.similar_candidates(left, right, cutoff).collect()}
+        want = {(q, n) for q in asked for n in names if f(q, n) >= cutoff}
+        assert want and want <= got, sorted(want - got)[:3]
+
+
+def test_cascade_by_brute_force(spark):
+    names, asked = names_with_errors(60)
+    rows = [(n, float(i), float(-i), ("AA", "BB", "CC")[i % 3], 1000 * (i % 7), []) for i, n in enumerate(names)]
+    gaz = spark.createDataFrame(rows, "name string, lat double, lon double, country string, population long, alt_list array<string>")
+    asked = [*asked, *names[:10], *(f"{n} bb" for n in names[10:30]), "zzzzqq aa", "zzzzqq", "", None, "Lookup Me"]
+    lookup = spark.createDataFrame([("lookup me", 1.5, 2.5)], "location string, lat double, lon double")
+    places = spark.createDataFrame([(q,) for q in asked], "p string")
+    got = {r.p: (r.how, r.lat) for r in geo.resolve_locations(places, "p", gaz, [lookup]).collect()}
+
+    def best(q, key, among, cutoff):
+        scored = [(-fuzzy.token_set(q, key(r)), -r[4], r[0]) + (r,) for r in among]
+        top = min(scored, default=None, key=lambda x: x[:3])
+        return top[3][1] if top and -top[0] >= cutoff else None
+
+    for q in {x for x in asked if x}:
+        k, code = q.lower(), next((w.upper() for w in q.split() if len(w) == 2), None)
+        here = [r for r in rows if r[3] == code]
+        exact = min(((-r[4], r[0], r) for r in rows if r[0] == k), default=None)
+        if k == "lookup me":
+            want = ("lookup", 1.5)
+        elif exact:
+            want = ("exact", exact[2][1])
+        elif (x := best(k, lambda r: f"{r[0]} {r[3].lower()}", here, 84.0)) is not None:
+            want = ("country", x)
+        elif (x := best(k, lambda r: r[0], rows, 90.0)) is not None:
+            want = ("fuzzy", x)
+        elif here:
+            want = ("centroid", max(here, key=lambda r: (r[4], r[0]))[1])
+        else:
+            want = None
+        assert got.get(q) == want, q
+    assert {h for h, _ in got.values()} == {"lookup", "exact", "country", "fuzzy", "centroid"}
+
+
+def test_gazetteer_from_tokens(spark):
+    rows = [("Khartoum", 15.5, 32.5, "Sudan", 5_000_000), ("Kassala", 15.4, 36.4, "Sudan", 400_000), ("Kufra", 24.2, 23.3, "Libya", 60_000), ("Tripoli", None, 13.2, "Libya", 1)]
+    gaz = spark.createDataFrame(rows, "name string, lat double, lon double, country string, population long")
+    lines = ["['Khartum' 'Sudan']", "['Kufra' 'Sudan']", "[Kasala]", "['Sudan']", "no list", "['Khartoum' 'Sudan']", "['Xyz' 'Libya']"]
+    got = {r.source_tokens: (r.name, r.matched_from, r.score) for r in geo.gazetteer_from_tokens(spark.createDataFrame([(x,) for x in lines], "value string"), gaz).collect()}
+    assert got["Khartoum | Sudan"] == ("Khartoum", "Khartoum", 1.05) and "Khartum | Sudan" not in got  # one row of a place
+    assert got["Kasala"][0] == "Kassala" and got["Xyz | Libya"][0] == "Kufra" and "Sudan" not in got
+
+
+def test_list_segments(spark):
+    gaz = spark.createDataFrame([("a", 1.0, 1.0, 1), ("b", 2.0, 2.0, 1), ("c", 3.0, 3.0, 1)], "name string, lat double, lon double, population long")
+    df = spark.createDataFrame([("x", ["a", "b", "c"], [2.0, 3.0]), ("x", ["a", "zz", "b", "c"], [5.0]), ("y", ["a", "b"], [4.0, 9.0]), ("z", ["a"], [1.0])], "s string, p array<string>, d array<double>")
+    got = geo.list_segments(df, "s", "p", "d", gaz, F.lit("2020-01-01").cast("timestamp")).collect()
+    days = sorted((r.s, r.step, r.a, (r.t0 - r.t0.replace(month=1, day=1)).days, (r.t1 - r.t0).days) for r in got)
+    assert days == [("x", 1, "a", 0, 2), ("x", 2, "b", 2, 3), ("x", 3, "b", 0, 1), ("y", 1, "a", 0, 4)]
+    assert geo.has_lists(df, "p") and not geo.has_lists(df.where("s = 'z'"), "p")
+
+
+def test_next_path_by_brute_force(spark, route):
+    """The roll-out takes the best place of each step, with the context moved on."""
+    grams, ctx = forecast.ngrams(route, "sid", "loc", "ord"), forecast.contexts(route, "sid", "loc", "ord")
+    want = {}
+    for r in ctx.collect():
+        c2, c1 = r.c2, r.c1
+        for step in (1, 2, 3):
+            best = min(forecast.predict_next_dist(grams, c2, c1).collect(), key=lambda x: (-round(x.prob, 12), x.w))
+            want[r.sid, step] = (best.w, round(best.prob, 9))
+            c2, c1 = c1, best.w
+    assert {(r.sid, r.step): (r.w, round(r.prob, 9)) for r in forecast.next_path(grams, ctx, "sid", 3).collect()} == want
+
+
+def test_running_sums_by_brute_force(spark):
+    """Sums over a whole table, whatever the numbers: tiny, huge, negative, equal."""
+    rnd = random.Random(3)
+    values = [rnd.choice((0.0, rnd.random(), -rnd.random(), rnd.random() * 1e12, rnd.random() * 1e-9, float(rnd.randint(-3, 3)))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double").repartition(5)
+    for sign, order in ((1, ["x", "i"]), (-1, [F.desc("x"), "i"])):
+        got = {r.i: (r.n, r.s) for r in running_sums(df, sign * spread(F.col("x")), order, {"n": F.lit(1), "s": F.col("i")}).collect()}
+        total = 0
+        for n, (x, i) in enumerate(sorted((sign * x, i) for i, x in enumerate(values)), 1):
+            total += i
+            assert got[i] == (n, total)
+
+
+def test_negatives_are_complete(spark):
+    edges = spark.createDataFrame([(i, j) for i in range(20) for j in range(20) if (i * j) % 3 == 1 and i != j], "src int, dst int")
+    linked = {tuple(r) for r in edges.collect()}
+    actors = {d for _, d in linked}
+    got = graph.negative_pairs(edges, 4).collect()
+    assert not any((r.src, r.dst) in linked or (r.dst, r.src) in linked or r.src == r.dst for r in got)
+    for s in {a for a, _ in linked}:
+        free = [a for a in actors if a != s and (s, a) not in linked and (a, s) not in linked]
+        assert sum(r.src == s for r in got) == min(4, len(free))
+
+
+def test_uploads_and_lists_do_not_multiply(spark):
+    up = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 4.0), ("a", None, 0.0)], "location string, lat double, lon double")
+    df = spark.createDataFrame([("a", None, None), ("b", 5.0, 6.0)], "p string, lat double, lon double")
+    assert sorted(tuple(r) for r in geo.with_uploaded(df, "p", up).select("p", "lat", "lon").collect()) == [("a", 1.0, 2.0), ("b", 5.0, 6.0)]
+
+
+def test_average_precision_divides_by_all_relevant(spark):
+    ranked = spark.createDataFrame([("q", f"d{i}", i) for i in range(1, 4)], "q string, d string, rank int")
+    rel = spark.createDataFrame([("q", f"d{i}", 1) for i in range(1, 8)], "q string, d string, grade int")
+    assert math.isclose(retrieval.ranking_metrics(ranked, rel, "q", "d", 3).first().ap, 3 / 7)
+
+
+def test_splits_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([(g, i) for g in range(20) for i in range(3)], "g int, i int")
+    splits = evaluate.build_splits(df, "g")
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    back = catalog.load(evaluate.persist_splits(splits, catalog, "one", "g"))
+    parts = [evaluate.apply_split(df, back, "g", "test").count(), *(evaluate.apply_split(df, back, "g", "pool", k).count() for k in range(5))]
+    assert sum(parts) == 60 and parts[0] == 18 and min(parts) > 0
+    assert evaluate.group_column(df, "g")._jc.toString() and evaluate.group_column(df.withColumnRenamed("i", "sid"))._jc.toString().find("sid") > 0
