@@ -252,7 +252,7 @@ def numbered_shingles(words: list[bytes]) -> np.ndarray:
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, keep: Scratch, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) with j, the similarity of their multisets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     bags = _bags_of(docs, ids.join(nodes.select("id", "key", "doc"), "id"), sorted_shingles, "binary", keep, id_col, text_col)
     both = pairs.select("a", "b").join(bags.toDF("b", "bb"), "b").join(bags.toDF("a", "ba"), "a")
 
@@ -419,14 +419,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         pairs, rest = _pivot_round(nodes, members, n)
         labels = _joined(labels, tested(keep.written(pairs, "pairs")), keep)
         members = keep.written(_open(rest, labels), "members")
+        keep.forget("pairs", "bags", "links", "edges")
+        keep.forget("members", newest=1)
     if not members.isEmpty():
         prefixes = keep.written(_prefixes(docs, nodes, members.select("id").distinct(), keep, id_col, text_col), "prefixes")
+        keep.forget("members", "bags")
         for one in (True, False):
             pairs = _agreement(_prefix_pairs(prefixes, labels, one), nodes)
             if one:  # the most similar pair of each two components
                 best = F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")
                 pairs = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(best).select("p.*")
             labels = _joined(labels, tested(keep.written(pairs.select("a", "b"), "pairs")), keep)
+            keep.forget("pairs", "bags", "links", "edges")
     # a class is named by its least document
     of_node = _named(same.select(F.col("node").alias("id"), "key", "doc"), labels)
     least = of_node.groupBy("comp").agg(F.min("doc").alias("class"))

@@ -36,19 +36,31 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
+        self.held: dict[str, list[str]] = {}
 
     def written(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
         """df written and read again; last: for good, since the result reads it."""
-        self.n += 1
-        path = f"{self.path}{'-result' if last else ''}/{self.n}-{name}"
+        path = f"{self.path}{'-result' if last else ''}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        if not last:
+            self.held.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def forget(self, *names: str, newest: int = 0) -> None:
+        """Removes tables of these names, but for the newest."""
+        for name in names:
+            paths = self.held.pop(name, [])
+            self.held[name] = paths[len(paths) - newest :] if newest else []
+            for path in paths[: len(paths) - newest]:
+                self._delete(path)
+
+    def drop(self) -> None:
+        self._delete(self.path)
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed, so that a loop's plan and lineage stay short."""
