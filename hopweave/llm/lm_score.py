@@ -14,7 +14,9 @@ the class, and all rarer or unseen words letter by letter, by counts of letters
 to ORDER letters in the rare words of the corpus. So the probabilities of a class add up
 to at most one over all texts, and the neighbours of a rarer word bear on its class only.
 
-Training reads every document: each task starts from the same network, takes
+The tokens of every document are numbered once and written, with what the tail says of
+them; training and scoring read that table. Training reads every document: each task
+starts from the same network, takes
 steps on every token of its documents, and the networks are averaged by a tree
 reduction, weighted by the tokens that they have seen, for `rounds` rounds. What
 the corpus contributes so grows with it; what the driver holds are one network, one
@@ -34,6 +36,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hopweave.llm.batches import map_documents, pieces, texts_of
 from hopweave.llm.keeping import Rows
@@ -49,13 +52,14 @@ WORDS = SIZE - BUCKETS - 1
 PLACES = (-2, -1, 1, 2)
 WIDTH = 16
 ROUNDS = 1
-BATCH, RATE = 2048, 0.1
+BATCH, LEAST, RATE = 4096, 512, 0.1
 #: Weights and hidden values count in steps of 1 / GRID when texts are scored.
 GRID = 2.0**16
+ONES = np.ones((CLASSES, 1), np.float32)
 #: Outputs are cut at this distance from 0, so that their exponentials are finite.
 FAR = 60
 #: Tokens that are scored at once.
-BLOCK = 32_768
+BLOCK = 8192
 #: Distinct words that a task counts or numbers before it starts afresh.
 CACHE = 300_000
 #: Letters (bytes of UTF-8) before a letter that predict it, rows for each number of them, and the weight of the shorter context.
@@ -71,7 +75,7 @@ class Numbers:
 
     def __init__(self, words: list[str], tail: Tail | None = None):
         self.fixed, self.tail = {w: i for i, w in enumerate(words)}, tail
-        self.rows, self.at = Rows(CACHE), np.zeros(1024, np.int64)
+        self.rows, self.at = Rows(CACHE), np.zeros(1024, np.uint16)
         self.logs = np.zeros(1024)
 
     def rows_of(self, found: list[list[str]]) -> list[np.ndarray]:
@@ -122,6 +126,7 @@ class Tail:
         self.known: dict[str, float] = {}
         self.spelled = np.full(BUCKETS, -np.log(2))
         self.counts = np.zeros((BUCKETS + ORDER * ROWS, 256), np.float32)
+        self.totals: np.ndarray | None = None
 
     def load(self, known: list[tuple[str, int]], rare: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Tail:
         """known: words and counts; rare: tokens of other words by class; keys and counts: cells of the table of letters."""
@@ -140,9 +145,10 @@ class Tail:
             return np.zeros(0)
         letter, rows, starts = letters(words)
         p = np.full(len(letter), 1 / 256)
-        sums = self.counts.sum(1, dtype=float)
+        if self.totals is None:
+            self.totals = self.counts.sum(1, dtype=float)
         for r in rows:
-            p = (self.counts[r, letter] + PRIOR * p) / (sums[r] + PRIOR)
+            p = (self.counts[r, letter] + PRIOR * p) / (self.totals[r] + PRIOR)
         return np.add.reduceat(np.log(p), starts)
 
     def within(self, words: list[str]) -> list[float]:
@@ -188,11 +194,24 @@ class Network:
         pw += self.word_bias[target // IN_CLASS]
         for p in (pc, pw):
             np.exp(np.clip(p, -FAR, FAR, out=p), out=p)
-            p /= p.sum(1, keepdims=True)
+            p /= p @ ONES
         return h, pc, pw, cuts
 
+    def with_tail(self, tail: Tail) -> Network:
+        self.tail = tail
+        return self
+
+    def text_sums(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Sums of log-probabilities of numbered texts."""
+        near, target = windows(texts)
+        logs = [self.log_probs(near[a : a + BLOCK], target[a : a + BLOCK]) for a in range(0, len(target), BLOCK)]
+        return np.bincount(np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate([*logs, np.zeros(0)]), len(texts))
+
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.embed[p][near[:, p]] for p in range(len(PLACES))))
+        h = np.take(self.embed[0], near[:, 0], axis=0)
+        for p in range(1, len(PLACES)):
+            h += np.take(self.embed[p], near[:, p], axis=0)
+        return np.tanh(h, out=h)
 
     def log_probs(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its neighbours.
@@ -230,6 +249,10 @@ class Trainer:
         self.net, self.seen = net, 0
         self.sums = [np.full_like(p, 1e-4) for p in net.parts()]
 
+    def batch(self) -> int:
+        """Tokens of the next step: few at first, so that small corpora make steps as well."""
+        return min(BATCH, max(LEAST, self.seen // 16))
+
     def step(self, near: np.ndarray, target: np.ndarray) -> None:
         net = self.net
         order = np.argsort(target // IN_CLASS, kind="stable")
@@ -249,28 +272,31 @@ class Trainer:
         d_bias[present] = np.add.reduceat(gw, cuts[present], axis=0)
         dh += gc @ net.to_class
         dh *= 1 - h * h
-        d_embed = np.zeros_like(net.embed)
-        row = (near + np.arange(len(PLACES)) * SIZE).astype(np.uint16).ravel()  # SIZE * len(PLACES) rows; short integers are sorted by radix
+        row = (near + np.arange(len(PLACES), dtype=np.uint16) * np.uint16(SIZE)).ravel()  # SIZE * len(PLACES) rows; short integers are sorted by radix
         by = np.argsort(row, kind="stable")
         ids = row[by]
         first = np.flatnonzero(np.diff(ids, prepend=-1))
-        d_embed.reshape(-1, WIDTH)[ids[first]] = np.add.reduceat(dh[by // len(PLACES)], first, axis=0)
-        for part, total, g in zip(net.parts(), self.sums, [d_embed, gc.T @ h, gc.sum(0), d_word, d_bias], strict=True):
+        used, d_used = ids[first], np.add.reduceat(np.take(dh, by // len(PLACES), axis=0), first, axis=0)
+        embed, total = net.embed.reshape(-1, WIDTH), self.sums[0].reshape(-1, WIDTH)
+        now = total[used] + d_used * d_used
+        total[used] = now
+        embed[used] -= RATE * d_used / np.sqrt(now)
+        for part, total, g in zip(net.parts()[1:], self.sums[1:], [gc.T @ h, gc.sum(0), d_word, d_bias], strict=True):
             total += g * g
             g *= RATE
             part -= g / np.sqrt(total)
         self.seen += len(target)
 
 
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbours and targets of all tokens of numbered texts, and where each text's tokens end."""
-    edge = np.full(2, EDGE)
+def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours and targets of all tokens of numbered texts; beyond its ends a text has EDGE, which no token is."""
+    edge = np.full(2, EDGE, np.uint16)
     line = np.concatenate([edge, *(x for t in texts for x in (t, edge))])
-    ends = np.cumsum([len(t) for t in texts])
-    at = np.arange(int(ends[-1]) if len(ends) else 0)
-    if len(at):
-        at = at + 2 + 2 * np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    return np.stack([line[at + p] for p in PLACES], axis=1) if len(at) else np.zeros((0, len(PLACES)), int), line[at], ends
+    at = np.flatnonzero(line != EDGE)
+    near = np.empty((len(at), len(PLACES)), np.uint16)
+    for k, p in enumerate(PLACES):
+        near[:, k] = line[at + p]
+    return near, line[at]
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -297,34 +323,60 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _trained(docs: DataFrame, words: list[str], net: Network, text_col: str) -> Network:
-    """One round: a network of each task, and their average weighted by tokens."""
-    shipped = Shipped(docs.sparkSession, (words, net))
+def numbered(docs: DataFrame, words: list[str], tail: Tail, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, within (the sum of what the tail says of words within their class) and tokens (16 bits each) of each text."""
+    shipped = Shipped(docs.sparkSession, (words, tail))
+
+    def make():
+        numbers = shipped.get(unpacked)
+
+        def work(texts):
+            rows = numbers.rows_of([tokens_of(t.lower()) for t in texts])
+            return [[len(r) for r in rows], sums([numbers.logs[r] for r in rows]), [numbers.at[r].tobytes() for r in rows]]
+
+        return work
+
+    return map_documents(docs, make, "n_tokens long, within double, tokens binary", id_col, text_col)
+
+
+def unpacked(model: tuple[list[str], Tail]) -> Numbers:
+    return Numbers(*model)
+
+
+def sums(parts: list[np.ndarray]) -> np.ndarray:
+    """The sum of each part, added up one by one, so that equal parts have equal sums."""
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    return np.bincount(owner, np.concatenate([*parts, np.zeros(0)]), len(parts))
+
+
+def _tokens(batch, column: int) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.uint16) for t in batch.column(column).to_pylist()]
+
+
+def _trained(table: DataFrame, net: Network) -> Network:
+    """One round over numbered texts: a network of each task, and their average weighted by tokens."""
+    shipped = Shipped(table.sparkSession, net.flat())
 
     def run(batches):
         import pyarrow as pa
 
-        words, start = shipped.get()
-        numbers, trainer = Numbers(words), Trainer(Network().load(start.flat()))
-        held, size = [], 0
+        trainer = Trainer(Network().load(shipped.get()))
+        near, target = windows([])
         for b in batches:
             for part in pieces(b, 0):
-                rows = numbers.rows_of([tokens_of(t.lower()) for t in texts_of(part, 0)])
-                near, target, _ = windows([numbers.at[r] for r in rows])
-                held.append((near, target))
-                size += len(target)
-                if size >= BATCH:
-                    near, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                    full = len(target) // BATCH * BATCH
-                    for at in range(0, full, BATCH):
-                        trainer.step(near[at : at + BATCH], target[at : at + BATCH])
-                    held, size = [(near[full:], target[full:])], len(target) - full
-        if size:
-            trainer.step(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                more = windows(_tokens(part, 0))
+                near, target = np.concatenate([near, more[0]]), np.concatenate([target, more[1]])
+                at = 0
+                while len(target) - at >= (size := trainer.batch()):
+                    trainer.step(near[at : at + size], target[at : at + size])
+                    at += size
+                near, target = near[at:], target[at:]
+        if len(target):
+            trainer.step(near, target)
         if trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([(trainer.net.flat() * trainer.seen).astype(np.float64).tobytes()], pa.binary()), pa.array([trainer.seen], pa.int64())], names=["net", "seen"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "net binary, seen long")
+    rows = table.select("tokens").mapInArrow(run, "net binary, seen long")
     one = lambda r: (np.frombuffer(bytes(r.net), np.float64), r.seen)
     none = (np.zeros(1), 0)
     total, seen = rows.rdd.map(one).treeAggregate(none, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
@@ -365,8 +417,8 @@ def _tail(counted: DataFrame, head: list[str], known: list[tuple[str, int]], lea
     return Tail().load(known, tokens, cell[cell < cells], n[cell < cells])
 
 
-def learn(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[list[str], Network]:
-    """The network's own words, and the network of the whole corpus with all others."""
+def learn_numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[tuple[list[str], Network], DataFrame]:
+    """learn(), and the numbered texts, which are written: training and scoring read them instead of the texts."""
     counted = written(count_words(docs, text_col), "words")
     head = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     least = least_count(counted.agg(F.sum("n")).first()[0] or 0)
@@ -374,50 +426,54 @@ def learn(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
     own = set(head)
     known = [(w, n) for w, n in zip(vocabulary.column("word").to_pylist(), vocabulary.column("n").to_pylist(), strict=True) if w not in own]
     net = Network()
-    for _ in range(rounds):
-        net = _trained(docs, head, net, text_col)
     net.tail = _tail(counted, head, sorted(known), least)
-    return head, net
+    table = written(numbered(docs, head, net.tail, id_col, text_col), "tokens")
+    for _ in range(rounds):
+        net = _trained(table, net).with_tail(net.tail)
+    return (head, net), table
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[list[str], Network]:
+    """The network's own words, and the network of the whole corpus with all others."""
+    return learn_numbered(docs, id_col, text_col, rounds)[0]
 
 
 class Scorer:
+    """Scores texts on the driver, as scored() does on the executors."""
+
     def __init__(self, model: tuple[list[str], Network]):
         self.net = model[1]
         self.numbers = Numbers(model[0], self.net.tail)
 
-    def _network(self, ids: list[np.ndarray]) -> np.ndarray:
-        near, target, _ = windows(ids)
-        return np.concatenate([self.net.log_probs(near[a : a + BLOCK], target[a : a + BLOCK]) for a in range(0, len(target), BLOCK)] or [np.zeros(0)])
-
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and sums of the network's log-probabilities of texts: of words of its own and of the classes of others."""
-        return self._sums(texts, whole=False)
-
-    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and sums of log-probabilities of texts, each word predicted itself."""
-        return self._sums(texts, whole=True)
-
-    def _sums(self, texts: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
         rows = self.numbers.rows_of([tokens_of(t.lower()) for t in texts])
-        n = np.array([len(r) for r in rows])
-        logs = self._network([self.numbers.at[r] for r in rows])
-        if whole:
-            logs += np.concatenate([self.numbers.logs[r] for r in rows])
-        return n, np.bincount(np.repeat(np.arange(len(texts)), n), logs, len(texts))
+        return np.array([len(r) for r in rows]), self.net.text_sums([self.numbers.at[r] for r in rows])
 
 
-def score(docs: DataFrame, model: tuple[list[str], Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, pll (sum of log-probabilities) and mean_pll, one row per row of docs."""
-    shipped = Shipped(docs.sparkSession, model)
+def scored(table: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame:
+    """id_col, n_tokens, pll (sum of log-probabilities) and mean_pll of numbered texts."""
+    shipped = Shipped(table.sparkSession, net.flat())
 
-    def make():
-        s = shipped.get(Scorer)
-        return lambda texts: list(s.whole(texts))
+    def run(batches):
+        import pyarrow as pa
 
-    out = map_documents(docs, make, "n_tokens long, pll double", id_col, text_col)
+        own = Network().load(shipped.get())
+        for b in batches:
+            for part in pieces(b, 3):
+                pll = own.text_sums(_tokens(part, 3)) + part.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pll)], names=[id_col, "n_tokens", "pll"])
+
+    schema = T.StructType([table.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("pll", T.DoubleType())])
+    out = table.select(id_col, "n_tokens", "within", "tokens").mapInArrow(run, schema)
     return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
 
 
+def score(docs: DataFrame, model: tuple[list[str], Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, pll and mean_pll, one row per row of docs."""
+    return scored(numbered(docs, model[0], model[1].tail, id_col, text_col), model[1], id_col)
+
+
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, learn(docs))
+    model, table = learn_numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored(table, model[1])

@@ -500,6 +500,41 @@ def test_scores_by_hand(spark, awkward, docs):
     assert lm_score.learn(docs.where("false"))[0] == []
 
 
+def test_lm_query_by_brute_force(spark, tmp_path, awkward):
+    """Every token of every document, one at a time, from its four neighbours and its letters; equal texts in any company."""
+    rows = [(r.doc_id, (r.text or "")[:400]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    rows += [(1000 + i, t and t[:3000]) for i, t in enumerate(AWKWARD)] + [(2000, rows[0][1]), (2001, " ".join(t for _, t in rows) * 3), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    (words, net), table = lm_score.learn_numbered(docs)
+    number = {w: i for i, w in enumerate(words)}
+
+    def brute(text):
+        found = lm_score.tokens_of((text or "").lower())
+        ids = [lm_score.EDGE] * 2 + [number.get(w, lm_score.WORDS + lm_score.bucket_of(w)) for w in found] + [lm_score.EDGE] * 2
+        total = 0.0
+        for k, w in enumerate(found):
+            h = np.tanh(sum(net.embed[p][ids[k + 2 + d]].astype(float) for p, d in enumerate(lm_score.PLACES)))
+            y = ids[k + 2]
+            for logits, at in ((net.to_class @ h + net.class_bias, y // 32), (net.to_word[y // 32] @ h + net.word_bias[y // 32], y % 32)):
+                total += logits[at] - np.log(np.exp(logits).sum())
+            total += 0.0 if w in number else net.tail.within([w])[0]
+        return len(found), total
+
+    got = lm_score.scored(table, net).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        n, pll = brute(texts[r.doc_id])
+        assert r.n_tokens == n and abs(r.pll - pll) < 1e-3 + 1e-4 * abs(pll)
+    pll = {r.doc_id: r.pll for r in got}
+    assert pll[2000] == pll[rows[0][0]] and pll[1008] == pll[1009] and pll[None] == pll[rows[1][0]]
+    alone = {r.doc_id: r.pll for r in lm_score.score(docs.where("doc_id = 2000 OR doc_id = 1008"), (words, net)).collect()}
+    assert alone == {d: pll[d] for d in alone} and len(alone) == 2
+    whole = lm_score.op1_lm_score(spark, str(tmp_path))
+    assert whole.columns == ["doc_id", "n_tokens", "pll", "mean_pll"] and whole.count() == len(rows)
+
+
 def test_gradient():
     net, rng = lm_score.Network(1), np.random.default_rng(2)
     near, y = rng.integers(0, lm_score.SIZE, (50, 4)), rng.integers(0, lm_score.SIZE, 50)
