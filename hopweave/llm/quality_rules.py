@@ -128,10 +128,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"), "fail_bits")
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, alone and with the others, over all documents."""
+    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 #: Rows of documents are numbered first: an id may repeat.
-OP8_SQL = rf"""
+_LEDGER_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, {_WORDS} AS ws FROM d),
 m AS (
@@ -156,8 +161,18 @@ a AS (
          len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words
   FROM m LEFT JOIN h ON m.rid = h.rid),
 b AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES)} AS fail_bits FROM a)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+"""
+
+OP8_SQL = _LEDGER_SQL + f"""SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        (fail_bits & {BASE}) <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits
 FROM b
 """
+
+_MASK = POLICIES["v1"]
+_WITHOUT = lambda bit: f"(fail_bits & {_MASK & ~bit}) <> 0"
+ABLATION_SQL = _LEDGER_SQL + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER ((fail_bits & {bit}) <> 0) AS n_failed, count(*) FILTER ((fail_bits & {bit}) <> 0 AND NOT {_WITHOUT(bit)}) AS n_only, count(*) FILTER ({_WITHOUT(bit)}) AS n_rejected_without FROM b"
+    for name, bit in BIT.items()
+    if bit & _MASK
+)

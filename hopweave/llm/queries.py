@@ -15,10 +15,12 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_model.op9_quality_classifier,
     "op10_near_dup": near_dup.op10_near_dup,
+    "rule_ablation": quality_rules.rule_ablation,
 }
 
 ORACLE_SQL = {
     "op5_sharding": sharding.OP5_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "rule_ablation": quality_rules.ABLATION_SQL,
 }

@@ -831,6 +831,33 @@ def test_pipeline_by_stages(spark, vocabulary):
     assert cp.tokens(spark, safe, SF).count() == len(want - hit) == cp.run(spark, SF).count()
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path, vocabulary, labels):
+    """Null ids and texts, repeated ids and rows, a long text of many words, clashing columns and an empty table go through every stage."""
+    import corpus_pipeline as cp
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    text = base.where("length(text) > 300").first().text
+    rows = [(9000 + i, t, "en", "s", 1) for i, t in enumerate(AWKWARD)] + [(None, text, None, None, None), (None, None, "en", "s", 0)]
+    rows += [(9100, text + " one more", "en", "s", 1), (9100, text + " one more", "en", "s", 1), (9101, " ".join([text] * 200), "en", "s", 1), (9102, text + " token=abcdef123456", "en", "s", 1)]
+    odd = base.unionAll(spark.createDataFrame(rows, base.schema)).withColumns({"score": F.lit("q"), "ids": F.lit(1), "__n": F.lit(2.0), "n0": F.col("text"), "hits": F.create_map(F.lit("k"), F.lit(1))})
+    for name, docs in (("odd", odd), ("empty", odd.where("false"))):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, f in cp.STAGES[:-1]:
+            before, now = now, f(spark, now, d)
+            assert now.columns == docs.columns and now.count() <= before.count(), stage
+            now.write.parquet(f"{d}/{stage}")
+            now = spark.read.parquet(f"{d}/{stage}")
+        assert now.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").count() == 0
+        assert not any(secrets.base_spans(r.text or "") for r in now.collect())
+        out = cp.run(spark, d)
+        assert out.count() == now.count() and (name == "odd") == (out.count() > 20)
+        assert out.where("doc_id IS NULL").count() == now.where("doc_id IS NULL").count()
+
+
 def test_nothing_else_imports_llm():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for d, _, files in os.walk(f"{root}/hopweave"):
