@@ -55,9 +55,23 @@ def _(spark, d):
     return M.top_next(*model(spark, d), "victim")
 
 
-@query("next_path")
+#: The best place after each pair of places, and after one place without another before it.
+_CONTEXTS = "x AS (SELECT coalesce(a.w, '') || '>' || b.w AS victim, a.w AS c2, b.w AS c1 FROM (SELECT w FROM u UNION ALL SELECT NULL) a, u b)"
+_PATH = _GRAMS.replace("x AS (SELECT victim, arg_max(w, event_id) AS c1, max(struct_pack(e := event_id, c := c1)).c AS c2 FROM l GROUP BY 1)", _CONTEXTS)
+
+
+@query(
+    "next_path",
+    with_event_hops("").rstrip()
+    + _PATH.rstrip()
+    + """, best AS (SELECT victim AS k, w, prob FROM (SELECT *, row_number() OVER (PARTITION BY victim ORDER BY round(prob, 12) DESC, w) AS r FROM z) WHERE r = 1),
+s0 AS (SELECT victim, max(struct_pack(e := event_id, c := c1)).c AS c2, arg_max(w, event_id) AS c1 FROM l GROUP BY 1),
+s1 AS (SELECT victim, c1 AS c2, w AS c1, prob FROM s0 JOIN best ON k = coalesce(c2, '') || '>' || c1), s2 AS (SELECT victim, c1 AS c2, w AS c1, best.prob FROM s1 JOIN best ON k = coalesce(c2, '') || '>' || c1),
+s3 AS (SELECT victim, c1 AS c2, w AS c1, best.prob FROM s2 JOIN best ON k = coalesce(c2, '') || '>' || c1)
+SELECT victim, 1 AS step, c1 AS w, round(prob, 6) AS prob FROM s1 UNION ALL SELECT victim, 2, c1, round(prob, 6) FROM s2 UNION ALL SELECT victim, 3, c1, round(prob, 6) FROM s3""",
+)
 def _(spark, d):
-    return M.next_path(*model(spark, d), "victim", 3)
+    return M.next_path(*model(spark, d), "victim", 3).withColumn("prob", F.round("prob", 6))
 
 
 _LINKS = """, c AS (SELECT * FROM (SELECT *, lag(loc) OVER (PARTITION BY victim ORDER BY ord) AS before FROM hops) WHERE before IS NULL OR before <> loc),

