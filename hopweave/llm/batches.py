@@ -15,10 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows of an Arrow batch at most: both sides of the pipe hold whole batches of documents.
+ROWS = 1000
 #: Text bytes that one call of an operator's function gets at most, unless a single text is longer.
 SLICE_BYTES = 500_000
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with batches of at most ROWS rows from now on in the session, unless it has fewer."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch that hold SLICE_BYTES of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -54,7 +64,7 @@ def map_documents(docs: DataFrame, make: Callable[[], Callable[[list[str]], list
                 columns = work(texts_of(part, 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return docs.select(docs[id_col], docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(docs[id_col], docs[text_col].cast("string").alias("__text")), run, schema)
 
 
 def keep_documents(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "text") -> DataFrame:
@@ -68,4 +78,4 @@ def keep_documents(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.
                 work = work or make()
                 yield part.filter(pa.array(np.asarray(work(texts_of(part, at)), dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

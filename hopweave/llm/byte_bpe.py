@@ -31,11 +31,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.batches import map_documents
+from hopweave.llm.batches import map_arrow, map_documents
 from hopweave.llm.shipping import Shipped
 
 #: Matches that a task keeps.
-CACHE = 400_000
+CACHE = 250_000
 #: Between matches that the library gets at once; the byte table has no such character.
 BETWEEN = "\n"
 #: Matches that the library gets at once, and rows that are decoded at once.
@@ -179,7 +179,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(i.as_py() or []) for i in part.column(1)], pa.string())], names=[id_col, "text"])
 
     rows = encoded.select(id_col, F.col(ids_col).alias("__ids"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text string")
+    return map_arrow(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.batches import keep_documents, pieces, texts_of
+from hopweave.llm.batches import keep_documents, map_arrow, pieces, texts_of
 from hopweave.llm.shared import cut
 from hopweave.llm.shipping import Shipped
 
@@ -221,7 +221,7 @@ def _pass(rows: DataFrame, shipped: Shipped, first: bool, last: bool) -> DataFra
                 columns += [pa.array([sorted(i) for i in names], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_field.name] + ([] if last else ["__text"]) + ["n_words", "hits", "spans", "items"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def n_hit() -> Column:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from hopweave.llm.batches import map_arrow
+from hopweave.llm.shared import written
 
 
 def remainder(id_col: str, of: int) -> Column:
@@ -25,4 +29,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_r
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(some), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
+    rows = texts.join(F.broadcast(some), id_col).select(id_col, "label", "text")
+    kinds, names = [to_arrow_type(f.dataType) for f in rows.schema], rows.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        least: dict = {}
+        for b in batches:
+            for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (i, y) not in least or t < least[i, y]:
+                    least[i, y] = t
+        columns = [[i for i, _ in least], [y for _, y in least], list(least.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return written(map_arrow(rows.repartition(id_col), run, rows.schema), "labelled")

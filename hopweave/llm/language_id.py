@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopweave.llm.batches import map_documents, pieces, texts_of
+from hopweave.llm.batches import map_arrow, map_documents, pieces, texts_of
 from hopweave.llm.keeping import Rows
 from hopweave.llm.labelled import remainder
 from hopweave.llm.shared import written
@@ -89,7 +89,7 @@ def count_entries(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         lang, kind, entry = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(kind, pa.int32()), pa.array(entry, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "entry", "n"])
 
-    part = rows.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, kind int, entry string, n long")
+    part = map_arrow(rows.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")), run, "lang string, kind int, entry string, n long")
     return part.groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
 
 

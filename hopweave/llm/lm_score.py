@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopweave.llm.batches import map_documents, pieces, texts_of
+from hopweave.llm.batches import map_arrow, map_documents, pieces, texts_of
 from hopweave.llm.keeping import Rows
 from hopweave.llm.shared import written
 from hopweave.llm.shipping import Shipped
@@ -319,7 +319,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if n:
             yield packed(n)
 
-    part = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "word string, n long")
+    part = map_arrow(docs.select(F.col(text_col).cast("string").alias("t")), run, "word string, n long")
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -376,7 +376,7 @@ def _trained(table: DataFrame, net: Network) -> Network:
         if trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([(trainer.net.flat() * trainer.seen).astype(np.float64).tobytes()], pa.binary()), pa.array([trainer.seen], pa.int64())], names=["net", "seen"])
 
-    rows = table.select("tokens").mapInArrow(run, "net binary, seen long")
+    rows = map_arrow(table.select("tokens"), run, "net binary, seen long")
     one = lambda r: (np.frombuffer(bytes(r.net), np.float64), r.seen)
     none = (np.zeros(1), 0)
     total, seen = rows.rdd.map(one).treeAggregate(none, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
@@ -409,7 +409,7 @@ def _tail(counted: DataFrame, head: list[str], known: list[tuple[str, int]], lea
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
 
-    rare = counted.where(F.col("n") < least).select("word", "n").mapInArrow(run, "cell long, n long")
+    rare = map_arrow(counted.where(F.col("n") < least).select("word", "n"), run, "cell long, n long")
     found = rare.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
     tokens = np.zeros(BUCKETS)
@@ -465,7 +465,7 @@ def scored(table: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pll)], names=[id_col, "n_tokens", "pll"])
 
     schema = T.StructType([table.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("pll", T.DoubleType())])
-    out = table.select(id_col, "n_tokens", "within", "tokens").mapInArrow(run, schema)
+    out = map_arrow(table.select(id_col, "n_tokens", "within", "tokens"), run, schema)
     return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
 
 

@@ -52,7 +52,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopweave.llm.batches import pieces, texts_of
+from hopweave.llm.batches import map_arrow, pieces, texts_of
 from hopweave.llm.decontaminate import words_of
 from hopweave.llm.shared import Scratch, cut
 from hopweave.llm.shipping import Shipped
@@ -174,7 +174,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "key", "n", "buckets", "sig"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key binary, n bigint, buckets array<bigint>, sig binary")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, key binary, n bigint, buckets array<bigint>, sig binary")
 
 
 def digest(words: list[bytes]) -> bytes:
@@ -196,7 +196,7 @@ def _agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 est = pa.array((sa == sb).mean(1))
                 yield pa.RecordBatch.from_arrays([*x.columns[:-2], est], names=[*x.schema.names[:-2], "est"])
 
-    return both.mapInArrow(run, T.StructType([*both.schema.fields[:-2], T.StructField("est", T.DoubleType())])).where(F.col("est") >= POSSIBLE)
+    return map_arrow(both, run, T.StructType([*both.schema.fields[:-2], T.StructField("est", T.DoubleType())])).where(F.col("est") >= POSSIBLE)
 
 
 def _bloom_bits(column) -> tuple:
@@ -233,7 +233,7 @@ def _bags_of(docs: DataFrame, wanted: DataFrame, bag: Callable[[list[bytes]], np
                 words = [x for x in map(words_of, texts_of(part, 0)) if x]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in words], pa.binary()), pa.array([bag(x) for x in words], packed)], names=["key", "bag"])
 
-    found = rows.mapInArrow(run, f"key binary, bag {kind}").join(wanted.select("id", "key"), "key").select("id", "bag")
+    found = map_arrow(rows, run, f"key binary, bag {kind}").join(wanted.select("id", "key"), "key").select("id", "bag")
     return keep.written(found.dropDuplicates(["id"]), "bags")  # several rows may have the text of a node
 
 
@@ -261,7 +261,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, keep: Scratch
             j = [similarity(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)) for a, b in zip(x.column(2), x.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(j, pa.float64())], names=["a", "b", "j"])
 
-    return both.select("a", "b", "ba", "bb").mapInArrow(run, "a bigint, b bigint, j double")
+    return map_arrow(both.select("a", "b", "ba", "bb"), run, "a bigint, b bigint, j double")
 
 
 def _pivot_round(nodes: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -374,7 +374,7 @@ def _prefix_pairs(prefixes: DataFrame, labels: DataFrame | None, one: bool) -> D
         yield from flush()
 
     dealt = rows.select("id", "comp", "n", "at", "own", "item", "x", "y").repartition("item", "x", "y").sortWithinPartitions("item", "x", "y")
-    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint").distinct()
+    return map_arrow(dealt, run, "a bigint, b bigint, ca bigint, cb bigint").distinct()
 
 
 def components(links: DataFrame, keep: Scratch) -> DataFrame:

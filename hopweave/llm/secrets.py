@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.batches import map_documents, pieces, texts_of
+from hopweave.llm.batches import map_arrow, map_documents, pieces, texts_of
 from hopweave.llm.shipping import Shipped
 
 #: Kinds in the order in which spans of one start are listed.
@@ -368,7 +368,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_windows: int = MAX_WIND
                     kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "n", "tokens", "tags", "file"])
 
-    made = rows.join(F.broadcast(chosen), "h").select("h", "t").mapInArrow(run, "h long, n int, tokens array<string>, tags array<int>, file array<int>")
+    made = map_arrow(rows.join(F.broadcast(chosen), "h").select("h", "t"), run, "h long, n int, tokens array<string>, tags array<int>, file array<int>")
     # repeated rows make the same windows
     some = made.orderBy(F.xxhash64("h", "n"), "h", "n").limit(max_windows).collect()
     return fit([x for _, x in sorted({(r.h, r.n): (r.tokens, r.tags, r.file) for r in some}.items())])
@@ -441,7 +441,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: st
                 new = [None if n else redacted(tagger, t) for t, n in zip(texts_of(part, at), nulls, strict=True)]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_arrow(docs, run, docs.schema)
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.batches import map_documents, pieces, texts_of
+from hopweave.llm.batches import map_arrow, map_documents, pieces, texts_of
 from hopweave.llm.labelled import labelled, remainder
 from hopweave.llm.shared import written
 from hopweave.llm.shipping import Shipped
@@ -112,7 +112,7 @@ def choose_terms(rows: DataFrame, min_chi2: float = MIN_CHI2, min_docs: int = MI
         if n:
             yield packed(n)
 
-    part = rows.select("text", "label").mapInArrow(run, "form string, label int, n long")
+    part = map_arrow(rows.select("text", "label"), run, "form string, label int, n long")
     by_form = part.groupBy("form").agg(F.sum(F.col("n") * F.col("label")).cast("double").alias("a"), F.sum("n").cast("double").alias("t"))
     found = written(by_form.where((F.col("t") >= min_docs) & (F.col("a") >= min_docs) | (F.col("form") == "")), "forms")
     total = found.where("form = ''").first()
