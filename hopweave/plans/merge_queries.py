@@ -99,7 +99,12 @@ def _(spark, d):
     return M.summary(rows, M.resolve(rows, "key", LISTS, "priority", ORDER, "case_id"), "victim", "key", LISTS)
 
 
-@query("merge_conflict_report")
+_REPORT = """, k AS (SELECT key, n_rows, n_sources FROM x ORDER BY key LIMIT 300),
+ex AS (SELECT key, concat_ws(' / ', source, array_to_string(perps, ';'), array_to_string(chiefs, ';')) AS shown, row_number() OVER (PARTITION BY key ORDER BY source_order, perps, chiefs) AS r FROM s JOIN k USING (key))
+SELECT k.key, n_rows, n_sources, examples FROM k JOIN (SELECT key, string_agg(shown, ' || ' ORDER BY shown) AS examples FROM ex WHERE r <= 3 GROUP BY 1) USING (key)"""
+
+
+@query("merge_conflict_report", with_sources("").rstrip() + _REPORT)
 def _(spark, d):
     return M.conflict_report(sources(spark, d), "key", LISTS)
 

@@ -161,7 +161,17 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.iso_date(text).alias("iso"))
 
 
-@query("name_mentions")
+_M = _STRIP(_TXT("people"))
+_FOUND = (
+    f"list_concat(list_concat(regexp_extract_all({_M}, '[''\"]([^''\"]{{2,}})[''\"]', 1), list_filter(string_split_regex({_M}, '(?i)[;,/|]| and | & |\\n|\\r'), lambda p: length({_STRIP('p')}) >= 2)), "
+    f"regexp_extract_all({_M}, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{0,3}})\\b', 1))"
+)
+_TRIMMED = f"list_transform({_FOUND}, lambda p: regexp_replace(regexp_replace({_STRIP('p')}, '^[''\"]+|[''\"]+$', '', 'g'), '\\s+', ' ', 'g'))"
+_BARE = "regexp_replace(p, '^[ .]+|[ .]+$', '', 'g')"
+_NAMED = f"list_filter({_TRIMMED}, lambda p: lower({_BARE}) NOT IN {_IN(('', *T.NOT_NAMES))} AND length({_BARE}) > 1)"
+
+
+@query("name_mentions", with_raw(f"SELECT k, {_BAR('list_filter(m, lambda p, i: list_position(list_transform(m, lambda q: lower(q)), lower(p)) = i)')} AS out FROM (SELECT k, {_NAMED} AS m FROM raw)"))
 def _(spark, d):
     return raw(spark, d).select("k", joined(T.name_mentions(F.col("people"))).alias("out"))
 
