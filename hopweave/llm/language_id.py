@@ -41,6 +41,8 @@ LONGEST = 4
 DOCS_PER_LANGUAGE = 3000
 MIN_COUNT, SURE = 3, 200
 ENTRIES = 400_000
+#: Languages up to which the table of their shares is broadcast; beyond, it is joined by a shuffle.
+SENT = 50_000
 #: Words whose scores a task keeps.
 CACHE = 300_000
 #: Words beyond which more words do not make a score more certain.
@@ -160,7 +162,8 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     """A model of the rows with a language and a text."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("t").isNotNull())
-    share = rows.groupBy("lang").count().select("lang", (F.lit(docs_per_language) / F.col("count")).alias("share"))
+    share = written(rows.groupBy("lang").count().select("lang", (F.lit(docs_per_language) / F.col("count")).alias("share")), "shares")
+    share = F.broadcast(share) if share.count() <= SENT else share
     u = (F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
     counts = written(count_entries(rows.join(share, "lang").where(u < F.col("share")), "lang", "t"), "entries")
     langs = counts.select("lang").distinct().count()
