@@ -44,7 +44,7 @@ MIN_CHI2, MIN_DOCS = 30.0, 5
 PREFIXES = range(3, 9)
 #: Marks a form that occurs twice or more in a text.
 AGAIN = "2 "
-NEIGHBOURS, BLOCK = 25, 64
+NEIGHBOURS, BLOCK = 25, 512
 THRESHOLD = 0.7
 #: Queries whose neighbours a task keeps, by their terms.
 CACHE = 50_000
