@@ -114,8 +114,9 @@ def link_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     deg = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
     asked = pairs.select("src", "dst", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
     near = lambda end: both.join(asked.select(F.col(end).alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("z"), F.col("dst").alias(end))
-    joint = near("x").join(deg.select(F.col("id").alias("z"), F.col("d").alias("dz")), "z").join(near("y"), "z").where("x < y")
-    found = joint.groupBy("x", "y").agg(F.count("*").alias("common"), F.sum(1 / F.log("dz")).alias("adamic_adar"), F.sum(1 / F.col("dz")).alias("resource_alloc"))
+    worth = deg.select(F.col("id").alias("z"), (1 / F.log("d")).alias("aa"), (1 / F.col("d")).alias("ra"))
+    joint = near("x").join(worth, "z").join(near("y"), "z").where("x < y")
+    found = joint.groupBy("x", "y").agg(F.count("*").alias("common"), F.sum("aa").alias("adamic_adar"), F.sum("ra").alias("resource_alloc"))
     out = asked.join(found, ["x", "y"], "left").join(deg.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src", "left").join(deg.select(F.col("id").alias("dst"), F.col("d").alias("dt")), "dst", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     union = zero("ds") + zero("dt") - zero("common")
