@@ -53,10 +53,10 @@ def resolve_exact_alias(places: DataFrame, place: str, gazetteer: DataFrame) ->
 
 
 def _grams(key: Column) -> Column:
-    """Pairs of adjacent letters of the words of a key, numbered where they repeat."""
+    """Pairs of adjacent letters of the sorted words of a key, in one pass; a single letter for itself."""
     words = F.array_join(F.array_sort(F.split(key, " ")), " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(words) - 1, F.lit(1))), lambda i: F.substr(words, i, F.lit(2)))
-    return F.array_distinct(pairs)
+    pairs = F.regexp_extract_all(words, F.lit("(?s)(?=(..))"), F.lit(1))
+    return F.when(F.length(key) > 1, F.array_distinct(pairs)).otherwise(F.array(key))
 
 
 def similar_candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:

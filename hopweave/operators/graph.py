@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopweave.operators.numbering import numbered, running_sums, spread
+from hopweave.operators import linear
+from hopweave.operators.numbering import by_text, numbered, running_sums, spread
 from hopweave.operators.trajectory import transitions
-from hopweave.sources.shared import shared_folder
+from hopweave.sources.shared import checkpoint_folder, written
 
 #: Prefix of node ids by type.
 TYPES = {"Victim": "V", "Location": "L", "Trafficker": "P", "Chief": "C"}
@@ -64,8 +66,8 @@ def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     cost a round at most.
     """
     spark = edges.sparkSession
-    if checkpoint and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if checkpoint:
+        checkpoint_folder(spark)
     cut = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df.persist())
     both = cut(edges.selectExpr("src AS a", "dst AS b").unionAll(edges.selectExpr("dst AS a", "src AS b")).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
@@ -92,9 +94,9 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 def bipartite_edges(df: DataFrame, subject: str, actors: str) -> DataFrame:
     """src, dst: distinct pairs; of names that differ in case only, a row counts the first."""
-    low = F.transform(F.col(actors), F.lower)
-    first = F.filter(F.col(actors), lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-    return df.select(F.col(subject).alias("src"), F.explode(first).alias("dst")).where("dst <> ''").distinct()
+    rows = df.select(F.col(subject).alias("src"), F.col(actors).alias("names"), F.transform(F.col(actors), F.lower).alias("low"))
+    first = F.transform(F.array_distinct("low"), lambda x: F.get("names", (F.array_position("low", x) - 1).cast("int")))
+    return rows.select("src", F.explode(first).alias("dst")).where("dst <> ''").distinct()
 
 
 def one_mode(edges: DataFrame) -> DataFrame:
@@ -106,18 +108,22 @@ def one_mode(edges: DataFrame) -> DataFrame:
 def link_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """src, dst, common, jaccard, adamic_adar, resource_alloc, pref_attach of pairs in an undirected graph.
 
-    Each node makes the pairs of those of its neighbours that are asked for. Only edges
-    are shuffled by the node; its pairs are summed before they are, and adaptive
-    execution splits a node with very many neighbours.
+    Only asked pairs make rows: each goes through the neighbours of its end of lower
+    degree, and looks up by (neighbour, other end) whether that is an edge, so the rows
+    are the sum of the lower degrees, and no node makes the pairs of its neighbours. The
+    lookup's key is a pair of nodes, which no hub makes hot.
     """
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     deg = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    of = lambda end, name: deg.select(F.col("id").alias(end), F.col("d").alias(name))
     asked = pairs.select("src", "dst", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
-    near = lambda end: both.join(asked.select(F.col(end).alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("z"), F.col("dst").alias(end))
-    worth = deg.select(F.col("id").alias("z"), (1 / F.log("d")).alias("aa"), (1 / F.col("d")).alias("ra"))
-    joint = near("x").join(worth, "z").join(near("y"), "z").where("x < y")
-    found = joint.groupBy("x", "y").agg(F.count("*").alias("common"), F.sum("aa").alias("adamic_adar"), F.sum("ra").alias("resource_alloc"))
-    out = asked.join(found, ["x", "y"], "left").join(deg.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src", "left").join(deg.select(F.col("id").alias("dst"), F.col("d").alias("dt")), "dst", "left")
+    ends = asked.where("x <> y").select("x", "y").distinct().join(of("x", "dx"), "x").join(of("y", "dy"), "y")
+    low = F.col("dx") <= F.col("dy")
+    ends = ends.select("x", "y", F.when(low, F.col("x")).otherwise(F.col("y")).alias("low"), F.when(low, F.col("y")).otherwise(F.col("x")).alias("high"))
+    wedges = ends.join(both.select(F.col("src").alias("low"), F.col("dst").alias("z")), "low").select("x", "y", "high", "z")
+    closing = both.select(F.col("src").alias("z"), F.col("dst").alias("high")).join(of("z", "dz"), "z")
+    found = wedges.join(closing, ["z", "high"]).groupBy("x", "y").agg(F.count("*").alias("common"), F.sum(1 / F.log("dz")).alias("adamic_adar"), F.sum(1 / F.col("dz")).alias("resource_alloc"))
+    out = asked.join(found, ["x", "y"], "left").join(of("src", "ds"), "src", "left").join(of("dst", "dt"), "dst", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     union = zero("ds") + zero("dt") - zero("common")
     return out.select(
@@ -129,37 +135,66 @@ def link_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _number(text: Column, digits: int) -> Column:
+    """The first hexadecimal digits of a md5 as a number, the same in any engine."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
 def split_pairs(pairs: DataFrame, fraction: float = 0.3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train and held-out edges, which together are all edges: an edge is held out by the md5 of both ends."""
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "src", "dst").cast("binary")), 1, 8), 16, 10).cast("long")
-    held = key < int(fraction * 2**32)
+    held = _number(F.concat_ws(":", F.lit(seed), "src", "dst"), 8) < int(fraction * 2**32)
     return pairs.where(~held), pairs.where(held)
 
 
 def negative_pairs(edges: DataFrame, per_node: int, seed: int = 42) -> DataFrame:
     """src, dst: per_node actors (dst of edges), or all if there are fewer, that are not linked to each subject in either direction.
 
-    Actors stand on a ring by a seeded hash, and each subject looks at those after its
+    Actors stand on a ring by a seeded md5, and each subject looks at those after its
     own place: as many as it has links, itself and per_node more, so that enough remain
     and no product of all subjects with all actors is made.
     """
-    actors = edges.select("dst").where("dst IS NOT NULL").distinct().withColumn("h", F.xxhash64("dst", F.lit(seed)))
-    ring = numbered(actors, F.shiftright("h", 52), ["h", "dst"], "i").select("dst", (F.col("i") - 1).alias("place"))
+    key = lambda c: F.concat_ws(":", F.lit(seed), c)
+    actors = edges.select("dst").where("dst IS NOT NULL").distinct().withColumn("h", F.md5(key("dst").cast("binary")))
+    ring = numbered(actors, by_text(F.col("h")), ["h", "dst"], "i").select("dst", (F.col("i") - 1).alias("place"))
     n = ring.agg(F.count("*").alias("n"))  # one row
     linked = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     subjects = linked.join(edges.select("src").distinct(), "src", "left_semi").groupBy("src").agg(F.count("*").alias("d")).crossJoin(F.broadcast(n))
     many = F.least("n", F.col("d") + 1 + per_node)
     looks = subjects.select("src", "n", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("step"))
-    looks = looks.select("src", "step", F.pmod(F.xxhash64("src", F.lit(seed)).cast("long") % F.col("n") + F.col("step"), F.col("n")).alias("place"))
+    looks = looks.select("src", "step", ((_number(key("src"), 15) + F.col("step")) % F.col("n")).alias("place"))
     drawn = looks.join(ring, "place").where("src <> dst").join(linked, ["src", "dst"], "left_anti")
     return drawn.withColumn("k", F.row_number().over(W.partitionBy("src").orderBy("step"))).where(F.col("k") <= per_node).select("src", "dst")
 
 
-def rank_metrics(positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """src, dst, rank of each scored positive among its subject's negatives; ties count against it; without negatives there is no rank."""
-    scored = positives.select("src", "dst", "score").join(negatives.select("src", F.col("score").alias("s")), "src")
-    worse = F.count(F.when(F.col("s") >= F.col("score"), 1))
-    return scored.groupBy("src", "dst").agg((1 + worse).alias("rank"))
+def rank_metrics(positives: DataFrame, negatives: DataFrame, *by: str) -> DataFrame:
+    """by, src, dst, rank of each scored positive among its subject's negatives; ties at nine digits count against it; without negatives there is no rank."""
+    scored = positives.select(*by, "src", "dst", "score").join(negatives.select(*by, "src", F.col("score").alias("s")), [*by, "src"])
+    worse = F.count(F.when(F.round("s", 9) >= F.round("score", 9), 1))
+    return scored.groupBy(*by, "src", "dst").agg((1 + worse).alias("rank"))
+
+
+HEURISTICS = ("jaccard", "adamic_adar", "resource_alloc", "pref_attach")
+
+
+def known_pairs(train: DataFrame, held: DataFrame, most: int | None = 300, seed: int = 42) -> DataFrame:
+    """src, dst: edges that are in both tables, so that both ends are known; with `most`, that many in the order of a seeded md5."""
+    both = train.select("src", "dst").distinct().join(held.select("src", "dst").distinct(), ["src", "dst"])
+    key = F.md5(F.concat_ws(":", F.lit(seed), "src", "dst").cast("binary"))
+    return both if most is None else both.orderBy(key, "src", "dst").limit(most)
+
+
+def evaluate_links(train: DataFrame, held: DataFrame, per_node: int = 30, most: int | None = 300, seed: int = 42) -> DataFrame:
+    """heuristic, hits_1, hits_3, hits_5, mrr, n_eval: how known edges rank among negatives of their subject, by scores of the train graph.
+
+    Ranks are pessimistic: the edge comes after negatives of the same score.
+    """
+    positives = known_pairs(train, held, most, seed)
+    mirrored = train.select("src", "dst").unionAll(train.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    negatives = negative_pairs(mirrored, per_node, seed).join(positives.select("src").distinct(), "src", "left_semi")
+    each = lambda pairs: link_scores(train, pairs).select("src", "dst", F.inline(F.array(*(F.struct(F.lit(h).alias("heuristic"), F.col(h).cast("double").alias("score")) for h in HEURISTICS))))
+    ranks = rank_metrics(each(positives), each(negatives), "heuristic")
+    hits = (F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}") for k in (1, 3, 5))
+    return ranks.groupBy("heuristic").agg(*hits, F.avg(1 / F.col("rank")).alias("mrr"), F.count("*").alias("n_eval"))
 
 
 def hierarchy_edges(df: DataFrame, chain: Column) -> DataFrame:
@@ -211,3 +246,38 @@ def smoothed_features(edges: DataFrame, features: DataFrame, rounds: int = 2) ->
     for _ in range(rounds):
         x = w.join(x.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "feature").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
     return x
+
+
+def node_features(edges: DataFrame, nodes: DataFrame, known: Column, rounds: int = 2) -> DataFrame:
+    """id, feature, x: what a node's neighbourhood says of it, without its own type.
+
+    type:T is the share of known neighbours of a type among all neighbours; degree:b,
+    with b the whole logarithm of the degree, is smoothed over `rounds` steps of the
+    normalised adjacency. Features are a few dozen, whatever the graph.
+    """
+    both = edges.select("src", "dst").unionAll(edges.selectExpr("dst AS src", "src AS dst")).where("src <> dst").distinct()
+    deg = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    types = nodes.where(known).select(F.col("id").alias("dst"), F.concat(F.lit("type:"), "ntype").alias("feature"))
+    shares = both.join(types, "dst").groupBy(F.col("src").alias("id"), "feature").agg(F.count("*").alias("n")).join(deg, "id").select("id", "feature", (F.col("n") / F.col("d")).alias("x"))
+    buckets = deg.select("id", F.concat(F.lit("degree:"), F.floor(F.log2("d")).cast("string")).alias("feature"), F.lit(1.0).alias("x"))
+    return shares.unionByName(smoothed_features(edges, buckets, rounds))
+
+
+def with_vectors(rows: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
+    """rows (id, ...) with the vector `features` of the values of named features; a feature that a node lacks is 0."""
+    held = features.where(F.col("feature").isin(names)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "x"))).alias("__m"))
+    values = F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.try_element_at("__m", n), F.lit(0.0)))
+    return rows.join(held, "id", "left").withColumn("features", array_to_vector(values)).drop("__m")
+
+
+def classify_nodes(edges: DataFrame, nodes: DataFrame, known: Column, rounds: int = 2, **how) -> tuple[linear.Classifier, DataFrame]:
+    """A classifier of node types in the linear form of a graph network, and the other nodes with best (the likeliest types).
+
+    The network's two layers of weights and its activation are left out: features are
+    smoothed over the graph, and logistic regression is trained on the known nodes.
+    """
+    features = written(node_features(edges, nodes, known, rounds), "features")
+    names = sorted(r["feature"] for r in features.select("feature").distinct().collect())  # a few dozen
+    rows = with_vectors(nodes.select("id", "ntype", known.alias("__known")), features, names)
+    model = linear.fit(rows.where("__known"), "ntype", **how)
+    return model, model.ranked(rows.where("NOT __known").drop("__known"), len(TYPES))

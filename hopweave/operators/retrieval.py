@@ -1,4 +1,22 @@
-"""Retrieval by inverted-index joins."""
+"""Retrieval by inverted-index joins that stop by bounds.
+
+Postings (term, doc, w) hold what a term gives to a document, and queries (q, term, wq)
+what it is worth there; a score is the sum of w * wq over terms in common. The k best
+documents of a query are found without scoring every document that shares a term:
+
+1. The terms that can give a query most name the documents that they are worth most to,
+   a few times k of them; their exact scores set a floor under the k-th best score.
+2. A term gives at most wq times its largest w. Terms whose bounds together stay below
+   the floor cannot bring a document among the k best: those that save most postings are
+   left out, and only postings of the other terms are joined.
+3. What a document has from these terms and the bounds of the rest together must reach
+   the floor; only then is it scored exactly.
+
+Common words are worth little, so their postings, of which each has as many as there are
+documents, are joined with what is left after (3) only. Nothing is dropped: every
+document that may reach the floor is scored, and a query with fewer than k documents
+gets all of them.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hopweave.sources.shared import written
+
+#: Scores are compared to nine digits; bounds leave room for that.
+SLACK = 1e-8
+#: What sets a query's floor: the first postings of a term by what it is worth to them, as a multiple of k, of so many terms.
+HEADS, STRONG = 2, 8
+
 
 def term_table(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """doc, term, tf."""
-    return docs.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    """doc, term, tf. Documents are dealt by id before their tokens become rows, so each is counted where it is."""
+    return docs.repartition(F.col(doc)).select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -18,37 +43,74 @@ def idf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_docs)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def with_bigrams(tokens: Column) -> Column:
-    """Tokens, and pairs of adjacent ones."""
-    pairs = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.concat_ws(" ", F.get(tokens, i), t))
-    return F.concat(tokens, pairs)
+def with_bigrams(docs: DataFrame, tokens: str) -> DataFrame:
+    """docs with pairs of adjacent tokens after the tokens, in a column of arrays that is there."""
+    less = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), less), F.slice(tokens, F.lit(2), less), lambda a, b: F.concat(a, F.lit(" "), b))
+    return docs.withColumn(tokens, F.concat(F.col(tokens), pairs))
 
 
-def tfidf_scores(docs: DataFrame, doc: str, queries: DataFrame, q: str, doc_tokens: Column, query_tokens: Column, max_features: int | None = None) -> DataFrame:
-    """q, doc, score: cosine of TF-IDF vectors, for pairs with a term in common.
+def tfidf_index(docs: DataFrame, doc: str, queries: DataFrame, q: str, doc_tokens: Column, query_tokens: Column, bigrams: bool = False, max_features: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings of the queries' terms and the queries, for scores that are cosines of TF-IDF vectors.
 
-    Only terms of the queries are joined, and a document's norm is summed before that.
     max_features keeps the terms that occur most often in all documents, ties by term.
     """
-    terms = term_table(docs, doc, doc_tokens)
+    tokens = lambda rows, key, c: with_bigrams(rows.select(key, c.alias("__t")), "__t") if bigrams else rows.select(key, c.alias("__t"))
+    terms = written(term_table(tokens(docs, doc, doc_tokens), doc, F.col("__t")), "terms")
+    known = terms
     if max_features is not None:
         most = terms.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(max_features)
-        terms = terms.join(most.select("term"), "term", "left_semi").select(doc, "term", "tf")
-    weights = idf(terms, docs.agg(F.count("*").alias("n")))
-    d = terms.join(weights, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        known = terms.join(written(most.select("term"), "features"), "term", "left_semi").select(doc, "term", "tf")
+    weights = written(idf(known, docs.agg(F.count("*").alias("n"))), "idf")
+    d = known.join(weights, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = d.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    qt = term_table(queries, q, query_tokens).join(weights, "term").select(q, "term", (F.col("tf") * F.col("idf")).alias("wq"))
-    q_norms = qt.groupBy(q).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
-    dots = qt.join(d, "term").groupBy(q, doc).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    return dots.join(norms, doc).join(q_norms, q).select(q, doc, (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score"))
-
-
-def overlap_scores(docs: DataFrame, doc: str, queries: DataFrame, q: str, doc_tokens: Column, query_tokens: Column) -> DataFrame:
-    """q, doc, score: the sum of idf over distinct terms in common."""
-    terms = docs.select(doc, F.explode(F.array_distinct(doc_tokens)).alias("term"))
-    weights = idf(terms, docs.agg(F.count("*").alias("n")))
-    asked = queries.select(q, F.explode(F.array_distinct(query_tokens)).alias("term")).join(weights, "term")
-    return asked.join(terms, "term").groupBy(q, doc).agg(F.sum("idf").alias("score"))
+    asked = written(tokens(queries, q, query_tokens).select(q, F.explode("__t").alias("term")).groupBy(q, "term").agg(F.count("*").alias("tf")).join(weights, "term").select(q, "term", (F.col("tf") * F.col("idf")).alias("wq")), "asked")
+    q_norms = asked.groupBy(q).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
+    postings = d.join(asked.select("term").distinct(), "term", "left_semi").join(norms, doc).select("term", doc, (F.col("w") / F.col("norm")).alias("w"))
+    return written(postings, "postings"), asked.join(q_norms, q).select(q, "term", (F.col("wq") / F.col("q_norm")).alias("wq"))
+
+
+def overlap_index(docs: DataFrame, doc: str, queries: DataFrame, q: str, doc_tokens: Column, query_tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """Postings of the queries' terms and the queries, for scores that are sums of idf over distinct terms in common."""
+    terms = written(docs.select(doc, F.explode(F.array_distinct(doc_tokens)).alias("term")), "terms")
+    asked = written(queries.select(q, F.explode(F.array_distinct(query_tokens)).alias("term")), "asked")
+    mine = terms.join(asked.select("term").distinct(), "term", "left_semi")
+    postings = written(mine.select("term", doc, F.lit(1.0).alias("w")), "postings")
+    weights = idf(postings, docs.agg(F.count("*").alias("n")))
+    return postings, asked.join(weights, "term").select(q, "term", F.col("idf").alias("wq"))
+
+
+def _exact(pairs: DataFrame, doc: str, q: str, postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, doc, score of pairs."""
+    terms = pairs.select(q, doc).join(asked, q)
+    return terms.join(postings, [doc, "term"]).groupBy(q, doc).agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
+
+
+def bounded_terms(postings: DataFrame, asked: DataFrame, doc: str, q: str, k: int) -> DataFrame:
+    """q, term, wq, bound, floor, needed: whether a document can be among the k best without any other needed term."""
+    stats = postings.groupBy("term").agg(F.count("*").alias("n"), F.max("w").alias("most"))
+    terms = written(asked.join(stats, "term").select(q, "term", "wq", "n", (F.col("wq") * F.col("most")).alias("bound")), "bounds")
+    # each task passes on a term's first postings only
+    heads = postings.withColumn("i", F.row_number().over(W.partitionBy("term").orderBy(F.desc("w"), doc))).where(F.col("i") <= HEADS * k)
+    strong = F.row_number().over(W.partitionBy(q).orderBy(F.desc("bound"), "term"))
+    seeds = terms.withColumn("i", strong).where(F.col("i") <= STRONG).select(q, "term")
+    pairs = seeds.join(heads.select("term", doc), "term").select(q, doc).distinct()
+    place = F.row_number().over(W.partitionBy(q).orderBy(F.desc("score")))
+    floors = _exact(pairs, doc, q, postings, terms.select(q, "term", "wq")).withColumn("i", place).where(F.col("i") == k).select(q, F.col("score").alias("floor"))
+    rows = terms.join(floors, q, "left").withColumn("floor", F.coalesce(F.col("floor") * (1 - SLACK) - SLACK, F.lit(0.0)))
+    cheap = W.partitionBy(q).orderBy(F.col("bound") / F.col("n"), "term").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("needed", F.sum("bound").over(cheap) >= F.col("floor"))
+
+
+def best_documents(postings: DataFrame, asked: DataFrame, doc: str, q: str, k: int) -> DataFrame:
+    """q, doc, score, rank: the k best documents of each query that share a term with it; ties at nine digits by document."""
+    terms = written(bounded_terms(postings, asked, doc, q, k), "needed")
+    rest = terms.groupBy(q).agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    some = terms.where("needed").select(q, "term", "wq").join(postings, "term").groupBy(q, doc).agg(F.sum(F.col("w") * F.col("wq")).alias("part"))
+    able = some.join(rest, q).where(F.col("part") + F.col("rest") >= F.col("floor"))
+    more = able.where("rest > 0").select(q, doc).join(terms.where("NOT needed").select(q, "term", "wq"), q).join(postings, [doc, "term"])
+    parts = able.select(q, doc, F.col("part").alias("s")).unionByName(more.select(q, doc, (F.col("w") * F.col("wq")).alias("s")))
+    return top_k(parts.groupBy(q, doc).agg(F.sum("s").alias("score")), q, doc, k)
 
 
 def top_k(scores: DataFrame, q: str, doc: str, k: int) -> DataFrame:

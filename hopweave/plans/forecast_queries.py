@@ -8,10 +8,12 @@ from hopweave.functions import fuzzy
 from hopweave.functions import text as T
 from hopweave.operators import evaluate as E
 from hopweave.operators import forecast as M
+from hopweave.operators import next_place as P
 from hopweave.operators import retrieval as R
 from hopweave.operators import trajectory as J
 from hopweave.plans.register import query
 from hopweave.plans.views import cases, event_hops, hops, table, with_event_hops, with_hops
+from hopweave.sources.shared import written
 
 _GRAMS = """, c AS (SELECT * FROM (SELECT *, lag(loc) OVER (PARTITION BY victim ORDER BY event_id) AS before FROM event_hops) WHERE before IS NULL OR before <> loc),
 l AS (SELECT victim, event_id, lag(loc, 2) OVER w AS c2, lag(loc) OVER w AS c1, loc AS w FROM c WINDOW w AS (PARTITION BY victim ORDER BY event_id)),
@@ -156,6 +158,34 @@ def _(spark, d):
     return M.eta_mae(*steps(spark, d), "days").withColumn("mae", F.round("mae", 6))
 
 
+def place_windows(spark, d):
+    """Hops, the day before which models are trained (four fifths of the time), and windows of hops."""
+    rows = hops(spark, d)
+    cut = table(spark, d, "orders").agg(F.expr("date_add(to_date(min(o_orderdate)), cast(0.8 * datediff(max(o_orderdate), min(o_orderdate)) as int))")).first()[0]
+    return rows, F.lit(cut), written(P.windows(rows, "victim", "loc", "ord", "on_date"), "windows")
+
+
+@query("place_windows", with_hops("").rstrip() + ", c AS (SELECT * FROM (SELECT *, lag(loc) OVER (PARTITION BY victim ORDER BY ord) AS before FROM hops) WHERE before IS NULL OR before <> loc) SELECT victim, CAST(ord AS INTEGER) AS ord, on_date, loc AS lag_1, lag(loc) OVER w AS lag_2, lag(loc, 2) OVER w AS lag_3, lead(loc) OVER w AS next FROM c WINDOW w AS (PARTITION BY victim ORDER BY ord) QUALIFY lag_3 IS NOT NULL")
+def _(spark, d):
+    return P.windows(hops(spark, d), "victim", "loc", "ord", "on_date")
+
+
+@query("next_place_model")
+def _(spark, d):
+    """The three likeliest places after each subject's last window, by the trained model."""
+    _, cut, windows = place_windows(spark, d)
+    model = P.fit(windows.where(F.col("on_date") < cut))
+    return P.next_ranked(model, windows, "victim", 3).withColumn("prob", F.round("prob", 6))
+
+
+@query("next_place_accuracy")
+def _(spark, d):
+    rows, cut, windows = place_windows(spark, d)
+    before = F.col("on_date") < cut
+    out = P.compared(rows.where(before), windows.where(before), windows.where(~before), "victim", "loc", "ord")
+    return out.withColumns({c: F.round(c, 6) for c in ("acc_1", "acc_3", "acc_5")})
+
+
 @query("lag_windows", with_event_hops(", i AS (SELECT loc, row_number() OVER (ORDER BY count(*) DESC, loc) AS i FROM event_hops GROUP BY 1), q AS (SELECT victim, event_id, lag(i, 3) OVER w AS a, lag(i, 2) OVER w AS b, lag(i) OVER w AS c, i AS target FROM event_hops JOIN i ON i.loc = event_hops.loc WINDOW w AS (PARTITION BY victim ORDER BY event_id)) SELECT victim, event_id, a || ',' || b || ',' || c AS win, CAST(target AS INTEGER) AS target FROM q WHERE a IS NOT NULL").replace(") , i AS", "), i AS"))
 def _(spark, d):
     rows = M.lag_windows(event_hops(spark, d), "victim", "loc", "event_id")
@@ -172,8 +202,8 @@ dn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM dt JOIN w USIN
 @query("tfidf_topk", _TFIDF + ", s AS (SELECT item_id, doc_id, dot / (norm * q_norm) AS score FROM (SELECT item_id, doc_id, sum(qt.tf * idf * dt.tf * idf) AS dot FROM qt JOIN w USING (term) JOIN dt USING (term) GROUP BY 1, 2) JOIN dn USING (doc_id) JOIN qn USING (item_id)) SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
 def _(spark, d):
     tokens = T.retrieval_tokens(F.col("text"))
-    scores = R.tfidf_scores(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens)
-    return R.top_k(scores, "item_id", "doc_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
+    index = R.tfidf_index(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens)
+    return R.best_documents(*index, "doc_id", "item_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
 
 
 _FEATURES = 50_000
@@ -191,9 +221,9 @@ most AS (SELECT term FROM a GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT {_FEATU
 SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def _(spark, d):
-    tokens = R.with_bigrams(T.retrieval_tokens(F.col("text")))
-    scores = R.tfidf_scores(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens, _FEATURES)
-    return R.top_k(scores, "item_id", "doc_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
+    tokens = T.retrieval_tokens(F.col("text"))
+    index = R.tfidf_index(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens, bigrams=True, max_features=_FEATURES)
+    return R.best_documents(*index, "doc_id", "item_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
 
 
 _OVERLAP = _TFIDF + ", s AS (SELECT item_id, doc_id, sum(idf) AS score FROM qt JOIN w USING (term) JOIN dt USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"
@@ -202,8 +232,8 @@ _OVERLAP = _TFIDF + ", s AS (SELECT item_id, doc_id, sum(idf) AS score FROM qt J
 @query("overlap_topk", _OVERLAP + " SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def _(spark, d):
     tokens = T.retrieval_tokens(F.col("text"))
-    scores = R.overlap_scores(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens)
-    return R.top_k(scores, "item_id", "doc_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
+    index = R.overlap_index(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens)
+    return R.best_documents(*index, "doc_id", "item_id", 10).withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
 
 
 _REL = """, rel AS (SELECT item_id, doc_id, CAST(1 + (item_id + doc_id) % 3 AS INTEGER) AS grade FROM r WHERE rank % 2 = 0 AND rank <= 40),
@@ -215,8 +245,8 @@ got AS (SELECT item_id, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg, sum(nth /
 
 def ranking(spark, d):
     tokens = T.retrieval_tokens(F.col("text"))
-    scores = R.overlap_scores(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens)
-    ranked = R.top_k(scores, "item_id", "doc_id", 40)  # twice as many relevant documents as are looked at
+    index = R.overlap_index(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", tokens, tokens)
+    ranked = R.best_documents(*index, "doc_id", "item_id", 40)  # twice as many relevant documents as are looked at
     rel = ranked.where("rank % 2 = 0").select("item_id", "doc_id", (1 + (F.col("item_id") + F.col("doc_id")) % 3).cast("int").alias("grade"))
     return R.ranking_metrics(ranked, rel, "item_id", "doc_id")
 

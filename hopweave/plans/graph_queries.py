@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from hopweave.functions import text as T
 from hopweave.operators import graph as G
+from hopweave.operators import linear
 from hopweave.operators import ontology as O
 from hopweave.plans.register import query
-from hopweave.plans.views import ACTOR_EDGES_SQL, GAZETTEER_SQL, actor_edges, cases, gazetteer, table, with_cases
+from hopweave.plans.views import GAZETTEER_SQL, MEETINGS_SQL, cases, gazetteer, meetings, table, with_cases
+from hopweave.sources.shared import written
 
 #: Cases of which some lack a place, and whose perps have blank and padded names.
 _FLAWED = """, flawed AS (SELECT victim, chiefs, CASE WHEN case_id % 7 = 0 THEN NULL WHEN case_id % 11 = 0 THEN '' ELSE loc END AS loc,
@@ -71,21 +73,29 @@ def _(spark, d):
     return G.bipartite_edges(cases(spark, d), "victim", "perps")
 
 
-_PAIRS = f"""WITH b AS ({ACTOR_EDGES_SQL}), p AS (SELECT DISTINCT x.actor AS src, y.actor AS dst FROM b x JOIN b y ON x.victim = y.victim AND x.actor < y.actor),
-g AS (SELECT src, dst FROM p ), u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), deg AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1),
-c AS (SELECT p.src, p.dst, count(*) AS common, sum(1 / ln(deg.d)) AS aa, sum(1e0 / deg.d) AS ra FROM p JOIN u a ON p.src = a.src JOIN u z ON p.dst = z.src AND a.dst = z.dst JOIN deg ON deg.id = a.dst GROUP BY 1, 2),
+#: Scores of the pairs in table `asked`, in the undirected graph of table g.
+_SCORES = """u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), deg AS (SELECT src AS id, count(*) AS d FROM u GROUP BY 1),
+c AS (SELECT p.src, p.dst, count(*) AS common, sum(1 / ln(deg.d)) AS aa, sum(1e0 / deg.d) AS ra FROM asked p JOIN u a ON p.src = a.src JOIN u z ON p.dst = z.src AND a.dst = z.dst JOIN deg ON deg.id = a.dst GROUP BY 1, 2),
 o AS (SELECT p.src, p.dst, coalesce(common, 0) AS common, coalesce(aa, 0) AS aa, coalesce(ra, 0) AS ra, coalesce(s.d, 0) AS ds, coalesce(t.d, 0) AS dt
-  FROM p LEFT JOIN c ON p.src = c.src AND p.dst = c.dst LEFT JOIN deg s ON s.id = p.src LEFT JOIN deg t ON t.id = p.dst)
+  FROM asked p LEFT JOIN c ON p.src = c.src AND p.dst = c.dst LEFT JOIN deg s ON s.id = p.src LEFT JOIN deg t ON t.id = p.dst)
 """
+_MET = f"WITH b AS ({MEETINGS_SQL}), p AS (SELECT DISTINCT x.actor AS src, y.actor AS dst FROM b x JOIN b y ON x.event = y.event AND x.actor < y.actor)"
+_PAIRS = _MET + ", g AS (SELECT src, dst FROM p), asked AS (SELECT src, dst FROM p), " + _SCORES
+_JACCARD = "CASE WHEN ds + dt - common > 0 THEN common / (ds + dt - common) ELSE 0 END"
+
+
+def met(spark, d, rows=None):
+    """Pairs of actors that do something for one subject on one day."""
+    return G.one_mode((meetings(spark, d) if rows is None else rows).select(F.col("event").alias("src"), F.col("actor").alias("dst")))
 
 
 def scored_pairs(spark, d):
-    pairs = G.one_mode(actor_edges(spark, d).toDF("src", "dst"))
+    pairs = written(met(spark, d), "pairs")
     return G.link_scores(pairs, pairs)
 
 
 for _name, _sql, _column in (
-    ("link_jaccard", "CASE WHEN ds + dt - common > 0 THEN common / (ds + dt - common) ELSE 0 END", "jaccard"),
+    ("link_jaccard", _JACCARD, "jaccard"),
     ("link_adamic_adar", "aa", "adamic_adar"),
     ("link_resource_alloc", "ra", "resource_alloc"),
 ):
@@ -100,17 +110,53 @@ def _(spark, d):
     return scored_pairs(spark, d).select("src", "dst", F.col("pref_attach").alias("score"))
 
 
-@query("link_rank")
+def _negatives_sql(edges: str, subjects: str, per_node: int) -> str:
+    """Tables ring, both_ways and neg: the first actors after a subject on the ring that are not linked to it."""
+    return f"""both_ways AS (SELECT src, dst FROM {edges} UNION SELECT dst, src FROM {edges}),
+ring AS (SELECT dst, row_number() OVER (ORDER BY md5('42:' || dst), dst) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT dst FROM both_ways)),
+neg AS (SELECT src, dst FROM (SELECT s.src, r.dst, row_number() OVER (PARTITION BY s.src ORDER BY (r.place - CAST('0x' || substr(md5('42:' || s.src), 1, 15) AS BIGINT) % r.n + r.n) % r.n) AS k
+  FROM {subjects} s, ring r WHERE r.dst <> s.src AND NOT EXISTS (SELECT 1 FROM both_ways l WHERE l.src = s.src AND l.dst = r.dst)) WHERE k <= {per_node})"""
+
+
+@query(
+    "link_rank",
+    _MET
+    + f""", k AS (SELECT src, dst, CAST('0x' || substr(md5('42:' || src || ':' || dst), 1, 8) AS BIGINT) < {int(0.3 * 2**32)} AS held FROM p),
+g AS (SELECT src, dst FROM k WHERE NOT held), nodes AS (SELECT src FROM p UNION SELECT dst FROM p), {_negatives_sql("p", "nodes", 30)},
+test AS (SELECT src, dst FROM k WHERE held AND src IN (SELECT src FROM neg)), asked AS (SELECT src, dst FROM test UNION ALL SELECT src, dst FROM neg), """
+    + _SCORES
+    + "SELECT t.src, t.dst, 1 + count(*) FILTER (round(n.aa, 9) >= round(t.aa, 9)) AS rank FROM o t JOIN test USING (src, dst) JOIN (SELECT o.* FROM o JOIN neg USING (src, dst)) n ON n.src = t.src GROUP BY 1, 2",
+)
 def _(spark, d):
-    pairs = G.one_mode(actor_edges(spark, d).toDF("src", "dst"))
+    pairs = written(met(spark, d), "pairs")
     train, test = G.split_pairs(pairs)
-    negatives = G.negative_pairs(pairs.unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 30)
+    negatives = written(G.negative_pairs(pairs.unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 30), "negatives")
     scored = lambda p: G.link_scores(train, p).select("src", "dst", F.col("adamic_adar").alias("score"))
     # positives without negatives have no rank and are not scored
     test = test.join(negatives.select("src").distinct(), "src", "left_semi")
     return G.rank_metrics(scored(test), scored(negatives))
 
 
+_HELD = "CAST('0x' || substr(md5('42:' || event), 1, 8) AS BIGINT) % 10 < 3"
+
+
+@query(
+    "link_eval",
+    f"""WITH b AS ({MEETINGS_SQL}), p AS (SELECT x.actor AS src, y.actor AS dst, x.event FROM b x JOIN b y ON x.event = y.event AND x.actor < y.actor),
+g AS (SELECT DISTINCT src, dst FROM p WHERE NOT {_HELD}), pos AS (SELECT src, dst FROM g JOIN (SELECT DISTINCT src, dst FROM p WHERE {_HELD}) USING (src, dst) ORDER BY md5('42:' || src || ':' || dst), src, dst LIMIT 300),
+who AS (SELECT DISTINCT src FROM pos), {_negatives_sql("g", "who", 30)}, asked AS (SELECT src, dst FROM pos UNION ALL SELECT src, dst FROM neg), """
+    + _SCORES
+    + f""", s AS (SELECT src, dst, unnest(['jaccard', 'adamic_adar', 'resource_alloc', 'pref_attach']) AS heuristic, unnest([round(CAST({_JACCARD} AS DOUBLE), 9), round(aa, 9), round(ra, 9), CAST(ds * dt AS DOUBLE)]) AS score FROM o),
+r AS (SELECT t.heuristic, t.src, t.dst, 1 + count(*) FILTER (n.score >= t.score) AS rank FROM (SELECT s.* FROM s JOIN pos USING (src, dst)) t JOIN (SELECT s.* FROM s JOIN neg USING (src, dst)) n ON n.src = t.src AND n.heuristic = t.heuristic GROUP BY 1, 2, 3)
+SELECT heuristic, round(avg(CASE WHEN rank <= 1 THEN 1e0 ELSE 0 END), 6) AS hits_1, round(avg(CASE WHEN rank <= 3 THEN 1e0 ELSE 0 END), 6) AS hits_3, round(avg(CASE WHEN rank <= 5 THEN 1e0 ELSE 0 END), 6) AS hits_5, round(avg(1e0 / rank), 6) AS mrr, count(*) AS n_eval FROM r GROUP BY 1""",
+)
+def _(spark, d):
+    rows = meetings(spark, d)
+    held = F.conv(F.substring(F.md5(F.concat(F.lit("42:"), "event").cast("binary")), 1, 8), 16, 10).cast("long") % 10 < 3
+    train, test = (written(met(spark, d, rows.where(c)), "pairs") for c in (~held, held))
+    return G.evaluate_links(train, test).withColumns({c: F.round(c, 6) for c in ("hits_1", "hits_3", "hits_5", "mrr")})
+
+
 _MAX_NODES, _MIN_ACTORS = 40, 10
 
 
@@ -243,3 +289,40 @@ def _(spark, d):
     edges = edges_of(spark, d)
     features = G.nodes_of(edges).select("id", F.col("ntype").alias("feature"), F.lit(1.0).alias("x"))
     return G.smoothed_features(edges, features).withColumn("x", F.round("x", 6))
+
+
+#: Half of the nodes by a digest have a known type; in SQL, with w, n and e of the tables before.
+_KNOWN = "CAST('0x' || substr(md5('7:' || id), 1, 8) AS BIGINT) % 2 = 0"
+_FEATURES = _GCN[: _GCN.index("\nx0 AS")] + f"""
+b AS (SELECT src, dst FROM a WHERE src <> dst), k AS (SELECT src AS id, count(*) AS d FROM b GROUP BY 1), t AS (SELECT DISTINCT id, CASE id[1] WHEN 'V' THEN 'Victim' WHEN 'L' THEN 'Location' WHEN 'P' THEN 'Trafficker' ELSE 'Chief' END AS ntype FROM n WHERE {_KNOWN}),
+s AS (SELECT b.src AS id, 'type:' || ntype AS feature, count(*) / max(k.d) AS x FROM b JOIN t ON t.id = b.dst JOIN k ON k.id = b.src GROUP BY 1, 2),
+x0 AS (SELECT id, 'degree:' || CAST(CAST(floor(log2(d)) AS INTEGER) AS VARCHAR) AS feature, 1e0 AS x FROM k), x1 AS (SELECT src AS id, feature, sum(w * x) AS x FROM w JOIN x0 ON x0.id = w.dst GROUP BY 1, 2),
+x2 AS (SELECT src AS id, feature, sum(w * x) AS x FROM w JOIN x1 ON x1.id = w.dst GROUP BY 1, 2)
+SELECT id, feature, round(x, 6) AS x FROM s UNION ALL SELECT id, feature, round(x, 6) FROM x2"""
+
+
+def known(c="id"):
+    return F.conv(F.substring(F.md5(F.concat(F.lit("7:"), c).cast("binary")), 1, 8), 16, 10).cast("long") % 2 == 0
+
+
+@query("node_features", with_edges("").rstrip() + _FEATURES)
+def _(spark, d):
+    edges = written(edges_of(spark, d), "edges")
+    return G.node_features(edges, G.nodes_of(edges), known()).withColumn("x", F.round("x", 6))
+
+
+def classified(spark, d):
+    edges = written(edges_of(spark, d), "edges")
+    return G.classify_nodes(edges, G.nodes_of(edges), known())[1]
+
+
+@query("node_types")
+def _(spark, d):
+    """The type that the linear graph network gives to each node whose type it was not told."""
+    rows = classified(spark, d)
+    return rows.select("id", "ntype", F.col("best")[0]["label"].alias("predicted"), F.round(F.col("best")[0]["prob"], 4).alias("prob"))
+
+
+@query("node_type_accuracy")
+def _(spark, d):
+    return linear.accuracy(classified(spark, d), "ntype", (1, 2)).withColumns({c: F.round(c, 4) for c in ("acc_1", "acc_2")})

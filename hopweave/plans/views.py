@@ -134,3 +134,12 @@ def actor_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ACTOR_EDGES_SQL = "SELECT DISTINCT o_custkey AS victim, l_suppkey AS actor FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (event, actor) pairs: the actors that do something for a subject on a day."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.concat_ws("|", "o_custkey", F.to_date("l_shipdate").cast("string")).alias("event"), F.col("l_suppkey").alias("actor")).distinct()
+
+
+MEETINGS_SQL = "SELECT DISTINCT o_custkey || '|' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS event, l_suppkey AS actor FROM lineitem JOIN orders ON l_orderkey = o_orderkey"

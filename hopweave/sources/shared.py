@@ -1,22 +1,35 @@
-"""The folder that driver and executors share."""
+"""Tables that are written once and read again, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
-
-_own: list[str] = []
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where none is set, a folder of ours in local mode, and an error on a cluster, where none is safe."""
+    """spark.checkpoint.dir; where none is set, a folder of this application in the warehouse, which goes when the application ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="hopweave-"))
-    return _own[0]
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/hopweave-{spark.sparkContext.applicationId}"
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(own)
+    files.deleteOnExit(own)
+    return path
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder, which is also where checkpoints go from now on unless a place was set."""
+    found = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read again: it is computed once, and lost executors cost none of it."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
