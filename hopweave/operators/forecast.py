@@ -6,12 +6,16 @@ and Spark broadcasts them where they are small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopweave.operators.numbering import numbered, spread
+from hopweave.operators.numbering import numbered, percentiles, spread
+from hopweave.operators.retrieval import best_by_blocks
 from hopweave.operators.trajectory import collapse, last_place
+from hopweave.sources.shared import written
 
 ALPHA = 0.05
 #: Weights of the trigram, bigram and unigram estimates.
@@ -102,13 +106,18 @@ def predict_next_dist(grams: DataFrame, prev2: str | None = None, prev1: str | N
 
 
 def next_path(grams: DataFrame, ctx: DataFrame, subject: str, steps: int = 3) -> DataFrame:
-    """subject, step, w, prob: greedy roll-out of all subjects at once; steps is at most 5."""
-    out = None
-    for i in range(1, min(steps, 5) + 1):
-        best = next_ranked(grams, ctx, subject, 1).select(subject, F.lit(i).alias("step"), "w", "prob")
-        out = best if out is None else out.unionAll(best)
-        ctx = ctx.join(best, subject).select(subject, F.col("c1").alias("c2"), F.col("w").alias("c1"))
-    return out
+    """subject, step, w, prob: greedy roll-out of all subjects at once, of any number of steps.
+
+    Each step is written, so the plan does not grow with the number of steps, and a place
+    is worked out once for each distinct context of a step.
+    """
+    grams, parts = written(grams, "grams"), []
+    for i in range(1, steps + 1):
+        best = next_ranked(grams, ctx, subject, 1).select(subject, "w", "prob")
+        step = written(ctx.join(best, subject).select(subject, "c1", "w", "prob"), "step")
+        parts.append(step.select(subject, F.lit(i).alias("step"), "w", "prob"))
+        ctx = step.select(subject, F.col("c1").alias("c2"), F.col("w").alias("c1"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def top_next(grams: DataFrame, ctx: DataFrame, subject: str, k: int = 10) -> DataFrame:
@@ -116,34 +125,45 @@ def top_next(grams: DataFrame, ctx: DataFrame, subject: str, k: int = 10) -> Dat
     return next_ranked(grams, ctx, subject, 1).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(k)
 
 
-def _link_sums(df: DataFrame, subject: str, place: str, order: str, actor: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """subject, actor, s of subjects with a known actor on the way; actor, s over all rows; subjects without."""
+def _links(df: DataFrame, subject: str, place: str, order: str, actor: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """place, actor, n; subject, place, times of places with an actor; subjects without any."""
     at = df.where(F.col(actor).isNotNull()).groupBy(place, actor).agg(F.count("*").alias("n"))
     visits = collapse(df, subject, place, order).groupBy(subject, place).agg(F.count("*").alias("times"))
-    own = visits.join(at, place).groupBy(subject, actor).agg(F.sum(F.col("n") * F.col("times")).alias("s"))
-    some = visits.join(at.select(place).distinct(), place, "left_semi").select(subject).distinct()
-    return own, at.groupBy(actor).agg(F.sum("n").alias("s")), df.select(subject).distinct().join(some, subject, "left_anti")
+    visits = visits.join(at.select(place).distinct(), place, "left_semi").select(subject, place, "times")
+    return at, visits, df.select(subject).distinct().join(visits.select(subject), subject, "left_anti")
+
+
+def overall_shares(at: DataFrame, actor: str) -> DataFrame:
+    """actor, s, score: an actor's rows, and their share of all; at: place, actor, n."""
+    every = at.groupBy(actor).agg(F.sum("n").alias("s"))
+    return every.crossJoin(F.broadcast(every.agg(F.sum("s").alias("t")))).select(actor, "s", (F.col("s") / F.col("t")).alias("score"))  # one row
 
 
 def link_scores(df: DataFrame, subject: str, place: str, order: str, actor: str) -> DataFrame:
     """subject, actor, score: share of an actor in the rows of the places on a subject's way.
 
-    A place counts as often as the subject comes to it. Subjects without any known actor
-    on the way get the overall shares. This has a row for each actor of each subject;
-    link_ranked() has the best only.
+    A place counts as often as the subject comes to it. This has a row for each actor at
+    any place of a subject; link_ranked() has the best only. Subjects without any known
+    actor on the way have no rows here: to them overall_shares() apply, one list for all.
     """
-    own, every, rest = _link_sums(df, subject, place, order, actor)
-    rows = own.unionByName(rest.crossJoin(every).select(subject, actor, "s"))
-    return rows.select(subject, actor, (F.col("s") / F.sum("s").over(W.partitionBy(subject))).alias("score"))
+    at, visits, _ = _links(df, subject, place, order, actor)
+    own = visits.join(at, place).groupBy(subject, actor).agg(F.sum(F.col("n") * F.col("times")).alias("s"))
+    return own.select(subject, actor, (F.col("s") / F.sum("s").over(W.partitionBy(subject))).alias("score"))
 
 
 def link_ranked(df: DataFrame, subject: str, place: str, order: str, actor: str, k: int) -> DataFrame:
-    """subject, actor, score, rank: the k best of link_scores(); subjects without a known actor share one list of k."""
-    own, every, rest = _link_sums(df, subject, place, order, actor)
-    scored = own.select(subject, actor, (F.col("s") / F.sum("s").over(W.partitionBy(subject))).alias("score"))
-    best = every.orderBy(F.desc("s"), actor).limit(k).crossJoin(F.broadcast(every.agg(F.sum("s").alias("t"))))  # k rows and one row
-    common = rest.crossJoin(F.broadcast(best.select(actor, (F.col("s") / F.col("t")).alias("score"))))
-    return ranked(scored.unionByName(common), subject, k, actor, "score")
+    """subject, actor, score, rank: the k best of link_scores(); subjects without a known actor share one list of the k best overall.
+
+    Actors are found by bounds (see retrieval), without a row for each actor of each
+    subject; what all actors of a subject have together follows from the places' totals.
+    """
+    at, visits, rest = _links(df, subject, place, order, actor)
+    at, visits = written(at, "at"), written(visits, "visits")
+    whole = visits.join(at.groupBy(place).agg(F.sum("n").alias("here")), place).groupBy(subject).agg(F.sum(F.col("times") * F.col("here")).alias("t"))
+    best = best_by_blocks(at.select(F.col(place).alias("term"), actor, F.col("n").alias("w")), visits.select(subject, F.col(place).alias("term"), F.col("times").alias("wq")), actor, subject, k)
+    mine = best.join(whole, subject).select(subject, actor, (F.col("score") / F.col("t")).alias("score"), "rank")
+    common = ranked(overall_shares(at, actor).orderBy(F.desc("s"), actor).limit(k).withColumn("__g", F.lit(0)), "__g", k, actor, "score")
+    return mine.unionByName(rest.crossJoin(F.broadcast(common.select(actor, "score", "rank"))).select(subject, actor, "score", "rank"))  # k rows
 
 
 def with_last_place(predictions: DataFrame, df: DataFrame, subject: str, place: str, order: str) -> DataFrame:
@@ -176,8 +196,8 @@ def majority_accuracy(train: DataFrame, test: DataFrame, ks: tuple[int, ...] = (
 
 def eta_mae(train: DataFrame, test: DataFrame, days: str) -> DataFrame:
     """One row: mean absolute error of the pair's median, or the overall one, over steps a, b with days."""
-    pair = train.groupBy("a", "b").agg(F.median(days).alias("p"))
-    every = train.agg(F.median(days).alias("e"))
+    pair = percentiles(train, ["a", "b"], days, {"p": 0.5})
+    every = percentiles(train, [], days, {"e": 0.5}).agg(F.max("e").alias("e"))  # one row, null without train
     rows = test.join(pair, ["a", "b"], "left").crossJoin(F.broadcast(every))
     return rows.agg(F.count("*").alias("n"), F.avg(F.abs(F.coalesce("p", "e") - F.col(days))).alias("mae"))
 

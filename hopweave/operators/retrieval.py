@@ -30,6 +30,8 @@ from hopweave.sources.shared import written
 SLACK = 1e-8
 #: What sets a query's floor: the first postings of a term by what it is worth to them, as a multiple of k, of so many terms.
 HEADS, STRONG = 2, 8
+#: Terms whose first documents set the floor where documents are ruled out by blocks.
+SEEDS = 4
 
 
 def term_table(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
@@ -113,6 +115,30 @@ def best_documents(postings: DataFrame, asked: DataFrame, doc: str, q: str, k: i
     return top_k(parts.groupBy(q, doc).agg(F.sum("s").alias("score")), q, doc, k)
 
 
+def best_by_blocks(postings: DataFrame, asked: DataFrame, doc: str, q: str, k: int) -> DataFrame:
+    """What best_documents() gives, for queries whose terms are all common: documents are ruled out by the block.
+
+    A block has the documents that the same term gives most to, and about as much (within
+    half a doubling). A query's bound on a block is the sum over its terms of wq and the
+    largest w there; of blocks that do not reach the floor no document is looked at.
+    """
+    most = F.max_by("term", F.struct("w", "term"))
+    block = postings.groupBy(doc).agg(most.alias("main"), F.floor(2 * F.log2(F.max("w"))).alias("tier"))
+    rows = written(postings.join(block, doc), "blocks")
+    tops = rows.groupBy("main", "tier", "term").agg(F.max("w").alias("top"))
+    heads = rows.withColumn("i", F.row_number().over(W.partitionBy("term").orderBy(F.desc("w"), doc))).where(F.col("i") <= k)
+    worth = asked.join(rows.groupBy("term").agg(F.max("w").alias("most")), "term")
+    seeds = worth.withColumn("i", F.row_number().over(W.partitionBy(q).orderBy(F.desc(F.col("wq") * F.col("most")), "term"))).where(F.col("i") <= SEEDS)
+    pairs = seeds.select(q, "term").join(heads.select("term", doc), "term").select(q, doc).distinct()
+    place = F.row_number().over(W.partitionBy(q).orderBy(F.desc("score")))
+    floors = _exact(pairs, doc, q, postings, asked).withColumn("i", place).where(F.col("i") == k).select(q, F.col("score").alias("floor"))
+    bounds = asked.join(tops, "term").groupBy(q, "main", "tier").agg(F.sum(F.col("wq") * F.col("top")).alias("bound"))
+    open_ = bounds.join(floors, q, "left").where(F.col("bound") >= F.coalesce(F.col("floor") * (1 - SLACK) - SLACK, F.lit(0.0)))
+    terms = open_.select(q, "main", "tier").join(asked, q)
+    scores = terms.join(rows, ["main", "tier", "term"]).groupBy(q, doc).agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
+    return top_k(scores, q, doc, k)
+
+
 def top_k(scores: DataFrame, q: str, doc: str, k: int) -> DataFrame:
     """The k best documents of each query with their rank; scores are compared to nine digits, ties by document."""
     w = W.partitionBy(q).orderBy(F.desc(F.round("score", 9)), doc)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopweave.operators.numbering import numbered, spread
+from hopweave.operators.numbering import numbered, percentiles, spread
 
 
 def origin_destination(df: DataFrame, subject: str, place: str, order: str) -> DataFrame:
@@ -95,21 +95,25 @@ def actor_profile(df: DataFrame, subject: str, place: str, actor: str) -> DataFr
 
 
 def duration_medians(df: DataFrame, subject: str, place: str, order: str, days: Column, whole: bool = True) -> DataFrame:
-    """grain, a, b, med: median duration per pair of places, per place reached, and overall."""
+    """grain, a, b, med: median duration per pair of places, per place reached, and overall; no rows without durations."""
     rows = df.withColumn("__a", F.lag(place).over(W.partitionBy(subject).orderBy(order))).withColumn("__d", days)
     rows = rows.where(F.col("__d").isNotNull() & F.col(place).isNotNull()).select(F.col("__a").alias("a"), F.col(place).alias("b"), F.col("__d").alias("d"))
-    med = F.median("d").cast("int") if whole else F.median("d")
     null = F.lit(None).cast("string")
-    pair = rows.where("a IS NOT NULL").groupBy("a", "b").agg(med.alias("med")).select(F.lit("pair").alias("grain"), "a", "b", "med")
-    one = rows.groupBy("b").agg(med.alias("med")).select(F.lit("place").alias("grain"), null.alias("a"), "b", "med")
-    every = rows.agg(med.alias("med")).select(F.lit("all").alias("grain"), null.alias("a"), null.alias("b"), "med")
-    return pair.unionAll(one).unionAll(every)
+    counts = rows.groupBy("a", "b", "d").agg(F.count("*").alias("n"))
+    grain = lambda name, a, b: F.struct(F.lit(name).alias("grain"), a.alias("a"), b.alias("b"))
+    pair = F.when(F.col("a").isNotNull(), grain("pair", F.col("a"), F.col("b")))
+    grains = F.filter(F.array(pair, grain("place", null, F.col("b")), grain("all", null, null)), lambda g: g.isNotNull())
+    each = counts.select(F.explode(grains).alias("g"), "d", "n").select("g.*", "d", "n")
+    out = percentiles(each, ["grain", "a", "b"], "d", {"med": 0.5}, "n")
+    out = out.withColumn("med", F.col("med").cast("int")) if whole else out
+    return out
 
 
 def hop_percentiles(df: DataFrame, subject: str, value: Column) -> DataFrame:
     """One row: median and 90th percentile of a number per subject."""
     per = df.groupBy(subject).agg(value.cast("double").alias("x"))
-    return per.agg(F.median("x").alias("median"), F.percentile("x", F.lit(0.9)).alias("p90"), F.count("*").alias("n"))
+    counts = per.groupBy("x").agg(F.count("*").alias("n"))
+    return percentiles(counts, [], "x", {"median": 0.5, "p90": 0.9}, "n").crossJoin(counts.agg(F.sum("n").alias("n")))  # one row each
 
 
 def attribute_mode(df: DataFrame, subject: str, column: str) -> DataFrame:

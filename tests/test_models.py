@@ -11,7 +11,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from hopweave.operators import graph, linear, next_place, retrieval
+from hopweave.operators import forecast, graph, linear, next_place, numbering, retrieval
 
 
 def softmax(z):
@@ -205,3 +205,59 @@ def test_common_words_are_not_needed(spark):
     postings, asked = retrieval.tfidf_index(docs, "d", q, "q", tokens, tokens)
     needed = {r.term: r.needed for r in retrieval.bounded_terms(postings, asked, "d", "q", 3).collect()}
     assert needed["rare"] and not needed["the"]
+
+
+def test_percentiles_by_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(g, rng.choice([None, rng.randrange(-5, 6), rng.random() * 10 ** rng.randrange(-3, 6), 7.0]), rng.randrange(1, 4)) for g in ["a", None, "b", "one"] for _ in range(400 if g != "one" else 1)]
+    rows += [("none", None, 1)]
+    df = spark.createDataFrame([(g, None if v is None else float(v), w) for g, v, w in rows], "g string, v double, w long")
+    shares = {"low": 0.0, "q": 0.37, "med": 0.5, "p90": 0.9, "high": 1.0}
+    for weight in (None, "w"):
+        got = {r.g: r for r in numbering.percentiles(df, ["g"], "v", shares, weight).collect()}
+        by = defaultdict(list)
+        for g, v, w in rows:
+            by[g] += [float(v)] * (w if weight else 1) if v is not None else []
+        assert got.keys() == {g for g, v in by.items() if v}
+        for g, r in got.items():
+            assert [r[n] for n in shares] == pytest.approx([float(np.quantile(by[g], p)) for p in shares.values()], rel=1e-12)
+    assert numbering.percentiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(float(np.median([v for _, v, _ in rows if v is not None])))
+    assert numbering.percentiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_actors_by_brute_force(spark, k):
+    """The k best actors of each subject of all pairs, where actors have one place, some or all."""
+    rng, rows = random.Random(k), []
+    homes = {f"a{i}": rng.sample(range(12), rng.choice([1, 1, 2, 12])) for i in range(60)}
+    for s in range(80):
+        for i in range(rng.randrange(1, 15)):
+            actor = rng.choice([*homes, None])
+            place = rng.choice(homes[actor]) if actor else rng.choice([*range(12), 50])
+            rows.append((f"s{s}", i, f"p{place}", actor))
+    rows += [("lonely", 0, "nowhere", None), ("lost", 0, None, None)]
+    df = spark.createDataFrame(rows, "sid string, ord int, loc string, actor string")
+    at, every, visits = Counter((p, a) for _, _, p, a in rows if a), Counter(a for *_, a in rows if a), defaultdict(Counter)
+    before = {}
+    for s, _, p, _ in sorted((r for r in rows if r[2]), key=lambda r: (r[0], r[1])):
+        if before.get(s) != p:
+            visits[s][p] += 1
+        before[s] = p
+    want = {}
+    for s in {r[0] for r in rows}:
+        scores = Counter()
+        for p, times in visits[s].items():
+            for (q, a), n in at.items():
+                scores[a] += n * times if q == p else 0
+        scores = +scores or every
+        t = sum(scores.values())
+        for n, (x, a) in enumerate(sorted((-x, a) for a, x in scores.items())[:k], 1):
+            want[s, n] = (a, round(-x / t, 9))
+    got = {(r.sid, r["rank"]): (r.actor, round(r.score, 9)) for r in forecast.link_ranked(df, "sid", "loc", "ord", "actor", k).collect()}
+    assert got == want
+
+
+def test_long_roll_outs(spark):
+    df = spark.createDataFrame([("s", i, "ABC"[i % 3]) for i in range(12)], "sid string, ord int, loc string")
+    grams, ctx = forecast.ngrams(df, "sid", "loc", "ord"), forecast.contexts(df, "sid", "loc", "ord")
+    assert [r.w for r in forecast.next_path(grams, ctx, "sid", 8).orderBy("step").collect()] == list("ABCABCAB")
