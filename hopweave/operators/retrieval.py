@@ -34,15 +34,20 @@ HEADS, STRONG = 2, 8
 SEEDS = 4
 
 
+def dealt(docs: DataFrame, doc: str) -> DataFrame:
+    """docs dealt by id, before texts become tokens: each document is counted where it is, and nothing but texts is shuffled."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(doc))
+
+
 def term_table(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """doc, term, tf. Documents are dealt by id before their tokens become rows, so each is counted where it is."""
-    return docs.repartition(F.col(doc)).select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    """doc, term, tf of dealt() documents."""
+    # explode() would let the optimizer test each text for tokens where it is read, before it is dealt
+    return docs.select(doc, F.explode_outer(tokens).alias("term")).where("term IS NOT NULL").groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term, idf = ln((1 + n) / (1 + df)) + 1; n_docs is one row with n."""
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n_docs)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    """term, idf = ln((1 + n) / (1 + df)) + 1 of terms with df; n_docs is one row with n."""
+    return terms.select("term", "df").crossJoin(F.broadcast(n_docs)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def with_bigrams(docs: DataFrame, tokens: str) -> DataFrame:
@@ -57,29 +62,34 @@ def tfidf_index(docs: DataFrame, doc: str, queries: DataFrame, q: str, doc_token
 
     max_features keeps the terms that occur most often in all documents, ties by term.
     """
-    tokens = lambda rows, key, c: with_bigrams(rows.select(key, c.alias("__t")), "__t") if bigrams else rows.select(key, c.alias("__t"))
-    terms = written(term_table(tokens(docs, doc, doc_tokens), doc, F.col("__t")), "terms")
-    known = terms
+    def tokens(rows: DataFrame, key: str, c: Column) -> DataFrame:
+        rows = rows.select(key, c.alias("__t"))
+        return with_bigrams(rows, "__t") if bigrams else rows
+
+    terms = term_table(tokens(dealt(docs, doc), doc, doc_tokens), doc, F.col("__t"))
+    stats = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
     if max_features is not None:
-        most = terms.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(max_features)
-        known = terms.join(written(most.select("term"), "features"), "term", "left_semi").select(doc, "term", "tf")
-    weights = written(idf(known, docs.agg(F.count("*").alias("n"))), "idf")
-    d = known.join(weights, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = d.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = written(tokens(queries, q, query_tokens).select(q, F.explode("__t").alias("term")).groupBy(q, "term").agg(F.count("*").alias("tf")).join(weights, "term").select(q, "term", (F.col("tf") * F.col("idf")).alias("wq")), "asked")
+        stats = stats.orderBy(F.desc("n"), "term").limit(max_features)
+    qt = written(term_table(tokens(queries, q, query_tokens), q, F.col("__t")), "asked")
+    weights = idf(stats, docs.agg(F.count("*").alias("n")))
+    weights = written(weights.join(qt.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left"), "idf")
+    # norms and postings of a document in one pass: of the terms that are not asked for the norm is all that is needed
+    d = terms.join(weights, "term").select(doc, "term", "asked", (F.col("tf") * F.col("idf")).alias("w"))
+    mine = F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("mine")
+    d = d.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), mine).select(doc, "norm", F.inline("mine"))
+    postings = written(d.select("term", doc, (F.col("w") / F.col("norm")).alias("w")), "postings")
+    asked = qt.join(weights, "term").select(q, "term", (F.col("tf") * F.col("idf")).alias("wq"))
     q_norms = asked.groupBy(q).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
-    postings = d.join(asked.select("term").distinct(), "term", "left_semi").join(norms, doc).select("term", doc, (F.col("w") / F.col("norm")).alias("w"))
-    return written(postings, "postings"), asked.join(q_norms, q).select(q, "term", (F.col("wq") / F.col("q_norm")).alias("wq"))
+    return postings, written(asked.join(q_norms, q).select(q, "term", (F.col("wq") / F.col("q_norm")).alias("wq")), "queries")
 
 
 def overlap_index(docs: DataFrame, doc: str, queries: DataFrame, q: str, doc_tokens: Column, query_tokens: Column) -> tuple[DataFrame, DataFrame]:
     """Postings of the queries' terms and the queries, for scores that are sums of idf over distinct terms in common."""
-    terms = written(docs.select(doc, F.explode(F.array_distinct(doc_tokens)).alias("term")), "terms")
     asked = written(queries.select(q, F.explode(F.array_distinct(query_tokens)).alias("term")), "asked")
-    mine = terms.join(asked.select("term").distinct(), "term", "left_semi")
-    postings = written(mine.select("term", doc, F.lit(1.0).alias("w")), "postings")
-    weights = idf(postings, docs.agg(F.count("*").alias("n")))
-    return postings, asked.join(weights, "term").select(q, "term", F.col("idf").alias("wq"))
+    terms = dealt(docs, doc).select(doc, F.explode_outer(F.array_distinct(doc_tokens)).alias("term")).where("term IS NOT NULL")
+    postings = written(terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", doc, F.lit(1.0).alias("w")), "postings")
+    weights = idf(postings.groupBy("term").agg(F.count("*").alias("df")), docs.agg(F.count("*").alias("n")))
+    return postings, written(asked.join(weights, "term").select(q, "term", F.col("idf").alias("wq")), "queries")
 
 
 def _exact(pairs: DataFrame, doc: str, q: str, postings: DataFrame, asked: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopweave.plans.register import query
@@ -18,54 +20,78 @@ def folder(spark) -> str:
 
 
 def filled(spark, d) -> tuple[Catalog, dict[str, str]]:
-    """A catalog with two datasets and three artifacts, and their ids by name."""
-    c = Catalog(spark, folder(spark))
-    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
-    ids = {"alpha": c.save(nation, "alpha", "processed", owner="ann"), "beta": c.save(nation, "beta", "raw", owner="bob", fmt="csv")}
-    ids["gamma"] = c.save_json({"k": 1}, "gamma", "prediction", owner="ann", extra={"title": "First run"})
-    ids["delta"] = c.save_text("text", "delta", "prediction", owner="bob")
-    ids["omega"] = c.save_text("<a> <b> <c> .", "omega", "ontology", ext="ttl")
+    """A catalog with a dataset of the nations of each region and two artifacts about it, and the datasets' ids by region.
+
+    Kinds, formats, owners and titles follow from the region's key.
+    """
+    c, ids = Catalog(spark, folder(spark)), {}
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    sizes = {r["n_regionkey"]: r["n"] for r in nation.groupBy("n_regionkey").agg(F.count("*").alias("n")).collect()}
+    for r in table(spark, d, "region").orderBy("r_regionkey").collect():
+        k, name = r["r_regionkey"], r["r_name"]
+        own = nation.where(F.col("n_regionkey") == k).drop("n_regionkey")
+        ids[name] = c.save(own, name, "raw" if k % 2 else "processed", owner=f"owner {k % 2}", fmt="parquet" if k % 3 else "csv")
+        c.save_json({"nations": sizes.get(k, 0)}, f"run {name}", "prediction", owner=f"owner {k % 2}", extra={"title": f"{name}: {sizes.get(k, 0)}"} if k % 2 else None)
+        c.save_text(f"<{name}> <a> <region> .", f"graph {name}", "ontology", ext="ttl")
     return c, ids
 
 
-@query("catalog_load", "SELECT 'parquet' AS fmt, CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation UNION ALL SELECT 'csv', CAST(n_nationkey AS VARCHAR), n_name FROM nation")
-def _(spark, d):
-    c, ids = filled(spark, d)
-    part = lambda fmt, name: c.load_any(ids[name]).select(F.lit(fmt).alias("fmt"), F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name"))
-    return part("parquet", "alpha").unionAll(part("csv", "beta"))
+_ENTRIES = """WITH n AS (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1), e AS (
+  SELECT r_regionkey AS k, r_name AS name, CASE WHEN r_regionkey % 2 = 1 THEN 'raw' ELSE 'processed' END AS kind, 'owner ' || r_regionkey % 2 AS owner, NULL AS title, false AS artifact FROM region
+  UNION ALL SELECT r_regionkey, 'run ' || r_name, 'prediction', 'owner ' || r_regionkey % 2, CASE WHEN r_regionkey % 2 = 1 THEN r_name || ': ' || coalesce(c, 0) END, true FROM region LEFT JOIN n ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_regionkey, 'graph ' || r_name, 'ontology', NULL, NULL, true FROM region)
+"""
 
 
-_LISTS = "SELECT * FROM (VALUES ('all', 'omega'), ('all', 'delta'), ('all', 'gamma'), ('all', 'beta'), ('all', 'alpha'), ('of bob', 'beta'), ('of bob', 'delta'), ('artifacts', 'gamma'), ('artifacts', 'delta'), ('artifacts', 'omega'), ('recent', 'delta')) t(list, name)"
+@query("catalog_load", "SELECT r_name AS dataset, CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    c, ids = filled(spark, d)
+    parts = [c.load_any(i).select(F.lit(name).alias("dataset"), F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name")) for name, i in ids.items()]
+    return reduce(DataFrame.unionAll, parts)
 
 
-@query("catalog_lists", _LISTS)
+@query(
+    "catalog_lists",
+    _ENTRIES + "SELECT 'all' AS list, name FROM e UNION ALL SELECT 'owned', name FROM e WHERE owner = 'owner 1' UNION ALL SELECT 'artifacts', name FROM e WHERE artifact UNION ALL SELECT 'recent', name FROM (SELECT name FROM e WHERE kind = 'prediction' ORDER BY k DESC LIMIT 2)",
+)
 def _(spark, d):
     c, _ = filled(spark, d)
-    lists = {"all": c.entries(), "of bob": c.find(owner="bob"), "artifacts": c.artifacts(), "recent": c.recent("prediction", 1)}
-    out = None
-    for name, rows in lists.items():
-        part = rows.select(F.lit(name).alias("list"), "name")
-        out = part if out is None else out.unionAll(part)
-    return out
+    lists = {"all": c.entries(), "owned": c.find(owner="owner 1"), "artifacts": c.artifacts(), "recent": c.recent("prediction", 2)}
+    return reduce(DataFrame.unionAll, [rows.select(F.lit(name).alias("list"), "name") for name, rows in lists.items()])
 
 
-@query("catalog_counts", "SELECT * FROM (VALUES ('processed', CAST(1 AS BIGINT)), ('raw', 1), ('prediction', 2), ('ontology', 1)) t(kind, n)")
+@query("catalog_counts", _ENTRIES + "SELECT kind, count(*) AS n FROM e GROUP BY 1")
 def _(spark, d):
     return filled(spark, d)[0].counts()
 
 
-@query("history_view", "SELECT * FROM (VALUES ('Run', 'First run', 'ann'), ('Run', 'delta', 'bob'), ('Graph', 'omega', NULL)) t(what, title, owner)")
+@query("history_view", _ENTRIES + "SELECT CASE kind WHEN 'prediction' THEN 'Run' ELSE 'Graph' END AS what, coalesce(title, name) AS title, owner FROM e WHERE artifact")
 def _(spark, d):
     return history(filled(spark, d)[0].entries(), {"prediction": "Run", "ontology": "Graph"}).select("what", "title", "owner")
 
 
-@query("overlay", "SELECT * FROM (VALUES ('first'), ('gamma'), ('delta'), ('omega')) t(name)")
+@query("overlay", _ENTRIES + "SELECT CASE WHEN NOT artifact AND k % 2 = 0 THEN 'new ' || name ELSE name END AS name FROM e WHERE artifact OR k % 4 <> 3")
 def _(spark, d):
-    c, ids = filled(spark, d)
-    over = spark.createDataFrame([(ids["alpha"], "first", False), (ids["beta"], "gone", True)], "id string, name string, deleted boolean")
+    c, _ = filled(spark, d)
+    known = c.entries().where("NOT format IN ('json', 'ttl')").join(table(spark, d, "region"), F.col("name") == F.col("r_name"))
+    over = known.select("id", F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("new "), "name")).alias("name"), (F.col("r_regionkey") % 4 == 3).alias("deleted"))
     return with_overrides(c.entries(), over).select("name")
 
 
+@query("catalog_changes", "SELECT r_name || CASE WHEN r_regionkey % 2 = 0 THEN ' (renamed)' ELSE '' END AS name, CAST(r_regionkey * 2 AS VARCHAR) AS score, CASE WHEN r_regionkey = (SELECT max(r_regionkey) FROM region WHERE r_regionkey % 2 = 0) THEN true ELSE false END AS active FROM region WHERE r_regionkey % 4 <> 3")
+def _(spark, d):
+    c, ids = filled(spark, d)
+    for k, name in table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect():
+        c.update(ids[name], extra={"score": k})
+        c.update(ids[name], extra={"score": 2 * k})
+        if k % 2 == 0:
+            c.rename(ids[name], f"{name} (renamed)")
+            c.activate(ids[name], "dataset")
+        if k % 4 == 3:
+            c.delete(ids[name])
+    return c.entries().where(F.col("kind").isin("raw", "processed")).select("name", F.col("extra")["score"].alias("score"), (F.col("id") == c.active("dataset")).alias("active"))
+
+
 @query("load_processed", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN [c_mktsegment] ELSE NULL END AS seg FROM customer")
 def _(spark, d):
     c = Catalog(spark, folder(spark))

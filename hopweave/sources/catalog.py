@@ -1,7 +1,9 @@
-"""A catalog of datasets and artifacts: one JSON file per entry, so writers do not overwrite each other.
+"""A catalog of datasets and artifacts: one JSON file per version of an entry.
 
-Entries are read as a DataFrame; data are Parquet, CSV, JSON or text in folders of
-their own. All file access goes through Spark's file systems, so the root may be any
+A change reads an entry's last version and writes the next one under a name that only
+one writer can take; a writer that comes second reads again and makes its change to what
+the first has left, so none is lost. Entries are read as a DataFrame, of each id the last
+version; data are Parquet, CSV, JSON or text in folders of their own. All file access goes through Spark's file systems, so the root may be any
 path that Spark can open.
 """
 
@@ -18,8 +20,12 @@ from hopweave.functions import text as T
 from hopweave.operators.merge import union_by_name
 from hopweave.sources.readers import read_any, read_queries
 
-ENTRY = "id string, name string, kind string, path string, format string, owner string, source string, created_at string, extra map<string,string>"
+ENTRY = "id string, name string, kind string, path string, format string, owner string, source string, created_at string, extra map<string,string>, version int, deleted boolean"
 ARTIFACTS = ("json", "txt", "ttl")
+#: Kind of the entries that say which dataset is active in a role; entries() leaves them out.
+ROLE = "role"
+#: Versions that a change tries to write before it gives up.
+TRIES = 50
 SUFFIX = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "json", "txt": "text", "ttl": "text"}
 
 
@@ -32,11 +38,16 @@ class Catalog:
 
     # ---- entries
 
-    def entries(self, kind: str | None = None) -> DataFrame:
-        """All entries, newest first, of one kind if asked."""
+    def _last(self) -> DataFrame:
+        """The last version of each entry, deleted ones too."""
         if not self._fs.listStatus(self._path(f"{self.root}/entries")):
             return self.spark.createDataFrame([], ENTRY)
         rows = self.spark.read.schema(ENTRY).json(f"{self.root}/entries")
+        return rows.groupBy("id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "id")), "version").alias("e")).select("id", "e.*")
+
+    def entries(self, kind: str | None = None) -> DataFrame:
+        """All entries, newest first, of one kind if asked."""
+        rows = self._last().where(~F.col("deleted") & (F.col("kind") != ROLE))
         rows = rows if kind is None else rows.where(F.col("kind") == kind)
         return rows.orderBy(F.desc("created_at"), "id")
 
@@ -55,35 +66,61 @@ class Catalog:
     def recent(self, kind: str, n: int = 5) -> DataFrame:
         return self.entries(kind).limit(n)
 
+    def _entry(self, id_: str) -> dict | None:
+        """The last version of an entry, from its own files."""
+        found = self._fs.globStatus(self._path(f"{self.root}/entries/{id_}.v*.json"))
+        last = max((str(f.getPath().toString()) for f in found), default=None)
+        if last is None:
+            return None
+        row = self.spark.read.schema(ENTRY).json(last).first()
+        return None if row is None or row["deleted"] else row.asDict(recursive=True)
+
     def entry(self, id_: str) -> dict:
-        found = self.entries().where(F.col("id") == id_).limit(1).collect()
-        if not found:
+        found = self._entry(id_)
+        if found is None or found["kind"] == ROLE:
             raise KeyError(id_)
-        return found[0].asDict(recursive=True)
+        return found
 
-    def _put(self, entry: dict) -> str:
-        own = self._path(f"{self.root}/entries/{entry['id']}.json")
+    def _put(self, entry: dict, version: int = 1) -> bool:
+        """Writes a version of an entry; False if another writer has written it."""
+        own = self._path(f"{self.root}/entries/{entry['id']}.v{version:08}.json")
         tmp = self._path(f"{self.root}/entries/.{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
-        out.write(bytearray((json.dumps(entry, sort_keys=True) + "\n").encode()))
+        out.write(bytearray((json.dumps({"deleted": False} | entry | {"version": version}, sort_keys=True) + "\n").encode()))
         out.close()
-        self._replace(tmp, own)
-        return entry["id"]
+        try:
+            return self._take(tmp, own)
+        finally:
+            self._fs.delete(tmp, False)
+
+    def _take(self, new, name) -> bool:
+        """Gives a whole file a name in one step, unless the name is taken."""
+        from py4j.protocol import Py4JJavaError
 
-    def _replace(self, new, old) -> None:
-        """Gives a file the name of another in one step, so that a reader finds the old or the new content."""
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
-        if self._fs.getUri().getScheme() == "file":
-            option = jvm.java.nio.file.StandardCopyOption
-            options = gateway.new_array(jvm.java.nio.file.CopyOption, 2)
-            options[0], options[1] = option.ATOMIC_MOVE, option.REPLACE_EXISTING
-            path = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
-            jvm.java.nio.file.Files.move(path(new), path(old), options)
-            return
-        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(new, old, options)
+        taken = "FileAlreadyExistsException"
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                path = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(path(name), path(new))
+            else:
+                options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(new, name, options)
+            return True
+        except Py4JJavaError as e:
+            if taken in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+
+    def _change(self, id_: str, change) -> None:
+        """Writes change(entry) as the next version; where another writer was first, change is made again to what it has left."""
+        for _ in range(TRIES):
+            e = self._entry(id_)
+            if e is None:
+                raise KeyError(id_)
+            if self._put(change(dict(e)), e["version"] + 1):
+                return
+        raise RuntimeError(f"{id_} is changed by others all the time")
 
     def _new(self, name: str, kind: str, fmt: str, owner: str | None, source: str | None, extra: dict | None) -> dict:
         id_ = f"{kind}_{uuid.uuid4().hex[:16]}"
@@ -96,7 +133,8 @@ class Catalog:
         e = self._new(name, kind, fmt, owner, source, extra)
         writer = df.write.option("header", True) if fmt == "csv" else df.write
         writer.format(SUFFIX[fmt]).save(e["path"])
-        return self._put(e)
+        self._put(e)
+        return e["id"]
 
     def save_unless_known(self, df: DataFrame, name: str, kind: str, order: list[str], **more) -> tuple[str, bool]:
         """Saves df unless an entry of the kind has the same content; the id and whether it is new."""
@@ -118,7 +156,8 @@ class Catalog:
         out = self._fs.create(self._path(e["path"]), False)
         out.write(bytearray(text.encode()))
         out.close()
-        return self._put(e)
+        self._put(e)
+        return e["id"]
 
     def load(self, id_: str) -> DataFrame:
         """The dataset of an entry."""
@@ -176,26 +215,35 @@ class Catalog:
 
     def update(self, id_: str, **fields) -> None:
         """Replaces fields; `extra` is merged key by key."""
-        e = self.entry(id_)
-        extra = (e["extra"] or {}) | {k: str(v) for k, v in (fields.pop("extra", None) or {}).items()}
-        self._put(e | fields | {"extra": extra})
+        more = {k: str(v) for k, v in (fields.pop("extra", None) or {}).items()}
+        self.entry(id_)
+        self._change(id_, lambda e: e | fields | {"extra": (e["extra"] or {}) | more})
 
     def rename(self, id_: str, name: str) -> None:
         self.update(id_, name=name)
 
     def delete(self, id_: str) -> None:
+        """Marks an entry as deleted, then removes its data."""
         e = self.entry(id_)
-        self._fs.delete(self._path(f"{self.root}/entries/{id_}.json"), False)
+        self._change(id_, lambda x: x | {"deleted": True})
         self._fs.delete(self._path(e["path"]), True)
 
     def activate(self, id_: str, role: str = "gazetteer") -> None:
-        """Makes an entry the active one of a role; the newest is active where none was chosen."""
-        for r in self.find(role, active="true").collect():
-            self.update(r.id, extra={"active": "false"})
-        self.update(id_, extra={"active": "true"})
+        """Makes an entry the active one of a role; which one is, is kept in one place, so there is never more than one."""
+        self.entry(id_)
+        pointer = f"{ROLE}_{role}"
+        if self._entry(pointer) is None:
+            first = {"id": pointer, "name": role, "kind": ROLE, "format": "json", "path": "", "owner": None, "source": id_, "created_at": datetime.now(UTC).isoformat(), "extra": {}}
+            if self._put(first):
+                return
+        self._change(pointer, lambda e: e | {"source": id_})
 
     def active(self, role: str = "gazetteer") -> str | None:
-        found = self.find(role, active="true").limit(1).collect() or self.entries(role).limit(1).collect()
+        """The active entry of a role; the newest of that kind where none was chosen or the chosen one is gone."""
+        pointer = self._entry(f"{ROLE}_{role}")
+        if pointer is not None and self._entry(pointer["source"]) is not None:
+            return pointer["source"]
+        found = self.entries(role).limit(1).collect()
         return found[0].id if found else None
 
 

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hopweave.functions import text as T
 from hopweave.operators.filters import find_column
 from hopweave.operators.merge import union_by_name
+from hopweave.sources.excel import read_excel
+
+#: Lines of an archive that are passed on together.
+LINES = 10_000
 
 # ---- fixed values: headers and formats of the inputs
 REQUIRED = (
@@ -42,9 +50,17 @@ LATS, LONS = ["lat", "latitude", "y"], ["lon", "lng", "longitude", "x"]
 COUNTRIES, POPULATIONS = ["country", "country_code", "cc", "iso2"], ["population", "pop"]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, as texts; quoted fields may hold line breaks."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    """A CSV file with a header, as texts; quoted fields may hold line breaks.
+
+    With position, `file` and `row` (from 0) say where a row stood. A file whose fields
+    may hold line breaks is read by one task, in order.
+    """
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    if not position:
+        return rows
+    at = rows.withColumns({"file": F.input_file_name(), "__at": F.monotonically_increasing_id()})
+    return at.withColumn("row", F.row_number().over(W.partitionBy("file").orderBy("__at")) - 1).drop("__at")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -53,18 +69,6 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True) if "_corrupt_record" in df.columns else df
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """An Excel file by openpyxl, on the driver; an error that says so without it."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("Excel files need openpyxl, which is not installed") from e
-    import pandas as pd
-
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    return spark.createDataFrame(pd.read_excel(io.BytesIO(bytes(raw)), dtype=str))
-
-
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """A table by the ending of its path."""
     end = path.lower().rstrip("/").rpartition(".")[2]
@@ -72,7 +76,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return read_csv(spark, path)
     if end in ("json", "jsonl"):
         return read_json(spark, path)
-    if end in ("xls", "xlsx"):
+    if end == "xlsx":
         return read_excel(spark, path)
     if end == "parquet":
         return spark.read.parquet(path)
@@ -102,24 +106,45 @@ def gazetteer_frame(df: DataFrame, name, lat, lon, country, population, alternat
     return rows.where("name IS NOT NULL AND name <> '' AND lat IS NOT NULL AND lon IS NOT NULL")
 
 
-def read_geonames(spark: SparkSession, path: str, min_population: int = 0) -> DataFrame:
-    """A tab-separated file of 19 columns without header and quotes."""
-    df = spark.read.csv(path, sep="\t", schema=", ".join(f"{c} string" for c in GEONAMES), quote="")
+def geonames_rows(lines: DataFrame, min_population: int = 0) -> DataFrame:
+    """A gazetteer from lines (value) of 19 columns between tabs; shorter lines lack their last columns."""
+    parts = F.split("value", "\t", -1)
+    df = lines.select(*(F.nullif(F.get(parts, i), F.lit("")).alias(c) for i, c in enumerate(GEONAMES)))
     rows = gazetteer_frame(df, F.col("name"), F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double"), F.col("country_code"), F.col("population"), F.col("alternatenames"))
     return rows.where(F.coalesce("population", F.lit(0)) >= min_population)
 
 
-def read_geonames_zip(spark: SparkSession, path: str, into: str, min_population: int = 0) -> DataFrame:
-    """The largest text file of an archive, unpacked into a folder that executors see."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
-        best = max((i for i in z.infolist() if i.filename.endswith(".txt")), key=lambda i: i.file_size)
-        data = z.read(best)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{into.rstrip('/')}/{best.filename.rpartition('/')[2]}")
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(data))
-    out.close()
-    return read_geonames(spark, p.toString(), min_population)
+def read_geonames(spark: SparkSession, path: str, min_population: int = 0) -> DataFrame:
+    """A tab-separated file of 19 columns without header and quotes."""
+    return geonames_rows(spark.read.text(path), min_population)
+
+
+def archive_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, member, value: the lines of the largest text file of each ZIP archive of a path.
+
+    An archive is unpacked by the task that reads it, some thousand lines at a time; the
+    driver sees neither the archive nor its lines.
+    """
+    schema = "file string, member string, value string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    texts = [i for i in z.infolist() if i.filename.endswith(".txt")]
+                    if not texts:
+                        continue
+                    best = max(texts, key=lambda i: (i.file_size, i.filename))
+                    with io.TextIOWrapper(z.open(best), encoding="utf-8", errors="replace", newline="\n") as f:
+                        while some := [x.rstrip("\r\n") for x in islice(f, LINES)]:
+                            yield pa.RecordBatch.from_arrays([pa.array([v] * len(some), pa.string()) for v in (file.as_py(), best.filename)] + [pa.array(some, pa.string())], names=["file", "member", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
+def read_geonames_zip(spark: SparkSession, path: str, min_population: int = 0) -> DataFrame:
+    """A gazetteer from the largest text file of an archive."""
+    return geonames_rows(archive_lines(spark, path), min_population)
 
 
 def read_gazetteer_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
