@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hopweave.functions import fuzzy
 from hopweave.functions import text as T
+from hopweave.sources.shared import written
 
 
 def prepared(gazetteer: DataFrame) -> DataFrame:
@@ -59,27 +60,35 @@ def _grams(key: Column) -> Column:
     return F.when(F.length(key) > 1, F.array_distinct(pairs)).otherwise(F.array(key))
 
 
-def similar_candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+def similar_candidates(left: DataFrame, right: DataFrame, cutoff: float, by: tuple[str, ...] = (), words: bool = True) -> DataFrame:
     """Pairs of rows of left (k, ...) and right (name_norm, ...) that may reach a ratio: they share a word, or one of the rarest letter pairs of either.
 
     A ratio of c percent changes so few letters that of the distinct letter pairs of a
     text at most 4 (1 - c / 100) / c * 100 in a hundred, and one, can be lost; so of any
     such number and one more, one is shared. Rarest pairs make few candidates. What is
     nearly a part of the other shares the rarest pairs of the shorter text.
+
+    by: columns of both sides that must be equal; they are part of the keys that are
+    joined, so texts meet within a country or a first letter only, and how rare a letter
+    pair is counts there. Without words, pairs for the plain ratio only: texts that share
+    a common word and little else are not paired.
     """
     share = 4 * (1 - cutoff / 100) / (cutoff / 100)
     l, r = left.withColumn("__g", _grams(F.col("k"))), right.withColumn("__g", _grams(F.col("name_norm")))
-    often = r.select(F.explode("__g").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    often = r.select(*by, "name_norm", F.explode("__g").alias("g")).distinct().groupBy(*by, "g").agg(F.count("*").alias("n"))
 
     def rarest(rows: DataFrame, key: str) -> DataFrame:
-        each = rows.select(key, F.size("__g").alias("s"), F.explode("__g").alias("g")).distinct().join(often, "g", "left")
-        order = W.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "g")
-        return each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.ceil(F.col("s") * share) + 2).select(key, "g")
+        each = rows.select(*by, key, F.size("__g").alias("s"), F.explode("__g").alias("g")).distinct().join(often, [*by, "g"], "left")
+        order = W.partitionBy(*by, key).orderBy(F.coalesce("n", F.lit(0)), "g")
+        return each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.ceil(F.col("s") * share) + 2).select(*by, key, "g")
 
-    every = lambda rows, key: rows.select(key, F.explode("__g").alias("g")).distinct()
-    words = lambda rows, key: rows.select(key, F.explode(F.split(key, " ")).alias("g")).distinct()
-    pairs = rarest(l, "k").join(every(r, "name_norm"), "g").unionByName(every(l, "k").join(rarest(r, "name_norm"), "g")).unionByName(words(l, "k").join(words(r, "name_norm"), "g"))
-    return left.join(pairs.select("k", "name_norm").distinct(), "k").join(right, "name_norm")
+    every = lambda rows, key: rows.select(*by, key, F.explode("__g").alias("g")).distinct()
+    on = [*by, "g"]
+    pairs = rarest(l, "k").join(every(r, "name_norm"), on).unionByName(every(l, "k").join(rarest(r, "name_norm"), on))
+    if words:
+        parts = lambda rows, key: rows.select(*by, key, F.explode(F.split(key, " ")).alias("g")).distinct()
+        pairs = pairs.unionByName(parts(l, "k").join(parts(r, "name_norm"), on))
+    return left.join(pairs.select(*by, "k", "name_norm").distinct(), [*by, "k"]).join(right, [*by, "name_norm"])
 
 
 def best_match(scored: DataFrame, place: str, how: str) -> DataFrame:
@@ -95,7 +104,9 @@ def resolve_fuzzy(places: DataFrame, place: str, gazetteer: DataFrame, cutoff: f
     first = resolve_exact_alias(places, place, gazetteer).withColumn("score", F.lit(100.0))
     rest = names.join(first, place, "left_anti").withColumn("k", T.place_key(F.col(place))).withColumn("b", F.substring("k", 1, 1)).where("k <> ''")
     rest = rest.join(g.select(F.col("bucket").alias("b"), F.lit(True).alias("__some")).distinct(), "b", "left")
-    cand = similar_candidates(rest, g.select("name_norm", "bucket", "name", "lat", "lon", "population"), cutoff).where("b = bucket OR __some IS NULL")
+    rest = rest.select(place, "k", F.when(F.col("__some"), F.col("b")).otherwise("").alias("__by"))
+    right = g.select("name_norm", "name", "lat", "lon", "population", F.explode(F.array("bucket", F.lit(""))).alias("__by"))
+    cand = similar_candidates(rest, right, cutoff, ("__by",))
     scored = cand.withColumn("score", fuzzy.weighted_ratio("k", "name_norm")).where(F.col("score") >= cutoff)
     return first.unionByName(best_match(scored, place, "fuzzy"))
 
@@ -106,7 +117,7 @@ def resolve_in_country(places: DataFrame, place: str, gazetteer: DataFrame, cuto
     rows = places.select(place).distinct().withColumn("country_key", T.country_hint(F.col(place))).where("country_key IS NOT NULL").withColumn("k", T.place_key(head))
     g = prepared(gazetteer).withColumn("country_key", T.place_key(F.col("country")))
     bonus = F.least(F.lit(0.05), F.coalesce("population", F.lit(0)) / 5e7) * 100
-    cand = similar_candidates(rows.withColumnRenamed("country_key", "__c"), g.select("country_key", "name_norm", "name", "lat", "lon", "population"), cutoff - 5).where("__c = country_key")
+    cand = similar_candidates(rows, g.select("country_key", "name_norm", "name", "lat", "lon", "population"), cutoff - 5, ("country_key",), words=False)
     scored = cand.withColumn("score", fuzzy.ratio("k", "name_norm") + bonus).where(F.col("score") >= cutoff)
     return best_match(scored, place, "country").drop("how")
 
@@ -149,7 +160,7 @@ def resolve_locations(places: DataFrame, place: str, gazetteer: DataFrame, table
     names = g.select("name_norm", "with_country", "code", "name", "lat", "lon", "population")
     exact = left.join(names, left["k"] == names["name_norm"]).withColumn("score", F.lit(100.0))
     take(best_match(exact, place, "exact"), "exact")
-    here = similar_candidates(left.where("cc IS NOT NULL"), names.withColumn("name_norm", F.col("with_country")), in_country).where("cc = code")
+    here = similar_candidates(left.where("cc IS NOT NULL"), names.withColumn("name_norm", F.col("with_country")).withColumnRenamed("code", "cc"), in_country, ("cc",))
     take(best_match(here.withColumn("score", fuzzy.token_set_ratio("k", "name_norm")).where(F.col("score") >= in_country), place, "country"), "country")
     all_of = similar_candidates(left, names, anywhere).withColumn("score", fuzzy.token_set_ratio("k", "name_norm"))
     take(best_match(all_of.where(F.col("score") >= anywhere), place, "fuzzy"), "fuzzy")
@@ -157,13 +168,42 @@ def resolve_locations(places: DataFrame, place: str, gazetteer: DataFrame, table
     return reduce(DataFrame.unionAll, found)
 
 
+#: Largest bonus of a populous place, and the ratios by which tokens without a certain best name are looked up, one after the other.
+BONUS, RATIOS = 0.05, (75.0, 45.0)
+
+
+def _best_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """asked (line, pos, token, k, by) with the best of names (name_norm, by, ...) for each line, by the library's ratio and a bonus.
+
+    Names of a ratio or more are found by letter pairs (the ratio is at most that of the
+    longest common subsequence). A best name that no other can beat, since all others lie
+    below that ratio, settles its line; other lines are looked up by a lower ratio. Lines
+    without any similar name are compared with all names in question.
+    """
+    bonus = F.least(F.lit(BONUS), F.coalesce("population", F.lit(0)) / 5e7)
+    order = W.partitionBy("line").orderBy(F.desc("score"), "pos", "name", "lat", "lon")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        rows = pairs.withColumn("score", fuzzy.matcher_ratio("k", "name_norm") / 100 + bonus).where("score > 0")
+        return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+    settled, names = [], written(names, "names")
+    for ratio in RATIOS:
+        found = written(best(similar_candidates(asked, names, ratio, ("by",), words=False)), "best")
+        sure = found.where(F.col("score") > ratio / 100 + BONUS)
+        settled.append(sure)
+        asked = written(asked.join(sure.select("line"), "line", "left_anti"), "asked")
+    return reduce(DataFrame.unionByName, [*settled, best(asked.join(names, "by"))])
+
+
 def gazetteer_from_tokens(lines: DataFrame, gazetteer: DataFrame, column: str = "value") -> DataFrame:
     """name, lat, lon, country, population, source_tokens, matched_from, score: places of lines such as ['Khartoum' 'Sudan'].
 
-    Tokens that are names of countries restrict the others to these countries; the
-    most similar name (the library's ratio and a bonus of min(0.05, population / 5e7))
-    of any token, of the same first letter if there is one, stands for the line. Of lines
-    with the same place and country the first in order of tokens stays.
+    Tokens that are names of countries restrict the others to these countries. The most
+    similar name (the library's ratio and a bonus of min(0.05, population / 5e7)) of any
+    token stands for the line; a token is compared with the names of its first letter, or
+    with all names (of the line's countries together) where none has it. Of lines with
+    the same place and country the first in order of tokens stays.
     """
     inside = F.regexp_extract(F.col(column), "\\[(.*?)\\]", 1)
     quoted = F.regexp_extract_all(inside, F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))
@@ -173,20 +213,17 @@ def gazetteer_from_tokens(lines: DataFrame, gazetteer: DataFrame, column: str =
     g = prepared(gazetteer.where("lat IS NOT NULL AND lon IS NOT NULL")).select("name", "name_norm", "bucket", "lat", "lon", "country", "population")
     each = rows.select("line", F.posexplode("tokens").alias("pos", "token"))
     known = g.select(F.col("country").alias("token"), F.lit(True).alias("is_country")).where("token <> ''").distinct()
-    each = each.join(known, "token", "left")
+    each = written(each.join(known, "token", "left"), "tokens")
     limits = each.where("is_country").select("line", F.col("token").alias("only")).distinct()
-    asked = each.where("is_country IS NULL").join(limits, "line", "left").withColumn("k", T.place_key(F.col("token"))).where("k <> ''")
-    letters = g.select("country", "bucket").distinct()
-    first = F.substring("k", 1, 1)
-    near = asked.where("only IS NOT NULL").join(g, (F.col("only") == F.col("country")) & (F.col("bucket") == first))
-    free = asked.where("only IS NULL").join(g, F.col("bucket") == first)
-    alone = asked.where("only IS NOT NULL").join(letters, (F.col("only") == F.col("country")) & (F.col("bucket") == first), "left_anti").join(g, F.col("only") == F.col("country"))
-    cols = ["line", "pos", "token", "k", *g.columns]
-    cand = near.select(*cols).unionAll(free.select(*cols)).unionAll(alone.select(*cols))
-    bonus = F.least(F.lit(0.05), F.coalesce("population", F.lit(0)) / 5e7)
-    scored = cand.withColumn("score", fuzzy.matcher_ratio("k", "name_norm") / 100 + bonus)
-    w = W.partitionBy("line").orderBy(F.desc("score"), "pos", "name", "lat", "lon")
-    best = scored.withColumn("n", F.row_number().over(w)).where("n = 1")
+    asked = each.where("is_country IS NULL").withColumn("k", T.place_key(F.col("token"))).where("k <> ''").withColumn("first", F.substring("k", 1, 1))
+    asked = asked.join(limits, "line", "left").withColumn("only", F.coalesce("only", F.lit("")))  # a row for each country
+    letters = g.select(F.explode(F.array(F.col("country"), F.lit(""))).alias("only"), F.col("bucket").alias("first")).where("only IS NOT NULL").distinct()
+    here = asked.join(letters.withColumn("__some", F.lit(1)), ["only", "first"], "left")
+    some = F.max("__some").over(W.partitionBy("line", "pos")).isNotNull()  # in any of the line's countries
+    asked = here.withColumn("some", some).select("line", "pos", "token", "k", F.struct("only", F.when(F.col("some"), F.col("first")).otherwise("").alias("letter")).cast("string").alias("by"))
+    keys = [F.struct(c.alias("only"), x.alias("letter")).cast("string") for c in (F.col("country"), F.lit("")) for x in (F.col("bucket"), F.lit(""))]
+    names = g.select("*", F.explode(F.array_distinct(F.array(*keys))).alias("by")).join(asked.select("by").distinct(), "by", "left_semi")
+    best = _best_names(asked, names)
     once = W.partitionBy("name", "country").orderBy("line")
     best = best.withColumn("n", F.row_number().over(once)).where("n = 1")
     return best.select("name", "lat", "lon", "country", "population", F.col("line").alias("source_tokens"), F.col("token").alias("matched_from"), F.round("score", 3).alias("score"))
@@ -236,9 +273,9 @@ def timed_segments(df: DataFrame, subject: str, place: str, order: str, days: Co
     return seg.select(subject, F.col(order).alias("step"), "a", "b", when(F.col("till") - F.col("__d")).alias("t0"), when(F.col("till")).alias("t1"))
 
 
-def has_lists(df: DataFrame, places: str, rows: int = 200) -> bool:
-    """Whether any of the first rows of an upload holds two places or more, so that its rows are whole ways and not hops."""
-    return bool(df.limit(rows).where(F.size(places) >= 2).limit(1).count())
+def has_lists(df: DataFrame, places: str) -> bool:
+    """Whether any row of an upload holds two places or more, so that its rows are whole ways and not hops; it is read until one is found."""
+    return not df.where(F.size(places) >= 2).isEmpty()
 
 
 def list_segments(df: DataFrame, subject: str, places: str, days: str, gazetteer: DataFrame, start: Column, default: float = 1.0) -> DataFrame:
