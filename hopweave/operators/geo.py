@@ -150,7 +150,7 @@ def resolve_locations(places: DataFrame, place: str, gazetteer: DataFrame, table
 
     def take(rows: DataFrame, how: str) -> None:
         nonlocal left
-        rows = rows.select(place, "lat", "lon", F.lit(how).alias("how"))
+        rows = written(rows.select(place, "lat", "lon", F.lit(how).alias("how")), how)  # once, for the result and for what is left
         found.append(rows)
         left = left.join(rows.select(place), place, "left_anti")
 
