@@ -43,6 +43,7 @@ compared; an empty table gives an empty result; other columns are not read
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -393,11 +394,29 @@ def components(links: DataFrame, keep: Scratch) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and class_id, the least id of the document's near-duplicates and itself, one row per row of docs."""
+    """One row per row of docs: id_col, class_id (the least id of the document's near-duplicates and itself), n_links, similarity.
+
+    n_links counts the verified links of the document's text to other texts that hold its
+    class together (the class is connected by them; texts that are connected already are
+    not compared again). similarity is 1 if another id has the same words, else that of
+    the best of these links; null for a document that is alone.
+    """
+    named, ids, _ = _classes(docs, id_col, text_col)
+    out = ids.join(named, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "similarity")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b, similarity: the verified links between texts that hold the classes together, by the least id of each text."""
+    return _classes(docs, id_col, text_col)[2]
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ids with their class and links; all ids; links between the least ids of texts."""
     keep = Scratch(docs.sparkSession)
     found = keep.written(sketches(docs, id_col, text_col), "sketches")
     ids = found.where(F.col("key").isNotNull() & F.col("id").isNotNull()).select("id", "key")
-    same = ids.groupBy("key").agg(F.min("id").alias("doc")).withColumn("node", F.monotonically_increasing_id())
+    same = ids.groupBy("key").agg(F.min("id").alias("doc"), (F.min("id") != F.max("id")).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     same = keep.written(same, "nodes")  # written once, so a node has one number
     own = same.withColumnRenamed("doc", "id")
     nodes = found.join(own, ["id", "key"]).dropDuplicates(["node"])
@@ -409,8 +428,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least = several.groupBy("id").agg(F.min("node").alias("a"))
     labels = _joined(None, several.join(least, "id").select("a", F.col("node").alias("b")).where("a != b").distinct(), keep)
 
+    found_links: list[DataFrame] = []
+
     def tested(pairs):
-        return keep.written(_verified(docs, pairs, nodes, keep, id_col, text_col).where(F.col("j") >= THRESHOLD).select("a", "b"), "links")
+        # they are part of the result, and so stay
+        found_links.append(keep.written(_verified(docs, pairs, nodes, keep, id_col, text_col).where(F.col("j") >= THRESHOLD), "links", last=True))
+        return found_links[-1].select("a", "b")
 
     members = keep.written(_open(nodes.select(F.explode("buckets").alias("bucket"), "id"), labels), "members")
     for n in range(PIVOTS):
@@ -419,7 +442,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         pairs, rest = _pivot_round(nodes, members, n)
         labels = _joined(labels, tested(keep.written(pairs, "pairs")), keep)
         members = keep.written(_open(rest, labels), "members")
-        keep.forget("pairs", "bags", "links", "edges")
+        keep.forget("pairs", "bags", "edges")
         keep.forget("members", newest=1)
     if not members.isEmpty():
         prefixes = keep.written(_prefixes(docs, nodes, members.select("id").distinct(), keep, id_col, text_col), "prefixes")
@@ -430,15 +453,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 best = F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")
                 pairs = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(best).select("p.*")
             labels = _joined(labels, tested(keep.written(pairs.select("a", "b"), "pairs")), keep)
-            keep.forget("pairs", "bags", "links", "edges")
+            keep.forget("pairs", "bags", "edges")
     # a class is named by its least document
-    of_node = _named(same.select(F.col("node").alias("id"), "key", "doc"), labels)
+    of_node = _named(same.select(F.col("node").alias("id"), "key", "doc", "copies"), labels)
     least = of_node.groupBy("comp").agg(F.min("doc").alias("class"))
-    named = ids.join(of_node.join(least, "comp").select("key", "class"), "key").select("id", "class").dropDuplicates(["id"])
+    every = reduce(DataFrame.unionAll, found_links) if found_links else docs.sparkSession.createDataFrame([], "a bigint, b bigint, j double")
+    linked = every.unionAll(every.select("b", "a", "j")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"), F.max("j").alias("best"))
+    best = F.when(F.col("copies"), 1.0).otherwise(F.col("best")).alias("similarity")
+    of_text = of_node.join(least, "comp").join(linked, "id", "left").select("key", "class", "n_links", best)
+    named = ids.join(of_text, "key").groupBy("id").agg(F.min("class").alias("class"), F.max("n_links").alias("n_links"), F.max("similarity").alias("similarity"))
     named = keep.written(named, "classes", last=True)
-    out = keep.written(found.select("id"), "ids", last=True).join(named, "id", "left")
+    doc = lambda c: same.select(F.col("node").alias(c), F.col("doc").alias(f"doc_{c}"))
+    pairs = every.join(doc("a"), "a").join(doc("b"), "b").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), F.col("j").alias("similarity"))
+    pairs = keep.written(pairs, "pairs", last=True) if found_links else pairs
+    found_ids = keep.written(found.select("id"), "ids", last=True)
     keep.drop()
-    return out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"))
+    return named, found_ids, pairs
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,7 +476,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of several rows of an id the first by all other columns stays.
     """
-    gone = classes(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
+    gone = _classes(docs, id_col, text_col)[0].where(F.col("id") != F.col("class")).select(F.col("id").alias(id_col))
     known = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
     plain = lambda t: "map<" not in t and "variant" not in t
     order = [F.col(f"`{c}`") if plain(t) else F.to_json(F.struct(f"`{c}`")) for c, t in docs.dtypes]

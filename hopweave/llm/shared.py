@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folder of a local session that names none.
-_own: list[str] = []
+from hopweave.sources.shared import checkpoint_folder as folder
+from hopweave.sources.shared import written
 
-
-def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where none is set, one of ours in local mode; on a cluster there is no safe choice."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = _own[0] if _own else tempfile.mkdtemp(prefix="hopweave-")
-        _own[:] = [found]
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read again: it is computed once, and lost executors cost none of it."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["Scratch", "cut", "folder", "written"]
 
 
 class Scratch:

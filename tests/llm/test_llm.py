@@ -639,6 +639,53 @@ def test_classes_by_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def weighted_jaccard(x, y):
+    a, b = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (x, y))
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def test_links_and_recall_on_planted_pairs(spark):
+    """Pairs planted at similarities from 0.8 up: all but a few in a thousand are found; links have the exact similarity and connect the classes."""
+    rng, rows, planted = random.Random(21), [], []
+    for i in range(400):
+        w = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(rng.randrange(60, 200))]
+        v = list(w)
+        while weighted_jaccard(w, v) > rng.choice([0.8, 0.82, 0.86, 0.9]) + 0.04:
+            v[rng.randrange(len(v))] = f"new{rng.randrange(10**9)}"
+        if weighted_jaccard(w, v) >= 0.8:
+            planted.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    rows += [(900, rows[0][1]), (901, "alone with a text of its own here"), (902, None)]
+    text = {d: (t or "").split() for d, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in near_dup.classes(df).collect()}
+    found = sum(got[a].class_id == got[b].class_id for a, b in planted)
+    assert len(planted) > 300 and found >= 0.99 * len(planted)
+    near = near_dup.links(df).collect()
+    assert all(r.similarity == pytest.approx(weighted_jaccard(text[r.a], text[r.b])) and r.similarity >= 0.8 for r in near)
+    # the links and equal texts connect exactly the classes
+    edges = [(r.a, r.b) for r in near] + [(0, 900)]
+    boss = {d: d for d, _ in rows}
+    for _ in range(len(rows)):
+        changed = [(a, b) for a, b in edges if boss[a] != boss[b]]
+        if not changed:
+            break
+        for a, b in changed:
+            boss[a] = boss[b] = min(boss[a], boss[b])
+    assert {d: r.class_id for d, r in got.items()} == boss
+    n, best = Counter(), {}
+    for r in near:
+        for d in (r.a, r.b):
+            n[d] += 1
+            best[d] = max(best.get(d, 0), r.similarity)
+    for d, r in got.items():
+        if d in (0, 900):
+            assert r.similarity == 1.0 and r.n_links == n[0]
+        else:
+            assert (r.n_links, r.similarity) == (n[d], best.get(d))
+
+
 def test_prefix_pairs_by_brute_force(spark, monkeypatch):
     """Texts that share a long passage: every link between components is a candidate, in any number of blocks."""
     rng = random.Random(5)
