@@ -15,20 +15,24 @@ to ORDER letters in the rare words of the corpus. So the probabilities of a clas
 to at most one over all texts, and the neighbours of a rarer word bear on its class only.
 
 The tokens of every document are numbered once and written, with what the tail says of
-them; training and scoring read that table. Training reads every document: each task
-starts from the same network, takes
-steps on every token of its documents, and the networks are averaged by a tree
-reduction, weighted by the tokens that they have seen, for `rounds` rounds. What
-the corpus contributes so grows with it; what the driver holds are one network, one
-table of letters and the vocabulary, which grows with the root of the corpus.
+them; training and scoring read that table. Training reads every document: documents are
+dealt into slices of about SLICE tokens by a hash of id and tokens, and each slice, in
+the order of that hash, starts from the same network and takes steps on every token. The
+networks are averaged, weighted by the tokens that they have seen, by a tree reduction of
+whole numbers, for `rounds` rounds. So the network depends on the documents alone, not on
+how they are partitioned, or which task ends first. What the corpus contributes grows
+with it; what is shipped is one network, one table of letters, and a vocabulary of at
+most VOCABULARY words, beyond which words are predicted by their letters.
 
 Defined cases: null texts and texts without tokens have 0 tokens, a score of 0 and a
 null mean; texts of any length are scored whole, in blocks; equal rows give equal
-scores; an empty corpus gives a network without training; other columns are not read.
+scores, under any partitioning of the corpus; an empty corpus gives a network without
+training; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -53,6 +57,10 @@ PLACES = (-2, -1, 1, 2)
 WIDTH = 16
 ROUNDS = 1
 BATCH, LEAST, RATE = 4096, 512, 0.1
+#: Tokens of a slice, and steps by which weights of networks are counted when they are averaged.
+SLICE, FINE = 4_000_000, 2.0**40
+#: Words of the vocabulary at most: some 20 MB where they are shipped to.
+VOCABULARY = 400_000
 #: Weights and hidden values count in steps of 1 / GRID when texts are scored.
 GRID = 2.0**16
 ONES = np.ones((CLASSES, 1), np.float32)
@@ -366,8 +374,8 @@ def _tokens(batch, column: int) -> list[np.ndarray]:
     return [np.frombuffer(t, np.uint16) for t in batch.column(column).to_pylist()]
 
 
-def _trained(table: DataFrame, net: Network) -> Network:
-    """One round over numbered texts: a network of each task, and their average weighted by tokens."""
+def _trained(table: DataFrame, net: Network, tokens: int, id_col: str = "doc_id") -> Network:
+    """One round over numbered texts of so many tokens: a network of each slice, and their average weighted by tokens."""
     shipped = Shipped(table.sparkSession, net.flat())
 
     def run(batches):
@@ -387,18 +395,28 @@ def _trained(table: DataFrame, net: Network) -> Network:
         if len(target):
             trainer.step(near, target)
         if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([(trainer.net.flat() * trainer.seen).astype(np.float64).tobytes()], pa.binary()), pa.array([trainer.seen], pa.int64())], names=["net", "seen"])
+            share = np.rint(trainer.net.flat() * (trainer.seen / tokens) * FINE).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([share.tobytes()], pa.binary())], names=["net"])
 
-    rows = map_arrow(table.select("tokens"), run, "net binary, seen long")
-    one = lambda r: (np.frombuffer(bytes(r.net), np.float64), r.seen)
-    none = (np.zeros(1), 0)
-    total, seen = rows.rdd.map(one).treeAggregate(none, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
-    return Network().load(total / seen) if seen else net
+    slices = max(1, -(-tokens // SLICE))
+    rows = table.select("tokens", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "tokens").alias("__h"))
+    rows = rows.repartition(slices, "__h").sortWithinPartitions("__h").select("tokens")
+    one = lambda r: np.frombuffer(bytes(r.net), np.int64)
+    total = map_arrow(rows, run, "net binary").rdd.map(one).treeAggregate(np.zeros(1, np.int64), lambda a, b: a + b, lambda a, b: a + b, depth=2)
+    return Network().load(total / FINE) if len(total) > 1 else net
 
 
-def least_count(tokens: int) -> int:
-    """Words seen so often are in the vocabulary: it grows with the root of the corpus, so that it fits on the driver."""
-    return max(5, round(tokens**0.5 / 640))
+def least_count(tokens: int, sizes: dict[int, int] | None = None) -> int:
+    """Words seen so often are in the vocabulary: it grows with the root of the corpus, up to VOCABULARY words.
+
+    sizes: the number of words by eighths of doublings of their count.
+    """
+    least, held = max(5, round(tokens**0.5 / 640)), 0
+    for place, n in sorted((sizes or {}).items(), reverse=True):
+        held += n
+        if held > VOCABULARY:
+            return max(least, math.ceil(2 ** ((place + 1) / 8) - 1e-9))
+    return least
 
 
 def _tail(counted: DataFrame, head: list[str], known: list[tuple[str, int]], least: int) -> Tail:
@@ -434,7 +452,9 @@ def learn_numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """learn(), and the numbered texts, which are written: training and scoring read them instead of the texts."""
     counted = written(count_words(docs, text_col), "words")
     head = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    least = least_count(counted.agg(F.sum("n")).first()[0] or 0)
+    tokens = counted.agg(F.sum("n")).first()[0] or 0
+    place = F.floor(F.log2("n") * 8).cast("int").alias("place")
+    least = least_count(tokens, {r.place: r.n for r in counted.groupBy(place).agg(F.count("*").alias("n")).collect()})  # some hundred rows
     vocabulary = counted.where(F.col("n") >= least).toArrow()
     own = set(head)
     known = [(w, n) for w, n in zip(vocabulary.column("word").to_pylist(), vocabulary.column("n").to_pylist(), strict=True) if w not in own]
@@ -442,7 +462,7 @@ def learn_numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     net.tail = _tail(counted, head, sorted(known), least)
     table = written(numbered(docs, head, net.tail, id_col, text_col), "tokens")
     for _ in range(rounds):
-        net = _trained(table, net).with_tail(net.tail)
+        net = _trained(table, net, tokens, id_col).with_tail(net.tail)
     return (head, net), table
 
 

@@ -535,6 +535,18 @@ def test_lm_query_by_brute_force(spark, tmp_path, awkward):
     assert whole.columns == ["doc_id", "n_tokens", "pll", "mean_pll"] and whole.count() == len(rows)
 
 
+def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    """The same corpus in 1, 4 and 16 partitions, trained in several slices, gives the same scores to the last bit."""
+    monkeypatch.setattr(lm_score, "SLICE", 20_000)
+    some = docs.select("doc_id", "text")
+    got = []
+    for frame in (some.coalesce(1), some.repartition(4), some.repartition(16, "text")):
+        model, table = lm_score.learn_numbered(frame)
+        got.append(sorted((r.doc_id, r.n_tokens, r.pll) for r in lm_score.scored(table, model[1]).collect()))
+    assert got[0] == got[1] == got[2]
+    assert sum(n for _, n, _ in got[0]) > 2 * 20_000
+
+
 def test_gradient():
     net, rng = lm_score.Network(1), np.random.default_rng(2)
     near, y = rng.integers(0, lm_score.SIZE, (50, 4)), rng.integers(0, lm_score.SIZE, 50)
@@ -571,6 +583,9 @@ def test_rare_words_are_predicted_themselves(spark):
             p = (table[k] + lm_score.PRIOR * p) / (table[k].sum() + lm_score.PRIOR)
         assert np.isclose(p.sum(), 1, atol=1e-5)
     assert [lm_score.least_count(n) for n in (0, 10**7, 10**9)] == [5, 5, 49]
+    # the vocabulary is bounded: words by eighths of doublings of their count
+    assert lm_score.least_count(10**7, {24: 300_000, 80: 90_000}) == 5
+    assert lm_score.least_count(10**7, {24: 300_000, 32: 200_000, 80: 90_000}) == 9
 
 
 def test_every_token_is_a_target(spark):
