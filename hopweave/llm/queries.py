@@ -19,6 +19,7 @@ QUERIES = {
     "op12_fill_middle": fill_middle.op12_fill_middle,
     "op13_resampling": resampling.op13_resampling,
     "rule_ablation": quality_rules.rule_ablation,
+    "shard_ledger": sharding.shard_ledger,
 }
 
 ORACLE_SQL = {

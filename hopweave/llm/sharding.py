@@ -238,6 +238,18 @@ class ShardStore:
             if where not in used and (emptied or d.getModificationTime() < old):
                 self._fs.delete(d.getPath(), True)
 
+    def ledger(self, version: int | None = None) -> DataFrame:
+        """version, tier, file, n_bytes, n_rows, arrivals of the live shards of a version; rows are counted where they are read."""
+        v = self.version() if version is None else version
+        live = [(v, s["tier"], s["file"], s["bytes"], s["arrival"]) for s in self.manifest(v)]
+        shards = self.spark.createDataFrame(live, "version long, tier int, file string, n_bytes long, arrivals string")
+        if not live:
+            return shards.withColumn("n_rows", F.lit(0).cast("long"))
+        file = F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1).alias("file")
+        counts = self.read(v).select(file).groupBy("file").agg(F.count("*").alias("n_rows"))
+        out = shards.join(counts, "file", "left").select("version", "tier", "file", "n_bytes", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "arrivals")
+        return out
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
         live = self.manifest(version)
@@ -258,15 +270,25 @@ def arrival_of(id_col: str):
     return out
 
 
-def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends the documents in four arrivals, compacts, and reads back each document from the newest version."""
+def filled(spark: SparkSession, sf_dir: str) -> ShardStore:
+    """A store to which the documents were appended in four arrivals, with a compaction after each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = ShardStore(spark, f"{folder(spark)}/shards-{uuid.uuid4().hex}")
     for name in ARRIVALS:
         store.append(docs.where(arrival_of("doc_id") == name), name)
         store.compact()
         store.vacuum(keep=1)
-    rows = store.read()
+    return store
+
+
+def shard_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live shards of the documents: version, tier, file, n_bytes, n_rows (as they are read back), arrivals."""
+    return filled(spark, sf_dir).ledger()
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the documents in four arrivals, compacts, and reads back each document from the newest version."""
+    rows = filled(spark, sf_dir).read()
     return rows.select(
         "doc_id",
         arrival_of("doc_id").alias("arrival"),

@@ -794,6 +794,27 @@ def test_store(spark, tmp_path):
         sharding.ShardStore(spark, str(tmp_path / "t")).read()
 
 
+def test_ledger_of_shards(spark, tmp_path):
+    """Every row stands in one live shard, tiers follow from the bytes, and no tier has as many shards as would be merged."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = llm.QUERIES["shard_ledger"](spark, SF).collect()
+    assert sum(r.n_rows for r in rows) == docs.count() and len({r.file for r in rows}) == len(rows)
+    assert len({r.version for r in rows}) == 1 and rows[0].version >= len(sharding.ARRIVALS)
+    assert {a for r in rows for a in r.arrivals.split("+")} == set(sharding.ARRIVALS)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=40_000, fan=3)
+    df = spark.range(3000).selectExpr("id doc_id", "md5(cast(id as string)) text")
+    for n in range(8):
+        store.append(df.where(f"doc_id % 8 = {n}").repartition(1 + n % 3), f"a{n}")
+        store.compact()
+        live = store.ledger().collect()
+        assert sum(r.n_rows for r in live) == df.where(f"doc_id % 8 <= {n}").count()
+        assert all(r.tier == store.tier(r.n_bytes) for r in live) and not store.runs(store.manifest())
+        for t in {r.tier for r in live} - {0}:
+            mine = sorted(r.n_bytes for r in live if r.tier == t)
+            assert len(mine) < store.fan or mine[0] + mine[1] > store.target
+    assert sharding.ShardStore(spark, str(tmp_path / "t")).ledger().count() == 0
+
+
 def test_commits_do_not_overwrite(spark, tmp_path):
     a = sharding.ShardStore(spark, str(tmp_path / "s"))
     b = sharding.ShardStore(spark, str(tmp_path / "s"))
