@@ -63,36 +63,43 @@ def grams(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-def count_entries(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """lang, kind (0: word, n: n-gram), entry, n: counted in each task, then summed."""
+def count_words(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """lang, word, n: counted in each task, then summed."""
 
     def run(batches):
         import pyarrow as pa
 
+        def packed(found):
+            lang, word = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+
         found: Counter = Counter()
         for b in batches:
             for part in pieces(b, 1):
-                words = Counter()
                 for lang, text in zip(part.column(0).to_pylist(), texts_of(part, 1), strict=True):
-                    words.update((lang, w) for w in words_of(text))
-                for (lang, word), n in words.items():
-                    found[lang, 0, word] += n
-                    marked = f"^{word}$"
-                    for k in range(1, LONGEST + 1):
-                        for g in grams(marked, k):
-                            found[lang, k, g] += n
+                    found.update((lang, w) for w in words_of(text))
                 if len(found) > 500_000:
-                    yield packed(found, pa)
+                    yield packed(found)
                     found = Counter()
         if found:
-            yield packed(found, pa)
+            yield packed(found)
+
+    part = map_arrow(rows.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")), run, "lang string, word string, n long")
+    return part.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def count_entries(rows: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """lang, kind (0: word, n: n-gram), entry, n: words are counted over all texts first, so the n-grams of a word are made once."""
+    words = written(count_words(rows, lang_col, text_col), "words")
+    word = F.concat(F.lit("^"), "word", F.lit("$"))
+    ends = F.length(word)
 
-    def packed(found, pa):
-        lang, kind, entry = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(kind, pa.int32()), pa.array(entry, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "entry", "n"])
+    def of(k: int):
+        return F.transform(F.sequence(F.lit(1), ends - (k - 1)), lambda i: F.struct(F.lit(k).alias("kind"), F.substr(word, i, F.lit(k)).alias("entry")))
 
-    part = map_arrow(rows.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")), run, "lang string, kind int, entry string, n long")
-    return part.groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
+    own = F.array(F.struct(F.lit(0).alias("kind"), F.col("word").alias("entry")))
+    each = F.concat(own, *(F.when(ends >= k, of(k)).otherwise(F.array().cast("array<struct<kind:int,entry:string>>")) for k in range(1, LONGEST + 1)))
+    return words.select("lang", "n", F.inline(each)).groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
