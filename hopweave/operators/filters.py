@@ -106,6 +106,16 @@ def distinct_values(df: DataFrame, columns: list[str], lists: list[str]) -> Data
     return out.where("value <> ''").distinct()
 
 
+def filter_options(df: DataFrame, columns: dict[str, str], lists: dict[str, str]) -> DataFrame:
+    """kind, value: what each filter can be set to, in one call; kinds by the column or list that holds them, of which any may be missing."""
+    columns, lists = ({k: c for k, c in x.items() if c in df.columns} for x in (columns, lists))
+    if not columns and not lists:
+        return df.sparkSession.createDataFrame([], "kind string, value string")
+    names = {c: k for k, c in (columns | lists).items()}
+    kind = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("kind")]
+    return distinct_values(df, list(columns.values()), list(lists.values())).select(kind.alias("kind"), "value")
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """One row of each key, the first in a complete order."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hopweave.functions import fuzzy
@@ -10,10 +12,13 @@ from hopweave.operators import evaluate as E
 from hopweave.operators import forecast as M
 from hopweave.operators import next_place as P
 from hopweave.operators import retrieval as R
+from hopweave.operators import runner
 from hopweave.operators import trajectory as J
 from hopweave.plans.register import query
 from hopweave.plans.views import cases, event_hops, hops, table, with_event_hops, with_hops
-from hopweave.sources.shared import written
+from hopweave.sources import runs
+from hopweave.sources.catalog import Catalog
+from hopweave.sources.shared import shared_folder, written
 
 _GRAMS = """, c AS (SELECT * FROM (SELECT *, lag(loc) OVER (PARTITION BY victim ORDER BY event_id) AS before FROM event_hops) WHERE before IS NULL OR before <> loc),
 l AS (SELECT victim, event_id, lag(loc, 2) OVER w AS c2, lag(loc) OVER w AS c1, loc AS w FROM c WINDOW w AS (PARTITION BY victim ORDER BY event_id)),
@@ -94,6 +99,39 @@ def _(spark, d):
     return best.groupBy("actor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "actor").limit(10)
 
 
+@query("link_run", with_hops("").rstrip() + _LINKS + "SELECT victim, actor, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY victim ORDER BY round(score, 12) DESC, actor) AS rank FROM sc) WHERE rank <= 3")
+def _(spark, d):
+    """Linked actors as they are read back from a saved run."""
+    c = Catalog(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}")
+    best = M.link_ranked(hops(spark, d), "victim", "loc", "ord", "actor", 3)
+    id_ = runs.save_links(c, ["hops"], best, "victim", "actor")
+    saved = c.load(id_)
+    return saved.select("victim", F.inline("predictions")).select("victim", F.col("perpetrator").alias("actor"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "arrival_run",
+    with_hops("").rstrip() + ", s AS (SELECT victim, ord, loc, gap_days FROM hops WHERE gap_days IS NOT NULL AND ord <= 4) SELECT victim, CAST(count(*) OVER (PARTITION BY victim) AS BIGINT) AS steps, loc AS place, gap_days AS eta_days, round(gap_days / 7e0, 2) AS eta_weeks FROM s",
+)
+def _(spark, d):
+    """Days to the first places of each subject as they are read back from a saved run."""
+    c = Catalog(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}")
+    steps = hops(spark, d).where("gap_days IS NOT NULL AND ord <= 4").select("victim", F.col("ord").alias("step"), F.col("loc").alias("to"), F.col("gap_days").alias("days"))
+    saved = c.load(runs.save_arrivals(c, ["hops"], steps, "victim", "2020-01-01"))
+    return saved.select("victim", "steps", F.inline("steps_detail")).select("victim", "steps", F.col("to").alias("place"), F.col("eta_days").cast("int").alias("eta_days"), "eta_weeks")
+
+
+@query("evaluation_report")
+def _(spark, d):
+    """Figures of an evaluation from end to end: hops are saved as a dataset, loaded, resolved, split and evaluated, and the report is saved and read back."""
+    c = Catalog(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}")
+    rows = hops(spark, d).select("victim", F.col("ord").cast("string").alias("ord"), "loc", F.concat(F.col("gap_days").cast("string"), F.lit(" days")).alias("stay"), F.array("actor").alias("perps"))
+    ids = [c.save(rows.where(F.crc32(F.col("victim").cast("binary")) % 2 == n), f"part {n}", "processed") for n in (0, 1)]
+    report = runner.run(c, ids, {"sid": "victim", "route": "ord", "location": "loc", "time": "stay"}, ["perps"])
+    saved = c.load_json(runs.save_report(c, "hops", report, ids))
+    return runner.figures(saved, spark).withColumn("value", F.round("value", 6))
+
+
 _FIRST_LINK = "(SELECT victim, actor FROM (SELECT *, row_number() OVER (PARTITION BY victim ORDER BY round(score, 12) DESC, actor) AS rank FROM sc) WHERE rank = 1)"
 
 

@@ -91,6 +91,15 @@ def _(spark, d):
     return P.page(table(spark, d, "orders"), 3, 50, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
+@query(
+    "filter_options",
+    with_cases("SELECT DISTINCT kind, value FROM (SELECT 'genders' AS kind, gender AS value FROM cases UNION ALL SELECT 'nationalities', nat FROM cases UNION ALL SELECT 'locations', unnest([loc, nat]) FROM cases UNION ALL SELECT 'victims', victim FROM cases) WHERE value <> ''"),
+)
+def _(spark, d):
+    rows = cases(spark, d).withColumn("places", F.array("loc", "nat"))
+    return P.filter_options(rows, {"genders": "gender", "nationalities": "nat", "victims": "victim", "chiefs": "no such column"}, {"locations": "places"})
+
+
 @query(
     "enumerate_values",
     with_cases("SELECT DISTINCT kind, value FROM (SELECT 'gender' AS kind, gender AS value FROM cases UNION ALL SELECT 'nat', nat FROM cases UNION ALL SELECT 'perps', unnest(perps) FROM cases UNION ALL SELECT 'chiefs', unnest(chiefs) FROM cases) WHERE value <> ''"),

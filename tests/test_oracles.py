@@ -58,6 +58,16 @@ def by(rows, key, order):
 #: Of queries without SQL: their columns, and what must hold for their rows.
 CHECKS = {
     "bootstrap_ci": ("mean low high", lambda rows, q: [r.low < r.mean < r.high and abs(r.mean - one(q, "select avg(quality) from labels join documents using (doc_id)")) < 1e-9 for r in rows]),
+    "evaluation_report": (
+        "section metric value",
+        lambda rows, q: [
+            {r.section.split(":")[0] for r in rows} == {"splits", "places", "arrivals", "links"},
+            sum(r.value for r in rows if r.metric in ("test_rows", "pool_rows")) == one(q, "select count(*) from lineitem"),
+            all(r.value == 0 for r in rows if r.metric == "leaks"),
+            all(0 <= r.value <= 1 for r in rows if r.metric.startswith(("acc_", "hits_", "mrr"))),
+            next(r.value for r in rows if r.metric == "mae") > 0,
+        ],
+    ),
     "fuzzy_dedupe": ("k out", lambda rows, q: [len(rows) == one(q, "select count(*) from customer"), any("|" in r.out for r in rows)]),
     "gazetteer_from_tokens": (
         "name lat lon country population source_tokens matched_from score",
