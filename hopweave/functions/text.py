@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: the vocabulary that results depend on
 
+#: Patterns of names in free text, and of the four duration parsers.
+QUOTED_NAME = "['\"]([^'\"]{2,})['\"]"
+NAME_DELIMITER = "(?i)[;,/|]| and | & |\\n|\\r"
+CAPITALIZED_NAME = "\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,3})\\b"
+ANY_NUMBER = "\\b([0-9]+(?:\\.[0-9]+)?)\\b"
+FRACTION = "([0-9]+)\\s*/\\s*([0-9]+)"
+FIRST_NUMBER = "([0-9]+(?:\\.[0-9]+)?)"
+PLAIN_NUMBER = "^[0-9]+(\\.[0-9]+)?$"
+NUMBER_PAIR = "[0-9]\\s*[/-]\\s*[0-9]"
+FIRST_DURATION = "(?i)([0-9]+(?:\\.[0-9]+)?)\\s*(day|days|week|weeks|month|months|year|years)"
+DAY_RANGE = "([0-9]+)\\s*-\\s*([0-9]+)\\s*(day|days)"
+EACH_DURATION = "([0-9]+(?:[.,][0-9]+)?|[0-9]+/[0-9]+)(?:\\s|-)?(days|day|weeks|week|months|month|hours|hour)"
+
 BLANKS = ("nan", "none", "null")
 LIST_BLANKS = (*BLANKS, "no")
 GENDERS = {"m": "Male", "male": "Male", "man": "Male", "boy": "Male", "f": "Female", "female": "Female", "woman": "Female", "girl": "Female"}
@@ -206,9 +219,9 @@ def name_mentions(c: Column) -> Column:
     """Names in free text: a list if it looks like one, else quoted parts, parts between delimiters and capitalized runs."""
     s = strip(text(c))
     parts = F.concat(
-        find_all(s, "['\"]([^'\"]{2,})['\"]", 1),
-        F.filter(F.split(s, "(?i)[;,/|]| and | & |\\n|\\r"), lambda p: F.length(strip(p)) >= 2),
-        find_all(s, "\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,3})\\b", 1),
+        find_all(s, QUOTED_NAME, 1),
+        F.filter(F.split(s, NAME_DELIMITER), lambda p: F.length(strip(p)) >= 2),
+        find_all(s, CAPITALIZED_NAME, 1),
     )
     clean = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(strip(p), "^['\"]+|['\"]+$", ""), "\\s+", " "))
     bad = lambda p: is_one_of(F.regexp_replace(F.lower(p), "^[ .]+|[ .]+$", ""), ("", *NOT_NAMES)) | (F.length(F.regexp_replace(p, "^[ .]+|[ .]+$", "")) <= 1)
@@ -221,10 +234,10 @@ def name_mentions(c: Column) -> Column:
 def duration_upload(c: Column) -> Column:
     """Whole days, months before weeks before days; the n-th unit takes the n-th number of the text; at least 1."""
     t = F.lower(text(c))
-    nums = F.transform(find_all(t, "\\b([0-9]+(?:\\.[0-9]+)?)\\b", 1), lambda x: x.cast("double"))
+    nums = F.transform(find_all(t, ANY_NUMBER, 1), lambda x: x.cast("double"))
     nth = lambda i, default: F.coalesce(F.try_element_at(nums, F.lit(i)), F.lit(default))
     has = lambda w: t.contains(w)
-    above, below = (first_match(t, "([0-9]+)\\s*/\\s*([0-9]+)", g).cast("double") for g in (1, 2))
+    above, below = (first_match(t, FRACTION, g).cast("double") for g in (1, 2))
     months = nth(1, 1.0) * 30 + F.when(has("week"), nth(2, 0.0) * 7).otherwise(0.0) + F.when(has("day"), nth(3, 0.0)).otherwise(0.0)
     weeks = nth(1, 1.0) * 7 + nth(2, 0.0)
     day = F.coalesce(F.try_divide(above, below), nth(1, 1.0))
@@ -235,26 +248,26 @@ def duration_upload(c: Column) -> Column:
 def duration_eta(c: Column) -> Column:
     """Whole days: a plain number, else the first whole number before a unit, weeks before months before days."""
     t = F.lower(strip(text(c)))
-    any_n = first_match(t, "([0-9]+(?:\\.[0-9]+)?)", 1).cast("double")
-    whole = t.rlike("^[0-9]+(\\.[0-9]+)?$")
+    any_n = first_match(t, FIRST_NUMBER, 1).cast("double")
+    whole = t.rlike(PLAIN_NUMBER)
     unit = F.when(t.contains("week"), 7).when(t.contains("month"), 30).when(t.contains("day"), 1)
-    plain = ~t.rlike("[0-9]\\s*[/-]\\s*[0-9]")
+    plain = ~t.rlike(NUMBER_PAIR)
     return F.when(whole, any_n.cast("int")).when(plain, (any_n * unit).cast("int"))
 
 
 def duration_first(c: Column) -> Column:
     """Days as a double: the first number with a unit, years too; null unless positive."""
     s = text(c)
-    n = first_match(s, "(?i)([0-9]+(?:\\.[0-9]+)?)\\s*(day|days|week|weeks|month|months|year|years)", 1).cast("double")
-    u = F.lower(first_match(s, "(?i)([0-9]+(?:\\.[0-9]+)?)\\s*(day|days|week|weeks|month|months|year|years)", 2))
+    n = first_match(s, FIRST_DURATION, 1).cast("double")
+    u = F.lower(first_match(s, FIRST_DURATION, 2))
     d = n * F.when(u.startswith("day"), 1.0).when(u.startswith("week"), 7.0).when(u.startswith("month"), 30.0).otherwise(365.0)
     return F.when(d > 0, d)
 
 
 def duration_sum(c: Column) -> Column:
     """Days as a double: the sum over all numbers with a unit, hours too; a range counts both ends."""
-    s = F.regexp_replace(F.lower(text(c)), "([0-9]+)\\s*-\\s*([0-9]+)\\s*(day|days)", "$1 days $2 days")
-    pattern = "([0-9]+(?:[.,][0-9]+)?|[0-9]+/[0-9]+)(?:\\s|-)?(days|day|weeks|week|months|month|hours|hour)"
+    s = F.regexp_replace(F.lower(text(c)), DAY_RANGE, "$1 days $2 days")
+    pattern = EACH_DURATION
     both = F.arrays_zip(find_all(s, pattern, 1).alias("n"), find_all(s, pattern, 2).alias("u"))
     half = lambda x, i: F.get(F.split(x["n"], "/"), F.lit(i)).try_cast("double")
     value = lambda x: F.when(x["n"].contains("/"), F.try_divide(half(x, 0), half(x, 1))).otherwise(F.regexp_replace(x["n"], ",", ".").try_cast("double"))

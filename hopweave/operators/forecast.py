@@ -205,7 +205,9 @@ def eta_mae(train: DataFrame, test: DataFrame, days: str) -> DataFrame:
 def lag_windows(df: DataFrame, subject: str, place: str, order: str, n: int = 3) -> DataFrame:
     """Training rows of a sequence model: n places and the one after them, as arrays of indices by frequency."""
     counts = df.groupBy(place).agg(F.count("*").alias("__n"))
-    index = numbered(counts, -spread(F.col("__n")), [F.desc("__n"), place], "__i").select(place, "__i")
+    # places of like counts are many where counts are small, so their first letters tell their buckets apart
+    bucket = F.struct((-spread(F.col("__n"))).alias("n"), F.when(F.col("__n") < 256, -F.col("__n")).otherwise(0).alias("m"), F.when(F.col("__n") < 256, F.substring(place, 1, 3)).otherwise("").alias("p"))
+    index = numbered(counts, bucket, [F.desc("__n"), place], "__i").select(place, "__i")
     w = W.partitionBy(subject).orderBy(order)
     lags = [F.lag("__i", k).over(w) for k in range(n, 0, -1)]
     return df.join(index, place).select(subject, order, F.array(*lags).alias("window"), F.col("__i").alias("target")).where(F.forall("window", lambda x: x.isNotNull()))

@@ -79,11 +79,19 @@ def n_triples(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("line"))
 
 
+#: A statement of N-Triples.
+STATEMENT = '^\\s*<([^>]*)>\\s+<([^>]*)>\\s+(?:<([^>]*)>|"((?:[^"\\\\]|\\\\.)*)"(?:\\^\\^<([^>]*)>)?(?:@\\S+)?)\\s*\\.\\s*$'
+
+
+def unread_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that parse_n_triples() does not read: those that are no statement, blank or a comment."""
+    return lines.where(~F.col(column).rlike(STATEMENT) & ~F.col(column).rlike("^\\s*(#.*)?$"))
+
+
 def parse_n_triples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of N-Triples lines; other lines are dropped."""
+    """Triples of N-Triples lines; unread_lines() has the lines that are none."""
     c = F.col(column)
-    pattern = '^\\s*<([^>]*)>\\s+<([^>]*)>\\s+(?:<([^>]*)>|"((?:[^"\\\\]|\\\\.)*)"(?:\\^\\^<([^>]*)>)?(?:@\\S+)?)\\s*\\.\\s*$'
-    g = lambda n: F.regexp_extract(c, pattern, n)
+    g = lambda n: F.regexp_extract(c, STATEMENT, n)
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(g(4), "\\\\n", "\n"), '\\\\"', '"'), "\\\\\\\\", "\\\\")
-    rows = lines.where(c.rlike(pattern))
+    rows = lines.where(c.rlike(STATEMENT))
     return rows.select(g(1).alias("s"), g(2).alias("p"), F.when(g(3) != "", g(3)).otherwise(text).alias("o"), F.when(g(3) != "", "uri").otherwise("literal").alias("o_kind"), g(5).alias("o_type"))

@@ -121,6 +121,8 @@ def test_components(spark):
 def test_triples_round_trip(spark, route):
     df = route.withColumns({"uid": F.lit('u "1"\n'), "g": F.lit("Male"), "n": F.lit(None).cast("string")})
     t = ontology.triples(df, "http://x.org/o", "sid", "uid", "loc", "ord", "perps", "chiefs", "g", "n")
+    odd = spark.createDataFrame([("<a> <b> <c> .",), ("# note",), ("",), ("<a> <b> c .",)], "value string")
+    assert ontology.parse_n_triples(odd).count() == 1 and [r.value for r in ontology.unread_lines(odd).collect()] == ["<a> <b> c ."]
     back = ontology.parse_n_triples(ontology.n_triples(t).withColumnRenamed("line", "value"))
     assert rows(t, "s", "p", "o", "o_kind") == rows(back, "s", "p", "o", "o_kind")
     assert ontology.union(t, back.select(t.columns)).count() == t.count()
