@@ -257,6 +257,19 @@ def test_actors_by_brute_force(spark, k):
     assert got == want
 
 
+def test_actors_of_one_place_are_not_scored_for_each_subject(spark, monkeypatch):
+    """Where each actor has one place, a place hands on its k first, ties by name, and no blocks are made."""
+    monkeypatch.setattr(forecast, "best_by_blocks", lambda *_: pytest.fail("actors of one place need no bounds"))
+    df = spark.range(4000).selectExpr("id % 40 AS sid", "id AS ord", "concat('p', id % 7) AS loc", "concat('a', lpad(id % 7 + 7 * (id % 300), 4, '0')) AS actor")
+    got = rows_of(forecast.link_ranked(df, "sid", "loc", "ord", "actor", 3), "sid", "rank", "actor")
+    want = rows_of(forecast.ranked(forecast.link_scores(df, "sid", "loc", "ord", "actor"), "sid", 3, "actor", "score"), "sid", "rank", "actor")
+    assert got == want and len(got) == 120
+
+
+def rows_of(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
 def test_long_roll_outs(spark):
     df = spark.createDataFrame([("s", i, "ABC"[i % 3]) for i in range(12)], "sid string, ord int, loc string")
     grams, ctx = forecast.ngrams(df, "sid", "loc", "ord"), forecast.contexts(df, "sid", "loc", "ord")
