@@ -9,7 +9,7 @@ from hopweave.operators import graph as G
 from hopweave.operators import linear
 from hopweave.operators import ontology as O
 from hopweave.plans.register import query
-from hopweave.plans.views import GAZETTEER_SQL, MEETINGS_SQL, cases, gazetteer, meetings, table, with_cases
+from hopweave.plans.views import ACTOR_EDGES_SQL, GAZETTEER_SQL, MEETINGS_SQL, actor_edges, cases, gazetteer, meetings, table, with_cases
 from hopweave.sources.shared import written
 
 #: Cases of which some lack a place, and whose perps have blank and padded names.
@@ -80,7 +80,8 @@ o AS (SELECT p.src, p.dst, coalesce(common, 0) AS common, coalesce(aa, 0) AS aa,
   FROM asked p LEFT JOIN c ON p.src = c.src AND p.dst = c.dst LEFT JOIN deg s ON s.id = p.src LEFT JOIN deg t ON t.id = p.dst)
 """
 _MET = f"WITH b AS ({MEETINGS_SQL}), p AS (SELECT DISTINCT x.actor AS src, y.actor AS dst FROM b x JOIN b y ON x.event = y.event AND x.actor < y.actor)"
-_PAIRS = _MET + ", g AS (SELECT src, dst FROM p), asked AS (SELECT src, dst FROM p), " + _SCORES
+_SHARED = f"WITH b AS ({ACTOR_EDGES_SQL}), p AS (SELECT DISTINCT x.actor AS src, y.actor AS dst FROM b x JOIN b y ON x.victim = y.victim AND x.actor < y.actor)"
+_PAIRS = _SHARED + ", g AS (SELECT src, dst FROM p), asked AS (SELECT src, dst FROM p), " + _SCORES
 _JACCARD = "CASE WHEN ds + dt - common > 0 THEN common / (ds + dt - common) ELSE 0 END"
 
 
@@ -90,7 +91,8 @@ def met(spark, d, rows=None):
 
 
 def scored_pairs(spark, d):
-    pairs = written(met(spark, d), "pairs")
+    """Scores of all pairs of actors that do something for one subject."""
+    pairs = written(G.one_mode(actor_edges(spark, d).toDF("src", "dst")), "pairs")
     return G.link_scores(pairs, pairs)
 
 

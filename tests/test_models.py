@@ -109,6 +109,39 @@ def test_link_scores_by_brute_force(spark):
             assert r.jaccard == pytest.approx(len(both) / len(a | b) if a | b else 0)
 
 
+def test_link_scores_of_twins_by_brute_force(spark):
+    """Cliques that overlap, a pair alone, and a clique with a tail: nodes alike are counted, in and out of their class."""
+    groups = [range(0, 6), range(4, 10), range(20, 22), range(30, 36)]
+    edges = {(a, b) for g in groups for a in g for b in g if a < b} | {(35, 40), (40, 41), (9, 20)}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    pairs = [(a, b) for a in near for b in near]
+    got = graph.link_scores(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert Counter((r.src, r.dst) for r in got) == Counter(pairs)
+    for r in got:
+        both = near[r.src] & near[r.dst] if r.src != r.dst else set()
+        assert r.common == len(both)
+        assert r.adamic_adar == pytest.approx(sum(1 / math.log(len(near[z])) for z in both))
+        assert r.resource_alloc == pytest.approx(sum(1 / len(near[z]) for z in both))
+        assert r.pref_attach == len(near[r.src]) * len(near[r.dst])
+
+
+def test_nodes_alike_are_one(spark):
+    """A complete graph is one class; a node with other neighbours is a class of its own."""
+    full = spark.range(300).selectExpr("id AS src").crossJoin(spark.range(300).selectExpr("id AS dst")).where("src <> dst")
+    both = full.unionAll(spark.createDataFrame([(7, 999), (999, 7)], "src long, dst long"))
+    assert {(r.twin, r["size"]) for r in graph.twins(both).collect()} == {(0, 299), (7, 1), (999, 1)}
+
+
+def test_shared_subjects_link_actors(spark):
+    """Queries of link scores take all actors of a subject, not only those of one day."""
+    from hopweave.plans.catalogue import QUERIES
+
+    assert QUERIES["link_jaccard"](spark, "/root/testdata/sf0.01").count() == 4950
+
+
 def test_a_hub_makes_no_pairs(spark):
     """Pairs of leaves of a star go through the leaf's one neighbour, not through the hub's many."""
     star = spark.range(1, 3001).selectExpr("0L AS src", "id AS dst")
