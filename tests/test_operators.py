@@ -7,6 +7,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from hopweave.functions import fuzzy
 from hopweave.operators import evaluate, filters, forecast, geo, graph, merge, ontology, retrieval, standardize, summary, trajectory
@@ -118,6 +119,26 @@ def test_components(spark):
     assert sizes == {0: 41, 100: 2, 200: 1}
 
 
+def test_components_by_brute_force(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(500, i) for i in range(400, 420)] + [(7, 7), (500, 401)]
+    least = {v: v for e in edges for v in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = graph.components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r.id: r.component for r in got.collect()} == least
+
+
+def test_components_read_fewer_edges_each_round(spark, monkeypatch):
+    """After a round only edges between its trees are left: of a hub's and its leaves' none."""
+    seen, keep = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *how: seen.append((df.columns, df.count())) or keep(df, *how))
+    star = spark.range(1, 2000).selectExpr("0L AS src", "id AS dst").unionAll(spark.range(1, 1999).selectExpr("id AS src", "id + 1 AS dst"))
+    assert graph.components(star).select("component").distinct().count() == 1
+    assert [n for columns, n in seen if columns == ["src", "dst"]] == [3997, 0]
+
+
 def test_triples_round_trip(spark, route):
     df = route.withColumns({"uid": F.lit('u "1"\n'), "g": F.lit("Male"), "n": F.lit(None).cast("string")})
     t = ontology.triples(df, "http://x.org/o", "sid", "uid", "loc", "ord", "perps", "chiefs", "g", "n")
