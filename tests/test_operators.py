@@ -139,6 +139,27 @@ def test_components_read_fewer_edges_each_round(spark, monkeypatch):
     assert [n for columns, n in seen if columns == ["src", "dst"]] == [3997, 0]
 
 
+@pytest.mark.parametrize("most", [0, 64])
+def test_smoothed_features_by_brute_force(spark, monkeypatch, most):
+    """Features as rows and as columns, nodes of a loop only, and features that reach some nodes only."""
+    monkeypatch.setattr(graph, "WIDE", most)
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (2, 1), (9, 9)]
+    given = [(1, "a", 1.0), (2, "b", 2.0), (5, "a", 3.0), (9, "c", 0.5), (77, "a", 1.0)]
+    near = {v: {v} for e in edges for v in e}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    x = {(i, f): v for i, f, v in given if i in near}
+    for _ in range(2):
+        new = {}
+        for (j, f), v in x.items():
+            for i in near[j]:
+                new[i, f] = new.get((i, f), 0) + v / math.sqrt(len(near[i]) * len(near[j]))
+        x = new
+    got = graph.smoothed_features(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(given, "id long, feature string, x double"))
+    assert {(r.id, r.feature): r.x for r in got.collect()} == pytest.approx(x)
+
+
 def test_triples_round_trip(spark, route):
     df = route.withColumns({"uid": F.lit('u "1"\n'), "g": F.lit("Male"), "n": F.lit(None).cast("string")})
     t = ontology.triples(df, "http://x.org/o", "sid", "uid", "loc", "ord", "perps", "chiefs", "g", "n")
