@@ -67,6 +67,30 @@ def test_similarity_and_matching():
     assert fuzzy.greedy_counts(["ali", "ben"], ["ali", "bem", "x"], (60.0, 100.0)) == [2, 1, 0, 1, 2, 1]
 
 
+def test_ratios_of_many_pairs_at_once(monkeypatch):
+    """Rows of names are matched without a call for each pair, and as pair by pair."""
+    rng = __import__("random").Random(1)
+    name = lambda: rng.choice(["", "Name#00"]) + "".join(rng.choice("abAB é\0\U0001f600ß") for _ in range(rng.choice([0, 1, 3, 8, 20, 56, 63, 64, 70])))
+    limits = (60.0, 80.0, 100.0)
+    rows = [([name() for _ in range(rng.randrange(6))], [name() for _ in range(rng.randrange(6))]) for _ in range(300)]
+
+    def one(truth, found):
+        out, pairs = [], sorted((-fuzzy.indel_ratio(t.lower(), f.lower()), i, j) for i, t in enumerate(truth) for j, f in enumerate(found))
+        for limit in limits:
+            used = []
+            for s, i, j in pairs:
+                if -s >= limit and all(i != k and j != m for k, m in used):
+                    used.append((i, j))
+            out += [len(used), len(found) - len(used), len(truth) - len(used)]
+        return out
+
+    want = [one(*r) for r in rows]
+    assert [fuzzy.greedy_counts(*r, limits) for r in rows] == want
+    assert fuzzy.greedy_rows(rows, limits) == want
+    monkeypatch.setattr(fuzzy, "indel_ratio", None)  # short names need no call for each pair
+    assert fuzzy.greedy_rows([(["ali", "ben"], ["ali", "bem", "x"])] * 3, (60.0, 100.0)) == [[2, 1, 0, 1, 2, 1]] * 3
+
+
 def test_udfs_take_nulls(spark):
     df = spark.sql("select cast(null as string) a, 'x' b, cast(null as array<string>) l")
     r = df.select(fuzzy.ratio("a", "b"), fuzzy.fuzzy_dedupe("l"), fuzzy.greedy_match("l", "l")).first()
