@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hopweave.operators import linear
 from hopweave.operators.forecast import by_context, ngrams
 from hopweave.operators.trajectory import collapse
+from hopweave.sources.shared import written
 
 LAGS = 3
 
@@ -34,9 +35,14 @@ def hashed(rows: DataFrame, lags: int = LAGS, buckets: int = linear.BUCKETS) ->
     return FeatureHasher(inputCols=[*names, "last_two"], outputCol="features", numFeatures=buckets).transform(both).drop("last_two")
 
 
+def counted(rows: DataFrame, *by: str, lags: int = LAGS) -> DataFrame:
+    """lag_1 to lag_n, by, n: how many rows have each window, so that what is worked out for windows is bounded by how many differ."""
+    return rows.groupBy(*(f"lag_{i + 1}" for i in range(lags)), *by).agg(F.count("*").alias("n"))
+
+
 def fit(train: DataFrame, lags: int = LAGS, buckets: int = linear.BUCKETS, **how) -> linear.Classifier:
-    """A classifier of `next` from rows of windows()."""
-    return linear.fit(hashed(train.where("next IS NOT NULL"), lags, buckets), "next", **how)
+    """A classifier of `next` from rows of windows(); equal rows are one row that weighs as many."""
+    return linear.fit(hashed(counted(train.where("next IS NOT NULL"), "next", lags=lags), lags, buckets), "next", weight="n", **how)
 
 
 def predict(model: linear.Classifier, rows: DataFrame, k: int, lags: int = LAGS, buckets: int = linear.BUCKETS) -> DataFrame:
@@ -51,7 +57,8 @@ def last_windows(rows: DataFrame, subject: str) -> DataFrame:
 
 def next_ranked(model: linear.Classifier, rows: DataFrame, subject: str, k: int, lags: int = LAGS, buckets: int = linear.BUCKETS) -> DataFrame:
     """subject, w, prob, rank: the k likeliest places after each subject's last window; subjects with shorter ways have none."""
-    best = predict(model, last_windows(rows, subject), k, lags, buckets)
+    last, names = last_windows(rows, subject), [f"lag_{i + 1}" for i in range(lags)]
+    best = last.join(predict(model, last.select(*names).distinct(), k, lags, buckets), names)
     return best.select(subject, F.posexplode("best").alias("i", "b")).select(subject, F.col("b.label").alias("w"), F.col("b.prob").alias("prob"), (F.col("i") + 1).alias("rank"))
 
 
@@ -61,12 +68,12 @@ def compared(train: DataFrame, train_windows: DataFrame, test_windows: DataFrame
     The n-gram model ranks each distinct pair of last places once; an unseen pair's rank is that of the place alone.
     """
     most = max(ks)
-    asked = test_windows.where("next IS NOT NULL")
-    mine = linear.accuracy(predict(fit(train_windows), asked, most), "next", ks).select(F.lit("logistic").alias("model"), "*")
+    asked = written(counted(test_windows.where("next IS NOT NULL"), "next"), "asked")
+    mine = linear.accuracy(predict(fit(train_windows), asked, most), "next", ks, "n").select(F.lit("logistic").alias("model"), "*")
     grams = ngrams(train, subject, place, order)
     pairs = asked.select(F.col("lag_2").alias("c2"), F.col("lag_1").alias("c1")).distinct()
     order_ = W.partitionBy("c2", "c1").orderBy(F.desc(F.round("prob", 9)), "w")
     ranks = by_context(grams, pairs).withColumn("rank", F.row_number().over(order_)).where(F.col("rank") <= most)
     hit = asked.join(ranks.select(F.col("c2").alias("lag_2"), F.col("c1").alias("lag_1"), F.col("w").alias("next"), "rank"), ["lag_2", "lag_1", "next"], "left")
-    other = hit.agg(F.count("*").alias("n"), *(F.avg((F.coalesce("rank", F.lit(most + 1)) <= k).cast("double")).alias(f"acc_{k}") for k in ks))
+    other = linear.hit_shares(hit, F.col("rank"), ks, "n")
     return mine.unionByName(other.select(F.lit("ngram").alias("model"), "*"))

@@ -76,6 +76,25 @@ def test_windows_by_brute_force(spark, ways):
     assert got == want
 
 
+def test_equal_windows_are_fitted_and_ranked_once(spark, ways, monkeypatch):
+    """What is trained on and ranked is bounded by how many windows differ; figures are those of all rows."""
+    rows = next_place.windows(ways, "sid", "loc", "ord")
+    many = rows.unionAll(rows).unionAll(rows)
+    seen, fit, hashed = [], linear.fit, next_place.hashed
+    monkeypatch.setattr(next_place, "hashed", lambda r, *a: seen.append(r.count()) or hashed(r, *a))
+    model = next_place.fit(many)
+    assert seen == [rows.where("next IS NOT NULL").select("lag_1", "lag_2", "lag_3", "next").distinct().count()]
+    plain = fit(hashed(rows.where("next IS NOT NULL")), "next")
+    assert model.classes == plain.classes and np.abs(model.model.coefficientMatrix.toArray() - plain.model.coefficientMatrix.toArray()).max() < 1e-3
+    got = next_place.next_ranked(model, rows, "sid", 2).groupBy("sid").count().collect()
+    assert seen[-1] == next_place.last_windows(rows, "sid").select("lag_1", "lag_2", "lag_3").distinct().count() < len(got)
+    assert {r["count"] for r in got} == {2}
+    a, b = (next_place.compared(ways, rows, r, "sid", "loc", "ord").orderBy("model").collect() for r in (rows, many))
+    assert [r.n for r in b] == [3 * r.n for r in a] and [r[2:] for r in b] == [pytest.approx(r[2:]) for r in a]
+    none = next_place.compared(ways, rows, rows.limit(0), "sid", "loc", "ord").collect()
+    assert [(r.n, r.acc_1) for r in none] == [(0, None)] * 2
+
+
 def test_next_place_learns_a_rule(spark, ways):
     rows = next_place.windows(ways, "sid", "loc", "ord")
     train, test = rows.where("hash(sid) % 3 <> 0"), rows.where("hash(sid) % 3 = 0")
