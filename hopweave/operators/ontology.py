@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopweave.functions.text import slug
+from hopweave.sources.shared import written
 
 # ---- fixed values: names of classes, predicates and namespaces
 CLASSES = ("Victim", "Trafficker", "Chief", "Location", "Visit")
@@ -30,41 +31,51 @@ def mapping(base: str, override: dict[str, str] | None = None) -> dict[str, str]
 def triples(df: DataFrame, base: str, subject: str, uid: str, place: str, order: str, perps: str, chiefs: str, gender: str, nationality: str, gazetteer: DataFrame | None = None, override: dict[str, str] | None = None) -> DataFrame:
     """s, p, o, o_kind (uri or literal), o_type: distinct triples of all rows.
 
-    One pass over the rows makes all triples of visits, places and actors, and one
-    aggregate those of subjects; attributes of a subject are the most frequent value, the
-    smallest of equals.
+    Visits, links to actors, actors, places and subjects have no triple in common unless
+    override gives two predicates one name, so each kind is told apart by its own short
+    keys, and URIs are made of what is left. Attributes of a subject are the most frequent
+    value, the smallest of equals.
     """
     u, b = mapping(base, override), base.rstrip("#/") + "#"
-    uri = lambda kind, c: F.concat(F.lit(f"{b}{kind}/"), slug(c))
+    uri = lambda kind, key: F.concat(F.lit(f"{b}{kind}/"), key)
 
     def triple(s: Column, p: str, o: Column, kind: str = "uri", of: str = "") -> Column:
         return F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(of).alias("o_type"))
 
-    def of_actors(kind: str, actors: str) -> Column:
-        who = lambda x: uri(kind.lower(), x)
-        each = lambda x: F.array(triple(who(x), RDF_TYPE, F.lit(u[kind])), triple(who(x), u["label"], x, "literal"), triple(F.col("__v"), u[f"has{kind}"], who(x)))
-        return F.flatten(F.transform(F.coalesce(F.col(actors), F.array().cast("array<string>")), each))
-
-    v, loc, visit = F.col("__v"), F.col("__loc"), F.col("__visit")
-    at = df.select(
-        place, order, perps, chiefs, uri("victim", F.col(subject)).alias("__v"), uri("location", F.col(place)).alias("__loc"),
-        uri("visit", F.concat_ws("-", F.col(subject), F.col(order).cast("string"), F.col(place))).alias("__visit"),
-    )
-    of_rows = F.array(
-        triple(visit, RDF_TYPE, F.lit(u["Visit"])), triple(v, u["hasVisit"], visit), triple(visit, u["atLocation"], loc),
-        triple(visit, u["visitOrder"], F.col(order), "literal", XSD_INT), triple(loc, RDF_TYPE, F.lit(u["Location"])), triple(loc, u["label"], F.col(place), "literal"),
-    )
-    one = df.groupBy(subject).agg(*(F.mode(c, True).alias(c) for c in (uid, gender, nationality))).withColumn("__v", uri("victim", F.col(subject)))
+    def of_visit(at: Column) -> Column:
+        visit = uri("visit", F.col("visit"))
+        of = lambda p, o, *how: triple(visit, p, o, *how)
+        return F.array(of(RDF_TYPE, F.lit(u["Visit"])), triple(uri("victim", at["v"]), u["hasVisit"], visit), of(u["atLocation"], uri("location", at["loc"])), of(u["visitOrder"], at["n"], "literal", XSD_INT))
+
+    # read for each kind
+    df = written(df.select(*dict.fromkeys((subject, uid, place, order, perps, chiefs, gender, nationality)), slug(F.col(subject)).alias("__v"), slug(F.col(place)).alias("__loc")), "rows")
+    key = slug(F.concat_ws("-", F.col(subject), F.col(order).cast("string"), F.col(place)))
+    visits = df.select(key.alias("visit"), F.struct(F.col("__v").alias("v"), F.col("__loc").alias("loc"), F.col(order).alias("n")).alias("at"))
+    # rows of a visit meet, as a rule one; its type is one triple whatever they say
+    visits = visits.groupBy("visit").agg(F.collect_set("at").alias("at")).select(F.inline(F.array_distinct(F.flatten(F.transform("at", of_visit)))))
+    roles = (("Trafficker", perps), ("Chief", chiefs))
+    links, names = [], []
+    for kind, c in roles:
+        each = df.select(F.col("__v").alias("v"), F.explode(F.col(c).cast("array<string>")).alias("x"))
+        met = each.select("v", slug(F.col("x")).alias("x")).distinct()
+        links.append(met.select(F.inline(F.array(triple(uri("victim", F.col("v")), u[f"has{kind}"], uri(kind.lower(), F.col("x")))))))
+        names.append(each.select("x").distinct().select(F.lit(kind.lower()).alias("kind"), F.lit(u[kind]).alias("of"), "x"))
+    names.append(df.select(F.col(place).cast("string").alias("x")).distinct().select(F.lit("location").alias("kind"), F.lit(u["Location"]).alias("of"), "x"))
+    named = F.concat(F.lit(b), "kind", F.lit("/"), slug(F.col("x")))
+    called = reduce(DataFrame.unionAll, names).select(F.inline(F.array(*(F.struct(named.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"), F.lit("").alias("o_type")) for p, o, k in ((RDF_TYPE, F.col("of"), "uri"), (u["label"], F.col("x"), "literal"))))))
+    v = uri("victim", slug(F.col(subject)))
+    one = df.groupBy(subject).agg(*(F.mode(c, True).alias(c) for c in (uid, gender, nationality)))
     of_subject = F.array(
         triple(v, RDF_TYPE, F.lit(u["Victim"])), triple(v, u["hasSerializedId"], F.col(subject), "literal"),
         *(triple(v, u[p], F.col(c), "literal") for p, c in (("hasUniqueId", uid), ("hasGender", gender), ("hasNationality", nationality))),
     )
     classes = df.sparkSession.range(1).select(F.inline(F.array(*(triple(F.lit(u[c]), RDF_TYPE, F.lit(RDFS_CLASS)) for c in CLASSES))))
-    out = [classes, one.select(F.inline(of_subject)), at.select(F.inline(F.concat(of_rows, of_actors("Trafficker", perps), of_actors("Chief", chiefs))))]
+    few = [classes, one.select(F.inline(of_subject)), called]
     if gazetteer is not None:
-        found = df.select(place).distinct().join(gazetteer.select(F.col("name").alias(place), "lat", "lon"), place).withColumn("__loc", uri("location", F.col(place)))
-        out.append(found.select(F.inline(F.array(*(triple(loc, u[c], F.col(c), "literal", XSD_DOUBLE) for c in ("lat", "lon"))))))
-    return reduce(DataFrame.unionAll, out).where("s IS NOT NULL AND o IS NOT NULL AND o <> ''").distinct()
+        found = df.select(place).distinct().join(gazetteer.select(F.col("name").alias(place), "lat", "lon"), place)
+        few.append(found.select(F.inline(F.array(*(triple(uri("location", slug(F.col(place))), u[c], F.col(c), "literal", XSD_DOUBLE) for c in ("lat", "lon"))))))
+    out = reduce(DataFrame.unionAll, [reduce(DataFrame.unionAll, few).distinct(), visits, *links]).where("s IS NOT NULL AND o IS NOT NULL AND o <> ''")
+    return out.distinct() if override else out
 
 
 def union(*frames: DataFrame) -> DataFrame:

@@ -171,6 +171,25 @@ def test_triples_round_trip(spark, route):
     assert ontology.mapping("http://x.org/o", {"Victim": "urn:v"})["Victim"] == "urn:v"
 
 
+def test_triples_are_distinct_where_names_are_alike(spark):
+    """Subjects, visits and actors whose names come to one URI give each triple once, and only short keys are told apart."""
+    data = [("A-1", "1", "X", ["p q", "p-q", None, ""], ["c"], 1), ("A", "1-1", "X", ["P Q"], None, 1), ("a", "1-1", "x", None, ["c"], 1), (None, "2", None, ["z"], ["z"], 2), ("A-1", "1", "X", ["p q"], ["c"], 1)]
+    df = spark.createDataFrame(data, "sid string, ord string, loc string, perps array<string>, chiefs array<string>, k int").withColumns({"uid": F.lit("u"), "g": F.lit("f"), "n": F.lit(None).cast("string")})
+    df = df.withColumn("ord", F.col("ord"))
+    for override in (None, {"hasChief": "urn:has", "hasTrafficker": "urn:has"}):
+        t = ontology.triples(df, "http://x.org/o", "sid", "uid", "loc", "ord", "perps", "chiefs", "g", "n", override=override)
+        got = [tuple(r) for r in t.collect()]
+        assert len(got) == len(set(got))
+    b, at = "http://x.org/o#", "http://x.org/o#visit/a-1-1-x"
+    t = ontology.triples(df, "http://x.org/o", "sid", "uid", "loc", "ord", "perps", "chiefs", "g", "n")
+    got = {tuple(r)[:3] for r in t.collect()}
+    assert {(p.rsplit("#")[-1], o.replace(b, "")) for s, p, o in got if s == at} == {("type", "Visit"), ("atLocation", "location/x"), ("visitOrder", "1"), ("visitOrder", "1-1")}
+    assert {s.replace(b, "") for s, p, o in got if o == at} == {"victim/a-1", "victim/a"}
+    assert {o for s, p, o in got if s == f"{b}trafficker/p-q" and "label" in p} == {"p q", "p-q", "P Q"}
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [s#") <= 1  # of classes, subjects and names only
+
+
 def test_geo(spark):
     gaz = spark.createDataFrame([("Tripoli", 32.9, 13.2, "LY", 1000, ["Trablus"]), ("Asmara", 15.3, 38.9, "ER", 500, [])], "name string, lat double, lon double, country string, population long, alt_list array<string>")
     places = spark.createDataFrame([("tripoli",), ("TRABLUS",), ("Tripolli",), ("Zsmara",), ("nowhere",), (None,)], "p string")
