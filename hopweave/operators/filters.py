@@ -98,12 +98,11 @@ def page(df: DataFrame, number: int, size: int, *order: Column | str) -> DataFra
 
 def distinct_values(df: DataFrame, columns: list[str], lists: list[str]) -> DataFrame:
     """kind, value: the distinct values that are not blank of columns, and of the items of lists."""
-    parts = [df.select(F.lit(c).alias("kind"), T.smart_blank(F.col(c)).alias("value")) for c in columns]
-    parts += [df.select(F.lit(c).alias("kind"), F.explode(c).alias("v")).select("kind", T.smart_blank(F.col("v")).alias("value")) for c in lists]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.where("value <> ''").distinct()
+    value = lambda c, x: F.struct(F.lit(c).alias("kind"), T.smart_blank(x).alias("value"))
+    each = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)), lambda x: value(c, x))
+    items = [each(c) for c in lists]
+    # one pass over the rows gives the values of all
+    return df.select(F.inline(F.concat(F.array(*(value(c, F.col(c)) for c in columns)), *items) if columns else F.concat(*items))).where("value <> ''").distinct()
 
 
 def filter_options(df: DataFrame, columns: dict[str, str], lists: dict[str, str]) -> DataFrame:

@@ -190,6 +190,28 @@ def test_triples_are_distinct_where_names_are_alike(spark):
     assert plan.count("Aggregate [s#") <= 1  # of classes, subjects and names only
 
 
+@pytest.mark.parametrize("name", ["hops", "cases"])
+def test_tasks_of_views_do_not_grow(spark, monkeypatch, name):
+    """Where tables have more rows than the tasks of a shuffle should take, there are more tasks, and rows are the same."""
+    from hopweave.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    made = lambda: sorted(str(r) for r in getattr(views, name)(spark, sf).collect())
+    want = made()
+    monkeypatch.setattr(views, "ROWS", 500)
+    df = getattr(views, name)(spark, sf)
+    assert df.rdd.getNumPartitions() == -(-views.table(spark, sf, "lineitem").count() // 500) > 4
+    assert made() == want
+
+
+def test_options_in_one_pass(spark):
+    df = spark.createDataFrame([("a", ["x", None, " "], 1), (None, None, None), (" a ", [], 2)], "c string, l array<string>, n int")
+    out = filters.distinct_values(df, ["c", "n"], ["l"])
+    assert {(r.kind, r.value) for r in out.collect()} == {("c", "a"), ("l", "x"), ("n", "1"), ("n", "2")} and out.count() == 4
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert {(r.kind, r.value) for r in filters.distinct_values(df, [], ["l"]).collect()} == {("l", "x")}
+
+
 def test_geo(spark):
     gaz = spark.createDataFrame([("Tripoli", 32.9, 13.2, "LY", 1000, ["Trablus"]), ("Asmara", 15.3, 38.9, "ER", 500, [])], "name string, lat double, lon double, country string, population long, alt_list array<string>")
     places = spark.createDataFrame([("tripoli",), ("TRABLUS",), ("Tripolli",), ("Zsmara",), ("nowhere",), (None,)], "p string")
