@@ -259,6 +259,38 @@ def test_common_words_are_not_needed(spark):
     assert needed["rare"] and not needed["the"]
 
 
+@pytest.mark.parametrize("pays", [0.0, 1.0])
+@pytest.mark.parametrize("shipped", [3, 1000])
+def test_best_documents_by_either_way(spark, monkeypatch, pays, shipped):
+    """By bounds or by document, and with weights that are broadcast or joined, results are the same; tokens of a document in several rows are counted together."""
+    monkeypatch.setattr(retrieval, "PAYS", pays)
+    monkeypatch.setattr(retrieval, "SHIPPED", shipped)
+    rng = random.Random(4)
+    texts = [" ".join(["the"] + [f"w{min(int(rng.paretovariate(0.6)), 60)}" for _ in range(rng.randrange(1, 20))]) for _ in range(120)]
+    docs, queries = list(enumerate(texts)), [(i, " ".join(["the"] + [f"w{rng.randrange(1, 60)}" for _ in range(4)])) for i in range(12)]
+    split = spark.createDataFrame([(0, w) for w in texts[0].split()], "d long, text string")
+    q = spark.createDataFrame(queries, "q long, text string")
+    tokens = F.split("text", " ")
+    want = brute(docs, queries, True)
+    got = retrieval.best_documents(*retrieval.tfidf_index(spark.createDataFrame(docs, "d long, text string"), "d", q, "q", tokens, tokens), "d", "q", 5).collect()
+    assert len(got) == 60 and all(r.score == pytest.approx(want[r.q, r.d], abs=1e-9) for r in got)
+    for i, _ in queries:
+        best = sorted((-round(s, 9), x) for (a, x), s in want.items() if a == i)[:5]
+        assert [x for _, x in best] == [r.d for r in sorted(got, key=lambda r: r["rank"]) if r.q == i]
+    terms = retrieval.term_table(retrieval.grams(retrieval.dealt(split, "d"), "d", tokens), "d").collect()
+    assert {r.term: r.tf for r in terms} == Counter(texts[0].split())
+
+
+def test_features_are_counted_by_digest(spark):
+    """What is frequent is told from digests in one pass, and only such terms are counted by document; ties at the least count go by term."""
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, "a b d e"), (3, "a c d f")], "d long, text string")
+    terms, stats = retrieval.feature_terms(docs, "d", F.split("text", " "), True, 3)
+    assert {(r.term, r.df) for r in stats.collect()} == {("a", 3), ("a b", 2), ("b", 2)}
+    assert {r.term for r in terms.collect()} == {"a", "b", "a b"}
+    _, every = retrieval.feature_terms(docs, "d", F.split("text", " "), True, 1000)
+    assert every.count() == 14  # six tokens and eight pairs
+
+
 def test_percentiles_by_brute_force(spark):
     rng = random.Random(9)
     rows = [(g, rng.choice([None, rng.randrange(-5, 6), rng.random() * 10 ** rng.randrange(-3, 6), 7.0]), rng.randrange(1, 4)) for g in ["a", None, "b", "one"] for _ in range(400 if g != "one" else 1)]
