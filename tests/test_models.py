@@ -196,6 +196,19 @@ def test_node_types_from_neighbours(spark):
     assert "V:1" not in {r.id for r in own.collect()}
 
 
+def test_negatives_of_some_subjects_and_scores_of_few_pairs(spark):
+    """Negatives of asked subjects, and scores of few pairs, are those of the whole."""
+    rng = random.Random(3)
+    edges = {(f"s{rng.randrange(40)}", f"a{rng.randrange(25)}") for _ in range(160)} | {("a1", "a2"), ("t1", "a3"), ("t2", "a3"), ("t1", "t2")}
+    e = spark.createDataFrame(sorted(edges), "src string, dst string")
+    some = spark.createDataFrame([("s1",), ("s7",), ("s7",), ("unknown",)], "src string")
+    every = {tuple(r) for r in graph.negative_pairs(e, 3).collect()}
+    assert {tuple(r) for r in graph.negative_pairs(e, 3, of=some).collect()} == {p for p in every if p[0] in ("s1", "s7")} != set()
+    pairs = spark.createDataFrame([("s1", "s7"), ("t1", "t2"), ("s1", "a1"), ("a1", "a2"), ("a1", "a1"), ("no", "a1")] + sorted(edges)[:20], "src string, dst string")
+    rows = lambda few: sorted(tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in graph.link_scores(e, pairs, few).collect())
+    assert rows(True) == rows(False) and len(rows(True)) == 26
+
+
 def brute(docs, queries, tfidf, bigrams=False, most=None):
     """Scores of all pairs with a term in common."""
     toks = lambda t: t.split() + ([f"{a} {b}" for a, b in zip(t.split(), t.split()[1:], strict=False)] if bigrams else [])
