@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -294,6 +295,30 @@ def test_best_documents_by_either_way(spark, monkeypatch, pays, shipped):
     assert {r.term: r.tf for r in terms} == Counter(texts[0].split())
 
 
+@pytest.mark.parametrize("kind", ["tfidf", "bigrams", "overlap"])
+def test_postings_are_scored_where_they_lie(spark, monkeypatch, kind):
+    """Postings lie in buckets by document: scores by document shuffle no posting. A bucket has few documents, and fewer with many queries; no table stays in the catalog."""
+    monkeypatch.setattr(retrieval, "PAYS", 0.0)
+    monkeypatch.setattr(retrieval, "DEALT", 50)
+    docs = spark.range(600).selectExpr("id AS d", "concat('the w', id % 50, ' x', id % 7) AS text")
+    q = spark.range(20).selectExpr("id AS q", "concat('the w', id, ' x', id % 3) AS text")
+    tokens = F.split("text", " ")
+    if kind == "overlap":
+        postings, asked = retrieval.overlap_index(docs, "d", q, "q", tokens, tokens)
+    else:
+        postings, asked = retrieval.tfidf_index(docs, "d", q, "q", tokens, tokens, **({"bigrams": True, "max_features": 40} if kind == "bigrams" else {}))
+    best = retrieval.best_documents(postings, asked, "d", "q", 3)
+    assert best.count() == 60
+    shuffled = re.findall(r"hashpartitioning\(([^)]*)\)", best._jdf.queryExecution().executedPlan().toString())
+    assert shuffled and all("q#" in by and "d#" not in by for by in shuffled)
+    files = postings.groupBy(F.input_file_name()).agg(F.count_distinct("d").alias("n")).collect()
+    assert max(r.n for r in files) < 100 and sum(r.n for r in files) == 600
+    assert retrieval.bucket_count(docs, q) == 12
+    monkeypatch.setattr(retrieval, "PAIRED", 400)
+    assert retrieval.bucket_count(docs, q) == 30
+    assert not spark.catalog.listTables()
+
+
 def test_features_are_counted_by_digest(spark):
     """What is frequent is told from digests in one pass, and only such terms are counted by document; ties at the least count go by term."""
     docs = spark.createDataFrame([(1, "a b a b c"), (2, "a b d e"), (3, "a c d f")], "d long, text string")
