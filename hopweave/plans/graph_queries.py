@@ -90,10 +90,9 @@ def met(spark, d, rows=None):
     return G.one_mode((meetings(spark, d) if rows is None else rows).select(F.col("event").alias("src"), F.col("actor").alias("dst")))
 
 
-def scored_pairs(spark, d):
+def scored_pairs(spark, d, measure):
     """Scores of all pairs of actors that do something for one subject."""
-    pairs = written(G.one_mode(actor_edges(spark, d).toDF("src", "dst")), "pairs")
-    return G.link_scores(pairs, pairs)
+    return G.shared_scores(actor_edges(spark, d).toDF("src", "dst"), measure)
 
 
 for _name, _sql, _column in (
@@ -104,12 +103,12 @@ for _name, _sql, _column in (
 
     @query(_name, _PAIRS + f"SELECT src, dst, round({_sql}, 6) AS score FROM o")
     def _(spark, d, column=_column):
-        return scored_pairs(spark, d).select("src", "dst", F.round(column, 6).alias("score"))
+        return scored_pairs(spark, d, column).withColumn("score", F.round("score", 6))
 
 
 @query("link_pref_attach", _PAIRS + "SELECT src, dst, ds * dt AS score FROM o")
 def _(spark, d):
-    return scored_pairs(spark, d).select("src", "dst", F.col("pref_attach").alias("score"))
+    return scored_pairs(spark, d, "pref_attach")
 
 
 def _negatives_sql(edges: str, subjects: str, per_node: int) -> str:
