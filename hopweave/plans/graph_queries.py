@@ -313,8 +313,8 @@ def _(spark, d):
 
 
 def classified(spark, d):
-    edges = written(edges_of(spark, d), "edges")
-    return G.classify_nodes(edges, G.nodes_of(edges), known())[1]
+    # weights and types of edges are not needed, and no rows are sorted for them
+    return G.classify_nodes(edges_of(spark, d).select("src", "dst"), None, known())[1]
 
 
 @query("node_types")

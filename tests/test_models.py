@@ -246,6 +246,27 @@ def test_node_types_from_neighbours(spark):
     assert "V:1" not in {r.id for r in own.collect()}
 
 
+def test_edges_are_read_once_and_lie_by_node(spark):
+    """Nodes are classified by edges that were read once: they lie in buckets by node, so counts by node and joins with nodes shuffle none."""
+    edges = [(f"V:{v}", f"{k}:{v % m}") for v in range(60) for k, m in (("L", 7), ("P", 5))] + [("L:1", "V:1"), ("P:1", "P:1")]
+    read = spark.sparkContext.accumulator(0)
+    e = spark.createDataFrame(spark.sparkContext.parallelize(edges, 2).map(lambda r: (read.add(1), r)[1]), "src string, dst string")
+    model, best = graph.classify_nodes(e, None, F.crc32(F.col("id").cast("binary")) % 2 == 0)
+    assert len(best.collect()) > 20 and read.value == len(edges)
+    adj = graph.adjacent(spark.createDataFrame(edges, "src string, dst string"))
+    assert {tuple(r) for r in adj.collect()} == {p for a, b in edges for p in ((a, b), (b, a))} and adj.count() == 2 * 120 + 1
+    assert "Exchange" not in adj.groupBy("src").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_that_are_zero_or_absent(spark):
+    """A feature of value 0 reaches neighbours as 0, an absent one does not, of as many features as one row has."""
+    edges = spark.createDataFrame([("a", "b"), ("c", "c"), ("d", "e")], "src string, dst string")
+    given = [("a", f"f{i:02}", float(i)) for i in range(graph.WIDE)] + [("c", "f03", 2.0), ("e", "f63", 0.0)]
+    got = {(r.id, r.feature): r.x for r in graph.smoothed_features(edges, spark.createDataFrame(given, "id string, feature string, x double"), 1).collect()}
+    want = {(n, f): x / 2 for m, f, x in given for n in {"a": "ab", "e": "de"}.get(m, "")} | {("c", "f03"): 2.0}
+    assert got == pytest.approx(want)
+
+
 def test_negatives_of_some_subjects_and_scores_of_few_pairs(spark):
     """Negatives of asked subjects, and scores of few pairs, are those of the whole."""
     rng = random.Random(3)
